@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, drop_stash, fresh_path, stash
+from .common import WHITE, drop_stash, fresh_path, small_batches, stash
 
 RUN_SCHEMA = "key binary, n_docs long, last_doc long"
 
@@ -30,29 +30,35 @@ def line_key(line: str, min_chars: int) -> bytes | None:
 class LineRuns:
     """The runs written so far. Lookups see every batch that was added before."""
 
-    def __init__(self, spark: SparkSession, buckets: int = 64, fanout: int = 4) -> None:
-        self.spark, self.buckets, self.fanout = spark, buckets, fanout
+    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 4) -> None:
+        """buckets: of each run, by default as many as the session's shuffles have partitions."""
+        self.spark, self.fanout = spark, fanout
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
+        self.paths: dict[str, str] = {}
 
     def _write(self, rows: DataFrame) -> str:
+        """rows are dealt by key into as many partitions as buckets."""
         name = f"line_run_{uuid.uuid4().hex}"
-        held = rows.select("key", "n_docs", "last_doc").repartition(self.buckets, "key")
-        writer = held.write.bucketBy(self.buckets, "key").sortBy("key")
-        writer.option("path", fresh_path(self.spark, name)).saveAsTable(name)
+        path = fresh_path(self.spark, name)
+        writer = rows.select("key", "n_docs", "last_doc").write.bucketBy(self.buckets, "key").sortBy("key")
+        writer.option("path", path).saveAsTable(name)
+        self.paths[name] = path
         return name
 
     def runs(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]
 
-    def merged(self) -> DataFrame:
-        """All runs as one: a key's counts added up, its largest document."""
-        runs = self.runs() or [self.spark.createDataFrame([], RUN_SCHEMA)]
-        if len(runs) == 1:
-            return runs[0]
-        union = runs[0]
-        for run in runs[1:]:
-            union = union.union(run)
-        return union.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+    def merged(self, names: list[str] | None = None) -> DataFrame:
+        """Runs (all by default) as one: a key's counts added up, its largest document. The files are read as they
+        are: over a union of bucketed tables, Spark 4.1.2 groups each table on its own."""
+        names = [n for level in self.levels for n in level] if names is None else names
+        if not names:
+            return self.spark.createDataFrame([], RUN_SCHEMA)
+        rows = self.spark.read.schema(RUN_SCHEMA).parquet(*[self.paths[n] for n in names])
+        if len(names) == 1:
+            return rows
+        return rows.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
 
     def unseen(self, keys: DataFrame) -> DataFrame:
         """The rows whose key no run holds: a merge anti-join with each run."""
@@ -63,28 +69,22 @@ class LineRuns:
     def add(self, lines: DataFrame) -> None:
         """Add a batch of (doc_id, key) as a run of level 0, then compact full levels. Documents of one id belong
         in one batch; a key repeated in a document counts once."""
-        own = lines.select("key", "doc_id").distinct().groupBy("key")
+        own = lines.select("key", "doc_id").distinct().repartition(self.buckets, "key").groupBy("key")
         self.levels[0].append(self._write(own.agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))))
         self.compact()
 
     def compact(self) -> None:
-        for depth in range(len(self.levels)):
-            if len(self.levels[depth]) >= self.fanout:
-                part = LineRuns(self.spark, self.buckets, self.fanout)
-                part.levels = [self.levels[depth]]
-                whole = self._write(part.merged())
-                for name in self.levels[depth]:
-                    self._drop(name)
+        for depth, full in enumerate(self.levels):
+            if len(full) >= self.fanout:
+                whole = self._write(self.merged(full).repartition(self.buckets, "key"))
+                for name in full:
+                    drop_stash(self.spark.table(name))
+                    self.spark.sql(f"DROP TABLE IF EXISTS {name}")
                 self.levels[depth] = []
                 if depth + 1 == len(self.levels):
                     self.levels.append([])
                 self.levels[depth + 1].append(whole)
 
-    def _drop(self, name: str) -> None:
-        held = self.spark.table(name)
-        drop_stash(held)
-        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-
 
 def line_keys(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20) -> DataFrame:
     """(doc_id, key) of each counting line, once a row of docs. Rows without an id give none."""
@@ -101,11 +101,12 @@ def line_keys(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_c
                     ids, out = [], []
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "key"])
 
+    small_batches(docs.sparkSession)
     held = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return held.mapInArrow(keys, "doc_id long, key binary")
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 3, min_chars: int = 20, batches: int = 4, fanout: int = 4, buckets: int = 64) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 3, min_chars: int = 20, batches: int = 4, fanout: int = 4, buckets: int | None = None) -> DataFrame:
     """docs with the text's repeated lines taken out, and n_lines (before) and n_dropped.
 
     A line whose key of at least min_chars code points lies in min_docs documents or more stays only in the largest

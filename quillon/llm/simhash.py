@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, utf8
+from .common import small_batches, stash, utf8
 from .components import connected_components, forest
 from .tokens import chain, mix, token_hashes
 
@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
             fp = np.array([fingerprint(t, shingle) for t in utf8(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(of, "doc_id long, fp long")
 
 
@@ -285,6 +286,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             wide = [w if any(w) else None for w in wide]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary())], ["doc_id", "wide"])
 
+    small_batches(docs.sparkSession)
     held = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(of, "doc_id long, wide binary")
     held = stash(held.where("doc_id is not null").distinct(), "wide")
     distinct = stash(held.where("wide is not null").groupBy("wide").agg(F.min("doc_id").alias("key")), "codes")
