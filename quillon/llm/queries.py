@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, simhash
+from . import lines, mixing, simhash
 from .common import table
 
 QUERIES = {}
@@ -43,3 +43,23 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query(
+    r"""
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+    p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+    w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight, 2.0::DOUBLE * source_size AS most FROM p),
+    v AS (SELECT *, ((1.5::DOUBLE * sum(source_size) OVER ()) - coalesce(sum(most) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+          FROM w WINDOW b AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    t AS (SELECT source, source_size, least(most, weight * max(level) OVER ()) AS target FROM v),
+    s AS (SELECT d.*, source_size, target, CAST(floor(target) AS BIGINT) AS words,
+                 CAST(sum(size) OVER (PARTITION BY d.source ORDER BY md5(CAST(doc_id AS VARCHAR) || '|mix'), doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS start
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+           CAST(greatest(0, least(start + size, words) - least(start, words)) + greatest(0, least(start + source_size + size, words) - least(start + source_size, words)) AS BIGINT) AS taken
+    FROM s"""
+)
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
