@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, simhash
+from . import lines, mixing, packing, simhash
 from .common import table
 
 QUERIES = {}
@@ -63,3 +63,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), packing.public_bpe).drop("ids")
