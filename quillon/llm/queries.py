@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, packing, simhash
+from . import lines, mixing, packing, rabitq, simhash
 from .common import table
 
 QUERIES = {}
@@ -68,3 +68,16 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.public_bpe).drop("ids")
+
+
+@query(
+    """
+    WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+    c(s, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT c.s, p.b FROM c JOIN p ON c.r = p.a),
+    m AS (SELECT s AS vec_id, min(r) AS component_id FROM c GROUP BY s)
+    SELECT vec_id, (SELECT count(*) FROM p WHERE p.a = m.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM m"""
+)
+def op9_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.near_vectors(table(spark, sf_dir, "embeddings"))
