@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, packing, rabitq, simhash
+from . import lines, mixing, packing, rabitq, simhash, tiff
 from .common import table
 
 QUERIES = {}
@@ -81,3 +81,10 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op9_rabitq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rabitq.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = tiff.text_media(table(spark, sf_dir, "documents"))
+    media = media.select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    return tiff.page_digests(tiff.tiff_pages(media, "media"))
