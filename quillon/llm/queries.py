@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, packing, rabitq, simhash, tiff
+from . import lines, mixing, packing, rabitq, simhash, tiff, warc
 from .common import table
 
 QUERIES = {}
@@ -88,3 +88,19 @@ def op1_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = tiff.text_media(table(spark, sf_dir, "documents"))
     media = media.select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
     return tiff.page_digests(tiff.tiff_pages(media, "media"))
+
+
+@query(
+    """
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+    h AS (SELECT page_id, octet_length(body) AS n, upper(sha1(body)) AS hex FROM p),
+    d AS (SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, max(page_id) OVER (PARTITION BY hex) AS last_id,
+                 list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((
+                   ((instr('0123456789ABCDEF', substr(hex || '0', 1 + (5 * i) // 4, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(hex || '0', 2 + (5 * i) // 4, 1)) - 1)
+                   >> CAST(3 - (5 * i) % 4 AS INTEGER)) % 32 AS INTEGER), 1)), 'string_agg', '') AS payload_digest FROM h)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id = last_id THEN NULL ELSE last_id END AS refers_to FROM d"""
+)
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
