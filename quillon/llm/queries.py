@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, packing, rabitq, simhash, tiff, urls, warc
+from . import lines, mixing, packing, quality, rabitq, simhash, tiff, urls, warc
 from .common import table
 
 QUERIES = {}
@@ -109,3 +109,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op4_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
