@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, packing, quality, rabitq, simhash, tiff, urls, warc
+from . import licenses, lines, mixing, packing, quality, rabitq, simhash, tiff, urls, warc
 from .common import table
 
 QUERIES = {}
@@ -114,3 +114,8 @@ def op6_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))

@@ -276,20 +276,20 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     budget that prunes no trie. So each document gets `tables` independent codes of `bits` bits; two texts of 0.8
     are within `budget` bits in one of them with probability 0.98 (of 0.9: over 0.999), and a pair counts if all
     the bits of all tables differ in a share of at most `distance`. bits is a multiple of 4. Equal token sequences link by their code.
-    Texts without a token link with nothing; null ids too (component_id null). Repeated rows come out once.
+    Texts without a token (null, empty, marks only) are one group. Rows without an id are left out. Rows of one id
+    and equal tokens come out once; of rows of one id and different texts, each has its group.
     """
     words = math.ceil(tables * bits / 64)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wide = [wide_fingerprint(t, shingle, words) for t in utf8(batch.column(1))]
-            wide = [w if any(w) else None for w in wide]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary())], ["doc_id", "wide"])
 
     small_batches(docs.sparkSession)
     held = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(of, "doc_id long, wide binary")
     held = stash(held.where("doc_id is not null").distinct(), "wide")
-    distinct = stash(held.where("wide is not null").groupBy("wide").agg(F.min("doc_id").alias("key")), "codes")
+    distinct = stash(held.groupBy("wide").agg(F.min("doc_id").alias("key")), "codes")
     similar = int(distance * words * 64)
     per = bits // 4
     links = None
@@ -299,5 +299,4 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         links = own if links is None else links.union(own)
     roots = connected_components(stash(links, "links"))
     to = distinct.join(roots, distinct["key"] == roots["node"], "left").select("wide", F.coalesce("root", "key").alias("component_id"))
-    out = held.join(to, "wide", "left")
-    return out.select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return held.join(to, "wide").select("doc_id", "component_id")
