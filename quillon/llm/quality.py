@@ -18,8 +18,10 @@ from .tokens import mix, windows
 BUCKETS, ORDER = 1 << 14, 2
 #: Labelled documents that the target model is fitted on, at most: those of the least hashes of their ids.
 SAMPLE = 50_000
-#: Pseudo-counts of a bucket.
-SMOOTH = 1.0
+#: Counts by which a bucket's target estimate is drawn to the raw model's: what is rare says little either way.
+SMOOTH = 30.0
+#: N-grams without evidence that every text is given, so that a short one is judged with care.
+NEUTRAL = 20
 #: Rows that the last step of the threshold search may rank in one task.
 RANKED = 20_000
 SEED = 7
@@ -47,12 +49,24 @@ def ngram_buckets(text: bytes, buckets: int = BUCKETS, order: int = ORDER) -> It
 
 @dataclass(frozen=True)
 class RatioModel:
-    """Log ratio of a bucket's probability under the target model and under the raw model."""
+    """Log ratio of a bucket's probability under the target model and under the raw model, and the documents that
+    the target model was fitted on."""
 
     log_ratio: np.ndarray
+    documents: int
 
     def score(self, text: bytes) -> float:
-        return float(sum(self.log_ratio[b].sum() for b in ngram_buckets(text, len(self.log_ratio))))
+        """The mean log ratio of the text's n-grams (and NEUTRAL more of ratio 1)."""
+        total, n = 0.0, NEUTRAL
+        for b in ngram_buckets(text, len(self.log_ratio)):
+            total, n = total + float(self.log_ratio[b].sum()), n + len(b)
+        return total / n
+
+    @property
+    def margin(self) -> float:
+        """A mean this far below 0 is no evidence against a text yet: the models' own error, which falls with the
+        root of the documents fitted on."""
+        return 0.01 + 1 / math.sqrt(1 + self.documents)
 
 
 def fit_ratio(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, buckets: int = BUCKETS) -> RatioModel:
@@ -81,9 +95,9 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     at = rows["bucket"].to_numpy(int)
     target[at], raw[at] = rows["target"], rows["raw"]
     if not target.sum():
-        return RatioModel(np.zeros(buckets))
-    p, q = ((c + SMOOTH) / (c.sum() + SMOOTH * buckets) for c in (target, raw))
-    return RatioModel(np.log(p / q))
+        return RatioModel(np.zeros(buckets), 0)
+    expected = raw * (target.sum() / raw.sum())
+    return RatioModel(np.log((target + SMOOTH) / (expected + SMOOTH)), len(picked))
 
 
 def gumbel(doc_id: int | None, seed: int = SEED) -> float:
@@ -93,8 +107,8 @@ def gumbel(doc_id: int | None, seed: int = SEED) -> float:
     return -math.log(-math.log(u))
 
 
-def importance(docs: DataFrame, model: RatioModel, doc_id: str = "doc_id", text: str = "text", temperature: float = 0.1) -> DataFrame:
-    """(doc_id, log_ratio, key): the log importance weight of each whole text, and the key that sampling goes by."""
+def importance(docs: DataFrame, model: RatioModel, doc_id: str = "doc_id", text: str = "text", temperature: float = 0.001) -> DataFrame:
+    """(doc_id, log_ratio, key): the mean log importance weight of each whole text, and the key that sampling goes by."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,13 +155,13 @@ def top_k(rows: DataFrame, k: int, key: str = "key", tie: str = "doc_id") -> Dat
     return out.withColumn("kept", (F.col(key) > high) | F.coalesce("__in", F.lit(False))).drop("__key", "__tie", "__in")
 
 
-def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: int | None = None, temperature: float = 0.1, margin: float = 4.0) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: int | None = None, temperature: float = 0.001, margin: float | None = None) -> DataFrame:
     """(doc_id, log_ratio, key, kept) for each row of docs: importance resampling towards the documents labelled
-    quality 1. The log weight of a text is the sum over its n-grams of the log ratio of the target and the raw
-    model; a document's key is its weight over the temperature plus Gumbel noise, and the `keep` largest keys are
-    kept: a sample without replacement in proportion to the weights to the power 1 / temperature. keep defaults to
-    the number of documents whose weight is at least -margin: evidence of less than that against a document, as a short
-    clean text may have by chance, does not count.
+    quality 1. The log weight of a text is the mean over its n-grams of the log ratio of the target and the raw model
+    (a sum would rank texts by their length); a document's key is its log weight over the temperature plus Gumbel
+    noise, and the `keep` largest keys are kept: a sample without replacement in proportion to the weights to the
+    power 1 / temperature. keep defaults to the number of documents whose log weight is at least -margin, and margin
+    to the model's own.
 
     Null and empty texts have weight 0, so they count as likely. Null ids share their noise. Repeated rows have equal
     keys and are kept or not together (rows of equal key and id may bring the count above keep). Empty labels: all
@@ -155,7 +169,7 @@ def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     """
     model = fit_ratio(docs, labels, doc_id, text)
     rows = stash(importance(docs, model, doc_id, text, temperature), "weights")
-    keep = rows.where(F.col("log_ratio") >= -margin).count() if keep is None else keep
+    keep = rows.where(F.col("log_ratio") >= -(model.margin if margin is None else margin)).count() if keep is None else keep
     return top_k(rows, keep)
 
 
