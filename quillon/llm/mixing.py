@@ -18,7 +18,7 @@ RUN_DOCS = 8192
 
 def shuffle_key(doc_id: Column) -> Column:
     """A fixed pseudo-random order of documents, the same in every run and engine."""
-    return F.md5(F.concat(doc_id.cast("string"), F.lit("|mix")))
+    return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|mix")))
 
 
 def source_targets(sizes: DataFrame, share: float, weights: tuple[int, ...], most: float) -> DataFrame:
