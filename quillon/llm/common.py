@@ -51,6 +51,16 @@ def drop_stash(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hash_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """At most `rows` rows, about those of the least hashes of the keys (all, if there are no more): the same rows in
+    every run. A threshold on the hash comes first, so that no task hands on more than its share."""
+    total = df.count()
+    h = F.pmod(F.xxhash64(*keys), F.lit(1 << 30))
+    if total > rows:
+        df = df.where(h < int((1 << 30) * min(1.0, 1.05 * rows / total + 20 / total)))
+    return df.orderBy(h, *keys).limit(rows)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else."""
     return F.translate(text, UPPER, LOWER)

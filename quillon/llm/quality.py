@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash, utf8
+from .common import hash_sample, small_batches, stash, utf8
 from .tokens import mix, windows
 
 #: Buckets that n-grams are hashed to, and the longest n-grams.
@@ -74,7 +74,7 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     most `sample` of them. Both are counted in one pass that moves no text. Without target documents or any
     documents the ratio is 0 everywhere."""
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    picked = {r[0] for r in good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()}
+    picked = {r[0] for r in hash_sample(good, sample, "doc_id").collect()}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, raw = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
