@@ -37,14 +37,14 @@ def longest_prefix(facts: DataFrame, code: str, prefixes: DataFrame, prefix: str
     Codes are joined by equality: each distinct code gives its own leading parts, of the lengths that prefixes have,
     and the longest part that is a prefix wins. Nothing is compared with every prefix.
     """
-    table = prefixes.where(F.col(prefix).isNotNull() & (F.col(prefix) != "")).groupBy(F.col(prefix).alias("__part")).agg(F.min(value).alias("__value"))
-    lengths = sorted(r[0] for r in table.select(F.length("__part")).distinct().collect())
+    table = prefixes.where(F.col(prefix).isNotNull() & (F.col(prefix) != "")).groupBy(F.col(prefix).alias("__lp_part")).agg(F.min(value).alias("__lp_value"))
+    lengths = sorted(r[0] for r in table.select(F.length("__lp_part")).distinct().collect())
     if not lengths:
         return facts.withColumn(value, F.lit(None).cast(dict(prefixes.dtypes)[value]))
-    codes = facts.select(F.col(code).alias("__code")).where("__code is not null").distinct()
-    parts = codes.withColumn("__part", F.explode(F.array(*[F.left("__code", F.lit(n)) for n in lengths]))).distinct()
-    best = parts.join(table, "__part").groupBy("__code").agg(F.max_by("__value", F.length("__part")).alias(value))
-    return facts.join(best, F.col(code) == F.col("__code"), "left").drop("__code")
+    codes = facts.select(F.col(code).alias("__lp_code")).where("__lp_code is not null").distinct()
+    parts = codes.withColumn("__lp_part", F.explode(F.array(*[F.left("__lp_code", F.lit(n)) for n in lengths]))).distinct()
+    best = parts.join(table, "__lp_part").groupBy("__lp_code").agg(F.max_by("__lp_value", F.length("__lp_part")).alias(value))
+    return facts.join(best, F.col(code) == F.col("__lp_code"), "left").drop("__lp_code")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
