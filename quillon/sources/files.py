@@ -171,6 +171,15 @@ def integrity(spark: SparkSession, root: str, manifest: dict[str, str]) -> DataF
     found = files.select("path", "length", "content").mapInArrow(check, "path string, length long, sha256 string, gzip_state string")
     name = F.substring_index("path", f"{root.rstrip('/')}/", -1)
     found = found.select(name.alias("name"), "length", "sha256", "gzip_state")
+    # Spark's reader passes over files without a byte; the listing has them.
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listing, bare = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True), []
+    while listing.hasNext():
+        file = listing.next()
+        if not file.getLen():
+            own = file.getPath().toString().rpartition(f"{root.rstrip('/')}/")[2]
+            bare.append((own, 0, hashlib.sha256(b"").hexdigest(), "truncated" if own.endswith(".gz") else "not_gzip"))
+    found = found.union(spark.createDataFrame(bare, found.schema))
     listed = spark.createDataFrame(sorted(manifest.items()), "name string, expected string")
     out = found.join(F.broadcast(listed), "name", "full")
     status = F.when(F.col("sha256").isNull(), "missing_file").when(F.col("expected").isNull(), "not_listed").when(F.col("sha256") == F.col("expected"), "verified").otherwise("checksum_mismatch")
