@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.functions.exprs import hash_uniform, safe_div
+from quillon.functions.exprs import hash_bucket, hash_uniform, safe_div
 
 SLICE = ["baseline", "source", "split"]
 SCORED = ["source", "split", "stay_id", "group_id", "condition", "candidate", "candidate_rank", "label"]
@@ -54,29 +56,46 @@ def ranking_metrics(scores: DataFrame, k: int) -> DataFrame:
     return out.select(*SLICE, F.lit(k).cast("long").alias("k"), "groups", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "hit", "ndcg")], F.round("rr", 6).alias("mrr"))
 
 
+#: Cuts of the score range, and hash classes that equal scores of a candidate are dealt into: no slice, however large or
+#: tied, is one task's sort.
+SCORE_BINS, TIE_CLASSES = 4096, 256
+
+
 def row_metrics(scores: DataFrame, bins: int = 10) -> DataFrame:
     """Average precision, ROC area by mid-ranks, Brier score and calibration error of each slice; all null unless
     both classes occur.
 
-    A slice's scores are grouped to their distinct values first, so sorting is over distinct scores, not rows: the
-    area and the other sums need only counts of a score. Average precision orders equal scores by catalog rank,
-    candidate and group; within a score, its rows are numbered in that order behind the rows of larger scores.
+    Rows are counted in cells (score, catalog rank, candidate, hash class of the group), cells in bins of scores, bins
+    in their slice; a row's place in the slice is the sum of what stands before its bin, its cell and itself. So
+    average precision orders equal scores by catalog rank, candidate, hash class and group, and every window is over a
+    bin's cells or a cell's rows.
     """
-    per = scores.groupBy(*SLICE, "score").agg(F.count("*").alias("n"), F.count_if("label").alias("p"))
-    down = Window.partitionBy(*SLICE).orderBy(F.desc("score"))
-    whole = Window.partitionBy(*SLICE)
-    per = per.withColumns({"rows_above": F.sum("n").over(down) - F.col("n"), "positives_above": F.sum("p").over(down) - F.col("p"), "all_n": F.sum("n").over(whole), "all_p": F.sum("p").over(whole)})
-    low_rank = F.col("all_n") - F.col("rows_above") - F.col("n") + 1
-    area = per.groupBy(*SLICE).agg(F.first("all_n").alias("row_count"), F.first("all_p").alias("positives"), F.sum(F.col("p") * (low_rank + (F.col("n") - 1) / 2.0)).alias("rank_sum"),
+    bin_ = F.least(F.greatest(F.floor(F.col("score") * SCORE_BINS), F.lit(0)), F.lit(SCORE_BINS - 1))
+    held = scores.withColumns({"bin": bin_, "tie": hash_bucket(F.col("group_id"), TIE_CLASSES)})
+    cell = ["bin", "score", "candidate_rank", "candidate", "tie"]
+    cells = held.groupBy(*SLICE, *cell).agg(F.count("*").alias("n"), F.count_if("label").alias("p"))
+    per_bin = cells.groupBy(*SLICE, "bin").agg(F.sum("n").alias("bin_n"), F.sum("p").alias("bin_p"))
+    down, whole = Window.partitionBy(*SLICE).orderBy(F.desc("bin")), Window.partitionBy(*SLICE)
+    per_bin = per_bin.select(*SLICE, "bin", (F.sum("bin_n").over(down) - F.col("bin_n")).alias("n_above"), (F.sum("bin_p").over(down) - F.col("bin_p")).alias("p_above"), F.sum("bin_n").over(whole).alias("all_n"), F.sum("bin_p").over(whole).alias("all_p"))
+    per = cells.groupBy(*SLICE, "bin", "score").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).join(per_bin, [*SLICE, "bin"])
+    inside = Window.partitionBy(*SLICE, "bin").orderBy(F.desc("score"))
+    low_rank = F.col("all_n") - F.col("n_above") - F.sum("n").over(inside) + 1
+    per = per.withColumn("low_rank", low_rank)
+    area = per.groupBy(*SLICE).agg(F.first("all_n").alias("row_count"), F.first("all_p").alias("positives"), F.sum(F.col("p") * (F.col("low_rank") + (F.col("n") - 1) / 2.0)).alias("rank_sum"),
         F.sum(F.col("p") * (F.col("score") - 1) ** 2 + (F.col("n") - F.col("p")) * F.col("score") ** 2).alias("squares"))
-    order = Window.partitionBy(*SLICE, "score").orderBy(F.col("candidate_rank").asc_nulls_last(), F.col("candidate").asc_nulls_last(), F.col("group_id").asc_nulls_last())
-    rows = scores.join(per.select(*SLICE, "score", "rows_above", "positives_above"), [*SLICE, "score"])
-    at = F.col("rows_above") + F.row_number().over(order)
-    seen = F.col("positives_above") + F.sum(F.col("label").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    hits = rows.withColumns({"at": at, "seen": seen}).where("label").groupBy(*SLICE).agg(F.sum(F.col("seen") / F.col("at")).alias("ap_sum"))
-    bin_ = F.least(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")) * bins), F.lit(bins - 1))
-    cell = per.groupBy(*SLICE, bin_.alias("bin")).agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.sum(F.col("score") * F.col("n")).alias("s"))
-    gaps = cell.groupBy(*SLICE).agg(F.sum(F.abs(F.col("p") - F.col("s"))).alias("gap"))
+    order = [F.desc("score"), F.col("candidate_rank").asc_nulls_last(), F.col("candidate").asc_nulls_last(), "tie"]
+    before = Window.partitionBy(*SLICE, "bin").orderBy(*order)
+    placed = cells.join(per_bin, [*SLICE, "bin"]).withColumns({"n_before": F.col("n_above") + F.sum("n").over(before) - F.col("n"), "p_before": F.col("p_above") + F.sum("p").over(before) - F.col("p")})
+    placed = placed.where("p > 0").select(*SLICE, *[F.col(c).alias(f"__{c}") for c in cell], "n_before", "p_before")
+    own = Window.partitionBy(*SLICE, *cell).orderBy(F.col("group_id").asc_nulls_last())
+    numbered = held.withColumns({"at": F.row_number().over(own), "seen": F.sum(F.col("label").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0))}).where("label")
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in cell]
+    right = placed.select(*[F.col(c).alias(f"__{c}") for c in SLICE], *[f"__{c}" for c in cell], "n_before", "p_before")
+    joined = numbered.join(right, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in SLICE] + same))
+    hits = joined.groupBy(*SLICE).agg(F.sum((F.col("p_before") + F.col("seen")) / (F.col("n_before") + F.col("at"))).alias("ap_sum"))
+    tenth = F.least(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")) * bins), F.lit(bins - 1))
+    gaps = per.groupBy(*SLICE, tenth.alias("tenth")).agg(F.sum("p").alias("p"), F.sum(F.col("score") * F.col("n")).alias("s"))
+    gaps = gaps.groupBy(*SLICE).agg(F.sum(F.abs(F.col("p") - F.col("s"))).alias("gap"))
     out = area.join(hits, SLICE, "left").join(gaps, SLICE)
     p, n = F.col("positives").cast("double"), (F.col("row_count") - F.col("positives")).cast("double")
     both = (p > 0) & (n > 0)

@@ -77,8 +77,8 @@ def d14_popularity(spark, d):
     return scores(spark, d).select("baseline", "source", "split", "group_id", "candidate", F.round("score", 9).alias("score"))
 
 
-@query(with_sql(*BASE, SCORES_SQL, """o AS (SELECT *, row_number() OVER (PARTITION BY baseline, source, split ORDER BY score DESC, candidate_rank, candidate, group_id) AS nth,
-      sum(label::INT) OVER (PARTITION BY baseline, source, split ORDER BY score DESC, candidate_rank, candidate, group_id ROWS UNBOUNDED PRECEDING) AS seen,
+@query(with_sql(*BASE, SCORES_SQL, """o AS (SELECT *, row_number() OVER (PARTITION BY baseline, source, split ORDER BY score DESC, candidate_rank, candidate, CAST('0x' || substr(md5(group_id), 1, 8) AS UBIGINT) % 256, group_id) AS nth,
+      sum(label::INT) OVER (PARTITION BY baseline, source, split ORDER BY score DESC, candidate_rank, candidate, CAST('0x' || substr(md5(group_id), 1, 8) AS UBIGINT) % 256, group_id ROWS UNBOUNDED PRECEDING) AS seen,
       rank() OVER (PARTITION BY baseline, source, split ORDER BY score) AS low, count(*) OVER (PARTITION BY baseline, source, split, score) AS ties,
       CAST(least(9, floor(10 * greatest(0, least(1, score)))) AS INTEGER) AS bin FROM scores)""",
     """e AS (SELECT baseline, source, split, sum(gap) AS gap FROM (SELECT baseline, source, split, bin, abs(sum(label::INT) - sum(score)) AS gap FROM o GROUP BY ALL) GROUP BY ALL)""",
