@@ -169,7 +169,8 @@ def compress(data: bytes, kind: int) -> bytes:
 
 @dataclass
 class Page:
-    """A directory's image: 8-bit or 16-bit samples, pixel by pixel (planes one after the other if it is planar)."""
+    """A directory's image: its samples, pixel by pixel (planes one after the other if it is planar), in the file's byte
+    order; samples of less than 8 bits have a byte each."""
 
     number: int
     width: int
@@ -204,13 +205,27 @@ def _fields(raw: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]:
     return tags, struct.unpack_from(order + "I", raw, at + 2 + 12 * n)[0]
 
 
-def _unpredict(block: np.ndarray, predictor: int) -> np.ndarray:
-    """Undo horizontal differences along a (rows, columns, samples) block."""
-    if predictor == 1:
-        return block
-    if predictor != 2:
+def _samples(data: bytes, rows: int, columns: int, per: int, bits: int, order: str, predictor: int) -> np.ndarray:
+    """The (rows, columns, per) samples of a decompressed segment: of 1, 2 or 4 bits (rows padded to bytes, a sample of
+    the result each) or of whole bytes; predictor 2 (differences along a row) or 3 (of floats: differences of their
+    bytes, which stand by significance) is undone."""
+    if bits < 8:
+        if predictor != 1:
+            raise TiffError(f"predictor {predictor} of {bits}-bit samples")
+        flat = np.unpackbits(np.frombuffer(data, np.uint8).reshape(rows, -1), axis=1)[:, : columns * per * bits]
+        return (flat.reshape(rows, columns, per, bits) << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=3, dtype=np.uint8)
+    size = bits // 8
+    dtype = np.dtype(f"{order}u{size}")
+    if predictor == 3:
+        whole = np.cumsum(np.frombuffer(data, np.uint8).reshape(rows, -1, per), axis=1, dtype=np.uint8)
+        planes = whole.reshape(rows, size, columns * per).transpose(0, 2, 1)
+        return np.ascontiguousarray(planes).view(f">u{size}").astype(dtype).reshape(rows, columns, per)
+    block = np.frombuffer(data, dtype).reshape(rows, columns, per)
+    if predictor == 2:
+        return np.cumsum(block, axis=1, dtype=dtype.newbyteorder("=")).astype(dtype)
+    if predictor != 1:
         raise TiffError(f"predictor {predictor}")
-    return np.cumsum(block, axis=1, dtype=block.dtype)
+    return block
 
 
 def read_pages(raw: bytes) -> Iterator[Page]:
@@ -236,10 +251,10 @@ def _page(raw: bytes, tags: dict[int, tuple], order: str, number: int) -> Page:
     one = lambda tag, default=None: tags.get(tag, (default,))[0]
     width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
     bits, kind, predictor = one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
-    if not width or not height or bits not in (8, 16) or len(set(tags.get(BITS, (bits,)))) > 1:
-        raise TiffError("no image of 8-bit or 16-bit samples")
+    if not width or not height or bits not in (1, 2, 4, 8, 16, 32, 64) or len(set(tags.get(BITS, (bits,)))) > 1:
+        raise TiffError("no image of samples of one size that is known")
     planes, per = (samples, 1) if one(PLANAR, 1) == 2 else (1, samples)
-    dtype = np.dtype(order + "u2" if bits == 16 else "u1")
+    dtype = np.dtype(f"{order}u{max(1, bits // 8)}")
     tiled = TILE_OFFSETS in tags
     offsets, counts = (tags.get(TILE_OFFSETS), tags.get(TILE_BYTES)) if tiled else (tags.get(STRIP_OFFSETS), tags.get(STRIP_BYTES))
     w, h = (one(TILE_WIDTH), one(TILE_HEIGHT)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
@@ -252,8 +267,8 @@ def _page(raw: bytes, tags: dict[int, tuple], order: str, number: int) -> Page:
             raise TiffError("a segment outside the file")
         plane, row, column = k // (across * down), k // across % down * h, k % across * w
         rows = h if tiled else min(h, height - row)
-        data = decompress(raw[at : at + size], kind, rows * w * per * dtype.itemsize)
-        block = _unpredict(np.frombuffer(data, dtype).reshape(rows, w, per), predictor)
+        data = decompress(raw[at : at + size], kind, rows * -(-w * per * bits // 8))
+        block = _samples(data, rows, w, per, bits, order, predictor)
         image[plane, row : row + rows, column : column + w] = block[: height - row, : width - column]
     return Page(number, width, height, samples, bits, kind, predictor, tiled, len(offsets), image.tobytes())
 

@@ -73,6 +73,29 @@ def test_planar_16_bit_and_sub_directories():
     assert [p.number for p in pages] == [0, 1] and all(p.data == pixels and p.bits == 16 and p.samples == 2 for p in pages)
 
 
+def single_strip(data, width, height, bits, predictor):
+    tags = [(256, 3, 1, width), (257, 3, 1, height), (258, 3, 1, bits), (259, 3, 1, 8), (273, 4, 1, 8), (277, 3, 1, 1), (278, 3, 1, height), (279, 4, 1, len(zlib.compress(data))), (317, 3, 1, predictor)]
+    packed = zlib.compress(data)
+    return b"II" + struct.pack("<HI", 42, 8 + len(packed)) + packed + struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", *t) for t in tags) + bytes(4)
+
+
+def test_floats_and_single_bits():
+    rows = np.random.default_rng(1).standard_normal((5, 7)).astype("<f4")
+    coded = b""
+    for row in rows:
+        by_weight = np.ascontiguousarray(row.astype(">f4")).view(np.uint8).reshape(7, 4).T.ravel()
+        coded += np.concatenate((by_weight[:1], np.diff(by_weight))).astype(np.uint8).tobytes()
+    (page,) = tiff.read_pages(single_strip(coded, 7, 5, 32, 3))
+    assert page.data == rows.tobytes()
+    bits = np.random.default_rng(2).integers(0, 2, (6, 13)).astype(np.uint8)
+    (page,) = tiff.read_pages(single_strip(np.packbits(bits, axis=1).tobytes(), 13, 6, 1, 1))
+    assert page.data == bits.tobytes()
+    nibbles = np.random.default_rng(3).integers(0, 16, (4, 5)).astype(np.uint8)
+    packed = np.pad(nibbles, ((0, 0), (0, 1)))
+    (page,) = tiff.read_pages(single_strip((packed[:, ::2] << 4 | packed[:, 1::2]).astype(np.uint8).tobytes(), 5, 4, 4, 1))
+    assert page.data == nibbles.tobytes()
+
+
 def test_pages_with_faults(spark):
     good = tiff.store_text(b"x" * 60_000)
     circle = bytearray(tiff.write_pages([(np.zeros((2, 2, 1), np.uint8), 1, 1, None, 2)]))
