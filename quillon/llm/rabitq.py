@@ -69,8 +69,8 @@ def _pairs(a: dict, b: dict, same: bool, band: int, threshold: float) -> tuple[n
     return i[keep], j[keep]
 
 
-def vector_links(vectors: DataFrame, threshold: float = 0.98, miss: float = 1e-4) -> DataFrame:
-    """What links the distinct vectors (group, dim, key, weight, vector): rows (a, b, null) join two keys, and rows
+def vector_links(vectors: DataFrame, threshold: float = 0.98, miss: float = 1e-4, kind: str = "<f8") -> DataFrame:
+    """What links the distinct vectors (group, dim, key, weight, vector: the bytes of its numbers of a kind): rows (a, b, null) join two keys, and rows
     (key, null, links) add the weights of a key's partners up.
 
     Within a group, vectors meet in buckets of their sign bits, in several bands; in a bucket, the codes' estimates
@@ -92,7 +92,7 @@ def vector_links(vectors: DataFrame, threshold: float = 0.98, miss: float = 1e-4
             raw = batch.column("vector").to_pylist()
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                v = np.frombuffer(b"".join(raw[k] for k in at), np.float64).reshape(len(at), dim)
+                v = np.frombuffer(b"".join(raw[k] for k in at), kind).reshape(len(at), dim).astype(float)
                 own, factor[at], turned = encode(v)
                 for k, c in zip(at, np.packbits(own > 0, axis=1), strict=True):
                     code[k] = c.tobytes()
@@ -119,7 +119,7 @@ def vector_links(vectors: DataFrame, threshold: float = 0.98, miss: float = 1e-4
             def side(c: int, rows: pa.Table = rows, chunk: np.ndarray = chunk, dim: int = dim) -> dict:
                 at = np.flatnonzero(chunk == c)
                 own = rows.take(pa.array(at))
-                v = np.frombuffer(b"".join(own.column("vector").to_pylist()), np.float64).reshape(len(at), dim)
+                v = np.frombuffer(b"".join(own.column("vector").to_pylist()), kind).reshape(len(at), dim).astype(float)
                 unit = v / np.linalg.norm(v, axis=1, keepdims=True)
                 packed = np.frombuffer(b"".join(own.column("code").to_pylist()), np.uint8).reshape(len(at), -1)
                 code = (np.unpackbits(packed, axis=1, count=dim) * 2.0 - 1) / math.sqrt(dim)
@@ -156,7 +156,9 @@ def near_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     A pair is missed only if it shares no band (probability at most 1e-4 at the threshold, less above) or if an
     estimate lies over EPSILON standard errors below the truth; no pair below the threshold counts.
     """
-    e = F.col(embedding).cast("array<double>")
+    # Single-precision input travels as it is; all arithmetic is double.
+    kind = "<f4" if dict(table.dtypes)[embedding] == "array<float>" else "<f8"
+    e = F.col(embedding) if kind == "<f4" else F.col(embedding).cast("array<double>")
     held = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("group"), e.alias("e"))
     fine = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
     held = held.withColumn("e", F.when(F.col("group").isNotNull() & (F.size("e") > 0) & fine, F.col("e")))
@@ -165,12 +167,12 @@ def near_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [np.array(v).tobytes() for v in batch.column("e").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("group", "h", "g", "least", "weight")), pa.array([len(r) // 8 for r in raw], pa.int32()), pa.array(raw, pa.binary())], ["group", "h", "g", "least", "weight", "dim", "vector"])
+            raw = [np.array(v, kind).tobytes() for v in batch.column("e").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("group", "h", "g", "least", "weight")), pa.array([len(r) // int(kind[2]) for r in raw], pa.int32()), pa.array(raw, pa.binary())], ["group", "h", "g", "least", "weight", "dim", "vector"])
 
     reps = reps.mapInArrow(pack, "group long, h long, g long, least long, weight long, dim int, vector binary")
     reps = stash(reps.withColumn("key", F.coalesce("least", "h")), "reps")
-    found = stash(vector_links(reps, threshold), "links")
+    found = stash(vector_links(reps, threshold, kind=kind), "links")
     links = found.where("links is not null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("links is null"))
     known = reps.select("group", "h", "g", "key", "least", "weight").join(roots.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
