@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import xxhash
@@ -31,9 +32,9 @@ class LineRuns:
     """The runs written so far. Lookups see every batch that was added before."""
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 4) -> None:
-        """buckets: of each run, by default as many as the session's shuffles have partitions."""
+        """buckets: of each run, by default a fourth of the partitions of the session's shuffles, as a run holds a part."""
         self.spark, self.fanout = spark, fanout
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
         self.levels: list[list[str]] = [[]]
         self.paths: dict[str, str] = {}
 
@@ -66,12 +67,19 @@ class LineRuns:
             keys = keys.join(run.hint("merge").select("key"), "key", "left_anti")
         return keys
 
-    def add(self, lines: DataFrame) -> None:
-        """Add a batch of (doc_id, key) as a run of level 0, then compact full levels. Documents of one id belong
+    def add(self, lines: DataFrame) -> DataFrame:
+        """Add a batch of (doc_id, key) as a run of level 0, then compact full levels. Returned are the batch's lines that
+        are not the first of their key: a merge anti-join of the new run with the runs before it tells the keys that no
+        earlier batch held, and such a key's first line is the one in its largest document. Documents of one id belong
         in one batch; a key repeated in a document counts once."""
-        own = lines.select("key", "doc_id").distinct().repartition(self.buckets, "key").groupBy("key")
-        self.levels[0].append(self._write(own.agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))))
+        held = lines.select("key", "doc_id").distinct()
+        own = held.repartition(self.buckets, "key").groupBy("key")
+        name = self._write(own.agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")))
+        first = self.unseen(self.spark.table(name)).select("key", F.col("last_doc").alias("doc_id"))
+        repeats = stash(held.join(first, ["key", "doc_id"], "left_anti"), "repeats")
+        self.levels[0].append(name)
         self.compact()
+        return repeats
 
     def compact(self) -> None:
         for depth, full in enumerate(self.levels):
@@ -110,9 +118,10 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     """docs with the text's repeated lines taken out, and n_lines (before) and n_dropped.
 
     A line whose key of at least min_chars code points lies in min_docs documents or more stays only in the largest
-    doc_id that holds it. The documents come in batches: each batch adds its run, the levels are compacted as they
-    fill, and at the end each document's lines are merge-joined with the runs. The counts need every batch, so no
-    batch is filtered before the last one is in.
+    doc_id that holds it. The documents come in batches, those of the largest ids first: each batch writes its run,
+    merge-anti-joins it with the runs before it, so that what is left of its lines are repeats of larger documents'
+    lines, and levels are compacted as they fill. Whether a repeat goes depends on all batches' counts, so the repeats
+    meet the runs once more at the end.
 
     Null or empty text: one empty line, kept (null becomes empty). Null doc_id: the row stays as it is and counts
     for nothing. Rows of the same id are one document: each drops the same keys. A column named n_lines or
@@ -120,14 +129,17 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     """
     spark = docs.sparkSession
     path = fresh_path(spark, "lines")
-    lines = line_keys(docs, doc_id, text, min_chars)
-    lines.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")).write.partitionBy("batch").parquet(path)
+    shares = [k / batches for k in range(1, batches)]
+    cuts = sorted(set(docs.agg(F.percentile_approx(F.col(doc_id).cast("long"), shares)).first()[0] or [])) if shares else []
+    batch_of = sum([(F.col("doc_id") <= c).cast("int") for c in cuts], F.lit(0))
+    lines = line_keys(docs, doc_id, text, min_chars).withColumn("batch", batch_of)
+    # A file has its batches one after the other, so that a batch's scan reads the pages that hold it.
+    lines.sortWithinPartitions("batch").write.parquet(path)
     lines = spark.read.schema("doc_id long, key binary, batch int").parquet(path)
     store = LineRuns(spark, buckets, fanout)
-    for batch in range(batches):
-        store.add(lines.where(F.col("batch") == batch))
-    common = store.merged().where(F.col("n_docs") >= min_docs).select("key", "last_doc")
-    drops = lines.join(common, "key").where(F.col("doc_id") != F.col("last_doc"))
+    repeats = [store.add(lines.where(F.col("batch") == batch)) for batch in range(len(cuts) + 1)]
+    common = store.merged().where(F.col("n_docs") >= min_docs).select("key")
+    drops = reduce(DataFrame.union, repeats).join(common, "key")
     drops = stash(drops.groupBy("doc_id").agg(F.collect_set("key").alias("__drops")), "drops").withColumnRenamed("doc_id", "__id")
     held = docs.drop("n_lines", "n_dropped")
     width, at = len(held.columns), held.columns.index(text)

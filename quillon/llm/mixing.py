@@ -16,6 +16,11 @@ POINT_BITS = 40
 RUN_DOCS = 8192
 
 
+def words_in(text: Column) -> Column:
+    """Words of a text; null: 0."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
+
+
 def shuffle_key(doc_id: Column) -> Column:
     """A fixed pseudo-random order of documents, the same in every run and engine."""
     return F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|mix")))
@@ -96,7 +101,7 @@ def _few(targets: DataFrame, most: int = 10_000) -> bool:
     return targets.limit(most + 1).count() <= most
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), most: float = 2.0, block: int = 256) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), most: float = 2.0, block: int = 256, numbered: bool = False) -> tuple[DataFrame, DataFrame]:
     """The mix of docs by source: (documents, blocks).
 
     documents has a row for each row of docs: doc_id, size (words), source, source_size, target, start and taken.
@@ -108,12 +113,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     taken words are its target rounded down, and no document exceeds `most` times its size, rounded up, as no
     target exceeds that multiple of its source. Blocks have about `block` words.
 
-    Null text: size 0. Null source: a source of its own, last. Null doc_id: a document like any other. Repeated
-    rows are laid out one after the other. A document of size 0 takes 0. No rows: none. Other columns don't matter.
+    numbered: docs is a written table with __row and __size already. Null text: size 0. Null source: a source of its
+    own, last. Null doc_id: a document like any other. Repeated rows are laid out one after the other. A document
+    of size 0 takes 0. No rows: none. Other columns don't matter.
     """
-    row = F.col("__row") if "__row" in docs.columns else F.monotonically_increasing_id()
-    sizes = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), F.col(source).cast("string").alias("source"), row.alias("row"))
-    sizes = stash(sizes, "sizes")
+    sizes = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.col("__size") if numbered else words_in(F.col(text))).alias("size"), F.col(source).cast("string").alias("source"), (F.col("__row") if numbered else F.monotonically_increasing_id()).alias("row"))
+    sizes = sizes if numbered else stash(sizes, "sizes")
     targets = stash(source_targets(sizes, share, weights, most), "targets")
     laid = stash(lay_out(sizes, targets), "laid")
     slots = stash(schedule(targets, block), "slots")
@@ -141,8 +146,8 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """The mix as documents: docs' columns, a row for each use of a document. A use of all its words keeps the text
     as it is; one of some of them has these words, joined by single spaces (and by nothing else)."""
     names = docs.columns
-    held = stash(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
-    blocks = mix(held, doc_id, text, source, **kind)[1]
+    held = stash(docs.withColumns({"__row": F.monotonically_increasing_id(), "__size": words_in(F.col(text))}), "documents")
+    blocks = mix(held, doc_id, text, source, numbered=True, **kind)[1]
     uses = blocks.groupBy("row", "turn", "size").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     uses = uses.groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("turn", "low", "high", "size")).alias("__uses"))
     out = held.join(uses, "__row").withColumn("__use", F.explode("__uses"))

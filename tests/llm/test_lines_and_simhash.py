@@ -38,6 +38,12 @@ def test_line_dedup_equals_brute_force(request, which):
     assert sorted((tuple(r) for r in out), key=repr) == kept_lines([(r.doc_id, r.text) for r in docs.collect()])
 
 
+@pytest.mark.parametrize("batches", [1, 2, 9])
+def test_line_dedup_does_not_depend_on_its_batches(odd_docs, batches):
+    out = lines.dedup_lines(odd_docs, batches=batches, fanout=3).select("doc_id", "n_lines", "n_dropped", "text").collect()
+    assert sorted((tuple(r) for r in out), key=repr) == kept_lines([(r.doc_id, r.text) for r in odd_docs.collect()])
+
+
 def test_line_dedup_keeps_other_columns_and_replaces_its_own(odd_docs):
     docs = odd_docs.withColumns({"n_lines": F.lit("x"), "key": F.lit(1), "batch": F.lit(2), "last_doc": F.lit(None)})
     out = lines.dedup_lines(docs)
