@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import exprs
-from quillon.operators import cohort, contract, features, graph, harmonize, mappings, profile, relational, subgraphs
+from quillon.operators import cohort, contract, extract, features, graph, harmonize, mappings, profile, relational, subgraphs
 from quillon.sources import files
 
 
@@ -249,3 +249,17 @@ def test_reference_lists(spark, tmp_path):
     assert [tuple(r) for r in files.crosswalk_text(spark, put("g.txt", "0389  A419  10000\n0390  NoDx  11000\n\n0391 B1 00000\n")).collect()] == [("0389", "A419", True), ("0391", "B1", False)]
     chapters = mappings.chapter_rows(spark.createDataFrame([("a41.9",), ("C5",), ("Z99",)], "code string"), spark.createDataFrame([("A00", "B99", "1"), ("C00", "D49", "2")], "low string, high string, chapter string"))
     assert {r.category: r.chapter for r in chapters.collect()} == {"A41": "1", "C5": "2", "Z99": None}
+
+
+def test_extracts_go_by_gates_headers_and_rows(spark, tmp_path):
+    own = spark.createDataFrame([(100, "1"), (101, "2")], "stay_id long, patient_id string")
+    good = spark.createDataFrame([("1", "x", 5), ("9", "x", 5), ("2", "y", 6)], "patient string, v string, item int")
+    bad = good.withColumn("v", F.when(F.col("item") > 0, F.raise_error(F.lit("stop"))).cast("string"))
+    spec = lambda t, **k: extract.ExtractSpec(t, ["v"], {"patient": "patient_id"}, **k)
+    specs = [spec("a", row_filter=F.col("item") == 5), spec("blocked"), spec("gone"), spec("narrow", required=["w"]), spec("bad")]
+    state = {t: "passed" for t in ("a", "gone", "narrow", "bad")}
+    out = extract.build_extracts({"a": good, "narrow": good, "bad": bad, "blocked": good}, own, specs, str(tmp_path), state, state, "v1")
+    assert [(r["table"], r["status"], r["rows"]) for r in out] == [("a", "completed", 1), ("blocked", "skipped", None), ("gone", "skipped", None), ("narrow", "failed", None), ("bad", "failed", None)]
+    assert out[1]["reason"] == "blocked_by_quality:missing" and out[3]["reason"] == "missing_columns:w"
+    row = files.parquet(spark, str(tmp_path / "a")).first()
+    assert (row.stay_id, row.v, row.extraction_version) == (100, "x", "v1") and not (tmp_path / "bad").exists()
