@@ -135,12 +135,12 @@ def _ball(bits: int, radius: int) -> list[int]:
     return [sum(1 << k for k in c) for r in range(min(radius, bits) + 1) for c in combinations(range(bits), r)]
 
 
-def near_links(codes: DataFrame, budget: int = 3, bits: int = 64, similar: int | None = None, most: int = 1 << 20) -> DataFrame:
+def near_links(codes: DataFrame, budget: int = 3, bits: int = 64, similar: int | None = None, most: int = 1 << 20, shallow: int = 3) -> DataFrame:
     """Links (a, b) among coded rows that join exactly what the pairs within `budget` differing bits join.
 
     codes has key (long) and code (long, the low `bits` bits count); with `similar`, also wide (binary, whole 64-bit
     words), and a pair must differ in at most `similar` bits of it as well. The codes are cut into the trie's nodes
-    of depth 3, or as deep as leaves `most` codes in each; each pair of nodes within the budget is one task's walk.
+    of depth `shallow`, or as deep as leaves `most` codes in each; each pair of nodes within the budget is one task's walk.
     A node that still has more is dealt into parts, and all pairs of parts are walked. A walk returns a spanning
     forest of its links, never all pairs. Rows whose code is null link with nothing; rows of one code link (with
     `similar`, if they are similar).
@@ -148,7 +148,7 @@ def near_links(codes: DataFrame, budget: int = 3, bits: int = 64, similar: int |
     held = codes.where(F.col("code").isNotNull())
     wide = similar is not None
     n = held.count()
-    depth = min(bits, 10, max(3, math.ceil(math.log2(max(1, n / most)))))
+    depth = min(bits, 10, max(shallow, math.ceil(math.log2(max(1, n / most)))))
     top = F.shiftrightunsigned("code", bits - depth).bitwiseAND(F.lit((1 << depth) - 1))
     held = held.withColumn("top", top)
     largest = held.groupBy("top").count().agg(F.max("count")).first()[0] if n > most else n
@@ -269,17 +269,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return held.join(to, "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, tables: int = 9, bits: int = 28, budget: int = 3, distance: float = 0.165) -> DataFrame:
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, tables: int = 9, bits: int = 28, budget: int = 3, words: int = 8, distance: float = 0.178) -> DataFrame:
     """(doc_id, component_id) of documents whose word shingles are about 0.8 similar or more (Jaccard).
 
     Of two texts of similarity 0.8, SimHash bits differ with probability 0.15: over 64 bits that is about ten, a
-    budget that prunes no trie. So each document gets `tables` independent codes of `bits` bits; two texts of 0.8
-    are within `budget` bits in one of them with probability 0.98 (of 0.9: over 0.999), and a pair counts if all
-    the bits of all tables differ in a share of at most `distance`. bits is a multiple of 4. Equal token sequences link by their code.
+    budget that prunes no trie. So each document gets `tables` independent codes of `bits` bits (a multiple of 4); two
+    texts of 0.8 are within `budget` bits in one of them with probability 0.98 (of 0.9: over 0.999). What is met
+    must differ in a share of at most `distance` of 64 x `words` bits, of which the codes are the first: of pairs of
+    similarity 0.8, 0.85 and 0.9 that keeps 0.95, 0.999 and all, of 0.7 one in five. Equal token sequences link.
     Texts without a token (null, empty, marks only) are one group. Rows without an id are left out. Rows of one id
     and equal tokens come out once; of rows of one id and different texts, each has its group.
     """
-    words = math.ceil(tables * bits / 64)
+    if tables * bits > 64 * words:
+        raise ValueError("the codes are cut from the words' bits")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,7 +297,7 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     links = None
     for k in range(tables):
         code = F.conv(F.substring(F.hex("wide"), k * per + 1, per), 16, 10).cast("long")
-        own = near_links(distinct.select("key", code.alias("code"), "wide"), budget, bits, similar)
+        own = near_links(distinct.select("key", code.alias("code"), "wide"), budget, bits, similar, shallow=2)
         links = own if links is None else links.union(own)
     roots = connected_components(stash(links, "links"))
     to = distinct.join(roots, distinct["key"] == roots["node"], "left").select("wide", F.coalesce("root", "key").alias("component_id"))
