@@ -32,9 +32,9 @@ class LineRuns:
     """The runs written so far. Lookups see every batch that was added before."""
 
     def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = 4) -> None:
-        """buckets: of each run, by default a fourth of the partitions of the session's shuffles, as a run holds a part."""
+        """buckets: of each run, by default as many as the session's shuffles have partitions, so that a task writes one."""
         self.spark, self.fanout = spark, fanout
-        self.buckets = buckets or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
         self.paths: dict[str, str] = {}
 
