@@ -135,7 +135,7 @@ def _ball(bits: int, radius: int) -> list[int]:
     return [sum(1 << k for k in c) for r in range(min(radius, bits) + 1) for c in combinations(range(bits), r)]
 
 
-def near_links(codes: DataFrame, budget: int = 3, bits: int = 64, similar: int | None = None, most: int = 1 << 20, shallow: int = 3) -> DataFrame:
+def near_links(codes: DataFrame, budget: int = 3, bits: int = 64, similar: int | None = None, most: int = 1 << 18, shallow: int = 3, tables: int = 1) -> DataFrame:
     """Links (a, b) among coded rows that join exactly what the pairs within `budget` differing bits join.
 
     codes has key (long) and code (long, the low `bits` bits count); with `similar`, also wide (binary, whole 64-bit
@@ -143,14 +143,15 @@ def near_links(codes: DataFrame, budget: int = 3, bits: int = 64, similar: int |
     of depth `shallow`, or as deep as leaves `most` codes in each; each pair of nodes within the budget is one task's walk.
     A node that still has more is dealt into parts, and all pairs of parts are walked. A walk returns a spanning
     forest of its links, never all pairs. Rows whose code is null link with nothing; rows of one code link (with
-    `similar`, if they are similar).
+    `similar`, if they are similar). With tables over 1, codes also has table (0 to tables - 1), and only codes of one
+    table meet.
     """
     held = codes.where(F.col("code").isNotNull())
     wide = similar is not None
-    n = held.count()
+    n = math.ceil(held.count() / tables)
     depth = min(bits, 10, max(shallow, math.ceil(math.log2(max(1, n / most)))))
     top = F.shiftrightunsigned("code", bits - depth).bitwiseAND(F.lit((1 << depth) - 1))
-    held = held.withColumn("top", top)
+    held = held.withColumn("top", top + F.col("table") * (1 << depth) if tables > 1 else top)
     largest = held.groupBy("top").count().agg(F.max("count")).first()[0] if n > most else n
     parts = max(1, math.ceil((largest or 0) / most))
     held = held.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
@@ -294,11 +295,8 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     distinct = stash(held.groupBy("wide").agg(F.min("doc_id").alias("key")), "codes")
     similar = int(distance * words * 64)
     per = bits // 4
-    links = None
-    for k in range(tables):
-        code = F.conv(F.substring(F.hex("wide"), k * per + 1, per), 16, 10).cast("long")
-        own = near_links(distinct.select("key", code.alias("code"), "wide"), budget, bits, similar, shallow=2)
-        links = own if links is None else links.union(own)
+    codes = F.array(*[F.conv(F.substring(F.hex("wide"), k * per + 1, per), 16, 10).cast("long") for k in range(tables)])
+    links = near_links(distinct.select("key", "wide", F.posexplode(codes).alias("table", "code")), budget, bits, similar, shallow=2, tables=tables)
     roots = connected_components(stash(links, "links"))
     to = distinct.join(roots, distinct["key"] == roots["node"], "left").select("wide", F.coalesce("root", "key").alias("component_id"))
     return held.join(to, "wide").select("doc_id", "component_id")
