@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from itertools import combinations
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash, utf8
+from .common import grouped_rows, small_batches, stash, utf8
 from .components import connected_components, forest
 from .tokens import chain, mix, token_hashes
 
@@ -20,6 +21,8 @@ from .tokens import chain, mix, token_hashes
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 #: Node pairs that are opened at a time; a task's memory is a few dozen bytes for each child of these.
 OPENED = 1 << 17
+#: Sets, and shingles, of a part of a large group of candidates; sets that all parts of a group are compared with.
+PART_ROWS, PART_SHINGLES, PIVOTS = 1024, 1 << 20, 8
 
 
 def majority(h: np.ndarray) -> bytes:
@@ -62,11 +65,20 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(of, "doc_id long, fp long")
 
 
-def wide_fingerprint(text: bytes, shingle: int, words: int) -> bytes:
-    """`words` independent 64-bit SimHashes of the shingles of letter-and-digit tokens, end to end."""
-    h = chain(token_hashes(text), shingle)
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of letter-and-digit tokens."""
+    return np.unique(chain(token_hashes(text), shingle))
+
+
+def wide_fingerprint(own: np.ndarray, words: int) -> bytes:
+    """`words` independent 64-bit SimHashes of a shingle set, end to end."""
     salts = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
-    return majority(mix(h[:, None] ^ salts)) if len(h) else bytes(8 * words)
+    return majority(mix(own[:, None] ^ salts)) if len(own) else bytes(8 * words)
+
+
+def set_key(own: np.ndarray) -> int:
+    """A shingle set's 64-bit digest, as a signed long."""
+    return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "big", signed=True)
 
 
 class Trie:
@@ -270,33 +282,141 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return held.join(to, "fp").select("doc_id", "fp", "component_id")
 
 
-def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, tables: int = 9, bits: int = 28, budget: int = 3, words: int = 8, distance: float = 0.178) -> DataFrame:
-    """(doc_id, component_id) of documents whose word shingles are about 0.8 similar or more (Jaccard).
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, tables: int = 12, bits: int = 28, budget: int = 3, words: int = 8, distance: float = 0.23, least: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of documents, linked where the Jaccard similarity of their sets of word shingles is `least`
+    or more; component_id is the smallest doc_id of all that links join.
+
+    Candidates come from SimHash. Of two sets of similarity 0.8 bits differ with probability 0.15: over 64 bits that is
+    about ten, a budget that prunes no trie. So each set gets `tables` independent codes of `bits` bits (a multiple of
+    4); two of 0.8 are within `budget` bits in one of them with probability 0.996 (of 0.9: over 0.9999; texts of five
+    shingles against four: 0.93). What is met is a candidate if it differs in a share of at most `distance` of 64 x
+    `words` bits, of which the codes are the first: of pairs of 0.8 over 0.9999 (five against four: 0.99). The sets of
+    all that candidates join are then compared, and only links of `least` or more count (verified_links).
 
-    Of two texts of similarity 0.8, SimHash bits differ with probability 0.15: over 64 bits that is about ten, a
-    budget that prunes no trie. So each document gets `tables` independent codes of `bits` bits (a multiple of 4); two
-    texts of 0.8 are within `budget` bits in one of them with probability 0.98 (of 0.9: over 0.999). What is met
-    must differ in a share of at most `distance` of 64 x `words` bits, of which the codes are the first: of pairs of
-    similarity 0.8, 0.85 and 0.9 that keeps 0.95, 0.999 and all, of 0.7 one in five. Equal token sequences link.
-    Texts without a token (null, empty, marks only) are one group. Rows without an id are left out. Rows of one id
-    and equal tokens come out once; of rows of one id and different texts, each has its group.
+    Equal sets link. Texts without a token (null, empty, marks only) are one group. Rows without an id are left out. Rows
+    of one id and equal sets come out once; of rows of one id and different sets, each has its group. docs is read twice.
     """
     if tables * bits > 64 * words:
         raise ValueError("the codes are cut from the words' bits")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wide = [wide_fingerprint(t, shingle, words) for t in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(wide, pa.binary())], ["doc_id", "wide"])
+            sets = [shingle_set(t, shingle) for t in utf8(batch.column(1))]
+            columns = [pa.array([set_key(s) for s in sets], pa.int64()), pa.array([wide_fingerprint(s, words) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "key", "wide", "size"])
 
     small_batches(docs.sparkSession)
-    held = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(of, "doc_id long, wide binary")
-    held = stash(held.where("doc_id is not null").distinct(), "wide")
-    distinct = stash(held.groupBy("wide").agg(F.min("doc_id").alias("key")), "codes")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    held = stash(texts.mapInArrow(of, "doc_id long, key long, wide binary, size long"), "wide")
+    distinct = stash(held.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide"), F.first("size").alias("size")), "codes")
     similar = int(distance * words * 64)
     per = bits // 4
     codes = F.array(*[F.conv(F.substring(F.hex("wide"), k * per + 1, per), 16, 10).cast("long") for k in range(tables)])
-    links = near_links(distinct.select("key", "wide", F.posexplode(codes).alias("table", "code")), budget, bits, similar, shallow=2, tables=tables)
-    roots = connected_components(stash(links, "links"))
-    to = distinct.join(roots, distinct["key"] == roots["node"], "left").select("wide", F.coalesce("root", "key").alias("component_id"))
-    return held.join(to, "wide").select("doc_id", "component_id")
+    links = near_links(distinct.where("size > 0").select("key", "wide", F.posexplode(codes).alias("table", "code")), budget, bits, similar, shallow=2, tables=tables)
+    met = connected_components(stash(links, "links"))
+    members = stash(met.join(distinct.select("key", "least", "size"), F.col("node") == F.col("key")).select("key", "least", "size", "root"), "members")
+    roots = connected_components(verified_links(texts, members, shingle, least))
+    to = distinct.join(roots, distinct["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    to = stash(to, "roots")
+    ids = to.groupBy("root").agg(F.min("least").alias("component_id"))
+    return held.select("doc_id", "key").distinct().join(to.join(ids, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+
+
+def verified_links(texts: DataFrame, members: DataFrame, shingle: int, least: float, part_rows: int = PART_ROWS, part_shingles: int = PART_SHINGLES) -> DataFrame:
+    """Links (a, b) that join exactly what the pairs of similarity `least` or more within a group join.
+
+    members: key, least (a doc_id whose text has that set), size (of the set) and root (the group). A group of over
+    part_rows sets, or part_shingles shingles, is dealt into parts. First each part is compared with itself and with a few
+    sets of its group; what that joins need not be compared again. Then the sets outside of a group's largest
+    component are compared with those of all other parts, a pair of parts in a task. No pair of a group is left out.
+    """
+    spark = texts.sparkSession
+    sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("s"), F.array_distinct(F.array(*[F.min_by("key", F.xxhash64("key", F.lit(k))) for k in range(PIVOTS)])).alias("pivots"))
+    parts = F.greatest(F.ceil(F.col("n") / part_rows), F.ceil(F.col("s") / part_shingles)).cast("int")
+    large = stash(sizes.select("root", "pivots", parts.alias("parts")).where("parts > 1"), "large")
+    dealt = members.join(large, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingle_set(t, shingle) for t in utf8(batch.column("text"))]
+            same = pa.array([set_key(s) == k for s, k in zip(own, batch.column("key").to_pylist(), strict=True)], pa.bool_())
+            columns = [*(batch.column(c) for c in ("root", "key", "parts", "part", "pivot")), pa.array([s.tobytes() for s in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["root", "key", "parts", "part", "pivot", "own"]).filter(same)
+
+    small_batches(spark)
+    dealt = dealt.select("root", "key", "parts", "part", F.coalesce(F.array_contains("pivots", F.col("key")), F.lit(False)).alias("pivot"), F.col("least").alias("doc_id"))
+    held = texts.join(dealt, "doc_id").mapInArrow(sets, "root long, key long, parts int, part int, pivot boolean, own binary")
+    held = stash(held, "sets")
+    every = F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part")))
+    first = stash(_compared(held.withColumn("x", every).select("root", "x", F.col("x").alias("y"), F.lit(0).alias("part"), F.col("key").alias("label"), "key", "own"), least), "links")
+    if large.isEmpty():
+        return first
+    own = connected_components(first)
+    rows = held.where("parts > 1").join(own.withColumnRenamed("root", "label"), F.col("key") == F.col("node"), "left")
+    rows = rows.select("root", "key", "parts", "part", F.coalesce("label", "key").alias("label"), "own")
+    counts = rows.groupBy("root", "label").agg(F.count_distinct("key").alias("n"), F.sum(F.length("own") / 8).alias("s"))
+    most = counts.groupBy("root").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    rest = counts.join(most, "root").where("label <> main").groupBy("root", "main").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    rest = stash(rest.select("root", "main", F.greatest(F.ceil(F.col("n") / part_rows), F.ceil(F.col("s") / part_shingles)).cast("int").alias("others")), "rest")
+    rows = rows.join(rest, "root")
+    end = F.col("parts") + F.col("others") - 1
+    main = F.col("label") == F.col("main")
+    rows = rows.withColumn("part", F.when(main, F.col("part")).otherwise(F.col("parts") + F.pmod(F.xxhash64("key", F.lit(1)), F.col("others")).cast("int")))
+    rows = rows.withColumn("other", F.explode(F.when(main, F.sequence(F.col("parts"), end)).otherwise(F.sequence(F.lit(0), end))))
+    rows = rows.select("root", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "label", "key", "own")
+    return first.union(stash(_compared(rows, least), "links"))
+
+
+def _compared(rows: DataFrame, least: float) -> DataFrame:
+    """The links of each block (root, x, y) of sets: of one part (x = y) all pairs count, of two those across."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: list[np.ndarray] = [np.empty(0, np.int64)]
+        b: list[np.ndarray] = [np.empty(0, np.int64)]
+        for (_, x, y), block in grouped_rows(batches, ["root", "x", "y"]):
+            if block.num_rows < 2:
+                continue
+            key, at = np.unique(block.column("key").to_numpy(), return_index=True)
+            own = block.column("own").to_pylist()
+            part = block.column("part").to_numpy()[at] if x != y else None
+            i, j = jaccard_links([np.frombuffer(own[k], np.uint64) for k in at.tolist()], block.column("label").to_numpy()[at], part, least)
+            a.append(key[i])
+            b.append(key[j])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    blocks = rows.repartition("root", "x", "y").sortWithinPartitions("root", "x", "y")
+    return blocks.mapInArrow(compare, "a long, b long")
+
+
+def jaccard_links(sets: list[np.ndarray], label: np.ndarray, part: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join what the pairs of sets (sorted, distinct, not empty) of similarity `least` or more join, beside what
+    equal labels join already; with part, only of pairs of different parts."""
+    size = np.array([len(s) for s in sets])
+    start = np.concatenate(([0], np.cumsum(size)))
+    _, token = np.unique(np.concatenate(sets), return_inverse=True) if sets else (None, np.empty(0, np.int64))
+    marked = np.zeros(len(token), bool)
+    label = np.unique(label, return_inverse=True)[1]
+    got_i: list[np.ndarray] = [np.empty(0, np.int64)]
+    got_j: list[np.ndarray] = [np.empty(0, np.int64)]
+    for k in range(len(sets) - 1):
+        rest = slice(k + 1, None)
+        fits = (label[rest] != label[k]) & (np.minimum(size[rest], size[k]) >= least * np.maximum(size[rest], size[k]) - 1e-9)
+        if part is not None:
+            fits &= part[rest] != part[k]
+        others = np.flatnonzero(fits) + k + 1
+        if not len(others):
+            continue
+        mine = token[start[k] : start[k + 1]]
+        marked[mine] = True
+        if len(others) < 16:
+            common = np.array([np.count_nonzero(marked[token[start[o] : start[o + 1]]]) for o in others.tolist()])
+        else:
+            common = np.add.reduceat(marked[token[start[k + 1] :]], start[k + 1 : -1] - start[k + 1], dtype=np.int64)[others - k - 1]
+        marked[mine] = False
+        near = others[common >= least * (size[k] + size[others] - common) - 1e-9]
+        if len(near):
+            got_i.append(np.full(len(near), k))
+            got_j.append(near)
+            label[np.isin(label, label[near])] = label[k]
+    return np.concatenate(got_i), np.concatenate(got_j)

@@ -166,3 +166,62 @@ def test_digest_of_kept_lines(small_docs, spark, sf_dir):
     rows = {r.doc_id: r.kept_sha256 for r in queries.op7_line_dedup(spark, sf_dir).collect()}
     want = {k: hashlib.sha256(t.encode()).hexdigest() for k, _, _, t in kept_lines([(r.doc_id, r.text) for r in small_docs.collect()])}
     assert rows == want
+
+
+def near_pair(shared, own, tag):
+    """Two texts of `shared` common and `own` own five-word shingles each: blocks of words apart from each other."""
+    block = [f"{tag}{k}" for k in range(shared + 4)]
+    return [" ".join([*block, *(f"{tag}{side}{k}" for k in range(own))]) for side in "ab"]
+
+
+def plain_groups(rows):
+    import re
+
+    def shingles(text):
+        w = re.findall(r"[a-z0-9]+", text.lower())
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for _, t in rows]
+    near = [np.array([k for k, b in enumerate(sets) if len(a & b) >= 0.8 * len(a | b)]) for a in sets]
+    return {k: int(c) for (k, _), c in zip(rows, reachable([k for k, _ in rows], near), strict=True)}
+
+
+def test_similar_groups_go_by_the_exact_similarity(spark):
+    texts = []
+    # Similarity shared / (shared + 2 own): 0.7, 0.75, just under 0.8, 0.8 and 0.9.
+    for shared, own in ((70, 15), (30, 5), (159, 20), (160, 20), (90, 5)):
+        for k in range(12):
+            texts += near_pair(shared, own, f"s{shared}x{k}y")
+    passage = " ".join(f"passage{k}" for k in range(20))
+    for k in range(8):  # one passage ten times over beside 150 own words
+        texts += [" ".join([*[passage] * 10, *(f"p{k}{side}{i}" for i in range(150))]) for side in "ab"]
+    for k in range(8):  # one shingle forty times over
+        texts += [" ".join([*["again and again and again"] * 40, *(f"q{k}{side}{i}" for i in range(60))]) for side in "ab"]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = plain_groups(rows)
+    assert all(got[k] == k for k in want if want[k] == k)
+    assert sum(got[k] != c for k, c in want.items()) <= 1
+
+
+@pytest.mark.parametrize("part_rows", [3, 10, 1000])
+def test_verified_links_of_large_groups_equal_all_pairs(spark, part_rows):
+    rng = np.random.default_rng(part_rows)
+    base, rows = [f"w{k}" for k in range(60)], []
+    for k in range(60):  # a chain that drifts, some far away
+        words = base.copy()
+        words[: k % 30] = [f"d{i}" for i in range(k % 30)]
+        if k % 3 == 0:
+            words[40:50] = [f"r{k // 6}x{i}" for i in range(10)]
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [simhash.shingle_set(t.encode(), 5) for _, t in rows]
+    keys = {simhash.set_key(s): k for k, s in reversed(list(enumerate(sets)))}
+    members = spark.createDataFrame([(key, k, len(sets[k]), 7) for key, k in keys.items()], "key long, least long, size long, root long")
+    links = simhash.verified_links(docs, members, 5, 0.8, part_rows=part_rows).collect()
+    want = plain_groups(rows)
+    label = {k: k for k in keys.values()}
+    for r in links:
+        a, b = label[keys[r.a]], label[keys[r.b]]
+        label = {k: min(a, b) if c in (a, b) else c for k, c in label.items()}
+    assert label == {k: want[k] for k in label} and len(set(label.values())) > 1
