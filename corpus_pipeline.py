@@ -41,7 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences, with their ids."""
-    return packing.pack_documents(docs, packing.public_bpe)
+    return packing.pack_documents(docs, packing.json_bpe)
 
 
 STAGES = [

@@ -38,12 +38,28 @@ def bpe_encoder(ranks_path: str, pattern: str) -> Callable[[str], list[int]]:
 
 
 def public_bpe() -> Callable[[str], list[int]]:
-    """The ids of byte_bpe_50k.json, by the same vocabulary's rank file (the tests hold the two against each other)."""
+    """The ids of byte_bpe_50k.json with special tokens' strings as ordinary text, by the same vocabulary's rank file."""
     import public_tokenizers
 
     return bpe_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def json_bpe() -> Callable[[str], list[int]]:
+    """The ids that tokenizers gives by byte_bpe_50k.json without adding special tokens: public_bpe's, but the strings of
+    the JSON's added tokens are one id each wherever they stand in a text."""
+    import json
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encoding = tiktoken.Encoding("json", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
+    return lambda text: encoding.encode(text, allowed_special="all", disallowed_special=())
+
+
 def pack_group(need: np.ndarray, limits: Limits, cut: bool) -> list[list[tuple[int, int]]]:
     """Bins of (example, tokens of it), for examples that need (tokens, segments, loss tokens).
 

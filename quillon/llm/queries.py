@@ -67,7 +67,7 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), packing.public_bpe).drop("ids")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), packing.json_bpe).drop("ids")
 
 
 @query(

@@ -253,3 +253,20 @@ def test_pipeline_keeps_one_of_each_copy(spark, sf_dir):
     rows = [(k, f"{base} {k % 2}", "en", "s", 1) for k in range(4)] + [(9, "Another text altogether about the price of bread in small towns.", "en", "s", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()) == [0, 9]
+
+
+def test_packing_gives_the_json_s_added_tokens(spark, sf_dir):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>\n\ny", "<|endoftext| >", "it's <|endoftext|>'s  \n", "<|<|endoftext|>", ""]
+    assert packing.json_bpe()(texts[0]) == [64, 220, 50256, 275]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pieces_are_whole(packing.pack_documents(docs, packing.json_bpe).collect(), list(enumerate(texts)), tokenizer)
+    of = docs.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    pieces_are_whole(corpus_pipeline.pack_sequences(spark, of, sf_dir).collect(), list(enumerate(texts)), tokenizer)
+
+
+@given(st.lists(st.one_of(st.text(max_size=20), st.just("<|endoftext|>"), st.sampled_from([" ", "\n", "<|", "'s"])), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_added_tokens_split_texts_as_the_tokenizer_does(parts):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.json_bpe()("".join(parts)) == tokenizer.encode("".join(parts), add_special_tokens=False).ids
