@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import lines, mixing, packing, quality, simhash
+from quillon.llm.common import stash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: SQL cannot say hashed n-gram models, SimHash or a tokenizer: the tests hold the stages against brute force.
@@ -28,10 +29,13 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one of the smallest id. Of rows of one id, one stays."""
-    groups = simhash.similar_groups(docs)
-    stays = groups.where("doc_id = component_id").select("doc_id")
-    return docs.select(*COLUMNS).join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One row of each near-duplicate group: that of the smallest id, then of the least row number. Rows count one by
+    one: null ids (last) and repeated ids are grouped by their texts like any others."""
+    rows = stash(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "rows")
+    groups = simhash.similar_groups(rows, "row").withColumnRenamed("doc_id", "row")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    stays = rows.select("row", "doc_id").join(groups, "row").groupBy("component_id").agg(F.min_by("row", order).alias("row"))
+    return rows.join(stays.select("row"), "row", "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

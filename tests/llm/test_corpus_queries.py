@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+import corpus_pipeline
 from quillon.llm import queries
 
 
@@ -26,3 +27,12 @@ def test_query_runs_whole(spark, sf_dir, name):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").count()
     n = queries.QUERIES[name](spark, sf_dir).count()
     assert n == {"op1_tiff": docs, "op4_importance": docs, "op6_url_trees": pages, "op8_simhash": docs}.get(name, n) and n > 0
+
+
+def test_pipeline_keeps_rows_of_null_and_repeated_ids(spark, sf_dir):
+    texts = [f"{w} stands alone here in a text of {w} words that no other row of {w} holds" for w in ("one", "two", "three", "four", "five")]
+    rows = list(zip((None, None, 3, 3, 4, 4, None), [*texts, texts[4], texts[2]], strict=True))
+    docs = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()
+    assert sorted((r.text, r.doc_id) for r in got if r.doc_id is not None) == sorted(zip(texts[2:], (3, 3, 4), strict=True))
+    assert sorted(r.text for r in got if r.doc_id is None) == sorted(texts[:2])
