@@ -146,9 +146,15 @@ def matches(text: bytes, index: Index, coverage: float = COVERAGE) -> list[tuple
     found: dict[int, list[tuple]] = defaultdict(list)
     for template, low, high in index.candidates(h):
         own = index.tokens[template]
-        equal, a, b, x, y = align(own, h[low:high])
-        if equal >= coverage * len(own):
-            found[template].append((equal, -(low + x), a, b, low + y))
+        todo = [(low, high)]
+        while todo:  # what is left on both sides of a match may hold the template again
+            low, high = todo.pop()
+            if high - low < coverage * len(own):
+                continue
+            equal, a, b, x, y = align(own, h[low:high])
+            if equal and equal >= coverage * len(own):
+                found[template].append((equal, -(low + x), a, b, low + y))
+                todo += [(low, low + x), (low + y, high)]
     out = []
     for template, places in found.items():
         taken: list[tuple[int, int]] = []

@@ -270,3 +270,14 @@ def test_packing_gives_the_json_s_added_tokens(spark, sf_dir):
 def test_added_tokens_split_texts_as_the_tokenizer_does(parts):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert packing.json_bpe()("".join(parts)) == tokenizer.encode("".join(parts), add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", ["mit-notice", "cc-by-4.0-notice"])
+def test_licenses_repeated_at_any_distance_are_all_found(name):
+    index, notice = licenses.Index.of(licenses.TEMPLATES), licenses.TEMPLATES[name]
+    size = len(licenses.words(notice.encode())[0])
+    for distance in range(size, size + 3 * licenses.BAND + 1):
+        for times in (2, 10):
+            text = " ".join(f"{' '.join(f'z{k}y{i}' for i in range(distance - size))} {notice}" for k in range(times))
+            got = [(r[6], r[7]) for r in licenses.matches(text.encode(), index) if r[0] == name]
+            assert got == [(k * distance + distance - size, (k + 1) * distance) for k in range(times)]
