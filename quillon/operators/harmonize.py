@@ -23,8 +23,8 @@ def condition_rollup(facts: DataFrame, maps: dict[str, DataFrame]) -> DataFrame:
     """Facts (code, version: icd10, icd9 or mixed, text) with a token of the first tier that has one, its level,
     confidence and status; and, apart from that, the project's own token: by code, longest prefix, then text.
 
-    Tiers: 10-codes in `fine` (code, category); 9-codes in `coarse`; 9-codes over `crosswalk` (source_code,
-    target_code, approximate) in `fine`; the chapter of version and three characters in `chapter` (version, category3,
+    Tiers: 10-codes in `fine` (code, category); 9-codes in `coarse`; 9-codes over their least target in `crosswalk`
+    (source_code, target_code, approximate) in `fine`; the chapter of version and three characters in `chapter` (version, category3,
     chapter); a text in `text` (text, token); the code's three characters; the text alone; nothing. Mixed codes are
     both 10- and 9-codes but in no chapter. A missing map is an empty one. No row is lost or repeated.
     """
@@ -33,12 +33,12 @@ def condition_rollup(facts: DataFrame, maps: dict[str, DataFrame]) -> DataFrame:
     ten, nine = F.col("version").isin("icd10", "mixed"), F.col("version").isin("icd9", "mixed")
     held = _lookup(held, F.col("__code"), maps.get("fine"), "code", "category", "__fine", ten)
     held = _lookup(held, F.col("__code"), maps.get("coarse"), "code", "category", "__coarse", nine)
-    walk, fine, over = maps.get("crosswalk"), maps.get("fine"), None
+    walk, fine = maps.get("crosswalk"), maps.get("fine")
     if walk is not None and fine is not None:
-        to = walk.join(fine.select(F.col("code").alias("target_code"), "category"), "target_code")
-        over = to.groupBy(F.col("source_code").alias("__k")).agg(F.min(F.struct("category", "approximate")).alias("__walk"))
-        held = held.join(over, (F.col("__code") == F.col("__k")) & nine, "left").drop("__k")
-        held = held.withColumns({"__over": F.col("__walk.category"), "__rough": F.col("__walk.approximate")}).drop("__walk")
+        # A code's least target comes first, then that one's category: a target without any leaves the code to the next tier.
+        least = walk.where("source_code is not null and target_code is not null").groupBy(F.col("source_code").alias("__k")).agg(F.min(F.struct("target_code", "approximate")).alias("__walk"))
+        held = held.join(least, (F.col("__code") == F.col("__k")) & nine, "left").drop("__k")
+        held = _lookup(held.withColumn("__rough", F.col("__walk.approximate")), F.col("__walk.target_code"), fine, "code", "category", "__over").drop("__walk")
     else:
         held = held.withColumns({"__over": F.lit(None).cast("string"), "__rough": F.lit(None).cast("boolean")})
     chapters = maps.get("chapter")
@@ -48,6 +48,7 @@ def condition_rollup(facts: DataFrame, maps: dict[str, DataFrame]) -> DataFrame:
     held = _lookup(held, F.col("__text"), maps.get("text"), "text", "token", "__said")
     family = F.when(F.col("version") == "icd10", "icd10").when(F.col("version") == "icd9", "icd9").otherwise("icd")
     c = F.col
+    # The names of levels, confidences and statuses.
     say = lambda token, level, confidence, status: F.struct(token.alias("token"), F.lit(level).cast("string").alias("level"), (confidence if isinstance(confidence, Column) else F.lit(confidence)).cast("string").alias("confidence"), F.lit(status).alias("status"))
     none = F.lit(None).cast("string")
     tier = first_match([

@@ -150,9 +150,9 @@ def _conditions(spark, d):
     return read(spark, d, "part").select("p_partkey", code.alias("code"), version.alias("version"), F.when(k % 3 > 0, F.col("p_name")).alias("text"))
 
 
-_FINE = [(f"{c}{n}{k}".lower(), f"F{n % 6}") for c in "AB" for n in range(0, 40, 3) for k in range(4)]
+_FINE = [(f"{c}{n}{k}", f"F{(n + shift) % 6}") for c, shift in (("a", 3), ("b", 0)) for n in range(0, 40, 3) for k in range(4)]
 _COARSE = [(f"{c}{n}{k}".lower(), f"G{n % 5}") for c in "BC" for n in range(0, 40, 4) for k in range(4)]
-_WALK = [(f"d{n}{k}", f"a{n}{k}", k % 2 == 0) for n in range(40) for k in range(4)] + [(f"d{n}0", f"b{n}0", False) for n in range(40)]
+_WALK = [(f"d{n}{k}", f"a{n}{k}", k % 2 == 0) for n in range(40) for k in range(4)] + [(f"d{n}{k}", target, False) for n in range(40) for k, target in ((0, f"b{n}0"), (1, f"b{n}1"), (3, "9zz"))]
 _CHAPTERS = [(v, f"{c}{n}".lower()[:3].ljust(2, "0") if n > 9 else f"{c}{n}{k}".lower(), f"ch{n % 3}") for v in ("icd10", "icd9") for c in "CD" for n in range(5, 25) for k in range(4)]
 _CHAPTERS = sorted(set(_CHAPTERS))
 _SAID = [("red_widget", "cond:red"), ("blue_bolt", "cond:blue"), ("blue_bolt", "cond:azure")]
@@ -166,7 +166,7 @@ def _values(rows):
 @query(f"""WITH p AS (SELECT p_partkey, p_name, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE substr('ABCDE', 1 + CAST(p_partkey % 5 AS INT), 1) || (p_partkey % 40) || '.' || (p_partkey % 4) END AS code, ['icd10', 'icd9', 'mixed'][1 + p_size % 3] AS version, CASE WHEN p_partkey % 3 > 0 THEN p_name END AS text FROM part),
     f AS (SELECT *, nullif(regexp_replace(lower(trim(code)), '[^a-z0-9]', '', 'g'), '') AS k, nullif(regexp_replace(lower(trim(text)), '[^a-z0-9]+', '_', 'g'), '') AS t FROM p),
     fine AS (SELECT k1, min(c) AS c FROM (VALUES {_values(_FINE)}) v(k1, c) GROUP BY 1), coarse AS (SELECT k1, min(c) AS c FROM (VALUES {_values(_COARSE)}) v(k1, c) GROUP BY 1),
-    walk AS (SELECT s, arg_min(c, (c, a)) AS c, arg_min(a, (c, a)) AS a FROM (VALUES {_values(_WALK)}) v(s, t, a) JOIN fine ON fine.k1 = t GROUP BY 1),
+    least AS (SELECT s, min(t) AS t, arg_min(a, (t, a)) AS a FROM (VALUES {_values(_WALK)}) v(s, t, a) GROUP BY 1), walk AS (SELECT s, c, a FROM least JOIN fine ON fine.k1 = least.t),
     chap AS (SELECT v, k3, min(c) AS c FROM (VALUES {_values(_CHAPTERS)}) x(v, k3, c) GROUP BY 1, 2), said AS (SELECT x, min(y) AS y FROM (VALUES {_values(_SAID)}) v(x, y) GROUP BY 1),
     j AS (SELECT f.*, fine.c AS c1, coarse.c AS c2, walk.c AS c3, walk.a AS a3, chap.c AS c4, said.y AS c5, substr(k, 1, 3) AS k3, CASE version WHEN 'mixed' THEN 'icd' ELSE version END AS fam,
       (SELECT min(y) FROM (VALUES {_values(_CODES)}) v(x, y) WHERE x = k) AS pc, (SELECT y FROM (VALUES {_values(_HEADS)}) v(x, y) WHERE starts_with(k, x) ORDER BY length(x) DESC, y LIMIT 1) AS pp, (SELECT min(y) FROM (VALUES {_values(_TEXTS)}) v(x, y) WHERE x = t) AS pt
