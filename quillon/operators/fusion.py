@@ -13,7 +13,8 @@ KEY = ["source", "split", "group_id", "condition", "candidate"]
 def aligned(scores: DataFrame, reference: str, other: str) -> DataFrame:
     """Rows that both models scored, with both scores. One pass: the two models' rows of a key meet in a grouping."""
     pick = lambda name: F.max(F.when(F.col("baseline") == name, F.col("score")))
-    held = scores.where(F.col("baseline").isin(reference, other)).groupBy(*KEY, "stay_id", "candidate_rank", "label")
+    # Dealt by the ranking group, as all that follows needs it: the grouping here and windows later add no shuffle.
+    held = scores.where(F.col("baseline").isin(reference, other)).repartition("source", "split", "group_id").groupBy(*KEY, "stay_id", "candidate_rank", "label")
     both = held.agg(pick(reference).alias("reference_score"), pick(other).alias("other_score"))
     return both.where("reference_score is not null and other_score is not null")
 
@@ -29,9 +30,10 @@ def weight_grid(step: float = 0.05) -> list[float]:
 
 
 def fusion_grid(pairs: DataFrame, k: int, weights: list[float] | None = None) -> DataFrame:
-    """Ranking metrics of (1 - w) x reference + w x other for every weight of a grid, all weights in one plan."""
+    """Ranking metrics of (1 - w) x reference + w x other for every weight of a grid, all weights in one plan. Rows
+    are dealt by group before they are multiplied by the weights, so each goes through a shuffle once."""
     grid = F.array(*[F.lit(w) for w in weights or weight_grid()])
-    held = pairs.withColumn("w", F.explode(grid))
+    held = pairs.repartition("source", "split", "group_id").withColumn("w", F.explode(grid))
     score = (1.0 - F.col("w")) * F.col("reference_score") + F.col("w") * F.col("other_score")
     out = ranking_metrics(held.withColumns({"score": score, "baseline": F.col("w").cast("string")}), k)
     return out.withColumn("weight", F.col("baseline").cast("double")).drop("baseline")
@@ -51,9 +53,9 @@ def fused_scores(pairs: DataFrame, weight: float) -> DataFrame:
     return pairs.select(*KEY, "stay_id", "candidate_rank", "label", F.inline(F.array(*[F.struct(F.lit(n).alias("baseline"), s.alias("score")) for n, s in mixed.items()])))
 
 
-def rank_normalised(scores: DataFrame, score: str) -> DataFrame:
+def rank_normalised(scores: DataFrame, score: str, group: tuple[str, ...] = ("source", "split", "group_id")) -> DataFrame:
     """1 - (place - 1) / (n - 1) in the group, 1 in a group of one."""
-    w = Window.partitionBy("source", "split", "group_id")
+    w = Window.partitionBy(*group)
     order = w.orderBy(F.desc(score), F.col("candidate_rank").asc_nulls_last(), F.col("candidate").asc_nulls_last())
     n = F.count("*").over(w)
     return scores.withColumn(score, F.when(n == 1, 1.0).otherwise(1.0 - (F.row_number().over(order) - 1) / F.greatest(n - 1, F.lit(1)).cast("double")))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.sources.scratch import shared_folder
+
 from .relational import unordered_pairs
 
 EDGE = ["src_type", "src_id", "dst_type", "dst_id", "relation", "support"]
@@ -80,9 +82,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component), the component being the least node reachable. Each round every node takes the least label
     of its neighbours and then that label's own, so rounds grow with the logarithm of the diameter; each is cut off
     by a checkpoint in the session's checkpoint folder."""
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/quillon")
+    shared_folder(edges.sparkSession)  # sets the checkpoint folder where it may
     both = edges.select(node_key(F.col("src_type"), F.col("src_id")).alias("a"), node_key(F.col("dst_type"), F.col("dst_id")).alias("b"))
     both = both.union(both.select("b", "a")).distinct().checkpoint()
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")).checkpoint()

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.exprs import hash_bucket, hash_uniform, safe_div
+from quillon.sources.scratch import stash
 
 SLICE = ["baseline", "source", "split"]
 SCORED = ["source", "split", "stay_id", "group_id", "condition", "candidate", "candidate_rank", "label"]
@@ -37,28 +39,39 @@ def ranked(scores: DataFrame) -> DataFrame:
     return scores.withColumns({"place": F.row_number().over(order), "size": F.count("*").over(group), "positives": F.sum(F.col("label").cast("int")).over(group)})
 
 
-def group_metrics(scores: DataFrame, k: int) -> DataFrame:
-    """One row for each slice and group with a positive: precision, recall, hit, ndcg and reciprocal rank at k."""
+def _groups(scores: DataFrame, k: int) -> DataFrame:
+    """One row for each slice and group; metrics are null in a group without a positive. One window and one grouping over
+    the same distribution."""
     top = F.col("label") & (F.col("place") <= k)
     gain = 1.0 / F.log2(F.col("place") + 1.0)
-    per = ranked(scores).where("positives > 0").groupBy(*SLICE, "condition", "group_id").agg(
+    per = ranked(scores).groupBy(*SLICE, "condition", "group_id").agg(
         F.first("size").alias("size"), F.first("positives").alias("positives"), F.count_if(top).alias("hits"),
         F.coalesce(F.sum(F.when(top, gain)), F.lit(0.0)).alias("dcg"), F.coalesce(F.max(F.when(top, 1.0 / F.col("place"))), F.lit(0.0)).alias("rr"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("positives"), F.lit(k)).cast("int")), F.lit(0.0), lambda a, r: a + 1.0 / F.log2(r + 1.0))
-    return per.select(*SLICE, "condition", "group_id", "positives", "hits", (F.col("hits") / F.least(F.lit(k), "size")).alias("precision"), (F.col("hits") / F.col("positives")).alias("recall"), (F.col("hits") > 0).cast("double").alias("hit"), (F.col("dcg") / ideal).alias("ndcg"), "rr")
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.col("positives"), F.lit(k)), F.lit(1)).cast("int")), F.lit(0.0), lambda a, r: a + 1.0 / F.log2(r + 1.0))
+    some = lambda c: F.when(F.col("positives") > 0, c)
+    return per.select(*SLICE, "condition", "group_id", "positives", "hits", some(F.col("hits") / F.least(F.lit(k), "size")).alias("precision"), some(F.col("hits") / F.col("positives")).alias("recall"), some((F.col("hits") > 0).cast("double")).alias("hit"), some(F.col("dcg") / ideal).alias("ndcg"), some(F.col("rr")).alias("rr"))
+
+
+def group_metrics(scores: DataFrame, k: int) -> DataFrame:
+    """One row for each slice and group with a positive: precision, recall, hit, ndcg and reciprocal rank at k."""
+    return _groups(scores, k).where("positives > 0")
 
 
 def ranking_metrics(scores: DataFrame, k: int) -> DataFrame:
     """The means over groups with a positive, of each slice; null metrics for a slice without such a group."""
-    slices = scores.select(*SLICE).distinct()
-    means = group_metrics(scores, k).groupBy(*SLICE).agg(F.count("*").alias("groups"), *[F.avg(c).alias(c) for c in ("precision", "recall", "hit", "ndcg", "rr")])
-    out = slices.join(means, SLICE, "left").withColumn("groups", F.coalesce("groups", F.lit(0)))
+    out = _groups(scores, k).groupBy(*SLICE).agg(F.count_if(F.col("positives") > 0).alias("groups"), *[F.avg(c).alias(c) for c in ("precision", "recall", "hit", "ndcg", "rr")])
     return out.select(*SLICE, F.lit(k).cast("long").alias("k"), "groups", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "hit", "ndcg")], F.round("rr", 6).alias("mrr"))
 
 
-#: Cuts of the score range, and hash classes that equal scores of a candidate are dealt into: no slice, however large or
-#: tied, is one task's sort.
-SCORE_BINS, TIE_CLASSES = 4096, 256
+#: Bins of scores, and hash classes that equal scores of a candidate are dealt into: no slice, however large or tied, is
+#: one task's sort.
+SCORE_BINS, TIE_CLASSES = 512, 256
+
+
+def score_bins(scores: DataFrame) -> Bucketizer:
+    """Bins of scores of about equally many rows, whatever range the scores have."""
+    cuts = scores.agg(F.percentile_approx("score", [i / SCORE_BINS for i in range(1, SCORE_BINS)], 4 * SCORE_BINS)).first()[0] or [0.0]
+    return Bucketizer(splits=[float("-inf"), *sorted(set(cuts)), float("inf")], inputCol="score", outputCol="bin")
 
 
 def row_metrics(scores: DataFrame, bins: int = 10) -> DataFrame:
@@ -68,12 +81,11 @@ def row_metrics(scores: DataFrame, bins: int = 10) -> DataFrame:
     Rows are counted in cells (score, catalog rank, candidate, hash class of the group), cells in bins of scores, bins
     in their slice; a row's place in the slice is the sum of what stands before its bin, its cell and itself. So
     average precision orders equal scores by catalog rank, candidate, hash class and group, and every window is over a
-    bin's cells or a cell's rows.
+    bin's cells or a cell's rows. scores is read three times (hand over a written table); cells are written once.
     """
-    bin_ = F.least(F.greatest(F.floor(F.col("score") * SCORE_BINS), F.lit(0)), F.lit(SCORE_BINS - 1))
-    held = scores.withColumns({"bin": bin_, "tie": hash_bucket(F.col("group_id"), TIE_CLASSES)})
+    held = score_bins(scores).transform(scores).withColumn("tie", hash_bucket(F.col("group_id"), TIE_CLASSES))
     cell = ["bin", "score", "candidate_rank", "candidate", "tie"]
-    cells = held.groupBy(*SLICE, *cell).agg(F.count("*").alias("n"), F.count_if("label").alias("p"))
+    cells = stash(held.groupBy(*SLICE, *cell).agg(F.count("*").alias("n"), F.count_if("label").alias("p")), "cells")
     per_bin = cells.groupBy(*SLICE, "bin").agg(F.sum("n").alias("bin_n"), F.sum("p").alias("bin_p"))
     down, whole = Window.partitionBy(*SLICE).orderBy(F.desc("bin")), Window.partitionBy(*SLICE)
     per_bin = per_bin.select(*SLICE, "bin", (F.sum("bin_n").over(down) - F.col("bin_n")).alias("n_above"), (F.sum("bin_p").over(down) - F.col("bin_p")).alias("p_above"), F.sum("bin_n").over(whole).alias("all_n"), F.sum("bin_p").over(whole).alias("all_p"))
@@ -105,10 +117,11 @@ def row_metrics(scores: DataFrame, bins: int = 10) -> DataFrame:
 
 def condition_metrics(scores: DataFrame, k: int, least_groups: int = 25) -> DataFrame:
     """Precision, recall and hit of each slice and condition; a condition of few positive groups is suppressed."""
-    per = group_metrics(scores, k).groupBy(*SLICE, "condition").agg(F.count("*").alias("groups"), *[F.avg(c).alias(c) for c in ("precision", "recall", "hit")])
-    out = scores.select(*SLICE, "condition").distinct().join(per, [*SLICE, "condition"], "left").withColumn("groups", F.coalesce("groups", F.lit(0)))
+    out = _groups(scores, k).groupBy(*SLICE, "condition").agg(F.count_if(F.col("positives") > 0).alias("groups"), *[F.avg(c).alias(c) for c in ("precision", "recall", "hit")])
     shown = F.col("groups") >= least_groups
-    return out.select(*SLICE, "condition", "groups", *[F.round(F.when(shown, F.col(c)), 6).alias(c) for c in ("precision", "recall", "hit")], F.when(shown, "reported").otherwise("suppressed_low_positive_group_count").alias("status"))
+    # The two statuses.
+    status = F.when(shown, "reported").otherwise("suppressed_low_positive_group_count")
+    return out.select(*SLICE, "condition", "groups", *[F.round(F.when(shown, F.col(c)), 6).alias(c) for c in ("precision", "recall", "hit")], status.alias("status"))
 
 
 def coverage_summary(rows: DataFrame) -> DataFrame:

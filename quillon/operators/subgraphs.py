@@ -31,21 +31,17 @@ def subgraph_nodes(rows: DataFrame, context: DataFrame, edges: DataFrame, predic
 def subgraph_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The graph's edges from a group's condition to its other nodes, and those among its candidates.
 
-    The edge list is numbered and joined twice by integers: with the group's nodes of the source, then with those
-    of the target in the same group; types and texts come back at the end. Nodes of one concept are in many groups,
-    so the first join multiplies by an edge list that a vocabulary bounds (Spark broadcasts it by its size); the
-    second is by group and node, which no hot concept skews.
+    The condition and the candidates of a group meet its other nodes by the group, which the catalog and the context
+    vocabulary bound, as integers; each pair is then looked up in the edge list, which a vocabulary bounds too (Spark
+    broadcasts it by its size). nodes and edges are read twice and once: hand over written tables.
     """
-    concept = F.xxhash64("type", "id")
-    numbered = edges.where("src_type in ('condition', 'medication')").select(F.xxhash64(F.col("src_type"), F.col("src_id")).alias("src"), F.xxhash64(F.col("dst_type"), F.col("dst_id")).alias("dst"), "src_type", "src_id", "dst_type", "dst_id", "relation", "support")
-    slim = numbered.select("src", "dst", "relation", "support")
-    own = nodes.select(*GROUP, "node_index", "role", concept.alias("node"))
+    concept = lambda kind, token: F.xxhash64(kind, token)
+    listed = edges.where("src_type in ('condition', 'medication')").withColumns({"src": concept("src_type", "src_id"), "dst": concept("dst_type", "dst_id")})
+    own = nodes.select(*GROUP, "node_index", "role", concept("type", "id").alias("node"))
     left = own.where("role in ('query_condition', 'candidate')").select(*GROUP, F.col("node_index").alias("src_index"), F.col("role").alias("src_role"), F.col("node").alias("src"))
     right = own.select("group_id", F.col("node_index").alias("dst_index"), F.col("role").alias("dst_role"), F.col("node").alias("dst"))
-    met = left.join(slim, "src").join(right, ["group_id", "dst"])
-    met = met.where("src_role = 'query_condition' or (src_role = 'candidate' and dst_role = 'candidate')")
-    texts = numbered.select("src", "dst", "relation", "src_type", "src_id", "dst_type", "dst_id").distinct()
-    return met.join(texts, ["src", "dst", "relation"]).select(*GROUP, "src_index", "dst_index", "src_type", "src_id", "dst_type", "dst_id", "relation", "support")
+    met = left.join(right, "group_id").where("src_role = 'query_condition' or dst_role = 'candidate'")
+    return met.join(listed, ["src", "dst"]).select(*GROUP, "src_index", "dst_index", "src_type", "src_id", "dst_type", "dst_id", "relation", "support")
 
 
 def subgraph_candidates(rows: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.operators import fusion, graph, subgraphs
+from quillon.sources.scratch import stash
 
 from . import ranking
 from .registry import query
-from .tpch import BASE, K, RANKED_SQL, SCORES_SQL, per_group_sql, read, with_sql
+from .tpch import BASE, K, RANKED_SQL, SCORES_SQL, SEED, per_group_sql, read, with_sql
 
-#: Edges of this support or more are used where a threshold is asked for.
-SUPPORT = 300
+#: Where a threshold of support is asked for, it is this quantile of all edges' support.
+QUANTILE = 0.5
 
 
 def context(spark, d):
@@ -21,18 +22,28 @@ def context(spark, d):
     return line.select(F.col("l_orderkey").alias("stay_id"), F.col("l_linenumber").cast("double").alias("hours"), F.inline(F.array(*[F.struct(F.lit(k).alias("event_type"), t.alias("token")) for k, t in kinds.items()])))
 
 
-def edges(spark, d):
-    return graph.graph_edges(ranking.rows(spark, d), context(spark, d), predict=4.0)
+def edges(spark, d, rows=None):
+    """The edge list, as large as the vocabulary, written once."""
+    return stash(graph.graph_edges(ranking.rows(spark, d) if rows is None else rows, context(spark, d), predict=4.0), "edges")
 
 
-CONTEXT_SQL = """ctx AS (SELECT l_orderkey AS stay_id, CAST(l_linenumber AS DOUBLE) AS hours, 'lab' AS event_type, l_returnflag || l_linestatus AS token FROM lineitem
+def threshold(edges):
+    return edges.agg(F.percentile("support", F.lit(QUANTILE))).first()[0] or 0.0
+
+
+def strong(edges):
+    return edges.where(F.col("support") >= threshold(edges))
+
+
+CONTEXT_SQL = """ctx AS MATERIALIZED (SELECT l_orderkey AS stay_id, CAST(l_linenumber AS DOUBLE) AS hours, 'lab' AS event_type, l_returnflag || l_linestatus AS token FROM lineitem
     UNION ALL SELECT l_orderkey, l_linenumber, 'vital', 'd' || CAST(trunc(l_discount * 100) AS INT) FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 'intervention', 't' || CAST(trunc(l_tax * 100) AS INT) FROM lineitem)"""
 EDGES_SQL = """own AS (SELECT * FROM pcm WHERE source = 'dev' AND split = 'train'),
-    edges AS (SELECT 'condition' AS src_type, condition AS src_id, 'medication' AS dst_type, candidate AS dst_id, 'condition_medication' AS relation, count(DISTINCT group_id) AS support FROM own WHERE label GROUP BY 2, 4
+    edges AS MATERIALIZED (SELECT 'condition' AS src_type, condition AS src_id, 'medication' AS dst_type, candidate AS dst_id, 'condition_medication' AS relation, count(DISTINCT group_id) AS support FROM own WHERE label GROUP BY 2, 4
       UNION ALL SELECT 'condition', condition, event_type, token, 'condition_' || event_type, count(DISTINCT stay_id) FROM (SELECT DISTINCT stay_id, condition FROM own) JOIN ctx USING (stay_id) WHERE hours BETWEEN 0 AND 4 GROUP BY 2, 3, 4
       UNION ALL SELECT 'medication', a.candidate, 'medication', b.candidate, 'medication_medication', count(DISTINCT a.group_id) FROM own a JOIN own b ON a.group_id = b.group_id AND a.candidate < b.candidate WHERE a.label AND b.label GROUP BY 2, 4)"""
 ENDS_SQL = "ends AS (SELECT src_type AS type, src_id AS id, relation, support, dst_type || '|' || dst_id AS other FROM edges UNION ALL SELECT dst_type, dst_id, relation, support, src_type || '|' || src_id FROM edges)"
-GRAPH = (*BASE, CONTEXT_SQL, EDGES_SQL, ENDS_SQL)
+BIG_SQL = f"""thr AS MATERIALIZED (SELECT quantile_cont(support, {QUANTILE}) AS t FROM edges), big AS MATERIALIZED (SELECT * FROM edges WHERE support >= (SELECT t FROM thr)), bends AS MATERIALIZED (SELECT * FROM ends WHERE support >= (SELECT t FROM thr))"""
+GRAPH = (*BASE, CONTEXT_SQL, EDGES_SQL, ENDS_SQL, BIG_SQL)
 
 
 @query(with_sql(*GRAPH) + "SELECT * FROM edges")
@@ -65,47 +76,63 @@ def d22_density(spark, d):
     return graph.density(edges(spark, d))
 
 
-@query(with_sql(*GRAPH, f"big AS (SELECT * FROM edges WHERE support >= {SUPPORT})", "b AS (SELECT src_type || '|' || src_id AS a, dst_type || '|' || dst_id AS b FROM big UNION SELECT dst_type || '|' || dst_id, src_type || '|' || src_id FROM big)").replace("WITH ", "WITH RECURSIVE ", 1) + ", r(s, t) AS (SELECT a, a FROM b UNION SELECT r.s, b.b FROM r JOIN b ON r.t = b.a) SELECT s AS node, min(t) AS component FROM r GROUP BY 1")
+@query(with_sql(*GRAPH, "b AS (SELECT src_type || '|' || src_id AS a, dst_type || '|' || dst_id AS b FROM big UNION SELECT dst_type || '|' || dst_id, src_type || '|' || src_id FROM big)").replace("WITH ", "WITH RECURSIVE ", 1) + ", r(s, t) AS (SELECT a, a FROM b UNION SELECT r.s, b.b FROM r JOIN b ON r.t = b.a) SELECT s AS node, min(t) AS component FROM r GROUP BY 1")
 def d21_components(spark, d):
-    return graph.components(edges(spark, d).where(F.col("support") >= SUPPORT))
+    return graph.components(strong(edges(spark, d)))
 
 
-@query(with_sql(*GRAPH) + f"""SELECT source, split, count(*) AS row_count, count(c.id) AS condition_rows, count(m.id) AS candidate_rows, count(e.support) AS pair_rows, round(count(e.support) / CAST(count(*) AS DOUBLE), 9) AS pair_rate, round(1 - round(count(m.id) / CAST(count(*) AS DOUBLE), 9), 9) AS cold_start_rate
-    FROM pcm p LEFT JOIN (SELECT DISTINCT id FROM ends WHERE type = 'condition' AND support >= {SUPPORT}) c ON c.id = condition LEFT JOIN (SELECT DISTINCT id FROM ends WHERE type = 'medication' AND support >= {SUPPORT}) m ON m.id = candidate
-    LEFT JOIN (SELECT * FROM edges WHERE relation = 'condition_medication' AND support >= {SUPPORT}) e ON e.src_id = condition AND e.dst_id = candidate GROUP BY 1, 2""")
+@query(with_sql(*GRAPH) + """SELECT source, split, count(*) AS row_count, count(c.id) AS condition_rows, count(m.id) AS candidate_rows, count(e.support) AS pair_rows, round(count(e.support) / CAST(count(*) AS DOUBLE), 9) AS pair_rate, round(1 - round(count(m.id) / CAST(count(*) AS DOUBLE), 9), 9) AS cold_start_rate
+    FROM pcm p LEFT JOIN (SELECT DISTINCT id FROM bends WHERE type = 'condition') c ON c.id = condition LEFT JOIN (SELECT DISTINCT id FROM bends WHERE type = 'medication') m ON m.id = candidate
+    LEFT JOIN (SELECT * FROM big WHERE relation = 'condition_medication') e ON e.src_id = condition AND e.dst_id = candidate GROUP BY 1, 2""")
 def j19_coverage(spark, d):
-    return graph.coverage(ranking.rows(spark, d), edges(spark, d).where(F.col("support") >= SUPPORT))
+    rows = ranking.rows(spark, d)
+    return graph.coverage(rows, strong(edges(spark, d, rows)))
+
+
+_OF_CONDITION, _OF_CANDIDATE = ("condition_medication", "condition_lab", "condition_vital", "condition_intervention"), ("condition_medication", "medication_medication")
+_SIDES = [f"{side}_{r}_{what}" for side, relations in (("condition", _OF_CONDITION), ("candidate", _OF_CANDIDATE)) for r in relations for what in ("degree", "support")]
+_FEATURES = ["pair_support", "pair_log_support", "pair_support_share", "pair_in_graph", "condition_in_graph", "candidate_in_graph", *_SIDES]
 
 
-_FEATURES = ["pair_support", "pair_support_share", "condition_condition_lab_degree", "condition_condition_lab_support", "candidate_medication_medication_degree", "pair_in_graph", "candidate_in_graph"]
-_FEATURES_SQL = f"""big AS (SELECT * FROM edges WHERE support >= {SUPPORT}), g AS (SELECT group_id, p.condition, p.candidate, coalesce(e.support, 0) AS pair_support, round(ln(1 + coalesce(e.support, 0)), 9) AS pair_log_support, round(coalesce(e.support / CAST(t.n AS DOUBLE), 0), 9) AS pair_support_share,
-      coalesce(l.c, 0) AS condition_condition_lab_degree, CAST(coalesce(l.n, 0) AS BIGINT) AS condition_condition_lab_support, coalesce(m.c, 0) AS candidate_medication_medication_degree, CASE WHEN e.support IS NULL THEN 0 ELSE 1 END::BIGINT AS pair_in_graph, CASE WHEN k.id IS NULL THEN 0 ELSE 1 END::BIGINT AS candidate_in_graph
-      FROM pcm p LEFT JOIN (SELECT * FROM big WHERE relation = 'condition_medication') e ON e.src_id = p.condition AND e.dst_id = p.candidate LEFT JOIN (SELECT src_id, sum(support) AS n FROM big WHERE relation = 'condition_medication' GROUP BY 1) t ON t.src_id = p.condition
-      LEFT JOIN (SELECT src_id, count(*) AS c, sum(support) AS n FROM big WHERE relation = 'condition_lab' GROUP BY 1) l ON l.src_id = p.condition LEFT JOIN (SELECT id, count(*) AS c FROM ends WHERE relation = 'medication_medication' AND support >= {SUPPORT} AND type = 'medication' GROUP BY 1) m ON m.id = p.candidate
-      LEFT JOIN (SELECT DISTINCT id FROM ends WHERE type = 'medication' AND support >= {SUPPORT}) k ON k.id = p.candidate)"""
+def _side_sql(name, kind, relations):
+    sums = [f"count(*) FILTER (WHERE relation = '{r}') AS {name}_{r}_degree, CAST(coalesce(sum(support) FILTER (WHERE relation = '{r}'), 0) AS BIGINT) AS {name}_{r}_support" for r in relations]
+    return f"(SELECT id, {', '.join(sums)} FROM bends WHERE type = '{kind}' GROUP BY 1)"
+
+
+_FEATURES_SQL = f"""g AS (SELECT group_id, p.condition, p.candidate, coalesce(e.support, 0) AS pair_support, round(ln(1 + coalesce(e.support, 0)), 9) AS pair_log_support, round(coalesce(e.support / CAST(a.condition_condition_medication_support AS DOUBLE), 0), 9) AS pair_support_share,
+      (e.support IS NOT NULL)::BIGINT AS pair_in_graph, (a.id IS NOT NULL)::BIGINT AS condition_in_graph, (m.id IS NOT NULL)::BIGINT AS candidate_in_graph, {', '.join(f'coalesce({c}, 0) AS {c}' for c in _SIDES)}
+      FROM pcm p LEFT JOIN (SELECT * FROM big WHERE relation = 'condition_medication') e ON e.src_id = p.condition AND e.dst_id = p.candidate
+      LEFT JOIN {_side_sql('condition', 'condition', _OF_CONDITION)} a ON a.id = p.condition LEFT JOIN {_side_sql('candidate', 'medication', _OF_CANDIDATE)} m ON m.id = p.candidate)"""
+
+
+def features(spark, d):
+    rows = ranking.rows(spark, d)
+    e = edges(spark, d, rows)
+    return graph.graph_features(rows, e, threshold(e))
 
 
 @query(with_sql(*GRAPH, _FEATURES_SQL) + "SELECT * FROM g")
 def j18_graph_features(spark, d):
-    out = graph.graph_features(ranking.rows(spark, d), edges(spark, d), SUPPORT)
-    return out.select("group_id", "condition", "candidate", "pair_log_support", *_FEATURES)
+    return features(spark, d).select("group_id", "condition", "candidate", *_FEATURES)
 
 
 @query(with_sql(*GRAPH, _FEATURES_SQL) + "SELECT count(*) AS row_count, " + ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(avg(({c} IS NULL)::INT), 6) AS {c}_null_rate" for c in _FEATURES) + " FROM g")
 def a29_feature_summary(spark, d):
-    return graph.feature_summary(graph.graph_features(ranking.rows(spark, d), edges(spark, d), SUPPORT), _FEATURES)
+    return graph.feature_summary(features(spark, d), _FEATURES)
 
 
 def _subgraphs(spark, d):
-    rows, e = ranking.rows(spark, d).where("split in ('validation', 'external')"), edges(spark, d).where(F.col("support") >= SUPPORT)
-    return rows, e, subgraphs.subgraph_nodes(rows, context(spark, d), e, 4.0)
+    """Rows, strong edges and nodes, each written once."""
+    rows = ranking.rows(spark, d)
+    e = strong(edges(spark, d, rows))
+    return rows, e, stash(subgraphs.subgraph_nodes(rows, context(spark, d), e, 4.0), "nodes")
 
 
-NODES_SQL = f"""sel AS (SELECT * FROM pcm WHERE split IN ('validation', 'external')), big AS (SELECT * FROM edges WHERE support >= {SUPPORT}), kn AS (SELECT DISTINCT type, id FROM ends WHERE support >= {SUPPORT}),
+NODES_SQL = """sel AS (SELECT * FROM pcm), kn AS (SELECT DISTINCT type, id FROM bends),
     grp AS (SELECT DISTINCT source, split, stay_id, group_id, condition FROM sel),
     n0 AS (SELECT source, split, stay_id, group_id, 0 AS o, 'query_condition' AS role, 'condition' AS type, condition AS id FROM grp UNION ALL SELECT DISTINCT source, split, stay_id, group_id, 1, 'candidate', 'medication', candidate FROM sel
       UNION ALL SELECT DISTINCT g.source, g.split, g.stay_id, g.group_id, 2, 'context', x.event_type, x.token FROM grp g JOIN ctx x ON x.stay_id = g.stay_id AND x.hours BETWEEN 0 AND 4 JOIN big b ON b.src_type = 'condition' AND b.src_id = g.condition AND b.dst_type = x.event_type AND b.dst_id = x.token),
-    nodes AS (SELECT source, split, stay_id, group_id, row_number() OVER (PARTITION BY group_id ORDER BY o, n0.type, n0.id) - 1 AS node_index, role, n0.type, n0.id, kn.id IS NOT NULL AS in_graph, kn.id IS NULL AS cold_start FROM n0 LEFT JOIN kn ON kn.type = n0.type AND kn.id = n0.id),
+    nodes AS MATERIALIZED (SELECT source, split, stay_id, group_id, row_number() OVER (PARTITION BY group_id ORDER BY o, n0.type, n0.id) - 1 AS node_index, role, n0.type, n0.id, kn.id IS NOT NULL AS in_graph, kn.id IS NULL AS cold_start FROM n0 LEFT JOIN kn ON kn.type = n0.type AND kn.id = n0.id),
     sedges AS (SELECT a.source, a.split, a.stay_id, a.group_id, a.node_index AS src_index, b.node_index AS dst_index, src_type, src_id, dst_type, dst_id, relation, support FROM big e JOIN nodes a ON a.type = src_type AND a.id = src_id JOIN nodes b ON b.group_id = a.group_id AND b.type = dst_type AND b.id = dst_id
       WHERE a.role = 'query_condition' OR (a.role = 'candidate' AND b.role = 'candidate'))"""
 
@@ -135,34 +162,33 @@ def a30_subgraph_index(spark, d):
 
 
 def _pairs(spark, d):
-    return fusion.aligned(ranking.scores(spark, d).where("split in ('train', 'validation')"), "global_popularity", "condition_popularity")
+    return fusion.aligned(ranking.scores(spark, d), "global_popularity", "condition_popularity")
 
 
-@query(with_sql(*BASE, SCORES_SQL) + "SELECT a.source, a.split, a.group_id, a.condition, a.candidate, round(a.score, 9) AS reference_score, round(b.score, 9) AS other_score FROM scores a JOIN scores b USING (group_id, candidate) WHERE a.baseline = 'global_popularity' AND b.baseline = 'condition_popularity' AND a.split IN ('train', 'validation')")
+@query(with_sql(*BASE, SCORES_SQL) + "SELECT a.source, a.split, a.group_id, a.condition, a.candidate, round(a.score, 9) AS reference_score, round(b.score, 9) AS other_score FROM scores a JOIN scores b USING (group_id, candidate) WHERE a.baseline = 'global_popularity' AND b.baseline = 'condition_popularity'")
 def j17_aligned_scores(spark, d):
     return _pairs(spark, d).select("source", "split", "group_id", "condition", "candidate", F.round("reference_score", 9).alias("reference_score"), F.round("other_score", 9).alias("other_score"))
 
 
 @query(with_sql(*BASE, SCORES_SQL.replace("scores AS", "raw AS", 1), """scores AS (SELECT a.source, a.split, a.stay_id, a.group_id, a.condition, a.candidate, a.candidate_rank, a.label, CAST(w AS VARCHAR) AS baseline, (1.0::DOUBLE - w) * a.score + w * b.score AS score FROM raw a JOIN raw b USING (group_id, candidate)
-      CROSS JOIN (VALUES (0.0::DOUBLE), (0.25), (0.5), (0.75), (1.0)) v(w) WHERE a.baseline = 'global_popularity' AND b.baseline = 'condition_popularity' AND a.split IN ('train', 'validation'))""", RANKED_SQL, per_group_sql(K)) + f"SELECT source, split, {K}::BIGINT AS k, count(*) AS groups, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(hit), 6) AS hit, round(avg(ndcg), 6) AS ndcg, round(avg(rr), 6) AS mrr, CAST(baseline AS DOUBLE) AS weight FROM per GROUP BY source, split, baseline")
+      CROSS JOIN (SELECT round(i / 20.0::DOUBLE, 6) AS w FROM range(21) r(i)) v WHERE a.baseline = 'global_popularity' AND b.baseline = 'condition_popularity')""", RANKED_SQL, per_group_sql(K)) + f"SELECT source, split, {K}::BIGINT AS k, count(*) AS groups, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(hit), 6) AS hit, round(avg(ndcg), 6) AS ndcg, round(avg(rr), 6) AS mrr, CAST(baseline AS DOUBLE) AS weight FROM per GROUP BY source, split, baseline")
 def d27_fusion_grid(spark, d):
-    return fusion.fusion_grid(_pairs(spark, d), K, [0.0, 0.25, 0.5, 0.75, 1.0])
+    return fusion.fusion_grid(_pairs(spark, d), K)
 
 
-@query(with_sql(*BASE, SCORES_SQL) + "SELECT a.source, a.split, a.group_id, a.candidate, v.baseline, round(CASE v.baseline WHEN 'late_fusion' THEN 0.75::DOUBLE * a.score + 0.25::DOUBLE * b.score ELSE (a.score + b.score) / 2 END, 9) AS score FROM scores a JOIN scores b USING (group_id, candidate) CROSS JOIN (VALUES ('late_fusion'), ('mean_ensemble')) v(baseline) WHERE a.baseline = 'global_popularity' AND b.baseline = 'condition_popularity' AND a.split IN ('train', 'validation')")
+@query(with_sql(*BASE, SCORES_SQL) + "SELECT a.source, a.split, a.group_id, a.candidate, v.baseline, round(CASE v.baseline WHEN 'late_fusion' THEN 0.75::DOUBLE * a.score + 0.25::DOUBLE * b.score ELSE (a.score + b.score) / 2 END, 9) AS score FROM scores a JOIN scores b USING (group_id, candidate) CROSS JOIN (VALUES ('late_fusion'), ('mean_ensemble')) v(baseline) WHERE a.baseline = 'global_popularity' AND b.baseline = 'condition_popularity'")
 def d29_fused_scores(spark, d):
     return fusion.fused_scores(_pairs(spark, d), 0.25).select("source", "split", "group_id", "candidate", "baseline", F.round("score", 9).alias("score"))
 
 
-@query(with_sql(*BASE, SCORES_SQL) + "SELECT group_id, candidate, round(CASE WHEN n = 1 THEN 1 ELSE 1 - (p - 1) / CAST(n - 1 AS DOUBLE) END, 9) AS score FROM (SELECT *, count(*) OVER (PARTITION BY group_id) AS n, row_number() OVER (PARTITION BY group_id ORDER BY score DESC, candidate_rank, candidate) AS p FROM scores WHERE baseline = 'random' AND split = 'test')")
+@query(with_sql(*BASE, SCORES_SQL) + "SELECT baseline, group_id, candidate, round(CASE WHEN n = 1 THEN 1 ELSE 1 - (p - 1) / CAST(n - 1 AS DOUBLE) END, 9) AS score FROM (SELECT *, count(*) OVER (PARTITION BY baseline, group_id) AS n, row_number() OVER (PARTITION BY baseline, group_id ORDER BY score DESC, candidate_rank, candidate) AS p FROM scores)")
 def w16_rank_normalised(spark, d):
-    own = ranking.scores(spark, d).where("baseline = 'random' and split = 'test'")
-    return fusion.rank_normalised(own, "score").select("group_id", "candidate", F.round("score", 9).alias("score"))
+    own = fusion.rank_normalised(ranking.scores(spark, d), "score", ("baseline", "source", "split", "group_id"))
+    return own.select("baseline", "group_id", "candidate", F.round("score", 9).alias("score"))
 
 
-@query(with_sql(*BASE, SCORES_SQL) + "SELECT baseline, s.split, count(*) AS row_count FROM scores s WHERE candidate_rank <= 3 GROUP BY 1, 2")
+@query(with_sql(*BASE, SCORES_SQL) + "SELECT baseline, split, group_id, candidate, round(score, 9) AS score FROM scores WHERE candidate_rank <= 3")
 def j24_restricted_scores(spark, d):
-    own = fusion.restricted(ranking.scores(spark, d), ranking.rows(spark, d).where("candidate_rank <= 3"))
-    return own.groupBy("baseline", "split").agg(F.count("*").alias("row_count"))
-
-
+    rows = ranking.rows(spark, d)
+    own = fusion.restricted(ranking.metrics.baseline_scores(rows, SEED), rows.where("candidate_rank <= 3"))
+    return own.select("baseline", "split", "group_id", "candidate", F.round("score", 9).alias("score"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import exprs
 from quillon.operators import contract, learning, mappings, metrics
+from quillon.sources.scratch import stash
 
 from . import graphs, ranking, records, tpch
 from .registry import query
@@ -113,8 +114,8 @@ def f17_code_variants(spark, d):
 @query()
 def d39_d41_model_metrics(spark, d):
     """A linear model and trees fitted on sampled training rows, scored and measured on validation rows."""
-    rows = graphs.graph.graph_features(ranking.rows(spark, d), graphs.edges(spark, d), graphs.SUPPORT)
-    train = learning.sampled_rows(rows.where("split = 'train'"), SEED, 0.2).cache()
+    rows = graphs.features(spark, d)
+    train = stash(learning.sampled_rows(rows.where("split = 'train'"), SEED), "train")
     prep = learning.Preprocessor.fit(train)
-    models = {"linear": learning.fit_linear(train, prep), "trees": learning.fit_trees(train, prep, rounds=5, depth=3)}
+    models = {"linear": learning.fit_linear(train, prep), "trees": learning.fit_trees(train, prep)}
     return metrics.ranking_metrics(learning.model_scores(rows.where("split = 'validation'"), prep, models), K)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import exprs
 from quillon.operators import metrics, training
+from quillon.sources.scratch import drop_stash, stash
 
 from . import tpch
 from .registry import query
@@ -17,7 +18,12 @@ def _catalog(spark, d):
 
 
 def rows(spark, d):
-    return training.ranking_rows(tpch.stays(spark, d), _catalog(spark, d), tpch.labels(spark, d))
+    """Ranking rows, written once: what follows reads them more than once. Stays and labels are written for the same
+    reason, the catalog is made of them too."""
+    stays, labels = stash(tpch.stays(spark, d), "stays"), stash(tpch.labels(spark, d), "labels")
+    out = stash(training.ranking_rows(stays, training.candidate_catalog(stays, labels, TOP_N), labels), "rows")
+    drop_stash(stays, labels)
+    return out
 
 
 def scores(spark, d):
@@ -89,7 +95,7 @@ def d14_popularity(spark, d):
       CASE WHEN positives > 0 AND positives < row_count THEN round(brier, 6) END AS brier, CASE WHEN positives > 0 AND positives < row_count THEN round(gap / row_count, 6) END AS calibration_error
     FROM m JOIN e USING (baseline, source, split)""")
 def d15_row_metrics(spark, d):
-    return metrics.row_metrics(scores(spark, d))
+    return metrics.row_metrics(stash(scores(spark, d), "scores"))
 
 
 @query(with_sql(*BASE, SCORES_SQL, RANKED_SQL, per_group_sql(K)) + """SELECT s.baseline, s.source, s.split, s.condition, count(p.group_id) AS groups,

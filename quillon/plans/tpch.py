@@ -31,19 +31,19 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(part, "l_partkey").groupBy("stay_id", "candidate").agg(F.count("*").alias("events"))
 
 
-STAYS_SQL = f"""stays AS (SELECT stay_id, patient_id, source, condition, o_orderpriority, o_totalprice, o_orderdate,
+STAYS_SQL = f"""stays AS MATERIALIZED (SELECT stay_id, patient_id, source, condition, o_orderpriority, o_totalprice, o_orderdate,
       CASE WHEN source = 'external' THEN 'external' WHEN bucket < 8000 THEN 'train' WHEN bucket < 9000 THEN 'validation' ELSE 'test' END AS split
     FROM (SELECT o_orderkey AS stay_id, o_custkey AS patient_id, o_orderpriority, o_totalprice, o_orderdate, CASE WHEN c_nationkey % 5 = 0 THEN 'external' ELSE 'dev' END AS source,
       'cond:' || lower(c_mktsegment) AS condition, CAST('0x' || substr(md5(CAST(c_custkey AS VARCHAR) || '|{SEED}'), 1, 8) AS UBIGINT) % 10000 AS bucket
       FROM orders JOIN customer ON o_custkey = c_custkey))"""
-LABELS_SQL = "labels AS (SELECT l_orderkey AS stay_id, 'med:' || p_brand AS candidate, count(*) AS events FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
-CATALOG_SQL = f"""catalog AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY stays DESC, events DESC, candidate) AS candidate_rank
+LABELS_SQL = "labels AS MATERIALIZED (SELECT l_orderkey AS stay_id, 'med:' || p_brand AS candidate, count(*) AS events FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
+CATALOG_SQL = f"""catalog AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY stays DESC, events DESC, candidate) AS candidate_rank
     FROM (SELECT condition, candidate, count(DISTINCT stay_id) AS stays, CAST(sum(events) AS BIGINT) AS events FROM stays JOIN labels USING (stay_id)
       WHERE source = 'dev' AND split = 'train' GROUP BY 1, 2)) WHERE candidate_rank <= {TOP_N})"""
-ROWS_SQL = """pcm AS (SELECT s.*, c.candidate, c.candidate_rank, l.events AS label_events, s.stay_id || '|' || s.condition AS group_id, l.events IS NOT NULL AS label
+ROWS_SQL = """pcm AS MATERIALIZED (SELECT s.*, c.candidate, c.candidate_rank, l.events AS label_events, s.stay_id || '|' || s.condition AS group_id, l.events IS NOT NULL AS label
     FROM stays s JOIN catalog c USING (condition) LEFT JOIN labels l ON l.stay_id = s.stay_id AND l.candidate = c.candidate)"""
 SCORES_SQL = f"""fitting AS (SELECT * FROM pcm WHERE source = 'dev' AND split = 'train' AND label),
-    scores AS (SELECT source, split, stay_id, group_id, p.condition, p.candidate, candidate_rank, label, baseline,
+    scores AS MATERIALIZED (SELECT source, split, stay_id, group_id, p.condition, p.candidate, candidate_rank, label, baseline,
       CASE baseline WHEN 'random' THEN CAST(CAST('0x' || substr(md5('{SEED}|' || group_id || '|' || p.candidate), 1, 8) AS UBIGINT) AS DOUBLE) / 4294967295.0::DOUBLE
         WHEN 'global_popularity' THEN coalesce(CAST(a.n AS DOUBLE) / (SELECT count(*) FROM fitting), 0) ELSE coalesce(CAST(b.n AS DOUBLE) / d.n, 0) END AS score
       FROM pcm p CROSS JOIN (VALUES ('random'), ('global_popularity'), ('condition_popularity')) v(baseline)
