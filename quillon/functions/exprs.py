@@ -103,6 +103,11 @@ def event_hours(source: Column, offset_minutes: Column, time: Column, start: Col
     return F.coalesce(offset_minutes.try_cast("double") / F.lit(60.0), minutes / F.lit(60.0), hours_between(start, time.try_cast("timestamp_ntz")))
 
 
+def after_hours(time: Column, hours: float) -> Column:
+    """a timestamp some hours on."""
+    return time + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(hours * 3600).cast("decimal(18,6)"))
+
+
 def first_match(branches: Iterable[tuple[Column, Column]], default: Column) -> Column:
     """P20: the value of the first branch whose condition holds."""
     return reduce(lambda rest, b: F.when(b[0], b[1]).otherwise(rest), reversed(list(branches)), default)

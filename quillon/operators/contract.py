@@ -110,6 +110,19 @@ def contract_lock(tables: dict[str, DataFrame], versions: dict[str, str], audits
     return lock | {"differs": differs, "status": "failed" if faults or differs else "passed"}
 
 
+def contract_checks(rows: DataFrame, manifest: DataFrame, events: DataFrame, labels: DataFrame, predict: float, label: float) -> DataFrame:
+    """D46's own checks as a table (check, value, passed): ranking rows there are, their keys unique, their splits the
+    manifest's, every group of one patient split, and no input event or label outside its window."""
+    counts = lambda df, names: df.select(F.inline(F.array(*[F.struct(F.lit(n).alias("check"), F.col(c).cast("long").alias("value")) for n, c in names.items()])))
+    keys = rows.groupBy("group_id", "candidate").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_if(F.col("n") > 1).alias("repeated"))
+    parts = [
+        counts(keys, {"row_count": "rows", "repeated_keys": "repeated"}),
+        counts(split_alignment(rows.select("patient_id", "split").distinct(), manifest), {"misaligned_patients": "misaligned", "unknown_patients": "unknown"}),
+        counts(leakage_audit(events, labels, predict, label), {n: n for n in ("events_after_prediction", "events_without_time", "labels_outside_window")}),
+    ]
+    return reduce(DataFrame.union, parts).withColumn("passed", F.when(F.col("check") == "row_count", F.col("value") > 0).otherwise(F.col("value") == 0))
+
+
 def preflight(lock: dict, required: list[str]) -> list[str]:
     """What forbids fitting: a failed lock, or a table it lacks or that is empty."""
     out = [] if lock.get("status") == "passed" else ["contract_lock_not_passed"]

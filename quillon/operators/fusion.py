@@ -39,9 +39,14 @@ def fusion_grid(pairs: DataFrame, k: int, weights: list[float] | None = None) ->
     return out.withColumn("weight", F.col("baseline").cast("double")).drop("baseline")
 
 
+def best_weight(grid: DataFrame, metric: str = "ndcg", centre: float = 0.5) -> DataFrame:
+    """The row of the best metric; ties go to the weight nearest the centre, then the smaller."""
+    return grid.where(F.col(metric).isNotNull()).orderBy(F.desc(metric), F.abs(F.col("weight") - centre), "weight").limit(1)
+
+
 def select_weight(grid: DataFrame, metric: str = "ndcg", centre: float = 0.5) -> float:
-    """The weight of the best metric; ties go to the one nearest the centre, then the smaller."""
-    best = grid.where(F.col(metric).isNotNull()).orderBy(F.desc(metric), F.abs(F.col("weight") - centre), "weight").limit(1).collect()
+    """The weight of best_weight; no metric at all is an error."""
+    best = best_weight(grid, metric, centre).collect()
     if not best:
         raise ValueError("no weight has a metric")
     return best[0]["weight"]
@@ -61,10 +66,30 @@ def rank_normalised(scores: DataFrame, score: str, group: tuple[str, ...] = ("so
     return scores.withColumn(score, F.when(n == 1, 1.0).otherwise(1.0 - (F.row_number().over(order) - 1) / F.greatest(n - 1, F.lit(1)).cast("double")))
 
 
+def rank_grid(pairs: DataFrame, k: int) -> DataFrame:
+    """The grid of fusion_grid over rank-normalised scores."""
+    return fusion_grid(rank_normalised(rank_normalised(pairs, "reference_score"), "other_score"), k)
+
+
 def select_rank_weight(pairs: DataFrame, k: int, metric: str = "ndcg") -> float:
     """The weight of the other model over rank-normalised scores; ties go to the larger weight."""
-    grid = fusion_grid(rank_normalised(rank_normalised(pairs, "reference_score"), "other_score"), k)
-    return grid.where(F.col(metric).isNotNull()).orderBy(F.desc(metric), F.desc("weight")).limit(1).collect()[0]["weight"]
+    return rank_grid(pairs, k).where(F.col(metric).isNotNull()).orderBy(F.desc(metric), F.desc("weight")).limit(1).collect()[0]["weight"]
+
+
+def gate_table(metrics: DataFrame, candidate: str, reference: str, lift: float = 0.005, drop: float = 0.01) -> DataFrame:
+    """D30, D35, D36 as a table: of each source and split the deltas of two baselines' metrics (null where one is missing)
+    and the decision: promote on a lift of NDCG and no larger drop of MRR and hit."""
+    of = lambda name, m: F.max(F.when(F.col("baseline") == name, F.col(m)))
+    out = metrics.groupBy("source", "split").agg(*[(of(candidate, m) - of(reference, m)).alias(f"delta_{m}") for m in ("ndcg", "mrr", "hit")])
+    good = (F.col("delta_ndcg") >= lift - 1e-12) & (F.col("delta_mrr") >= -drop - 1e-12) & (F.col("delta_hit") >= -drop - 1e-12)
+    return out.withColumn("decision", F.when(good, "promote").otherwise("keep_reference"))
+
+
+def best_result(metrics: DataFrame, order: tuple[str, ...] = ("ndcg", "mrr", "hit")) -> DataFrame:
+    """D33 as a table: of each source and split the baseline of the best metrics in their order (nulls last); ties by name."""
+    worst = F.lit(float("-inf"))
+    key = F.struct(*[-F.coalesce(F.col(m), worst) for m in order], "baseline")
+    return metrics.where(F.col(order[0]).isNotNull()).groupBy("source", "split").agg(F.min_by("baseline", key).alias("baseline"))
 
 
 def gate(candidate: dict, reference: dict, lift: float = 0.005, drop: float = 0.01) -> dict:

@@ -144,6 +144,15 @@ def feature_summary(features: DataFrame, columns: list[str]) -> DataFrame:
     return features.agg(F.count("*").alias("row_count"), *parts)
 
 
+def gate_row(edges: DataFrame, components: DataFrame, least_nodes: int = 2) -> DataFrame:
+    """D24 as a table: a graph's edges, those from conditions to medications, the nodes of its largest component, and
+    whether it is fit for use."""
+    counts = edges.agg(F.count("*").alias("edges"), F.count_if(F.col("relation") == "condition_medication").alias("pair_edges"))
+    largest = components.groupBy("component").count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("largest_component"))
+    fit = (F.col("pair_edges") > 0) & (F.col("largest_component") >= least_nodes)
+    return counts.crossJoin(F.broadcast(largest)).withColumn("status", F.when(fit, "passed").otherwise("blocked"))
+
+
 def graph_gate(edges: int, condition_candidate_edges: int, largest_component: int, audit_passed: bool) -> dict:
     """Whether a graph is fit for use, and what is against it."""
     faults = [name for name, bad in (("no_edges", edges == 0), ("no_condition_medication_edges", condition_candidate_edges == 0), ("no_connected_component", largest_component <= 1), ("leakage_audit_failed", not audit_passed)) if bad]

@@ -116,6 +116,16 @@ def model_scores(rows: DataFrame, prep: Preprocessor, models: dict) -> DataFrame
     return held.select("source", "split", "stay_id", "group_id", "condition", "candidate", "candidate_rank", "label", scores)
 
 
+def ranking_frame(rows: DataFrame, features: list[str], rename: dict[str, str] | None = None) -> DataFrame:
+    """What a ranker is fitted on: the group, the label as 0 or 1 and the features (under other names, if so
+    named), a group's rows together in one partition and in the catalog's order, with their place and the group's size."""
+    group = Window.partitionBy("group_id")
+    order = group.orderBy(F.col("candidate_rank").asc_nulls_last(), F.col("candidate").asc_nulls_last())
+    held = rows.withColumns({"place": F.row_number().over(order).cast("long"), "group_size": F.count("*").over(group)})
+    named = [F.col(f).alias((rename or {}).get(f, f)) for f in features]
+    return held.select("group_id", "candidate", "place", "group_size", F.col("label").cast("int").alias("target"), *named).sortWithinPartitions("group_id", "place")
+
+
 def fit_pairwise_ranker(train: DataFrame, prep: Preprocessor, seed: int = 1, per_positive: int = 5, ridge: float = 1e-4):
     """D42 by pairwise differences: a logistic model of which of two rows of a group is the positive, without intercept.
     It stands in for gradient-boosted rankers, which Spark has none of; its scores order a group's rows. Each

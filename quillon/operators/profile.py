@@ -87,6 +87,15 @@ def quality_findings(profile: list[dict], null_rate: float = 0.5) -> list[dict]:
     return out
 
 
+def findings(profile: DataFrame, null_rate: float = 0.5) -> DataFrame:
+    """D59 as a table: (column_name, issue, rows, rate) of what a profile (profile_columns) gives reason to look at."""
+    c, n = F.col, F.col("row_count").cast("double")
+    one = lambda when, issue, rows: F.when(when, F.struct(F.lit(issue).alias("issue"), rows.cast("long").alias("rows"), F.try_divide(rows.cast("double"), n).alias("rate")))
+    some = c("row_count") > 0
+    issues = F.array(one(~some, "empty_table", F.lit(0)), one(some & (c("blank") / n >= null_rate), "high_null_rate", c("blank")), one(some & (c("failed") > 0), "parse_failures", c("failed")), one(some & (c("outside") > 0), "out_of_bounds", c("outside")))
+    return profile.select("column_name", F.inline(F.array_compact(issues)))
+
+
 def domain_readiness(tables: dict[str, bool], domains: dict[str, list[str]]) -> dict[str, str]:
     """A domain is ready if all its tables passed, blocked if none did, else partial."""
     out = {}

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.sources.scratch import stash
+
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key tuple, the first in the order (which ends in something unique)."""
@@ -114,6 +116,17 @@ def row_ids(df: DataFrame, name: str = "row_id") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def dense_ids(df: DataFrame, order: list[str], name: str = "row_id") -> DataFrame:
+    """Df with a number for each row, from 0 without a gap, in the order of some columns (rows that agree in them come
+    in any order). Rows are dealt to partitions by range and written; a row's number is its place there and the sum of
+    the partitions before it, so no task sees more than its own partition."""
+    held = stash(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ids")
+    part, at = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = held.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    base = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__base"))
+    return held.withColumn("__part", part).join(base, "__part").withColumn(name, F.col("__base") + at).drop("__part", "__at", "__base")
+
+
 def unordered_pairs(df: DataFrame, group: str, item: str) -> DataFrame:
     """(group, a, b) for the distinct items a < b that share a group. A group's distinct items are sorted into an
     array once, and each meets those behind it: no self-join, and a group's items are bounded by its vocabulary."""

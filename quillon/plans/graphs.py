@@ -161,24 +161,33 @@ def a30_subgraph_index(spark, d):
     return subgraphs.subgraph_index(nodes, subgraphs.subgraph_edges(nodes, e), subgraphs.subgraph_candidates(rows, nodes))
 
 
-def _pairs(spark, d):
+def pairs(spark, d):
     return fusion.aligned(ranking.scores(spark, d), "global_popularity", "condition_popularity")
 
 
 @query(with_sql(*BASE, SCORES_SQL) + "SELECT a.source, a.split, a.group_id, a.condition, a.candidate, round(a.score, 9) AS reference_score, round(b.score, 9) AS other_score FROM scores a JOIN scores b USING (group_id, candidate) WHERE a.baseline = 'global_popularity' AND b.baseline = 'condition_popularity'")
 def j17_aligned_scores(spark, d):
-    return _pairs(spark, d).select("source", "split", "group_id", "condition", "candidate", F.round("reference_score", 9).alias("reference_score"), F.round("other_score", 9).alias("other_score"))
+    return pairs(spark, d).select("source", "split", "group_id", "condition", "candidate", F.round("reference_score", 9).alias("reference_score"), F.round("other_score", 9).alias("other_score"))
 
 
-@query(with_sql(*BASE, SCORES_SQL.replace("scores AS", "raw AS", 1), """scores AS (SELECT a.source, a.split, a.stay_id, a.group_id, a.condition, a.candidate, a.candidate_rank, a.label, CAST(w AS VARCHAR) AS baseline, (1.0::DOUBLE - w) * a.score + w * b.score AS score FROM raw a JOIN raw b USING (group_id, candidate)
-      CROSS JOIN (SELECT round(i / 20.0::DOUBLE, 6) AS w FROM range(21) r(i)) v WHERE a.baseline = 'global_popularity' AND b.baseline = 'condition_popularity')""", RANKED_SQL, per_group_sql(K)) + f"SELECT source, split, {K}::BIGINT AS k, count(*) AS groups, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(hit), 6) AS hit, round(avg(ndcg), 6) AS ndcg, round(avg(rr), 6) AS mrr, CAST(baseline AS DOUBLE) AS weight FROM per GROUP BY source, split, baseline")
+def fused_sql(reference="a.score", other="b.score", raw="raw"):
+    """The scores of all weights of the grid, each weight a baseline."""
+    return f"""scores AS MATERIALIZED (SELECT a.source, a.split, a.stay_id, a.group_id, a.condition, a.candidate, a.candidate_rank, a.label, CAST(w AS VARCHAR) AS baseline, (1.0::DOUBLE - w) * {reference} + w * {other} AS score FROM {raw} a JOIN {raw} b USING (group_id, candidate)
+      CROSS JOIN (SELECT round(i / 20.0::DOUBLE, 6) AS w FROM range(21) r(i)) v WHERE a.baseline = 'global_popularity' AND b.baseline = 'condition_popularity')"""
+
+
+RAW_SQL = SCORES_SQL.replace("scores AS", "raw AS", 1)
+GRID_SQL = f"grid AS (SELECT source, split, {K}::BIGINT AS k, count(*) AS groups, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(hit), 6) AS hit, round(avg(ndcg), 6) AS ndcg, round(avg(rr), 6) AS mrr, CAST(baseline AS DOUBLE) AS weight FROM per GROUP BY source, split, baseline)"
+
+
+@query(with_sql(*BASE, RAW_SQL, fused_sql(), RANKED_SQL, per_group_sql(K), GRID_SQL) + "SELECT * FROM grid")
 def d27_fusion_grid(spark, d):
-    return fusion.fusion_grid(_pairs(spark, d), K)
+    return fusion.fusion_grid(pairs(spark, d), K)
 
 
 @query(with_sql(*BASE, SCORES_SQL) + "SELECT a.source, a.split, a.group_id, a.candidate, v.baseline, round(CASE v.baseline WHEN 'late_fusion' THEN 0.75::DOUBLE * a.score + 0.25::DOUBLE * b.score ELSE (a.score + b.score) / 2 END, 9) AS score FROM scores a JOIN scores b USING (group_id, candidate) CROSS JOIN (VALUES ('late_fusion'), ('mean_ensemble')) v(baseline) WHERE a.baseline = 'global_popularity' AND b.baseline = 'condition_popularity'")
 def d29_fused_scores(spark, d):
-    return fusion.fused_scores(_pairs(spark, d), 0.25).select("source", "split", "group_id", "candidate", "baseline", F.round("score", 9).alias("score"))
+    return fusion.fused_scores(pairs(spark, d), 0.25).select("source", "split", "group_id", "candidate", "baseline", F.round("score", 9).alias("score"))
 
 
 @query(with_sql(*BASE, SCORES_SQL) + "SELECT baseline, group_id, candidate, round(CASE WHEN n = 1 THEN 1 ELSE 1 - (p - 1) / CAST(n - 1 AS DOUBLE) END, 9) AS score FROM (SELECT *, count(*) OVER (PARTITION BY baseline, group_id) AS n, row_number() OVER (PARTITION BY baseline, group_id ORDER BY score DESC, candidate_rank, candidate) AS p FROM scores)")

@@ -7,11 +7,14 @@ import csv
 import gzip
 import hashlib
 import io
+import uuid
+import zlib
 from collections.abc import Iterable
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,10 +49,10 @@ def inferred_schema(spark: SparkSession, path: str, sample: float = 1.0) -> T.St
 
 
 def parquet(spark: SparkSession, *paths: str) -> DataFrame:
-    """One or many Parquet files as one table. No path is an error."""
+    """One or many Parquet files or folders, those of write_atomic too, as one table. No path is an error."""
     if not paths:
         raise ValueError("no path")
-    return spark.read.parquet(*paths)
+    return spark.read.parquet(*[current(spark, p) for p in paths])
 
 
 def bounded(df: DataFrame, columns: list[str], limit: int) -> DataFrame:
@@ -59,29 +62,51 @@ def bounded(df: DataFrame, columns: list[str], limit: int) -> DataFrame:
     return df.select(*columns).limit(limit)
 
 
+#: The file below a folder of write_atomic that names its current version.
+POINTER = "CURRENT"
+
+
+def _pointer(spark: SparkSession, path: str):
+    """The file system of a path, and its pointer."""
+    pointer = spark._jvm.org.apache.hadoop.fs.Path(path, POINTER)
+    return pointer.getFileSystem(spark._jsc.hadoopConfiguration()), pointer
+
+
+def current(spark: SparkSession, path: str) -> str:
+    """The folder that a path's pointer names; the path itself if it has none."""
+    store, pointer = _pointer(spark, path)
+    return f"{path}/{spark.read.text(pointer.toString()).first()[0]}" if store.exists(pointer) else path
+
+
 def write_atomic(df: DataFrame, path: str, partition_by: list[str] | None = None) -> int:
-    """Write Parquet so that readers of path see all of it or nothing, and return its rows. The rows go to a
-    hidden folder beside it, which takes path's place once the job is done; a failed job leaves path as it was."""
+    """Write Parquet so that readers (parquet) see the old table or the new one, whole, at any time, and return
+    its rows. Each write is a folder of its own below path; a pointer file, replaced in one step, names the one that
+    counts. A failed job leaves the table as it was. The version before stays for readers that have begun; older go."""
     spark = df.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs
-    target = hadoop.Path(path)
-    staged, old = (hadoop.Path(target.getParent(), f".{target.getName()}.{suffix}") for suffix in ("staged", "old"))
-    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    store, pointer = _pointer(spark, path)
+    before = current(spark, path).rpartition("/")[2] if store.exists(pointer) else None
+    folder, name, seen = hadoop.Path(path), f"v-{uuid.uuid4().hex}", Observation()
     try:
-        store.delete(staged, True)
-        writer = df.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(staged.toString())
-        if store.exists(target):
-            store.delete(old, True)
-            store.rename(target, old)
-        if not store.rename(staged, target):
-            if store.exists(old):
-                store.rename(old, target)
-            raise OSError(f"{path} could not be put in place")
-        store.delete(old, True)
-    finally:
-        store.delete(staged, True)
-    return spark.read.schema(df.schema).parquet(path).count()
+        writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/{name}")
+        staged = hadoop.Path(path, f"{POINTER}-{name}")
+        out = store.create(staged)
+        out.write(name.encode())
+        out.close()
+        rename = spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+        how = spark._jvm.java.lang.reflect.Array.newInstance(rename, 1)
+        how[0] = spark._jvm.java.lang.Enum.valueOf(rename, "OVERWRITE")
+        hadoop.FileContext.getFileContext(folder.toUri(), spark._jsc.hadoopConfiguration()).rename(staged, pointer, how)
+    except Exception:
+        store.delete(hadoop.Path(path, name), True)
+        if before is None:
+            store.delete(folder, True)
+        raise
+    for file in store.listStatus(folder):
+        if file.isDirectory() and file.getPath().getName().startswith("v-") and file.getPath().getName() not in (name, before):
+            store.delete(file.getPath(), True)
+    return seen.get["rows"]
 
 
 def empty(spark: SparkSession, schema: str | T.StructType) -> DataFrame:
@@ -144,44 +169,75 @@ def gzip_state(path: str | Path, chunk: int = 1 << 20) -> tuple[str, int]:
     return "ok", n
 
 
-def integrity(spark: SparkSession, root: str, manifest: dict[str, str]) -> DataFrame:
-    """A row for each file below root and each listed one: its SHA-256, gzip state and status. Files are digested
-    as tasks, from whole binary rows, so keep those beyond 2 GB for gzip_state."""
+def opened(url: str) -> pa.NativeFile:
+    """A stream of a file as it is stored, by its URL (file:, or what Arrow knows)."""
+    if url.startswith("file:"):
+        url = "file://" + url.removeprefix("file:").removeprefix("//")
+    store, path = fs.FileSystem.from_uri(url)
+    return store.open_input_stream(path, compression=None)
+
+
+def listed_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, name, length) of every file below root, empty ones too; contents are not read. name is below root."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listing, rows = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True), []
+    while listing.hasNext():
+        file = listing.next()
+        path = file.getPath().toString()
+        rows.append((path, path.rpartition(f"{root.rstrip('/')}/")[2], file.getLen()))
+    return spark.createDataFrame(rows, "path string, name string, length long")
+
+
+def file_headers(files: DataFrame) -> DataFrame:
+    """S04 for many files: (name, header) of the CSV files, plain or gzip, among files (path, name): the first line's cells,
+    none in an empty file. Tasks read the first lines only."""
+
+    def read(batches: Iterable[pa.RecordBatch]):
+        for batch in batches:
+            cells = []
+            for path in batch.column("path").to_pylist():
+                with opened(path) as raw:
+                    text = io.TextIOWrapper(gzip.open(raw) if path.lower().endswith(".gz") else raw, "utf-8-sig", newline="")
+                    cells.append(next(csv.reader(text), []))
+            yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(cells, pa.list_(pa.string()))], ["name", "header"])
+
+    own = files.where(F.lower("name").rlike(r"\.csv(\.gz)?$"))
+    return own.select("path", "name").mapInArrow(read, "name string, header array<string>")
+
+
+def integrity(spark: SparkSession, root: str, manifest: dict[str, str], chunk: int = 1 << 20) -> DataFrame:
+    """A row for each file below root and each listed one: its length, SHA-256, gzip state and status. Tasks stream the
+    files in portions, each twice if it is gzip; a file of any size takes no more memory."""
 
     def check(batches):
         for batch in batches:
             digests, states = [], []
-            for name, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                digests.append(hashlib.sha256(raw).hexdigest())
+            for path in batch.column("path").to_pylist():
+                sha = hashlib.sha256()
+                with opened(path) as raw:
+                    while data := raw.read(chunk):
+                        sha.update(data)
+                digests.append(sha.hexdigest())
                 state = "not_gzip"
-                if name.endswith(".gz"):
+                if path.endswith(".gz"):
                     try:
-                        with gzip.open(io.BytesIO(raw)) as f:
-                            while f.read(1 << 20):
+                        with opened(path) as raw, gzip.open(raw) as f:
+                            while f.read(chunk):
                                 pass
                         state = "ok"
                     except EOFError:
                         state = "truncated"
-                    except Exception:
+                    except (OSError, ValueError, zlib.error):
                         state = "corrupt"
                 states.append(state)
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array(digests, pa.string()), pa.array(states, pa.string())], ["path", "length", "sha256", "gzip_state"])
+            yield pa.RecordBatch.from_arrays([batch.column("name"), batch.column("length"), pa.array(digests, pa.string()), pa.array(states, pa.string())], ["name", "length", "sha256", "gzip_state"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    found = files.select("path", "length", "content").mapInArrow(check, "path string, length long, sha256 string, gzip_state string")
-    name = F.substring_index("path", f"{root.rstrip('/')}/", -1)
-    found = found.select(name.alias("name"), "length", "sha256", "gzip_state")
-    # Spark's reader passes over files without a byte; the listing has them.
-    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
-    listing, bare = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True), []
-    while listing.hasNext():
-        file = listing.next()
-        if not file.getLen():
-            own = file.getPath().toString().rpartition(f"{root.rstrip('/')}/")[2]
-            bare.append((own, 0, hashlib.sha256(b"").hexdigest(), "truncated" if own.endswith(".gz") else "not_gzip"))
-    found = found.union(spark.createDataFrame(bare, found.schema))
+    files = listed_files(spark, root)
+    found = files.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "path").mapInArrow(check, "name string, length long, sha256 string, gzip_state string")
+    found = found.withColumn("gzip_state", F.when((F.col("length") == 0) & (F.col("gzip_state") != "not_gzip"), "truncated").otherwise(F.col("gzip_state")))
     listed = spark.createDataFrame(sorted(manifest.items()), "name string, expected string")
-    out = found.join(F.broadcast(listed), "name", "full")
+    out = found.join(listed, "name", "full")
+    # The names of statuses.
     status = F.when(F.col("sha256").isNull(), "missing_file").when(F.col("expected").isNull(), "not_listed").when(F.col("sha256") == F.col("expected"), "verified").otherwise("checksum_mismatch")
     return out.select("name", "length", "sha256", "gzip_state", status.alias("status"))
 
