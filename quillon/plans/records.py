@@ -111,26 +111,31 @@ def d11_stay_conditions(spark, d):
 
 def _dated(spark, d):
     o = read(spark, d, "orders")
-    stays = o.select(F.col("o_orderkey").alias("stay_id"), F.col("o_custkey").alias("patient_id"), F.concat(F.col("o_custkey").cast("string"), F.lit("/"), F.year("o_orderdate").cast("string")).alias("admission_id"), F.col("o_orderdate").alias("start"), (F.col("o_orderdate") + F.expr("INTERVAL 48 HOURS")).alias("end"))
-    patients = read(spark, d, "customer").where("c_nationkey % 5 > 0").select(F.col("c_custkey").alias("patient_id"), (F.col("c_custkey") % 90).alias("anchor_age"))
-    return stays, patients, stays.select("admission_id", "patient_id").distinct()
+    stays = o.select(F.col("o_orderkey").alias("stay_id"), F.col("o_custkey").alias("patient_id"), F.concat(F.col("o_custkey").cast("string"), F.lit("/"), F.year("o_orderdate").cast("string")).alias("admission_id"), F.col("o_orderdate").alias("start"), (F.col("o_orderdate") + F.expr("INTERVAL 48 HOURS")).alias("end"), F.lit("2.0").alias("los_days"), F.col("o_orderpriority").alias("unit_type"), F.col("o_orderstatus").alias("last_unit_type"))
+    patients = read(spark, d, "customer").where("c_nationkey % 5 > 0").select(F.col("c_custkey").alias("patient_id"), (F.col("c_custkey") % 90).alias("anchor_age"), F.when(F.col("c_custkey") % 2 == 0, "F").otherwise("M").alias("sex"))
+    admissions = stays.groupBy("admission_id", "patient_id").agg(F.min("start").alias("encounter_start_time"), F.max("end").alias("encounter_end_time"), (F.count("*") % 2).alias("hospital_expire_flag"))
+    return stays, patients, admissions.withColumn("admission_type", F.lit("ward"))
 
 
 def _offset(spark, d):
     c = read(spark, d, "customer").where("c_nationkey % 5 = 0")
     age = F.when(F.col("c_custkey") % 10 == 0, "> 89").when(F.col("c_custkey") % 10 == 1, "").otherwise((F.col("c_custkey") % 90).cast("string"))
-    return c.select(F.when(F.col("c_custkey") % 3 > 0, F.col("c_custkey").cast("string")).otherwise(" ").alias("patient_id"), F.col("c_nationkey").alias("admission_id"), F.col("c_custkey").alias("stay_id"), age.alias("age"), F.col("c_acctbal").alias("end_offset"))
+    return c.select(F.when(F.col("c_custkey") % 3 > 0, F.col("c_custkey").cast("string")).otherwise(" ").alias("patient_id"), F.col("c_nationkey").alias("admission_id"), F.col("c_custkey").alias("stay_id"), age.alias("age"), F.col("c_acctbal").alias("end_offset"), F.col("c_mktsegment").alias("unit_type"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("unit_source"), F.lit("home").alias("admission_source"), F.col("c_nationkey").alias("ward_id"), (F.col("c_custkey") % 4).cast("string").alias("stay_sequence"))
 
 
-_COHORT = """s AS (SELECT o_orderkey, o_custkey, o_custkey || '/' || year(o_orderdate) AS adm, o_orderdate, CAST(c_custkey % 90 AS DOUBLE) AS age FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 5 > 0),
+_COHORT = """s AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus, o_custkey || '/' || year(o_orderdate) AS adm, o_orderdate, CAST(c_custkey % 90 AS DOUBLE) AS age FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 5 > 0),
     f AS (SELECT *, row_number() OVER (PARTITION BY adm ORDER BY o_orderdate, CAST(o_orderkey AS VARCHAR)) AS rn FROM s),
     t AS (SELECT *, CASE WHEN c_custkey % 10 = 0 THEN 90.0::DOUBLE WHEN c_custkey % 10 = 1 THEN NULL ELSE CAST(c_custkey % 90 AS DOUBLE) END AS age FROM customer WHERE c_nationkey % 5 = 0)"""
 
 
-@query(with_sql(_COHORT) + """SELECT 'a' AS source, 'a:' || o_custkey AS patient_uid, 'a:' || adm AS encounter_uid, 'a:' || o_orderkey AS stay_uid, age AS age_years, FALSE AS age_topcoded, o_orderdate AS start_time, o_orderdate + INTERVAL 48 HOURS AS end_time, NULL::DOUBLE AS end_offset_minutes FROM f WHERE rn = 1 AND age >= 18
-    UNION ALL SELECT 'b', 'b:' || CASE WHEN c_custkey % 3 > 0 THEN CAST(c_custkey AS VARCHAR) ELSE 'unitstay:' || c_custkey END, 'b:' || c_nationkey, 'b:' || c_custkey, age, c_custkey % 10 = 0, NULL, NULL, c_acctbal FROM t WHERE age >= 18""")
+@query(with_sql(_COHORT, "adms AS (SELECT adm, min(o_orderdate) AS first, max(o_orderdate) + INTERVAL 48 HOURS AS last, CAST(count(*) % 2 AS INTEGER) AS expired FROM s GROUP BY 1)") + """SELECT 'a' AS source, 'v1' AS source_version, 'a:' || o_custkey AS patient_uid, 'a:' || adm AS encounter_uid, 'a:' || o_orderkey AS stay_uid, CAST(o_custkey AS VARCHAR) AS source_patient_id, adm AS source_encounter_id, CAST(o_orderkey AS VARCHAR) AS source_stay_id,
+      age AS age_years, FALSE AS age_topcoded, CASE WHEN o_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS sex, NULL::VARCHAR AS race_or_ethnicity, NULL::VARCHAR AS hospital_id, NULL::VARCHAR AS ward_id, 'ward' AS admission_type, NULL::VARCHAR AS admission_source, o_orderpriority AS unit_type, o_orderstatus AS last_unit_type,
+      NULL::VARCHAR AS stay_type, CAST(rn AS INTEGER) AS stay_sequence, CAST(first AS TIMESTAMP) AS encounter_start_time, CAST(last AS TIMESTAMP) AS encounter_end_time, CAST(o_orderdate AS TIMESTAMP) AS stay_start_time, CAST(o_orderdate + INTERVAL 48 HOURS AS TIMESTAMP) AS stay_end_time, NULL::INTEGER AS stay_start_offset_minutes,
+      NULL::DOUBLE AS stay_end_offset_minutes, 48.0::DOUBLE AS los_hours, expired AS hospital_expire_flag, 'adult_icu_stay_first_per_admission=true' AS cohort_rule FROM f JOIN adms USING (adm) WHERE rn = 1 AND age >= 18
+    UNION ALL SELECT 'b', 'v2', 'b:' || p, 'b:' || c_nationkey, 'b:' || c_custkey, p, CAST(c_nationkey AS VARCHAR), CAST(c_custkey AS VARCHAR), age, c_custkey % 10 = 0, NULL, NULL, NULL, CAST(c_nationkey AS VARCHAR), NULL, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'home' END, c_mktsegment, NULL, NULL,
+      CAST(c_custkey % 4 AS INTEGER), NULL, NULL, NULL, NULL, 0, c_acctbal, c_acctbal / 60.0::DOUBLE, NULL, 'adult_unit_stay_age_topcoded_to_90' FROM (SELECT *, CASE WHEN c_custkey % 3 > 0 THEN CAST(c_custkey AS VARCHAR) ELSE 'unitstay:' || c_custkey END AS p FROM t) WHERE age >= 18""")
 def d01_d02_cohort(spark, d):
-    return cohort.cohort(cohort.dated_stays(*_dated(spark, d), "a"), cohort.offset_stays(_offset(spark, d), "b"))
+    return cohort.cohort(cohort.dated_stays(*_dated(spark, d), "a", version="v1"), cohort.offset_stays(_offset(spark, d), "b", version="v2"))
 
 
 @query(with_sql(_COHORT) + "SELECT count(*) AS joined_stays, count(*) FILTER (WHERE age >= 18) AS adult_stays, count(DISTINCT adm) FILTER (WHERE age >= 18) AS first_adult_stays, count(*) FILTER (WHERE age >= 18) - count(DISTINCT adm) FILTER (WHERE age >= 18) AS repeated_stays FROM s")
