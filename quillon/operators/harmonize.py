@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,11 +71,33 @@ def condition_rollup(facts: DataFrame, maps: dict[str, DataFrame]) -> DataFrame:
         F.when(c("__by_code").isNotNull(), "code").when(c("__by_prefix").isNotNull(), "prefix").when(c("__by_text").isNotNull(), "text").alias("project_match"))
 
 
-def medication_rows(orders: DataFrame, tiers: list[tuple[str, list[str], DataFrame]], value: str, cancelled: str | None = "cancelled") -> DataFrame:
-    """Orders that were not cancelled, mapped by the first tier that has their keys; unmapped orders stay."""
+def medication_rows(orders: DataFrame, tiers: list[tuple[str, list[str], DataFrame]], fields: list[str], cancelled: str | None = "cancelled") -> DataFrame:
+    """Orders that were not cancelled, with the fields (concept, ingredient, class and so on) that the first tier which
+    has their keys gives them, all of one mapping row (of several the least), its name and a status; unmapped orders stay."""
     if cancelled is not None:
         orders = orders.where(~F.coalesce(says_true(F.col(cancelled)), F.lit(False)))
-    return tiered_lookup(orders, tiers, value)
+    packed = [(name, keys, table.select(*keys, F.struct(*fields).alias("__mapped"))) for name, keys, table in tiers]
+    out = tiered_lookup(orders, packed, "__mapped")
+    some = reduce(lambda a, b: a | b, [F.col(f"__mapped.{f}").isNotNull() for f in fields])
+    # The two statuses.
+    return out.select(*orders.columns, "__mapped.*", "matched_by", F.when(F.coalesce(some, F.lit(False)), "mapped_rxnorm_or_atc").otherwise("unmapped").alias("mapping_status"))
+
+
+def lab_rows(events: DataFrame, item: str, items: DataFrame | None = None) -> DataFrame:
+    """Events with the label and unit group of their item in items (item, label, category), keys compared as trimmed
+    text, of several the least label; nulls without the table."""
+    if items is None:
+        return events.withColumns({c: F.lit(None).cast("string") for c in ("label", "category")})
+    known = items.groupBy(F.trim(F.col("item").cast("string")).alias("__item")).agg(F.min(F.struct("label", "category")).alias("__found"))
+    held = events.join(known, F.trim(F.col(item).cast("string")) == F.col("__item"), "left")
+    return held.select(*events.columns, "__found.label", "__found.category")
+
+
+def flag_events(df: DataFrame, ids: list[str], flags: list[str]) -> DataFrame:
+    """An event for each support flag (ventilation, dialysis and the like) that says true, the flag's name being its
+    token and 1 its value."""
+    names = F.filter(F.array(*[F.when(says_true(F.col(f).cast("string")), F.lit(f)) for f in flags]), lambda x: x.isNotNull())
+    return df.select(*ids, F.explode(names).alias("token"), F.lit(1.0).alias("value"))
 
 
 def cancelled_summary(orders: DataFrame, by: str, cancelled: str = "cancelled") -> DataFrame:

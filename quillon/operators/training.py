@@ -25,12 +25,18 @@ def label_events(events: DataFrame, predict: float = 24.0, label: float = 48.0)
     return inside.groupBy("stay_id", "candidate").agg(F.count("*").alias("events"), F.min("hours").alias("first_hours"))
 
 
+CATALOG_NAMES = ("condition_name", "candidate_name", "concept", "class_code")
+
+
 def candidate_catalog(stays: DataFrame, labels: DataFrame, top_n: int = 50, dev: str = "dev", fit: str = "train") -> DataFrame:
     """Per condition the candidates that most fitting stays have: (condition, candidate, stays, events,
     candidate_rank), rank by stays, events, then candidate. Only the fitting split of the development source counts.
-    Counts are partial aggregates; the window sorts one condition's candidates, which a vocabulary bounds."""
-    own = stays.where((F.col("source") == dev) & (F.col("split") == fit)).select("stay_id", "condition")
-    counts = own.join(labels, "stay_id").groupBy("condition", "candidate").agg(F.count_distinct("stay_id").alias("stays"), F.sum("events").alias("events"))
+    Counts are partial aggregates; the window sorts one condition's candidates, which a vocabulary bounds. Names and codes
+    that stays (condition_name) or labels (candidate_name, concept, class_code) have come along, of several the least."""
+    names = [c for c in CATALOG_NAMES if c in stays.columns or c in labels.columns]
+    own = stays.where((F.col("source") == dev) & (F.col("split") == fit)).select("stay_id", "condition", *[c for c in names if c in stays.columns])
+    held = own.join(labels.select("stay_id", "candidate", "events", *[c for c in names if c not in stays.columns]), "stay_id")
+    counts = held.groupBy("condition", "candidate").agg(F.count_distinct("stay_id").alias("stays"), F.sum("events").alias("events"), *[F.min(c).alias(c) for c in names])
     order = Window.partitionBy("condition").orderBy(F.desc("stays"), F.desc("events"), F.col("candidate").asc_nulls_last())
     return counts.withColumn("candidate_rank", F.row_number().over(order).cast("long")).where(F.col("candidate_rank") <= top_n)
 

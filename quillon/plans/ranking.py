@@ -57,7 +57,7 @@ for _k in (1, 3, 5, 10):
     _at(_k)
 
 
-@query(with_sql(*BASE) + "SELECT condition, candidate, stays, events, candidate_rank FROM catalog")
+@query(with_sql(*BASE) + "SELECT condition, candidate, stays, events, candidate_name, class_code, candidate_rank FROM catalog")
 def d13_catalog(spark, d):
     return _catalog(spark, d)
 

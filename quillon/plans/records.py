@@ -188,14 +188,35 @@ def d03_rollup_precedence(spark, d):
     return harmonize.condition_rollup(_conditions(spark, d), maps).drop("code", "version", "text")
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, coalesce(a.v, b.v) AS drug, CASE WHEN a.v IS NOT NULL THEN 'code' WHEN b.v IS NOT NULL THEN 'name' END AS matched_by FROM (SELECT * FROM lineitem WHERE l_returnflag <> 'R')
-    JOIN part ON p_partkey = l_partkey LEFT JOIN (SELECT p_partkey AS k, min(p_type) AS v FROM part WHERE p_size < 20 GROUP BY 1) a ON a.k = l_partkey LEFT JOIN (SELECT p_name AS k, min(p_type) AS v FROM part WHERE p_size > 45 GROUP BY 1) b ON b.k = p_name""")
+_LEAST = "min_by(p_type, (p_type, p_brand)) AS drug, min_by(p_brand, (p_type, p_brand)) AS ingredient"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, l_partkey, coalesce(a.drug, b.drug) AS drug, CASE WHEN a.drug IS NOT NULL THEN a.ingredient ELSE b.ingredient END AS ingredient, CASE WHEN a.drug IS NOT NULL THEN 'code' WHEN b.drug IS NOT NULL THEN 'name' END AS matched_by,
+    CASE WHEN coalesce(a.drug, b.drug) IS NULL THEN 'unmapped' ELSE 'mapped_rxnorm_or_atc' END AS mapping_status FROM (SELECT * FROM lineitem WHERE l_returnflag <> 'R') JOIN part ON p_partkey = l_partkey
+    LEFT JOIN (SELECT p_partkey AS k, {_LEAST} FROM part WHERE p_size < 20 GROUP BY 1) a ON a.k = l_partkey LEFT JOIN (SELECT p_name AS k, {_LEAST} FROM part WHERE p_size > 45 GROUP BY 1) b ON b.k = p_name""")
 def d04_medications(spark, d):
     part = read(spark, d, "part")
     orders = read(spark, d, "lineitem").withColumn("cancelled", F.when(F.col("l_returnflag") == "R", "Yes")).join(part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
-    named = part.withColumn("drug", F.col("p_type"))
-    tiers = [("code", ["l_partkey"], named.where("p_size < 20").select(F.col("p_partkey").alias("l_partkey"), "drug")), ("name", ["p_name"], named.where("p_size > 45").select("p_name", "drug"))]
-    return harmonize.medication_rows(orders, tiers, "drug").select("l_orderkey", "l_linenumber", "l_partkey", "drug", "matched_by")
+    named = part.withColumns({"drug": F.col("p_type"), "ingredient": F.col("p_brand")})
+    fields = ["drug", "ingredient"]
+    tiers = [("code", ["l_partkey"], named.where("p_size < 20").select(F.col("p_partkey").alias("l_partkey"), *fields)), ("name", ["p_name"], named.where("p_size > 45").select("p_name", *fields))]
+    return harmonize.medication_rows(orders, tiers, fields).select("l_orderkey", "l_linenumber", "l_partkey", *fields, "matched_by", "mapping_status")
+
+
+@query("""SELECT o.o_orderkey, i.label, i.category, 'known' AS lookup FROM orders o LEFT JOIN (SELECT trim(n_name) AS k, min(n_name) AS label, min_by('r' || n_regionkey, (n_name, 'r' || n_regionkey)) AS category FROM nation WHERE n_nationkey % 3 > 0 GROUP BY 1) i ON i.k = (SELECT max(n_name) FROM nation WHERE n_nationkey = o.o_orderkey % 25)
+    UNION ALL SELECT o_orderkey, NULL, NULL, 'none' FROM orders""")
+def j03_lab_labels(spark, d):
+    nation = read(spark, d, "nation")
+    orders = read(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 25).alias("n_nationkey")).join(nation.select("n_nationkey", F.concat(F.lit(" "), "n_name").alias("item")), "n_nationkey", "left").select("o_orderkey", "item")
+    items = nation.where("n_nationkey % 3 > 0").select(F.concat("n_name", F.lit("  ")).alias("item"), F.col("n_name").alias("label"), F.concat(F.lit("r"), "n_regionkey").alias("category"))
+    out = harmonize.lab_rows(orders, "item", items).withColumn("lookup", F.lit("known")).union(harmonize.lab_rows(orders, "item").withColumn("lookup", F.lit("none")))
+    return out.drop("item")
+
+
+@query("SELECT o_orderkey, unnest(list_filter([CASE WHEN o_orderstatus = 'F' THEN 'ventilated' END, CASE WHEN o_totalprice > 100000 THEN 'dialysed' END], lambda x: x IS NOT NULL)) AS token, 1.0::DOUBLE AS value FROM orders")
+def d07_support_flags(spark, d):
+    own = read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", " Yes").otherwise("no").alias("ventilated"), (F.col("o_totalprice") > 100000).alias("dialysed"))
+    return harmonize.flag_events(own, ["o_orderkey"], ["ventilated", "dialysed"])
 
 
 @query("SELECT l_linestatus, count(*) AS orders, count(*) FILTER (WHERE l_returnflag = 'R') AS cancelled, count(*) FILTER (WHERE l_returnflag <> 'R') AS retained FROM lineitem GROUP BY 1")

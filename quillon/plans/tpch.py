@@ -26,9 +26,9 @@ def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The brands of an order's lines are its candidates."""
-    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat(F.lit("med:"), "p_brand").alias("candidate"))
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.concat(F.lit("med:"), "p_brand").alias("candidate"), F.col("p_name").alias("candidate_name"), F.col("p_type").alias("class_code"))
     lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("stay_id"), "l_partkey")
-    return lines.join(part, "l_partkey").groupBy("stay_id", "candidate").agg(F.count("*").alias("events"))
+    return lines.join(part, "l_partkey").groupBy("stay_id", "candidate").agg(F.count("*").alias("events"), F.min("candidate_name").alias("candidate_name"), F.min("class_code").alias("class_code"))
 
 
 STAYS_SQL = f"""stays AS MATERIALIZED (SELECT stay_id, patient_id, source, condition, o_orderpriority, o_totalprice, o_orderdate,
@@ -36,9 +36,9 @@ STAYS_SQL = f"""stays AS MATERIALIZED (SELECT stay_id, patient_id, source, condi
     FROM (SELECT o_orderkey AS stay_id, o_custkey AS patient_id, o_orderpriority, o_totalprice, o_orderdate, CASE WHEN c_nationkey % 5 = 0 THEN 'external' ELSE 'dev' END AS source,
       'cond:' || lower(c_mktsegment) AS condition, CAST('0x' || substr(md5(CAST(c_custkey AS VARCHAR) || '|{SEED}'), 1, 8) AS UBIGINT) % 10000 AS bucket
       FROM orders JOIN customer ON o_custkey = c_custkey))"""
-LABELS_SQL = "labels AS MATERIALIZED (SELECT l_orderkey AS stay_id, 'med:' || p_brand AS candidate, count(*) AS events FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
+LABELS_SQL = "labels AS MATERIALIZED (SELECT l_orderkey AS stay_id, 'med:' || p_brand AS candidate, count(*) AS events, min(p_name) AS candidate_name, min(p_type) AS class_code FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"
 CATALOG_SQL = f"""catalog AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY stays DESC, events DESC, candidate) AS candidate_rank
-    FROM (SELECT condition, candidate, count(DISTINCT stay_id) AS stays, CAST(sum(events) AS BIGINT) AS events FROM stays JOIN labels USING (stay_id)
+    FROM (SELECT condition, candidate, count(DISTINCT stay_id) AS stays, CAST(sum(events) AS BIGINT) AS events, min(candidate_name) AS candidate_name, min(class_code) AS class_code FROM stays JOIN labels USING (stay_id)
       WHERE source = 'dev' AND split = 'train' GROUP BY 1, 2)) WHERE candidate_rank <= {TOP_N})"""
 ROWS_SQL = """pcm AS MATERIALIZED (SELECT s.*, c.candidate, c.candidate_rank, l.events AS label_events, s.stay_id || '|' || s.condition AS group_id, l.events IS NOT NULL AS label
     FROM stays s JOIN catalog c USING (condition) LEFT JOIN labels l ON l.stay_id = s.stay_id AND l.candidate = c.candidate)"""
