@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.sources.scratch import clear_scratch, delete, drop_stash, fresh_path, shared_folder, stash  # noqa: F401  the operators' own names for them
+
 #: ASCII white space that ends a word in every contract here.
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-OWN_FOLDER = "/tmp/checkpoints/quillon"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,35 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Rows are whole texts: fewer in an Arrow batch keep the memory of a task and its Python worker low."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where that is unset."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or OWN_FOLDER)
-    return context.getCheckpointDir()
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage, and survives any executor."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def small_parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches (of at most 64 MB by Spark's own default) in slices of a few rows: rows are whole texts here, and
+    what Python makes of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
-def drop_stash(df: DataFrame) -> None:
-    """Delete the files of a stash that no later plan reads."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def fresh_name(name: str, *frames: DataFrame) -> str:
+    """name, or the first of name_1, name_2 ... that no column of the frames has (in any case)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    return next(n for n in (name, *(f"{name}_{k}" for k in range(1, len(taken) + 2))) if n.lower() not in taken)
 
 
 def hash_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
@@ -91,3 +78,24 @@ def grouped_rows(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator
         held.append(batch.slice(start))
     if held:
         yield current, pa.Table.from_batches(held)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
+    """Tables of whole groups of equal (long or int) keys, of `rows` rows or somewhat more. The input is sorted by the keys
+    within its partition."""
+    held: list[pa.RecordBatch] = []
+    n, last = 0, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        own = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
+        new = np.flatnonzero((own[1:] != own[:-1]).any(axis=1)) + 1
+        at = int(new[-1]) if len(new) else 0
+        if n + at >= rows and (at or tuple(own[0]) != last):
+            held.append(batch.slice(0, at))
+            yield pa.Table.from_batches(held)
+            held, n, batch = [], 0, batch.slice(at)
+        held.append(batch)
+        n, last = n + batch.num_rows, tuple(own[-1])
+    if held:
+        yield pa.Table.from_batches(held)

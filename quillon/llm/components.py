@@ -29,7 +29,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every vertex of some edge other than itself, root the least vertex reachable. Vertices are
-    longs. Null ends and loops are ignored; repeated and two-way edges count once; no edges give no rows."""
+    longs. Null ends and loops are ignored; repeated and two-way edges count once; no edges give no rows. The result is
+    a stash, the caller's to drop."""
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e = e.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     e = stash(e, "edges")
@@ -45,7 +46,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     else:
         raise RuntimeError("components did not settle")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.union(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    nodes = stash(nodes.union(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct(), "components")
+    drop_stash(e)
+    return nodes
 
 
 def forest(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
