@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WHITE, drop_stash, fresh_path, small_batches, stash
+from .common import WHITE, delete, drop_stash, fresh_name, fresh_path, small_parts, stash
 
 RUN_SCHEMA = "key binary, n_docs long, last_doc long"
 
@@ -73,21 +73,29 @@ class LineRuns:
         earlier batch held, and such a key's first line is the one in its largest document. Documents of one id belong
         in one batch; a key repeated in a document counts once."""
         held = lines.select("key", "doc_id").distinct()
-        own = held.repartition(self.buckets, "key").groupBy("key")
-        name = self._write(own.agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")))
+        # Counted in part before the shuffle, so that a line of very many documents is a row a task.
+        own = held.groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        even = self.buckets == int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        name = self._write(own if even else own.repartition(self.buckets, "key"))
         first = self.unseen(self.spark.table(name)).select("key", F.col("last_doc").alias("doc_id"))
         repeats = stash(held.join(first, ["key", "doc_id"], "left_anti"), "repeats")
         self.levels[0].append(name)
         self.compact()
         return repeats
 
+    def drop(self, names: list[str] | None = None) -> None:
+        """Delete runs (all by default): their tables and their files."""
+        for name in [n for level in self.levels for n in level] if names is None else names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            delete(self.spark, self.paths.pop(name))
+        if names is None:
+            self.levels = [[]]
+
     def compact(self) -> None:
         for depth, full in enumerate(self.levels):
             if len(full) >= self.fanout:
                 whole = self._write(self.merged(full).repartition(self.buckets, "key"))
-                for name in full:
-                    drop_stash(self.spark.table(name))
-                    self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+                self.drop(full)
                 self.levels[depth] = []
                 if depth + 1 == len(self.levels):
                     self.levels.append([])
@@ -98,7 +106,7 @@ def line_keys(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_c
     """(doc_id, key) of each counting line, once a row of docs. Rows without an id give none."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_parts(batches):
             ids, out = [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = {line_key(x, min_chars) for x in (t or "").split("\n")} - {None}
@@ -109,7 +117,6 @@ def line_keys(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_c
                     ids, out = [], []
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "key"])
 
-    small_batches(docs.sparkSession)
     held = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return held.mapInArrow(keys, "doc_id long, key binary")
 
@@ -139,14 +146,17 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     store = LineRuns(spark, buckets, fanout)
     repeats = [store.add(lines.where(F.col("batch") == batch)) for batch in range(len(cuts) + 1)]
     common = store.merged().where(F.col("n_docs") >= min_docs).select("key")
+    own_id, own_keys = fresh_name("id", docs), fresh_name("drops", docs)
     drops = reduce(DataFrame.union, repeats).join(common, "key")
-    drops = stash(drops.groupBy("doc_id").agg(F.collect_set("key").alias("__drops")), "drops").withColumnRenamed("doc_id", "__id")
+    drops = stash(drops.groupBy(F.col("doc_id").alias(own_id)).agg(F.collect_set("key").alias(own_keys)), "drops")
+    store.drop()
+    drop_stash(lines, *repeats)
     held = docs.drop("n_lines", "n_dropped")
     width, at = len(held.columns), held.columns.index(text)
     schema = T.StructType([*held.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        for batch in small_parts(parts):
             kept, before, gone = [], [], []
             for t, drop in zip(batch.column(at).to_pylist(), batch.column(width).to_pylist(), strict=True):
                 all_lines = (t or "").split("\n")
@@ -162,7 +172,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
             columns[at] = pa.array(kept, pa.string())
             yield pa.RecordBatch.from_arrays(columns, schema.fieldNames())
 
-    joined = held.join(drops, held[doc_id] == drops["__id"], "left").drop("__id")
+    joined = held.join(drops, held[doc_id] == drops[own_id], "left").drop(own_id)
     return joined.mapInArrow(cut, schema)
 
 
@@ -171,5 +181,5 @@ def dedup_batch(store: LineRuns, docs: DataFrame, doc_id: str = "doc_id", text:
     own run is added after the merge anti-join, so a line stays in every document of the batch that first holds it."""
     lines = stash(line_keys(docs, doc_id, text, min_chars), "lines")
     new = stash(store.unseen(lines), "unseen")
-    store.add(lines)
+    drop_stash(store.add(lines), lines)
     return new
