@@ -16,7 +16,8 @@ from .common import ascii_lower, hash_sample, stash
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Labelled rows that a model is fitted on: those of the least hashes, if there are more.
 SAMPLE = 20_000
-SUFFIXES = 4096
+#: Rows of the whole share that each suffix's own share is pulled by.
+PULL = 20
 FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digits", "hyphens", "marks", "entropy", "parameters", "query_length", "fragment", "secure", "suffix_rate", "suffix_share", "tail_rate")
 
 
@@ -137,14 +138,20 @@ class Trees:
         return 1 / (1 + np.exp(-score))
 
 
-def rates(labelled: DataFrame, by: str, most: int = SUFFIXES) -> dict[str, tuple[float, float]]:
-    """Share blocked (pulled towards the whole share by 20 rows) and share of all labelled rows, for each value of a
-    column; of more than `most` values, the most frequent."""
-    held = labelled.groupBy(by).agg(F.sum("y").alias("bad"), F.count("*").alias("n"))
+def rates(labelled: DataFrame, by: str) -> tuple[DataFrame, float]:
+    """(by, by_rate, by_share) of every value of a column among labelled rows: the share blocked, pulled towards that of
+    all rows by PULL rows, and the value's share of the rows; and the share blocked of all rows."""
     total, bad = labelled.agg(F.count("*"), F.sum("y")).first()
     mean = (bad or 0) / max(1, total)
-    top = held.orderBy(F.desc("n"), by).limit(most).collect()
-    return {r[by]: ((r["bad"] + 20 * mean) / (r["n"] + 20), r["n"] / total) for r in top} | {"": (mean, 0.0)}
+    held = labelled.groupBy(by).agg(F.sum("y").alias("bad"), F.count("*").alias("n"))
+    return held.select(by, ((F.col("bad") + PULL * mean) / (F.col("n") + PULL)).alias(f"{by}_rate"), (F.col("n") / max(1, total)).alias(f"{by}_share")), mean
+
+
+def with_rates(urls: DataFrame, suffix: tuple[DataFrame, float], tail: tuple[DataFrame, float]) -> DataFrame:
+    """urls (suffix, tail) with suffix_rate, suffix_share and tail_rate; values that no labelled row has: the share of
+    all, and 0. Spark picks the joins, by the tables' sizes; one value's rows may be dealt to several tasks."""
+    out = urls.join(suffix[0], "suffix", "left").join(tail[0].drop("tail_share"), "tail", "left")
+    return out.withColumns({"suffix_rate": F.coalesce("suffix_rate", F.lit(suffix[1])), "suffix_share": F.coalesce("suffix_share", F.lit(0.0)), "tail_rate": F.coalesce("tail_rate", F.lit(tail[1]))})
 
 
 def url_verdicts(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules: tuple = RULES, sample: int = SAMPLE, block_from: float = 0.5) -> DataFrame:
@@ -152,8 +159,8 @@ def url_verdicts(pages: DataFrame, page_id: str = "page_id", url: str = "url", r
     trees trained on the URLs that the rules label, which block from a probability of block_from (score).
 
     The trees are fitted on the driver over at most `sample` labelled rows (those of the least hashes of the URL);
-    the suffix statistics count all labelled rows, grouped by Spark, and keep the SUFFIXES most frequent values. If
-    no rule labels a row, or all labels are alike, the trees say what they know: 0.5 (block) or that label.
+    the suffix statistics count all labelled rows and all suffixes, as tables that the rows are joined with. If no
+    rule labels a row, or all labels are alike, the trees say what they know: 0.5 (block) or that label.
 
     Null URL, or one without ://: empty host and path, no rule, judged by the trees as an empty URL is. Repeated rows
     come out repeated; null ids are kept. No rows: none. Other columns don't matter.
@@ -164,30 +171,25 @@ def url_verdicts(pages: DataFrame, page_id: str = "page_id", url: str = "url", r
     rule, verdict = fitting_rule(F.col("host"), F.col("path"), rules)
     held = stash(url_features(held.withColumns({"rule": rule, "fixed": verdict})), "urls")
     labelled = held.where("fixed is not null").withColumn("y", (F.col("fixed") == "block").cast("int"))
-    suffix, tail = rates(labelled, "suffix"), rates(labelled, "tail")
-    rows = hash_sample(labelled, sample, "url", "page_id").select(*FEATURES[:14], "suffix", "tail", "y").toPandas()
-    model = fit_trees(rows, suffix, tail)
+    suffix, tail = ((stash(rows, by), mean) for by in ("suffix", "tail") for rows, mean in [rates(labelled, by)])
+    picked = hash_sample(labelled, sample, "url", "page_id").select(*FEATURES[:14], "suffix", "tail", "y")
+    model = fit_trees(with_rates(picked, suffix, tail).select(*FEATURES, "y").toPandas(), (suffix[1], 0.0, tail[1]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = model.probability(matrix(batch.to_pandas(), suffix, tail))
+            score = model.probability(np.column_stack([batch.column(c).to_numpy() for c in FEATURES]))
             fixed = batch.column("fixed").to_pylist()
             said = [f or ("block" if s >= block_from else "allow") for f, s in zip(fixed, score, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path", "rule")), pa.array(said), pa.array(score)], ["page_id", "host", "path", "rule", "verdict", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path", "rule")), pa.array(said, pa.string()), pa.array(score, pa.float64())], ["page_id", "host", "path", "rule", "verdict", "score"])
 
-    return held.mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string, score double")
+    rows = with_rates(held, suffix, tail).select("page_id", "host", "path", "rule", "fixed", *FEATURES)
+    return rows.mapInArrow(judge, "page_id long, host string, path string, rule string, verdict string, score double")
 
 
-def fit_trees(rows, suffix: dict, tail: dict) -> Trees:
+def fit_trees(rows, unknown: tuple[float, float, float]) -> Trees:
     """Trees over labelled feature rows (y: 1 is block). Every row counts twice, once with the statistics of a suffix
     that no labelled URL has: so the trees also learn what the other features say where the statistics say nothing."""
-    x = np.concatenate((matrix(rows, suffix, tail), matrix(rows, {"": suffix[""]}, {"": tail[""]})))
-    return Trees().fit(x, np.tile(rows["y"].to_numpy(float), 2))
-
-
-def matrix(rows, suffix: dict, tail: dict) -> np.ndarray:
-    """Feature rows: the lexical ones, and the statistics of each row's suffix and path head."""
-    own = rows[list(FEATURES[:14])].to_numpy(float)
-    of = [suffix.get(s, suffix[""]) for s in rows["suffix"]]
-    ends = [tail.get(t, tail[""])[0] for t in rows["tail"]]
-    return np.column_stack((own, np.array(of, float).reshape(-1, 2), np.array(ends, float)))
+    own = rows[list(FEATURES)].to_numpy(float)
+    apart = own.copy()
+    apart[:, 14:] = unknown
+    return Trees().fit(np.concatenate((own, apart)), np.tile(rows["y"].to_numpy(float), 2))
