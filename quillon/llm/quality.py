@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash_sample, small_batches, stash, utf8
+from .common import fresh_name, hash_sample, small_parts, stash, utf8
 from .tokens import mix, windows
 
 #: Buckets that n-grams are hashed to, and the longest n-grams.
@@ -22,6 +22,8 @@ SAMPLE = 50_000
 SMOOTH = 30.0
 #: N-grams without evidence that every text is given, so that a short one is judged with care.
 NEUTRAL = 20
+#: N-grams of the passage that a text's weight is of: a text weighs as so much of it would, however long it is.
+PASSAGE = 100
 #: Rows that the last step of the threshold search may rank in one task.
 RANKED = 20_000
 SEED = 7
@@ -78,7 +80,7 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, raw = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
-        for batch in batches:
+        for batch in small_parts(batches):
             for k, t in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 for b in ngram_buckets(t, buckets):
                     own = np.bincount(b, minlength=buckets)
@@ -88,7 +90,6 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(target[some]), pa.array(raw[some])], ["bucket", "target", "raw"])
 
-    small_batches(docs.sparkSession)
     held = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = held.mapInArrow(count, "bucket long, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toPandas()
     target, raw = np.zeros(buckets), np.zeros(buckets)
@@ -107,17 +108,17 @@ def gumbel(doc_id: int | None, seed: int = SEED) -> float:
     return -math.log(-math.log(u))
 
 
-def importance(docs: DataFrame, model: RatioModel, doc_id: str = "doc_id", text: str = "text", temperature: float = 0.001) -> DataFrame:
-    """(doc_id, log_ratio, key): the mean log importance weight of each whole text, and the key that sampling goes by."""
+def importance(docs: DataFrame, model: RatioModel, doc_id: str = "doc_id", text: str = "text", passage: int = PASSAGE, seed: int = SEED) -> DataFrame:
+    """(doc_id, log_ratio, key): the mean log ratio of each whole text's n-grams, and the key that sampling goes by: the log
+    importance weight of a passage of so many n-grams of the text, and Gumbel noise."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_parts(batches):
             ids = batch.column(0).to_pylist()
             s = np.array([model.score(t) for t in utf8(batch.column(1))], float)
-            key = s / temperature + np.array([gumbel(k) for k in ids], float)
+            key = s * passage + np.array([gumbel(k, seed) for k in ids], float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array(key)], ["doc_id", "log_ratio", "key"])
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(score, "doc_id long, log_ratio double, key double")
 
 
@@ -126,7 +127,7 @@ def top_k(rows: DataFrame, k: int, key: str = "key", tie: str = "doc_id") -> Dat
 
     No sort of all rows: a histogram finds the range that the k-th key lies in, again and again within it, until
     few rows are left there or all have one key. Only these are ranked, by their (key, tie), each pair once with its
-    count.
+    count: keys that hold noise of the tie are of few ties each.
     """
     total = rows.count()
     if k >= total or k <= 0:
@@ -155,20 +156,21 @@ def top_k(rows: DataFrame, k: int, key: str = "key", tie: str = "doc_id") -> Dat
     return out.withColumn("kept", (F.col(key) > high) | F.coalesce("__in", F.lit(False))).drop("__key", "__tie", "__in")
 
 
-def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: int | None = None, temperature: float = 0.001, margin: float | None = None) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: int | None = None, passage: int = PASSAGE, seed: int = SEED, margin: float | None = None) -> DataFrame:
     """(doc_id, log_ratio, key, kept) for each row of docs: importance resampling towards the documents labelled
-    quality 1. The log weight of a text is the mean over its n-grams of the log ratio of the target and the raw model
-    (a sum would rank texts by their length); a document's key is its log weight over the temperature plus Gumbel
-    noise, and the `keep` largest keys are kept: a sample without replacement in proportion to the weights to the
-    power 1 / temperature. keep defaults to the number of documents whose log weight is at least -margin, and margin
-    to the model's own.
+    quality 1. The weight of a text is the ratio of the target and the raw model's probabilities of a passage of
+    `passage` n-grams with the text's own makeup: its log is `passage` times the mean over the text's n-grams (the sum
+    over a whole text would rank texts by their length). A document's key is its log weight plus Gumbel noise, and the
+    `keep` largest keys are kept: a sample without replacement in proportion to the weights. Another seed gives
+    another sample. keep defaults to the number of documents whose mean is at least -margin, and margin to the model's
+    own: as many as have no evidence against them, drawn among all.
 
     Null and empty texts have weight 0, so they count as likely. Null ids share their noise. Repeated rows have equal
     keys and are kept or not together (rows of equal key and id may bring the count above keep). Empty labels: all
     weights are 0 and all rows are kept. No rows: none. Other columns don't matter.
     """
     model = fit_ratio(docs, labels, doc_id, text)
-    rows = stash(importance(docs, model, doc_id, text, temperature), "weights")
+    rows = stash(importance(docs, model, doc_id, text, passage, seed), "weights")
     keep = rows.where(F.col("log_ratio") >= -(model.margin if margin is None else margin)).count() if keep is None else keep
     return top_k(rows, keep)
 
@@ -176,5 +178,6 @@ def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 def kept_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **kind) -> DataFrame:
     """The rows of docs that resampling keeps, with docs' columns. Rows without an id are kept or not by their text
     like any other, all of them together if one is."""
-    kept = resample(docs, labels, doc_id, text, **kind).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(doc_id).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    own = fresh_name("kept", docs)
+    kept = resample(docs, labels, doc_id, text, **kind).where("kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(kept, F.col(doc_id).cast("long").eqNullSafe(F.col(own)), "left_semi")
