@@ -5,15 +5,15 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from itertools import combinations
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import grouped_rows, small_batches, stash, utf8
+from .common import drop_stash, grouped_rows, small_parts, stash, utf8, whole_groups
 from .components import connected_components, forest
 from .tokens import chain, mix, token_hashes
 
@@ -21,6 +21,8 @@ from .tokens import chain, mix, token_hashes
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 #: Node pairs that are opened at a time; a task's memory is a few dozen bytes for each child of these.
 OPENED = 1 << 17
+#: Rows of nodes that a task walks together, rows of one block of a node, and pairs of wide codes compared at a time.
+PORTION, MOST, COMPARED = 1 << 16, 1 << 17, 1 << 18
 #: Sets, and shingles, of a part of a large group of candidates; sets that all parts of a group are compared with.
 PART_ROWS, PART_SHINGLES, PIVOTS = 1024, 1 << 20, 8
 
@@ -57,11 +59,10 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     """(doc_id, fp) with the fingerprint's bits as a signed long."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_parts(batches):
             fp = np.array([fingerprint(t, shingle) for t in utf8(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(of, "doc_id long, fp long")
 
 
@@ -82,36 +83,50 @@ def set_key(own: np.ndarray) -> int:
 
 
 class Trie:
-    """A sorted array of distinct codes seen as a binary trie: the nodes of chosen depths are ranges of it."""
+    """A sorted array of codes, distinct within their group, seen as a binary trie below each group: the nodes of chosen
+    depths are ranges of it. The codes of a group share their first bits, down to the first depth."""
 
-    def __init__(self, codes: np.ndarray, bits: int, depths: list[int]) -> None:
-        self.codes, self.depths = codes, depths
+    def __init__(self, codes: np.ndarray, bits: int, depths: list[int], group: np.ndarray | None) -> None:
         self.prefix, self.child = [], []
         starts = []
         for d in depths:
             p = codes >> np.uint64(bits - d) if d else np.zeros(len(codes), np.uint64)
-            first = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
+            new = p[1:] != p[:-1] if group is None else (p[1:] != p[:-1]) | (group[1:] != group[:-1])
+            first = np.flatnonzero(np.concatenate(([True], new)))
             starts.append(np.append(first, len(codes)))
             self.prefix.append(p[first])
         for upper, lower in zip(starts, starts[1:], strict=False):
             self.child.append(np.searchsorted(lower, upper))
 
 
-def trie_join(a: np.ndarray, b: np.ndarray, bits: int, budget: int, top: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def ring_limits(bits: int, budget: int, depths: list[int]) -> list[int]:
+    """Differing bits allowed down to each depth. Of budget + 1 blocks round a ring that differ in at most budget bits
+    together, some block begins a round in which the first k blocks differ in at most k - 1 bits, for every k (cycle
+    lemma): a pair is met in the rotation that begins there, so all rotations may prune by this."""
+    ends = [k * bits // (budget + 1) for k in range(1, budget + 2)]
+    return [next(k for k, end in enumerate(ends) if end >= d) for d in depths]
+
+
+def trie_join(a: np.ndarray, b: np.ndarray, bits: int, budget: int, top: int, group: np.ndarray | None = None, ring: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of the codes of sorted distinct a and b that differ in at most budget of their bits; of a with
     itself (the same array), each pair once. The codes of either share their first `top` bits. Pairs of nodes are
     walked together from there: a pair's differing bits add up on the way and a pair beyond the budget is dropped
-    with all below it. The walk goes depth first in bounded portions."""
+    with all below it. The walk goes depth first in bounded portions. With group (sorted, for a with itself), codes are
+    distinct and share their first bits within their group only, and only codes of one group meet. With ring, the budget
+    grows with the depth (ring_limits): pairs within it are met in one rotation of the codes at least."""
     if not len(a) or not len(b):
         return
-    depths = [top, *range(top + 1, min(bits, top + 2 + int(math.log2(max(len(a), len(b))))) + 1)]
+    largest = max(len(a), len(b)) if group is None else int(np.unique(group, return_counts=True)[1].max())
+    depths = [top, *range(top + 1, min(bits, top + 2 + int(math.log2(largest))) + 1)]
     depths = depths if depths[-1] == bits else [*depths, bits]
+    allowed = ring_limits(bits, budget, depths) if ring else [budget] * len(depths)
     same = a is b
-    ta = Trie(a, bits, depths)
-    tb = ta if same else Trie(b, bits, depths)
-    zero = np.zeros(1, np.int64)
-    spent = np.bitwise_count(ta.prefix[0][:1] ^ tb.prefix[0][:1]).astype(np.int64)
-    stack = [(0, zero, zero, spent)] if spent[0] <= budget else []
+    ta = Trie(a, bits, depths, group)
+    tb = ta if same else Trie(b, bits, depths, None)
+    roots = np.arange(len(ta.prefix[0]))
+    spent = np.bitwise_count(ta.prefix[0] ^ tb.prefix[0]).astype(np.int64)
+    within = spent <= allowed[0]
+    stack = [(0, roots[within], roots[within], spent[within])]
     while stack:
         level, i, j, e = stack.pop()
         if len(i) > OPENED:
@@ -127,7 +142,7 @@ def trie_join(a: np.ndarray, b: np.ndarray, bits: int, budget: int, top: int) ->
         lo_a, lo_b = ta.child[level][i], tb.child[level][j]
         n_b = tb.child[level][j + 1] - lo_b
         n = (ta.child[level][i + 1] - lo_a) * n_b
-        if (most := int(n.sum())) > 64 * OPENED and len(i) > 1:
+        if (most := int(n.sum())) > 8 * OPENED and len(i) > 1:
             half = len(i) // 2
             stack += [(level, i[:half], j[:half], e[:half]), (level, i[half:], j[half:], e[half:])]
             continue
@@ -136,81 +151,101 @@ def trie_join(a: np.ndarray, b: np.ndarray, bits: int, budget: int, top: int) ->
         ci, cj = lo_a[of] + step // n_b[of], lo_b[of] + step % n_b[of]
         mask = np.uint64((1 << (depths[level + 1] - depths[level])) - 1)
         spent = e[of] + np.bitwise_count((ta.prefix[level + 1][ci] ^ tb.prefix[level + 1][cj]) & mask)
-        keep = spent <= budget
+        keep = spent <= allowed[level + 1]
         if same:
             keep &= ci <= cj
         stack.append((level + 1, ci[keep], cj[keep], spent[keep]))
 
 
-def _ball(bits: int, radius: int) -> list[int]:
-    """All masks of up to radius set bits."""
-    return [sum(1 << k for k in c) for r in range(min(radius, bits) + 1) for c in combinations(range(bits), r)]
-
-
-def near_links(codes: DataFrame, budget: int = 3, bits: int = 64, similar: int | None = None, most: int = 1 << 18, shallow: int = 3, tables: int = 1) -> DataFrame:
+def near_links(codes: DataFrame, budget: int = 3, bits: int = 64, similar: int | None = None, most: int = MOST, tables: int = 1) -> DataFrame:
     """Links (a, b) among coded rows that join exactly what the pairs within `budget` differing bits join.
 
     codes has key (long) and code (long, the low `bits` bits count); with `similar`, also wide (binary, whole 64-bit
-    words), and a pair must differ in at most `similar` bits of it as well. The codes are cut into the trie's nodes
-    of depth `shallow`, or as deep as leaves `most` codes in each; each pair of nodes within the budget is one task's walk.
-    A node that still has more is dealt into parts, and all pairs of parts are walked. A walk returns a spanning
-    forest of its links, never all pairs. Rows whose code is null link with nothing; rows of one code link (with
-    `similar`, if they are similar). With tables over 1, codes also has table (0 to tables - 1), and only codes of one
-    table meet.
+    words), and a pair must differ in at most `similar` bits of it as well. With tables over 1, codes also has table (0
+    to tables - 1), and only codes of one table meet.
+
+    Two codes within the budget agree in one of budget + 1 blocks of their bits. So a code stands in as many tries,
+    each rotated so that another block comes first, and meets what is under its node of that block only: it travels
+    in budget + 1 copies, however many codes there are. The walks start below the block and prune by what may have been
+    spent of the budget by then (ring_limits). A task walks all its nodes together. A node of over `most` rows is dealt into parts, and each
+    pair of parts is a block of its own. What leaves a task is a spanning forest of its links, never all pairs.
+    Rows whose code is null link with nothing; rows of one code link (with `similar`, if they are similar).
     """
+    wide = ["wide"] if similar is not None else []
+    turns = budget + 1
+    depth = bits // turns
+    if not depth:
+        raise ValueError("a code needs more bits than the budget")
     held = codes.where(F.col("code").isNotNull())
-    wide = similar is not None
-    n = math.ceil(held.count() / tables)
-    depth = min(bits, 10, max(shallow, math.ceil(math.log2(max(1, n / most)))))
-    top = F.shiftrightunsigned("code", bits - depth).bitwiseAND(F.lit((1 << depth) - 1))
-    held = held.withColumn("top", top + F.col("table") * (1 << depth) if tables > 1 else top)
-    largest = held.groupBy("top").count().agg(F.max("count")).first()[0] if n > most else n
-    parts = max(1, math.ceil((largest or 0) / most))
-    held = held.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
-    slices = max(8, math.ceil(n / (1 << depth) / parts / 4096))
-    # A node travels as a few packed rows, not as one row for each code.
-    packed = held.groupBy("top", "part", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(slices)).alias("slice"))
-    packed = packed.agg(F.collect_list(F.struct("code", "key", *["wide"] * wide)).alias("codes"))
-    masks = F.array(*[F.lit(m).cast("long") for m in _ball(depth, budget)])
-    spread = packed.withColumn("mask", F.explode(masks)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    own = F.col("top") * parts + F.col("part")
-    other = F.col("top").bitwiseXOR(F.col("mask")) * parts + F.col("q")
-    spread = spread.select(F.least(own, other).alias("x"), F.greatest(own, other).alias("y"), own.alias("own"), "codes")
-    pairs = spread.groupBy("x", "y").agg(F.collect_list(F.struct("own", "codes")).alias("sides"))
-    code_mask = np.uint64((1 << bits) - 1)
-
-    def side(rows: pa.StructArray, picked: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-        lists = rows.field("codes")
-        flat = pa.concat_arrays([lists[p].values for p in picked]) if picked else pa.array([], lists.type.value_type)
-        code = flat.field("code").to_numpy().view(np.uint64) & code_mask
-        key = flat.field("key").to_numpy()
-        order = np.lexsort((key, code))
-        w = np.frombuffer(b"".join(flat.field("wide").to_pylist()), np.uint64).reshape(len(flat), -1)[order] if wide and len(flat) else None
-        return code[order], key[order], w
+    own = F.col("code").bitwiseAND(F.lit((1 << bits) - 1 if bits < 64 else -1))
+
+    def rotated(by: int) -> Column:
+        both = F.shiftleft(own, by).bitwiseOR(F.shiftrightunsigned(own, bits - by)) if by else own
+        return both.bitwiseAND(F.lit((1 << bits) - 1)) if bits < 64 else both
+
+    turned = F.posexplode(F.array(*[rotated(t * bits // turns) for t in range(turns)])).alias("turn", "code")
+    rows = held.select("key", *wide, *["table"] * (tables > 1), turned)
+    trie = F.col("table") * turns + F.col("turn") if tables > 1 else F.col("turn")
+    node = F.shiftleft(trie.cast("long"), depth) + F.shiftrightunsigned("code", bits - depth)
+    rows = rows.select(node.alias("node"), "code", "key", *wide)
+    # A node has no more rows than a table, so small inputs need no count of each node.
+    large = stash(rows.groupBy("node").count().where(F.col("count") > most).select("node", F.ceil(F.col("count") / most).cast("int").alias("parts")), "large") if held.count() > most * tables else None
+    if large is None or large.isEmpty():
+        rows = rows.select("node", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("part"), "code", "key", *wide)
+    else:
+        rows = rows.join(large, "node", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rows = rows.select("node", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "code", "key", *wide)
+
+    def side(node: np.ndarray, rows: pa.Table) -> Side:
+        code, key = rows.column("code").to_numpy().view(np.uint64), rows.column("key").to_numpy()
+        order = np.lexsort((key, code, node))
+        w = np.frombuffer(b"".join(rows.column("wide").to_pylist()), np.uint64).reshape(len(node), -1)[order] if wide and len(node) else None
+        node, code, key = node[order], code[order], key[order]
+        first = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (code[1:] != code[:-1])))[: len(node)])
+        return Side(node[first], code[first], np.append(first, len(node)), key, w)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x, y, sides in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                rows = sides.values
-                owners = rows.field("own").to_pylist()
-                left = side(rows, [k for k, o in enumerate(owners) if o == x])
-                right = left if x == y else side(rows, [k for k, o in enumerate(owners) if o == y])
-                if len(left[0]) and len(right[0]):
-                    # Parts of one node share its prefix; nodes differ within it.
+        for held in whole_groups(batches, ["node", "x", "y"], PORTION):
+            node, x, y, part = (held.column(c).to_numpy() for c in ("node", "x", "y", "part"))
+            within = x == y
+            # Parts of one node are apart: a node's number and its part's make the group.
+            group = np.unique(np.stack((node, x), axis=1), axis=0, return_inverse=True)[1].ravel() if x.any() else node
+            alone = held if within.all() else held.filter(pa.array(within))
+            own = side(group[within], alone)
+            pairs = [(own, own)]
+            if not within.all():
+                edge = np.flatnonzero((node[1:] != node[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+                for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(node)], strict=True):
+                    if x[lo] != y[lo]:
+                        block, of = held.slice(lo, hi - lo), part[lo:hi]
+                        pairs.append(tuple(side(np.zeros(int((of == p).sum()), np.int64), block.filter(pa.array(of == p))) for p in (x[lo], y[lo])))
+            for left, right in pairs:
+                if len(left.key) and len(right.key):
                     a, b = _links(left, right, bits, budget, depth, similar)
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return pairs.mapInArrow(walk, "a long, b long")
+    return rows.repartition("node", "x", "y").sortWithinPartitions("node", "x", "y").mapInArrow(walk, "a long, b long")
+
+
+@dataclass
+class Side:
+    """Rows sorted by group and code: the groups and codes that differ, where each begins (and the end), and by row the
+    key and the wide code."""
+
+    group: np.ndarray
+    code: np.ndarray
+    bounds: np.ndarray
+    key: np.ndarray
+    wide: np.ndarray | None
 
 
-def _links(left: tuple, right: tuple, bits: int, budget: int, top: int, similar: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """The forest of what one pair of nodes links, as keys."""
+def _links(left: Side, right: Side, bits: int, budget: int, top: int, similar: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The forest of what the groups of one side link within themselves (left is right), or one node's parts across,
+    as keys."""
     same = left is right
-    (ca, ka, wa), (cb, kb, wb) = left, right
-    ua, first_a, of_a = np.unique(ca, return_index=True, return_inverse=True)
-    ub, first_b, of_b = (ua, first_a, of_a) if same else np.unique(cb, return_index=True, return_inverse=True)
-    shift = 0 if same else len(ka)
-    keys = ka if same else np.concatenate((ka, kb))
+    shift = 0 if same else len(left.key)
+    keys = left.key if same else np.concatenate((left.key, right.key))
     got_i: list[np.ndarray] = []
     got_j: list[np.ndarray] = []
     held = 0
@@ -220,50 +255,55 @@ def _links(left: tuple, right: tuple, bits: int, budget: int, top: int, similar:
         got_i.append(i)
         got_j.append(j)
         held += len(i)
-        if held > 1 << 21:
+        if held > 1 << 20:
             i, j = forest(np.concatenate(got_i), np.concatenate(got_j))
             got_i, got_j, held = [i], [j], len(i)
 
     if same:  # rows of one code
-        chain_at = np.flatnonzero(of_a[1:] == of_a[:-1])
         if similar is None:
-            put(chain_at, chain_at + 1)
+            later = np.ones(len(keys), bool)
+            later[left.bounds[:-1]] = False
+            put(np.flatnonzero(later) - 1, np.flatnonzero(later))
         else:
-            _rows_of_a_code(of_a, wa, similar, put)
-    size_a = np.append(first_a, len(ca))
-    size_b = np.append(first_b, len(cb))
-    for i, j in trie_join(ua, ub, bits, budget, top):
+            _rows_of_a_code(left.bounds, left.wide, similar, put)
+    for i, j in trie_join(left.code, left.code if same else right.code, bits, budget, top, left.group if same else None, True):
         if similar is None:
-            put(first_a[i], first_b[j] + shift)
+            put(left.bounds[i], right.bounds[j] + shift)
             continue
-        n_b = size_b[j + 1] - size_b[j]
-        n = (size_a[i + 1] - size_a[i]) * n_b
-        for at in range(0, len(i), 1 << 14):
-            m = n[at : at + (1 << 14)]
-            of = np.repeat(np.arange(at, at + len(m)), m)
-            step = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
-            x, y = size_a[i[of]] + step // n_b[of], size_b[j[of]] + step % n_b[of]
-            near = np.bitwise_count(wa[x] ^ wb[y]).sum(axis=1) <= similar
+        # All rows of the one code with all of the other, so many at a time.
+        n_b = right.bounds[j + 1] - right.bounds[j]
+        n = (left.bounds[i + 1] - left.bounds[i]) * n_b
+        ends = np.cumsum(n)
+        for at in range(0, int(ends[-1]), COMPARED):
+            flat = np.arange(at, min(at + COMPARED, int(ends[-1])))
+            of = np.searchsorted(ends, flat, "right")
+            step = flat - (ends[of] - n[of])
+            x, y = left.bounds[i[of]] + step // n_b[of], right.bounds[j[of]] + step % n_b[of]
+            near = np.bitwise_count(left.wide[x] ^ right.wide[y]).sum(axis=1) <= similar
             put(x[near], y[near] + shift)
     if not held:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     i, j = forest(np.concatenate(got_i), np.concatenate(got_j))
-    return keys[i], keys[j]
-
-
-def _rows_of_a_code(of: np.ndarray, wide: np.ndarray, similar: int, put) -> None:
-    """Links among rows of equal code: rows of equal wide code go by one of them, then all are compared in blocks."""
-    starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-    for lo, hi in zip(starts, np.append(starts[1:], len(of)), strict=True):
-        if hi - lo < 2:
-            continue
+    # Each part hangs on its least key, so that other tries that join the same rows give the same links.
+    part, at = np.unique(j, return_inverse=True)
+    least = keys[part].copy()
+    np.minimum.at(least, at, keys[i])
+    nodes, ends = np.concatenate((keys[i], keys[part])), np.concatenate((least[at], least))
+    return nodes[nodes != ends], ends[nodes != ends]
+
+
+def _rows_of_a_code(bounds: np.ndarray, wide: np.ndarray, similar: int, put) -> None:
+    """Links among rows of equal code: rows of equal wide code go by one of them, then all are compared in blocks of
+    bounded size."""
+    for at in np.flatnonzero(np.diff(bounds) > 1).tolist():
+        lo, hi = bounds[at], bounds[at + 1]
         _, first, inverse = np.unique(wide[lo:hi], axis=0, return_index=True, return_inverse=True)
-        inverse = inverse.ravel()
-        put(np.arange(lo, hi), lo + first[inverse])
-        for at in range(0, len(first), 256):
-            d = np.bitwise_count(wide[lo + first[at : at + 256], None, :] ^ wide[None, lo + first, :]).sum(axis=2)
+        put(np.arange(lo, hi), lo + first[inverse.ravel()])
+        block = max(1, COMPARED // len(first))
+        for k in range(0, len(first) if len(first) > 1 else 0, block):
+            d = np.bitwise_count(wide[lo + first[k : k + block], None, :] ^ wide[None, lo + first, :]).sum(axis=2)
             x, y = np.nonzero(d <= similar)
-            put(lo + first[x + at], lo + first[y])
+            put(lo + first[x + k], lo + first[y])
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, budget: int = 3) -> DataFrame:
@@ -275,51 +315,67 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     held = stash(fingerprints(docs, doc_id, text, shingle), "fingerprints")
     codes = stash(held.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
-    roots = connected_components(near_links(codes.select(F.col("fp").alias("key"), F.col("fp").alias("code")), budget))
-    roots = stash(codes.join(roots, codes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    met = connected_components(near_links(codes.select(F.col("fp").alias("key"), F.col("fp").alias("code")), budget))
+    roots = stash(codes.join(met, codes["fp"] == met["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     to = roots.join(least, "root").select("fp", "component_id")
-    return held.join(to, "fp").select("doc_id", "fp", "component_id")
+    out = stash(held.join(to, "fp").select("doc_id", "fp", "component_id"), "duplicates")
+    drop_stash(held, codes, met, roots)
+    return out
+
 
+def code_shape(n: int, least: float, budget: int, miss: float) -> tuple[int, int]:
+    """(bits, tables): codes of more bits for more sets (28 up to a million, 4 more for each 16 times as many), so that
+    what meets by chance stays a small share, in as many tables as two sets of similarity `least` need to be within
+    budget in one of them but for a probability of miss."""
+    bits = 28 + 4 * max(0, math.ceil(math.log2(max(1, n) / (1 << 20)) / 4))
+    flip = math.acos(2 * least / (1 + least)) / math.pi
+    met = sum(math.comb(bits, k) * flip**k * (1 - flip) ** (bits - k) for k in range(budget + 1))
+    return bits, max(1, math.ceil(math.log(miss) / math.log(1 - met)))
 
-def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, tables: int = 12, bits: int = 28, budget: int = 3, words: int = 8, distance: float = 0.23, least: float = 0.8) -> DataFrame:
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, budget: int = 3, miss: float = 0.004, distance: float = 0.24, least: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of documents, linked where the Jaccard similarity of their sets of word shingles is `least`
     or more; component_id is the smallest doc_id of all that links join.
 
     Candidates come from SimHash. Of two sets of similarity 0.8 bits differ with probability 0.15: over 64 bits that is
-    about ten, a budget that prunes no trie. So each set gets `tables` independent codes of `bits` bits (a multiple of
-    4); two of 0.8 are within `budget` bits in one of them with probability 0.996 (of 0.9: over 0.9999; texts of five
-    shingles against four: 0.93). What is met is a candidate if it differs in a share of at most `distance` of 64 x
-    `words` bits, of which the codes are the first: of pairs of 0.8 over 0.9999 (five against four: 0.99). The sets of
-    all that candidates join are then compared, and only links of `least` or more count (verified_links).
+    about ten, a budget that prunes no trie. So each set gets several independent codes (code_shape: twelve of 28 bits up
+    to a million sets, more and longer ones beyond); two of 0.8 are within `budget` bits in one of them but for a
+    probability of `miss` (of 0.9: under 1e-4; texts of five shingles against four: 0.07). What is met is a candidate
+    if it differs in a share of at most `distance` of 256 bits: of pairs of 0.8 over 0.9999 (five against four: 0.99).
+    The sets of all that candidates join are then compared, and only links of `least` or more count (verified_links).
 
     Equal sets link. Texts without a token (null, empty, marks only) are one group. Rows without an id are left out. Rows
-    of one id and equal sets come out once; of rows of one id and different sets, each has its group. docs is read twice.
+    of one id and equal sets come out once; of rows of one id and different sets, each has its group. docs is read three
+    times.
     """
-    if tables * bits > 64 * words:
-        raise ValueError("the codes are cut from the words' bits")
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    bits, tables = code_shape(texts.count(), least, budget, miss)
+    words = max(8, math.ceil(tables * bits / 64))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_parts(batches):
             sets = [shingle_set(t, shingle) for t in utf8(batch.column(1))]
             columns = [pa.array([set_key(s) for s in sets], pa.int64()), pa.array([wide_fingerprint(s, words) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "key", "wide", "size"])
 
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     held = stash(texts.mapInArrow(of, "doc_id long, key long, wide binary, size long"), "wide")
     distinct = stash(held.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide"), F.first("size").alias("size")), "codes")
-    similar = int(distance * words * 64)
+    # The codes are cut from the first bits; the last 256 are what candidates are held against.
     per = bits // 4
     codes = F.array(*[F.conv(F.substring(F.hex("wide"), k * per + 1, per), 16, 10).cast("long") for k in range(tables)])
-    links = near_links(distinct.where("size > 0").select("key", "wide", F.posexplode(codes).alias("table", "code")), budget, bits, similar, shallow=2, tables=tables)
-    met = connected_components(stash(links, "links"))
+    links = near_links(distinct.where("size > 0").select("key", F.substring("wide", 8 * words - 31, 32).alias("wide"), F.posexplode(codes).alias("table", "code")), budget, bits, int(distance * 256), tables=tables)
+    met = connected_components(links)
     members = stash(met.join(distinct.select("key", "least", "size"), F.col("node") == F.col("key")).select("key", "least", "size", "root"), "members")
-    roots = connected_components(verified_links(texts, members, shingle, least))
+    found = verified_links(texts, members, shingle, least)
+    roots = connected_components(found)
     to = distinct.join(roots, distinct["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     to = stash(to, "roots")
     ids = to.groupBy("root").agg(F.min("least").alias("component_id"))
-    return held.select("doc_id", "key").distinct().join(to.join(ids, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+    out = held.select("doc_id", "key").distinct().join(to.join(ids, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+    out = stash(out, "groups")
+    drop_stash(held, distinct, met, members, found, roots, to)
+    return out
 
 
 def verified_links(texts: DataFrame, members: DataFrame, shingle: int, least: float, part_rows: int = PART_ROWS, part_shingles: int = PART_SHINGLES) -> DataFrame:
@@ -338,19 +394,19 @@ def verified_links(texts: DataFrame, members: DataFrame, shingle: int, least: fl
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_parts(batches):
             own = [shingle_set(t, shingle) for t in utf8(batch.column("text"))]
             same = pa.array([set_key(s) == k for s, k in zip(own, batch.column("key").to_pylist(), strict=True)], pa.bool_())
             columns = [*(batch.column(c) for c in ("root", "key", "parts", "part", "pivot")), pa.array([s.tobytes() for s in own], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["root", "key", "parts", "part", "pivot", "own"]).filter(same)
 
-    small_batches(spark)
     dealt = dealt.select("root", "key", "parts", "part", F.coalesce(F.array_contains("pivots", F.col("key")), F.lit(False)).alias("pivot"), F.col("least").alias("doc_id"))
     held = texts.join(dealt, "doc_id").mapInArrow(sets, "root long, key long, parts int, part int, pivot boolean, own binary")
     held = stash(held, "sets")
     every = F.explode(F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part")))
     first = stash(_compared(held.withColumn("x", every).select("root", "x", F.col("x").alias("y"), F.lit(0).alias("part"), F.col("key").alias("label"), "key", "own"), least), "links")
     if large.isEmpty():
+        drop_stash(large, held)
         return first
     own = connected_components(first)
     rows = held.where("parts > 1").join(own.withColumnRenamed("root", "label"), F.col("key") == F.col("node"), "left")
@@ -365,7 +421,9 @@ def verified_links(texts: DataFrame, members: DataFrame, shingle: int, least: fl
     rows = rows.withColumn("part", F.when(main, F.col("part")).otherwise(F.col("parts") + F.pmod(F.xxhash64("key", F.lit(1)), F.col("others")).cast("int")))
     rows = rows.withColumn("other", F.explode(F.when(main, F.sequence(F.col("parts"), end)).otherwise(F.sequence(F.lit(0), end))))
     rows = rows.select("root", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "label", "key", "own")
-    return first.union(stash(_compared(rows, least), "links"))
+    out = first.union(stash(_compared(rows, least), "links"))
+    drop_stash(large, held, own, rest)
+    return out
 
 
 def _compared(rows: DataFrame, least: float) -> DataFrame:
