@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8
+from .common import small_parts, utf8
 
 # Fixed values of the TIFF 6.0 specification.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -24,6 +24,11 @@ TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4
 TYPE_CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 CLEAR, END, FIRST, MOST_CODES = 256, 257, 258, 4094
 
+#: Bytes that a byte of a segment can decode to, at most (LZW: a table's longest entry for a 9-bit code).
+GROWTH = {NONE: 1, PACKBITS: 64, DEFLATE: 1032, OLD_DEFLATE: 1032, LZW: 3641}
+#: Bytes of one page, which is one value of a column.
+PAGE_BYTES = (1 << 31) - (1 << 20)
+
 
 class TiffError(ValueError):
     """The bytes are not a TIFF that can be decoded whole."""
@@ -194,7 +199,7 @@ def _fields(raw: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]:
     tags = {}
     for k in range(n):
         tag, kind, count = struct.unpack_from(order + "HHI", raw, at + 2 + 12 * k)
-        if kind not in TYPE_CODES:
+        if kind not in TYPE_CODES or not count:
             continue
         where, size = at + 10 + 12 * k, TYPE_BYTES[kind] * count
         if size > 4:
@@ -238,6 +243,8 @@ def read_pages(raw: bytes) -> Iterator[Page]:
         at = todo.pop(0)
         if not at:
             continue
+        if not isinstance(at, int) or at < 0:
+            raise TiffError("a directory outside the file")
         if at in seen:
             raise TiffError("directories in a circle")
         seen.add(at)
@@ -248,12 +255,19 @@ def read_pages(raw: bytes) -> Iterator[Page]:
 
 
 def _page(raw: bytes, tags: dict[int, tuple], order: str, number: int) -> Page:
-    one = lambda tag, default=None: tags.get(tag, (default,))[0]
-    width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
-    bits, kind, predictor = one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)
-    if not width or not height or bits not in (1, 2, 4, 8, 16, 32, 64) or len(set(tags.get(BITS, (bits,)))) > 1:
-        raise TiffError("no image of samples of one size that is known")
-    planes, per = (samples, 1) if one(PLANAR, 1) == 2 else (1, samples)
+    def one(tag: int, default: int | None = None, most: int = 1 << 32) -> int:
+        value = tags.get(tag, (default,))[0]
+        if not isinstance(value, int) or not 0 < value <= most:
+            raise TiffError(f"tag {tag} is {value}")
+        return value
+
+    width, height, samples = one(WIDTH), one(HEIGHT), one(SAMPLES, 1, 65535)
+    bits, kind, predictor = one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1, 3)
+    if bits not in (1, 2, 4, 8, 16, 32, 64) or len(set(tags.get(BITS, (bits,)))) > 1:
+        raise TiffError("samples of a size that is not known")
+    if kind not in GROWTH:
+        raise TiffError(f"compression {kind}")
+    planes, per = (samples, 1) if one(PLANAR, 1, 2) == 2 else (1, samples)
     dtype = np.dtype(f"{order}u{max(1, bits // 8)}")
     tiled = TILE_OFFSETS in tags
     offsets, counts = (tags.get(TILE_OFFSETS), tags.get(TILE_BYTES)) if tiled else (tags.get(STRIP_OFFSETS), tags.get(STRIP_BYTES))
@@ -261,13 +275,22 @@ def _page(raw: bytes, tags: dict[int, tuple], order: str, number: int) -> Page:
     across, down = -(-width // w), -(-height // h)
     if not offsets or not counts or len(offsets) != planes * across * down or len(counts) != len(offsets):
         raise TiffError("segments that do not cover the image")
+    if not all(isinstance(x, int) and x >= 0 for x in (*offsets, *counts)):
+        raise TiffError("a segment outside the file")
+    # What is claimed is held against what is there before any memory is taken for it.
+    if planes * height * width * per * dtype.itemsize > PAGE_BYTES:
+        raise TiffError("a page beyond 2 GB")
+    line = -(-w * per * bits // 8)
+    for k, size in enumerate(counts):
+        if (h if tiled else min(h, height - k // across % down * h)) * line > size * GROWTH[kind]:
+            raise TiffError("a segment too short for its share of the image")
     image = np.empty((planes, height, width, per), dtype)
     for k, (at, size) in enumerate(zip(offsets, counts, strict=True)):
         if at + size > len(raw):
             raise TiffError("a segment outside the file")
         plane, row, column = k // (across * down), k // across % down * h, k % across * w
         rows = h if tiled else min(h, height - row)
-        data = decompress(raw[at : at + size], kind, rows * -(-w * per * bits // 8))
+        data = decompress(raw[at : at + size], kind, rows * line)
         block = _samples(data, rows, w, per, bits, order, predictor)
         image[plane, row : row + rows, column : column + w] = block[: height - row, : width - column]
     return Page(number, width, height, samples, bits, kind, predictor, tiled, len(offsets), image.tobytes())
@@ -325,7 +348,8 @@ def tiff_pages(files: DataFrame, content: str = "content") -> DataFrame:
     the other, in order, its first being page 0.
 
     A file that is null, empty, cut off or otherwise no decodable TIFF gives the pages before the fault, then one
-    row with the page's number, nulls and the error: no file fails a job. Repeated rows give their pages again.
+    row with the page's number, nulls and the error: no file fails a job. A page is bounded before it is decoded, by
+    what its segments can hold and by 2 GB, a column's limit. Repeated rows give their pages again.
     No rows: none. Columns of files with the name of a page's field are replaced.
     """
     kept = [c for c in files.columns if c != content and c not in PAGE_FIELDS]
@@ -334,7 +358,7 @@ def tiff_pages(files: DataFrame, content: str = "content") -> DataFrame:
     width = len(kept)
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_parts(batches):
             rows: list[tuple] = []
             of: list[int] = []
             size = 0
@@ -356,7 +380,7 @@ def tiff_pages(files: DataFrame, content: str = "content") -> DataFrame:
                             rows.clear()
                             of.clear()
                             size = 0
-                except (TiffError, struct.error, zlib.error, ValueError) as e:
+                except (TiffError, struct.error, zlib.error, ValueError, OverflowError) as e:
                     rows.append((number, *[None] * 9, str(e)))
                     of.append(at)
             yield out()
@@ -387,13 +411,10 @@ def text_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     """(doc_id, n_bytes, media): every text stored as a TIFF. Null text: empty."""
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                texts = utf8(part.column(1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([store_text(t) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
+        for part in small_parts(batches, 100):
+            texts = utf8(part.column(1))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([store_text(t) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(store, "doc_id long, n_bytes long, media binary")
 
 
