@@ -20,10 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-
-
 def small_parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Arrow batches (of at most 64 MB by Spark's own default) in slices of a few rows: rows are whole texts here, and
     what Python makes of them stays small."""

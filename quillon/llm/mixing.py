@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import fresh_name, stash
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Bits of a slot's number that are reversed to make its van der Corput point: slots are fewer than 2^40.
@@ -33,7 +33,8 @@ def source_targets(sizes: DataFrame, share: float, weights: tuple[int, ...], mos
     target stops at `most` times its source's size, and the excess is shared anew by weight until none is above.
     In ascending order of limit over weight, what the limits before a source leave is a level for each weight from
     it on; the level rises while sources stop at their limits and falls after the last that does, so the highest
-    one is the level at which sharing ends.
+    one is the level at which sharing ends. The windows over sources, one row each, are one task's: fine up to some
+    hundred thousand sources.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -101,7 +102,7 @@ def _few(targets: DataFrame, most: int = 10_000) -> bool:
     return targets.limit(most + 1).count() <= most
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), most: float = 2.0, block: int = 256, numbered: bool = False) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", share: float = 1.5, weights: tuple[int, ...] = (5, 2, 1), most: float = 2.0, block: int = 256, numbered: tuple[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """The mix of docs by source: (documents, blocks).
 
     documents has a row for each row of docs: doc_id, size (words), source, source_size, target, start and taken.
@@ -113,11 +114,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     taken words are its target rounded down, and no document exceeds `most` times its size, rounded up, as no
     target exceeds that multiple of its source. Blocks have about `block` words.
 
-    numbered: docs is a written table with __row and __size already. Null text: size 0. Null source: a source of its
+    numbered: docs is a written table that has row numbers and sizes already, in these columns. Null text: size 0. Null source: a source of its
     own, last. Null doc_id: a document like any other. Repeated rows are laid out one after the other. A document
     of size 0 takes 0. No rows: none. Other columns don't matter.
     """
-    sizes = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.col("__size") if numbered else words_in(F.col(text))).alias("size"), F.col(source).cast("string").alias("source"), (F.col("__row") if numbered else F.monotonically_increasing_id()).alias("row"))
+    sizes = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.col(numbered[1]) if numbered else words_in(F.col(text))).alias("size"), F.col(source).cast("string").alias("source"), (F.col(numbered[0]) if numbered else F.monotonically_increasing_id()).alias("row"))
     sizes = sizes if numbered else stash(sizes, "sizes")
     targets = stash(source_targets(sizes, share, weights, most), "targets")
     laid = stash(lay_out(sizes, targets), "laid")
@@ -146,11 +147,13 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """The mix as documents: docs' columns, a row for each use of a document. A use of all its words keeps the text
     as it is; one of some of them has these words, joined by single spaces (and by nothing else)."""
     names = docs.columns
-    held = stash(docs.withColumns({"__row": F.monotonically_increasing_id(), "__size": words_in(F.col(text))}), "documents")
-    blocks = mix(held, doc_id, text, source, numbered=True, **kind)[1]
+    row, size, use = (fresh_name(n, docs) for n in ("row", "size", "use"))
+    held = stash(docs.withColumns({row: F.monotonically_increasing_id(), size: words_in(F.col(text))}), "documents")
+    blocks = mix(held, doc_id, text, source, numbered=(row, size), **kind)[1]
     uses = blocks.groupBy("row", "turn", "size").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    uses = uses.groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("turn", "low", "high", "size")).alias("__uses"))
-    out = held.join(uses, "__row").withColumn("__use", F.explode("__uses"))
-    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), F.col("__use.low").cast("int") + 1, (F.col("__use.high") - F.col("__use.low")).cast("int")), " ")
-    whole = (F.col("__use.low") == 0) & (F.col("__use.high") == F.col("__use.size"))
+    uses = uses.groupBy(F.col("row").alias(row)).agg(F.collect_list(F.struct("turn", "low", "high", "size")).alias(use))
+    out = held.join(uses, row).withColumn(use, F.explode(use))
+    of = F.col(use)
+    part = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORDS), F.lit(0)), of["low"].cast("int") + 1, (of["high"] - of["low"]).cast("int")), " ")
+    whole = (of["low"] == 0) & (of["high"] == of["size"])
     return out.withColumn(text, F.when(whole, F.col(text)).otherwise(part)).select(*names)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_parts
 
 #: Ends a document.
 STOP_ID = 0
@@ -183,7 +183,7 @@ def pack_documents(docs: DataFrame, encode: Callable[[], Callable[[str], list[in
             rows.clear()
             return batch
 
-        for batch in batches:
+        for batch in small_parts(batches):
             for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = np.array([*of(t or ""), STOP_ID], "<u4")
                 full = len(ids) // limits.tokens * limits.tokens
@@ -199,7 +199,6 @@ def pack_documents(docs: DataFrame, encode: Callable[[], Callable[[str], list[in
         flush()
         yield out()
 
-    small_batches(docs.sparkSession)
     held = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return held.mapInArrow(pack, PIECE_SCHEMA)
 
@@ -208,17 +207,43 @@ PIECE_FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequenc
 PIECE_SCHEMA = ", ".join(f"{f} long" for f in PIECE_FIELDS[:-1]) + ", ids binary"
 
 
-def pack_examples(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """(example_id, sequence_id) for whole instruction examples (example_id, tokens, segments, loss): none is cut, and
-    one beyond a limit fails the job. Null counts are 0; an example of no tokens takes a segment only."""
+def instruction_examples(turns: DataFrame, encode: Callable[[], Callable[[str], list[int]]], conv_id: str = "conv_id", role: str = "role", text: str = "text", answers: str = "assistant") -> DataFrame:
+    """(example_id, tokens, segments, loss) of conversations, a row of turns each: a turn is its ids and STOP_ID and a segment
+    of its own, and only the turns of the role that answers bear loss.
+
+    Null text: empty. A null or other role bears no loss. Turns without a conversation are left out. The order of turns
+    and other columns don't matter. No rows: none."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = encode()
+        for batch in small_parts(batches):
+            n = [len(of(t or "")) + 1 for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["example_id", "answer", "tokens"])
+
+    held = turns.where(F.col(conv_id).isNotNull()).select(F.col(conv_id).cast("long").alias("example_id"), F.coalesce(F.col(role) == answers, F.lit(False)).alias("answer"), F.col(text).cast("string").alias("text"))
+    counted = held.mapInArrow(count, "example_id long, answer boolean, tokens long")
+    return counted.groupBy("example_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("segments"), F.sum(F.when(F.col("answer"), F.col("tokens")).otherwise(0)).alias("loss"))
+
+
+def pack_examples(examples: DataFrame, limits: Limits = Limits(), alone: bool = False) -> DataFrame:
+    """(example_id, sequence_id) for whole instruction examples (example_id, tokens, segments, loss): none is cut. One beyond
+    a limit fails the job, or with alone has a sequence of its own. Null counts are 0; an example of no tokens takes a
+    segment only. limits.group examples are packed at a time as they stream by. No rows: none."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 40
         held: list[tuple] = []
+        most = (limits.tokens, limits.segments, limits.loss)
         for batch in batches:
-            held += zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)
+            rows = list(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True))
+            if alone:
+                large = [r[0] for r in rows if any(x > m for x, m in zip(r[1:], most, strict=True))]
+                rows = [r for r in rows if all(x <= m for x, m in zip(r[1:], most, strict=True))]
+                yield _sequences(large, range(number, number + len(large)))
+                number += len(large)
+            held += rows
             while len(held) >= limits.group:
                 made = _whole(held[: limits.group], limits, number)
                 number, held = made[1], held[limits.group :]
@@ -229,8 +254,12 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return examples.select("example_id", *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("tokens", "segments", "loss")]).mapInArrow(pack, "example_id long, sequence_id long")
 
 
+def _sequences(ids: list, of: Iterable[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(of), pa.int64())], ["example_id", "sequence_id"])
+
+
 def _whole(held: list[tuple], limits: Limits, number: int) -> tuple[pa.RecordBatch, int]:
     bins = pack_group(np.array([h[1:] for h in held], np.int64), limits, False)
     ids = [held[x][0] for items in bins for x, _ in items]
     of = [number + k for k, items in enumerate(bins) for _ in items]
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(of, pa.int64())], ["example_id", "sequence_id"]), number + len(bins)
+    return _sequences(ids, of), number + len(bins)

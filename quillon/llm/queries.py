@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import licenses, lines, mixing, packing, quality, rabitq, simhash, tiff, urls, warc
-from .common import table
+from .common import stash, table
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -70,6 +70,18 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), packing.json_bpe).drop("ids")
 
 
+#: Of a sequence of conversations: a quarter of its tokens at least is no answer.
+CONVERSATIONS = packing.Limits(tokens=4096, segments=32, loss=3072)
+
+
+@query()
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector bin packing as it is meant: whole conversations under three limits that all bind."""
+    examples = stash(packing.instruction_examples(table(spark, sf_dir, "conversations"), packing.json_bpe), "examples")
+    placed = packing.pack_examples(examples, CONVERSATIONS, alone=True)
+    return examples.join(placed, "example_id").withColumnRenamed("example_id", "conv_id")
+
+
 @query(
     """
     WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),

@@ -16,10 +16,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, small_batches, stash, utf8
+from .common import delete, drop_stash, fresh_path, small_parts, stash, utf8
 
 READ = 1 << 20
 GZIP = 31
+#: Digests (of 28 bytes with their page) that repeat, up to which their table is broadcast.
+REPEATED = 200_000
 
 
 def open_folder(url: str) -> tuple[fs.FileSystem, str]:
@@ -138,7 +140,7 @@ def write_archives(records: DataFrame, folder: str, level: int = 1, roll: int =
                 done.append((path, n))
                 out = None
 
-        for batch in batches:
+        for batch in small_parts(batches):
             ids, urls, kinds, to = (batch.column(c).to_pylist() for c in ("page_id", "url", "record_type", "refers_to"))
             for row in zip(ids, urls, utf8(batch.column("html")), kinds, to, strict=True):
                 if out is None:
@@ -209,23 +211,21 @@ def read_members(index: DataFrame, folder: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, _ = open_folder(folder)
         opened: tuple[str, pa.NativeFile] | None = None
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                length, payload, own = [], [], []
-                for path, offset, size in zip(*(part.column(c).to_pylist() for c in ("path", "offset", "length")), strict=True):
-                    if opened is None or opened[0] != path:
-                        if opened:
-                            opened[1].close()
-                        opened = (path, store.open_input_file(path))
-                    (r,) = split_records(iter([zlib.decompress(opened[1].read_at(size, offset), GZIP)]))
-                    head, _, body = r.block.partition(b"\r\n\r\n")
-                    fields = dict(x.lower().split(b": ", 1) for x in head.split(b"\r\n")[1:] if b": " in x)
-                    response = r.headers.get("warc-type") == "response"
-                    length.append(int(fields.get(b"content-length", b"0")))
-                    payload.append(body if response else None)
-                    own.append(digest(body) if response else None)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(length, pa.int64()), pa.array(payload, pa.binary()), pa.array(own, pa.string())], [*names, "http_length", "payload", "read_digest"])
+        for part in small_parts(batches):
+            length, payload, own = [], [], []
+            for path, offset, size in zip(*(part.column(c).to_pylist() for c in ("path", "offset", "length")), strict=True):
+                if opened is None or opened[0] != path:
+                    if opened:
+                        opened[1].close()
+                    opened = (path, store.open_input_file(path))
+                (r,) = split_records(iter([zlib.decompress(opened[1].read_at(size, offset), GZIP)]))
+                head, _, body = r.block.partition(b"\r\n\r\n")
+                fields = dict(x.lower().split(b": ", 1) for x in head.split(b"\r\n")[1:] if b": " in x)
+                response = r.headers.get("warc-type") == "response"
+                length.append(int(fields.get(b"content-length", b"0")))
+                payload.append(body if response else None)
+                own.append(digest(body) if response else None)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(length, pa.int64()), pa.array(payload, pa.binary()), pa.array(own, pa.string())], [*names, "http_length", "payload", "read_digest"])
         if opened:
             opened[1].close()
 
@@ -238,27 +238,36 @@ def revisit_plan(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     Null html: an empty payload. Null page_id: smaller than any other; if all of a payload's are null, all are
     responses. Rows repeated with the largest id are all responses.
+
+    Only digests are shuffled to find those that repeat. They are written as a table of their own: up to REPEATED of them
+    are broadcast, and only where there are more does Spark join as it sees fit, and html may move.
     """
+    payload = F.coalesce("html", F.lit(""))
     held = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    held = held.withColumn("__sha", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
-    large = F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes
-    same = held.where(large).groupBy("__sha").agg(F.max("page_id").alias("__last"), F.count("*").alias("__n"))
-    same = same.where("__n > 1 and __last is not null").select(F.col("__sha").alias("__of"), "__last")
-    out = held.join(same, held["__sha"] == same["__of"], "left")
-    again = large & F.col("__last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("__last"))
-    return out.select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("__last")).alias("refers_to"))
+    large = F.octet_length(payload) >= least_bytes
+    sha = F.unhex(F.sha1(payload.cast("binary")))
+    same = held.where(large).groupBy(sha.alias("sha")).agg(F.max("page_id").alias("last"), F.count("*").alias("n"))
+    same = stash(same.where("n > 1 and last is not null").select("sha", "last"), "repeated")
+    few = same.limit(REPEATED + 1).count() <= REPEATED
+    out = held.join(F.broadcast(same) if few else same, F.when(large, sha) == F.col("sha"), "left")
+    again = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
+    return out.select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("last")).alias("refers_to"))
 
 
 def archive_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Write pages to monolithic archives, normalise these, read every member back: a row for each record with page_id,
     payload_bytes, payload_digest, record_type, refers_to, path, offset and length. A response's digest and length are
-    those of the payload read back, and must be what its header says; a revisit has them from its header."""
+    those of the payload read back, and must be what its header says; a revisit has them from its header.
+
+    The monolithic archives are deleted once their index is written; the normalised ones, with their sidecars, are the
+    product and stay where path says."""
     spark = pages.sparkSession
-    small_batches(spark)
     folder = fresh_path(spark, "warc")
     archives = stash(write_archives(revisit_plan(pages, least_bytes), f"{folder}/whole"), "archives")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     index = stash(normalise_archives(archives.repartition(n, "path"), f"{folder}/members"), "index")
+    delete(spark, f"{folder}/whole")
+    drop_stash(archives)
     records = read_members(index, f"{folder}/members")
     page = lambda c: F.col(c).substr(F.lit(11), F.length(c) - 11).try_cast("long")
     told = F.substring_index("digest", ":", -1)

@@ -49,6 +49,42 @@ def test_vectors_equal_brute_force(spark, monkeypatch):
     assert rabitq.near_vectors(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_vectors_go_by_rows_not_by_ids(spark):
+    """One id with several vectors, in one label and in two; nulls; lengths near the ends of double precision."""
+    e = lambda k, d=0.01: [1.0 if i == k else d for i in range(8)]
+    rows = [(5, e(0), 1, "", 1), (5, e(1), 1, "", 1), (7, e(0, 0.011), 1, "", 1), (8, e(1, 0.011), 1, "", 1), (5, e(2), 2, "", 1), (9, e(2, 0.012), 2, "", 1), (None, e(3), 2, "", 1), (None, e(3, 0.013), 2, "", 1), (6, e(0), 2, "", 1)]
+    rows += [(20 + k, [x * scale for x in e(4, 0.01 + k / 1000)], 3, "", 1) for k, scale in enumerate((1e200, 1e-200, 1e-3))]
+    schema = VECTORS.replace("array<float>", "array<double>")
+    got = sorted((tuple(r) for r in rabitq.near_vectors(spark.createDataFrame(rows, schema)).collect()), key=repr)
+    links = {0: [2], 1: [3], 2: [0], 3: [1], 4: [5], 5: [4], 6: [7], 7: [6], 8: [], 9: [10, 11], 10: [9, 11], 11: [9, 10]}
+    label = {k: min([x for x in (r[0], *(rows[j][0] for j in links[k])) if x is not None], default=None) for k, r in enumerate(rows)}
+    assert got == sorted(((r[0], len(links[k]), label[k], r[0] is not None and r[0] == label[k]) for k, r in enumerate(rows)), key=repr)
+
+
+@pytest.mark.parametrize("dim", [1, 7, 64, 100])
+def test_bounds_lose_no_pair(dim):
+    rng = np.random.default_rng(dim)
+    v = rng.standard_normal((400, dim))
+    w = v + rng.standard_normal((400, dim)) * rng.choice([0.01, 0.1, 0.19], (400, 1)) * np.abs(v).mean()
+
+    def coded(x):
+        own, factor, turned = rabitq.encode(x)
+        planes, low, step, error = rabitq.rounded(turned)
+        return rabitq.Codes(rabitq.words_of(own > 0), planes, factor, low, step, error)
+
+    a, b = coded(v), coded(w)
+    cosine = rabitq.unit_rows(v) @ rabitq.unit_rows(w).T >= 0.98
+    hit_a, hit_b = rabitq.possible(a, b, dim, 0.98, False)
+    assert (hit_a >= cosine.any(axis=1)).all() and (hit_b >= cosine.any(axis=0)).all()
+
+
+def test_no_miss_compares_all(spark, monkeypatch):
+    monkeypatch.setattr(rabitq, "CHUNK", 16)
+    rows = clusters(300, 5)
+    out = rabitq.near_vectors(spark.createDataFrame(rows, VECTORS), miss=0.0)
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted(brute(rows), key=repr)
+
+
 def test_bands_and_chunks_reach_the_recall(spark, monkeypatch):
     monkeypatch.setattr(rabitq, "CHUNK", 16)
     rows = clusters(900, 2)

@@ -225,3 +225,60 @@ def test_verified_links_of_large_groups_equal_all_pairs(spark, part_rows):
         a, b = label[keys[r.a]], label[keys[r.b]]
         label = {k: min(a, b) if c in (a, b) else c for k, c in label.items()}
     assert label == {k: want[k] for k in label} and len(set(label.values())) > 1
+
+
+@pytest.mark.parametrize(("bits", "budget"), [(28, 3), (64, 3), (32, 3), (64, 5)])
+def test_some_rotation_meets_every_pair_within_the_budget(bits, budget):
+    rng = np.random.default_rng(bits * budget)
+    mask, turns = np.uint64((1 << bits) - 1), budget + 1
+    top = bits // turns
+    for k in range(300):
+        a = np.uint64(rng.integers(0, 1 << min(bits, 62)))
+        b = a
+        for bit in rng.choice(bits, 1 + k % (budget + 1), replace=False):
+            b ^= np.uint64(1 << int(bit))
+        met = False
+        for t in range(turns):
+            by = np.uint64(t * bits // turns)
+            pair = np.array([a, b], np.uint64)
+            pair = np.sort(((pair << by) | (pair >> (np.uint64(bits) - by))) & mask if by else pair)
+            if pair[0] >> np.uint64(bits - top) == pair[1] >> np.uint64(bits - top):
+                met |= bool(list(simhash.trie_join(pair, pair, bits, budget, top, np.zeros(2, int), True)))
+        assert met == (1 + k % (budget + 1) <= budget)
+
+
+def test_wide_codes_in_parts_equal_all_pairs(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.integers(0, 1 << 62, (5, 4)).astype(np.uint64)
+    wide = [centres[k % 5] ^ np.packbits(rng.random((4, 64)) < rng.choice([0, 0.02, 0.3]), axis=1).view(np.uint64).ravel() for k in range(160)]
+    rows = [(k, (k % 5) << 40 | (k % 2) << int(rng.integers(0, 48)), w.tobytes()) for k, w in enumerate(wide)]
+    codes = spark.createDataFrame(rows, "key long, code long, wide binary")
+    near = [np.array([j for j in range(160) if bin(rows[i][1] ^ rows[j][1]).count("1") <= 3 and np.bitwise_count(wide[i] ^ wide[j]).sum() <= 40]) for i in range(160)]
+    label = reachable(range(160), near)
+    for most in (8, 1 << 17):
+        got = {r.node: r.root for r in components.connected_components(simhash.near_links(codes, 3, 48, 40, most=most)).collect()}
+        assert got == {k: int(c) for k, (c, n) in enumerate(zip(label, near, strict=True)) if len(n) > 1}
+
+
+def test_line_dedup_of_clashing_names_leaves_nothing_behind(spark, odd_docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    conf = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    docs = odd_docs.withColumns({c: F.lit(1) for c in ("id", "drops", "__id", "__drops", "ID_1")})
+    out = lines.dedup_lines(docs)
+    assert out.count() == docs.count() and set(docs.columns) <= set(out.columns)
+    assert {t.name for t in spark.catalog.listTables()} == before and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == conf
+
+
+def test_scratch_is_deleted(spark, no_docs):
+    import os
+
+    from quillon.llm import common
+
+    simhash.near_duplicates(no_docs).count()
+    folder = common.shared_folder(spark).removeprefix("file:")
+    assert os.listdir(folder)
+    held = sorted(os.listdir(folder))
+    frame = common.stash(spark.range(5), "five")
+    assert len(os.listdir(folder)) == len(held) + 1
+    common.drop_stash(frame)
+    assert sorted(os.listdir(folder)) == held

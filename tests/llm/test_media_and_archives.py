@@ -110,6 +110,45 @@ def test_pages_with_faults(spark):
     assert tiff.tiff_pages(spark.createDataFrame([], "file_id long, content binary")).count() == 0
 
 
+def raw_tiff(tags, data=b"", order="<"):
+    """A file of one directory: tags (tag, kind, values)."""
+    kinds = {3: "H", 4: "I", 11: "f", 12: "d"}
+    out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0) + data)
+    held = []
+    for tag, kind, values in tags:
+        packed = struct.pack(f"{order}{len(values)}{kinds[kind]}", *values)
+        if len(packed) > 4:
+            held.append((tag, kind, len(values), struct.pack(order + "I", len(out))))
+            out += packed
+        else:
+            held.append((tag, kind, len(values), packed.ljust(4, b"\0")))
+    struct.pack_into(order + "I", out, 4, len(out))
+    out += struct.pack(order + "H", len(held)) + b"".join(struct.pack(order + "HHI", *h[:3]) + h[3] for h in held) + bytes(4)
+    return bytes(out)
+
+
+def test_damaged_files_give_error_rows(spark):
+    base = {256: (4, [4]), 257: (4, [3]), 258: (3, [8]), 259: (3, [1]), 273: (4, [8]), 277: (3, [1]), 278: (4, [3]), 279: (4, [12])}
+    tiled = {k: v for k, v in base.items() if k not in (273, 278, 279)} | {322: (4, [16]), 323: (4, [16]), 324: (4, [8]), 325: (4, [256])}
+    made = lambda of, data=bytes(300), **change: raw_tiff([(t, *v) for t, v in sorted((of | {int(k[1:]): v for k, v in change.items()}).items()) if v], data)
+    assert next(tiff.read_pages(made(base))).data == bytes(12) and next(tiff.read_pages(made(tiled))).data == bytes(12)
+    bad = [
+        made(tiled, t322=(4, [0])), made(tiled, t323=(4, [0])), made(tiled, t322=None), made(base, t278=(4, [0])), made(base, t256=(11, [4.0])), made(base, t258=(12, [8.0])), made(base, t256=(4, [])), made(base, t277=(3, [0])),
+        made(base, t256=(4, [60000]), t257=(4, [4_000_000_000]), t278=(4, [4_000_000_000])), made(base, t256=(4, [4_000_000_000]), t277=(3, [65535])), made(base, t279=(4, [5])), made(base, t273=(11, [8.0])), made(base, t259=(3, [7])),
+        made(base, t284=(3, [3])), made(base, t317=(3, [9])), made(base, t273=(4, [1 << 31])), made(base, t330=(12, [9.5])), made(base, t259=(3, [5])), made(base, t259=(3, [8])), made(base, t258=(3, [8, 16])), made(base)[:-20],
+    ]
+    rng = np.random.default_rng(4)
+    whole = tiff.store_text(b"some text " * 300)
+    for _ in range(300):  # bytes changed at random anywhere
+        raw = bytearray(whole)
+        for at in rng.integers(0, len(raw), 3):
+            raw[at] = rng.integers(0, 256)
+        bad.append(bytes(raw))
+    out = tiff.tiff_pages(spark.createDataFrame(list(enumerate(bad)), "file_id long, content binary")).select("file_id", "error").collect()
+    assert {r.file_id for r in out} == set(range(len(bad)))
+    assert all(any(r.error for r in out if r.file_id == k) for k in range(21))
+
+
 @pytest.mark.parametrize("which", ["odd_docs", "small_docs", "no_docs"])
 def test_texts_read_back_whole(request, which):
     docs = request.getfixturevalue(which)

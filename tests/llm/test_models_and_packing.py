@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from quillon.llm import licenses, packing, quality, tokens, urls
+from quillon.llm import licenses, packing, quality, queries, tokens, urls
 
 
 def pieces_are_whole(rows, docs, tokenizer, limit=1024):
@@ -81,6 +82,36 @@ def test_examples_are_packed_whole_and_refused_beyond(spark):
         packing.pack_examples(spark.createDataFrame([(1, 101, 1, 1)], frame.schema), limits).collect()
 
 
+def test_conversations_are_packed_under_three_limits(spark):
+    folder = "/root/testdata/sf0.01"
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {}
+    for r in spark.read.parquet(f"{folder}/conversations.parquet").collect():
+        n = len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1
+        a, b, c = want.get(r.conv_id, (0, 0, 0))
+        want[r.conv_id] = (a + n, b + 1, c + n * (r.role == "assistant"))
+    rows = queries.QUERIES["packed_conversations"](spark, folder).collect()
+    assert {r.conv_id: (r.tokens, r.segments, r.loss) for r in rows} == want and len(rows) == len(want)
+    limits, sums = queries.CONVERSATIONS, {}
+    for r in rows:
+        sums.setdefault(r.sequence_id, []).append((r.tokens, r.segments, r.loss))
+    totals = [np.array(s).sum(axis=0) for s in sums.values()]
+    assert all((t <= (limits.tokens, limits.segments, limits.loss)).all() or len(s) == 1 for t, s in zip(totals, sums.values(), strict=True))
+    lower = max(sum(w[0] for w in want.values()) / limits.tokens, sum(w[2] for w in want.values()) / limits.loss)
+    assert len(sums) <= 1.25 * lower + 1
+
+
+def test_odd_conversations(spark):
+    rows = [(1, "assistant", "a b"), (1, None, None), (None, "user", "x"), (2, "assistant", "word " * 3000), (3, "user", ""), (3, "user", "")]
+    frame = spark.createDataFrame(rows, "conv_id long, role string, text string")
+    examples = packing.instruction_examples(frame.withColumn("tokens", F.lit("x")), packing.json_bpe)
+    got = {r.example_id: (r.tokens, r.segments, r.loss) for r in examples.collect()}
+    assert got == {1: (4, 2, 3), 2: (got[2][0], 1, got[2][0]), 3: (2, 2, 0)} and got[2][0] > 3000
+    placed = {r.example_id: r.sequence_id for r in packing.pack_examples(examples, packing.Limits(1024, 8, 1024), alone=True).collect()}
+    assert len(placed) == 3 and placed[2] not in (placed[1], placed[3])
+    assert packing.pack_examples(examples.limit(0)).count() == 0 and packing.instruction_examples(frame.limit(0), packing.json_bpe).count() == 0
+
+
 def test_token_hashes_by_window(monkeypatch):
     text = ("The QUICK brown-fox é2 " * 500).encode()
     whole = tokens.token_hashes(text, True)
@@ -121,6 +152,21 @@ def test_resampling_keeps_the_largest_keys(odd_docs, no_docs, small_docs, spark,
     assert quality.resample(no_docs, own).count() == 0
 
 
+def test_inclusion_follows_the_weights_and_seeds_matter(small_docs, spark, sf_dir):
+    weights = {3: 4.0, 8: 2.0, 11: 1.0, None: 1.0, 70: 0.5}
+    total, counts, n = sum(weights.values()), dict.fromkeys(weights, 0), 6000
+    for seed in range(n):
+        keys = {k: math.log(w) + quality.gumbel(k, seed) for k, w in weights.items()}
+        for k in sorted(keys, key=keys.get)[-2:]:
+            counts[k] += 1
+    for k, w in weights.items():  # two draws without replacement
+        want = w / total + sum(v / total * w / (total - v) for other, v in weights.items() if other != k)
+        assert abs(counts[k] / n - want) < 0.02
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    kept = [{r.doc_id for r in quality.resample(small_docs, labels, keep=100, seed=seed).where("kept").collect()} for seed in (1, 2, 1)]
+    assert kept[0] == kept[2] != kept[1] and all(len(k) == 100 for k in kept)
+
+
 def test_top_k_with_ties_and_refinement(spark, monkeypatch):
     monkeypatch.setattr(quality, "RANKED", 5)
     rng = np.random.default_rng(0)
@@ -174,9 +220,9 @@ def test_trees_tell_held_out_urls(spark):
     held = urls.url_features(held.withColumns({"rule": rule, "fixed": fixed})).where("fixed is not null").withColumn("y", (F.col("fixed") == "block").cast("int"))
     train, test = held.where("page_id % 4 <> 0"), held.where("page_id % 4 = 0")
     suffix, tail = urls.rates(train, "suffix"), urls.rates(train, "tail")
-    model = urls.fit_trees(train.toPandas(), suffix, tail)
-    rows = test.toPandas()
-    said = model.probability(urls.matrix(rows, suffix, tail)) >= 0.5
+    model = urls.fit_trees(urls.with_rates(train, suffix, tail).toPandas(), (suffix[1], 0.0, tail[1]))
+    rows = urls.with_rates(test, suffix, tail).toPandas()
+    said = model.probability(rows[list(urls.FEATURES)].to_numpy(float)) >= 0.5
     assert (said == rows["y"].to_numpy(bool)).mean() > 0.9
 
 
