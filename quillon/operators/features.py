@@ -30,20 +30,28 @@ def token_statistics(events: DataFrame, predict: float = 24.0, least_for_slope:
     return out.withColumns({"observed": F.lit(1).cast("long"), "missing": F.lit(0).cast("long"), "delta": F.round(F.col("last") - F.col("first"), places)} | rounded)
 
 
+def _joined(stays: DataFrame, wide: DataFrame, tokens: list[str]) -> tuple[DataFrame, str]:
+    """stays with one struct column of the pivoted cells, under a name that stays lacks: tokens may be called like its columns."""
+    own = "cells"
+    while own in stays.columns:
+        own += "_"
+    return stays.join(wide.select("stay_id", F.struct(*[F.col(f"`{t}`") for t in tokens]).alias(own)), "stay_id", "left"), own
+
+
 def wide_features(stays: DataFrame, statistics: DataFrame, tokens: list[str], prefix: str, which: tuple[str, ...] = STATISTICS) -> DataFrame:
     """Stays with a column for each token and statistic. A stay without the token has count and observed 0,
     missing 1, and nulls. The long form is pivoted, so a wide token list is no wide expression."""
     suffix = column_suffixes(tokens)
     cells = F.struct(*which)
     wide = statistics.where(F.col("token").isin(*tokens)).groupBy("stay_id").pivot("token", tokens).agg(F.first(cells))
-    held = stays.join(wide, "stay_id", "left")
+    held, own = _joined(stays, wide, tokens)
     zero = {"count": 0, "observed": 0, "missing": 1}
     columns = {}
     for t in tokens:
         for s in which:
-            c = F.col(f"`{t}`.{s}")
+            c = F.col(own)[t][s]
             columns[f"{prefix}_{suffix[t]}_{s}"] = F.coalesce(c, F.lit(zero[s])).cast("long") if s in zero else c
-    return held.withColumns(columns).drop(*tokens)
+    return held.withColumns(columns).drop(own)
 
 
 def domain_counts(events: DataFrame, predict: float = 24.0) -> DataFrame:
@@ -62,8 +70,8 @@ def presence(stays: DataFrame, rows: DataFrame, token: str, vocabulary: list[str
     """A 0/1 column for each token of a fitted vocabulary."""
     suffix = column_suffixes(vocabulary)
     wide = rows.where(F.col(token).isin(*vocabulary)).groupBy("stay_id").pivot(token, vocabulary).agg(F.max(F.lit(1)))
-    held = stays.join(wide, "stay_id", "left")
-    return held.withColumns({f"{prefix}_{suffix[v]}_present": F.coalesce(F.col(f"`{v}`"), F.lit(0)) for v in vocabulary}).drop(*vocabulary)
+    held, own = _joined(stays, wide, vocabulary)
+    return held.withColumns({f"{prefix}_{suffix[v]}_present": F.coalesce(F.col(own)[v], F.lit(0)) for v in vocabulary}).drop(own)
 
 
 def out_of_vocabulary(rows: DataFrame, token: str, vocabulary: list[str]) -> DataFrame:

@@ -128,7 +128,7 @@ def ranking_frame(rows: DataFrame, features: list[str], rename: dict[str, str] |
 
 def fit_pairwise_ranker(train: DataFrame, prep: Preprocessor, seed: int = 1, per_positive: int = 5, ridge: float = 1e-4):
     """D42 by pairwise differences: a logistic model of which of two rows of a group is the positive, without intercept.
-    It stands in for gradient-boosted rankers, which Spark has none of; its scores order a group's rows. Each
+    The boosted ranker is ranker.fit_ranker; this one is linear. Its scores order a group's rows. Each
     positive meets the per_positive negatives of its group of the least hashes, so pairs grow with the positives."""
     own = prep.transform(capped_negatives(train, seed, per_positive, per_positive)).select("group_id", "candidate", "label", vector_to_array("features").alias("x"))
     a = own.where("label").select("group_id", F.col("candidate").alias("p"), F.col("x").alias("xp"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import exprs
-from quillon.operators import contract, learning, mappings, metrics
+from quillon.operators import contract, learning, mappings, metrics, ranker
 from quillon.sources.scratch import stash
 
 from . import graphs, ranking, records, tpch
@@ -24,10 +24,15 @@ def w13_negative_cap(spark, d):
     return learning.capped_negatives(ranking.rows(spark, d).where("split = 'train'"), 3, 1, 2).select("group_id", "candidate", "label")
 
 
-@query("SELECT * FROM (VALUES ('condition', 'categorical'), ('candidate_rank', 'numeric')) t(column_name, kind)")
+@query("""SELECT DISTINCT table_name, column_name, CASE WHEN data_type = 'VARCHAR' THEN 'categorical' ELSE 'numeric' END AS kind FROM duckdb_columns() WHERE table_name IN ('part', 'customer', 'documents')
+    AND column_name NOT IN ('source', 'split', 'stay_id', 'patient_id', 'group_id', 'label', 'label_events', 'candidate') AND column_name NOT LIKE 'label\\_%' ESCAPE '\\' AND column_name NOT LIKE 'o\\_%' ESCAPE '\\'
+    AND (data_type = 'VARCHAR' OR data_type IN ('DOUBLE', 'FLOAT', 'INTEGER', 'BIGINT', 'SMALLINT', 'TINYINT', 'BOOLEAN') OR data_type LIKE 'DECIMAL%')""")
 def d37_feature_spec(spark, d):
-    spec = learning.feature_spec(ranking.rows(spark, d))
-    return spark.createDataFrame([(c, "numeric") for c in spec.numeric] + [(c, "categorical") for c in spec.categorical], "column_name string, kind string")
+    out = []
+    for table in ("part", "customer", "documents"):
+        spec = learning.feature_spec(read(spark, d, table))
+        out += [(table, c, "numeric") for c in spec.numeric] + [(table, c, "categorical") for c in spec.categorical]
+    return spark.createDataFrame(out, "table_name string, column_name string, kind string")
 
 
 @query("SELECT quantile_cont(p_size, 0.5) AS p_size, quantile_cont(p_retailprice, 0.5) AS p_retailprice FROM part")
@@ -54,10 +59,11 @@ def a34_leakage_audit(spark, d):
     return contract.leakage_audit(e, e.where("token = 'purchase'").withColumn("first_hours", F.col("hours")), 72.0, 144.0)
 
 
-@query("SELECT * FROM (VALUES ('nation', 0::BIGINT, 'n_nationkey', 'identifier'), ('nation', 1, 'n_name', 'excluded'), ('nation', 2, 'n_regionkey', 'identifier'), ('region', 0, 'r_regionkey', 'identifier'), ('region', 1, 'r_name', 'excluded')) t(table_name, position, column_name, role)")
+@query("""SELECT DISTINCT table_name, CAST(column_index - 1 AS BIGINT) AS position, column_name, CASE WHEN column_name LIKE 'label%' THEN 'label' WHEN column_name IN ('source', 'split') THEN 'partition' WHEN regexp_matches(column_name, '(^|_)(id|uid|uids|key)$') THEN 'identifier'
+    WHEN column_name LIKE '%\\_version' ESCAPE '\\' THEN 'provenance' WHEN regexp_matches(column_name, '(^|_)(text|note|name|raw|code|codes)($|_)|(^|_)(expire|death|mortality|outcome|discharge)($|_)|(^|_)(time|date|timestamp)$') THEN 'excluded' ELSE 'feature' END AS role
+    FROM duckdb_columns() WHERE table_name IN ('nation', 'documents', 'events', 'labels')""")
 def d44_data_dictionary(spark, d):
-    out = contract.data_dictionary({"nation": read(spark, d, "nation"), "region": read(spark, d, "region").select("r_regionkey", "r_name")})
-    return out.withColumn("role", F.when(F.col("column_name").endswith("key"), "identifier").otherwise(F.col("role"))).drop("column_type")
+    return contract.data_dictionary({t: read(spark, d, t) for t in ("nation", "documents", "events", "labels")}).drop("column_type")
 
 
 @query("SELECT p_brand, p_type, count(*) AS row_count FROM part GROUP BY 1, 2")
@@ -119,3 +125,15 @@ def d39_d41_model_metrics(spark, d):
     prep = learning.Preprocessor.fit(train)
     models = {"linear": learning.fit_linear(train, prep), "trees": learning.fit_trees(train, prep)}
     return metrics.ranking_metrics(learning.model_scores(rows.where("split = 'validation'"), prep, models), K)
+
+
+@query()
+def d42_ranker_metrics(spark, d):
+    """Boosted ranking trees fitted on the training groups, measured on validation groups; tests hold the trees against
+    plain ones."""
+    rows = stash(graphs.features(spark, d), "features")
+    names = ["candidate_rank", "pair_support", "pair_support_share", "candidate_condition_medication_support", "candidate_medication_medication_degree"]
+    train = learning.ranking_frame(rows.where("split = 'train'"), names)
+    model = ranker.fit_ranker(train, names, rounds=10)
+    own = rows.where("split = 'validation'").select(*metrics.SCORED, F.lit("ranker").alias("baseline"), model.score().alias("score"))
+    return metrics.ranking_metrics(own, K)

@@ -2,11 +2,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import exprs
-from quillon.operators import fusion, learning, metrics, training
+from quillon.operators import features, fusion, learning, metrics, ranker, training
 
 SCORE_FIELDS = "baseline string, source string, split string, stay_id long, group_id string, condition string, candidate string, candidate_rank long, label boolean, score double"
 
@@ -150,3 +151,71 @@ def test_models_learn_an_obvious_signal(spark):
     got = {r.baseline: r.ndcg for r in metrics.ranking_metrics(learning.model_scores(df, prep, models), 1).collect()}
     assert all(v > 0.9 for v in got.values()) and set(got) == {"linear", "trees", "pairs"}
     assert learning.cross_validated(df, spec, learning.fit_linear, 2, 3, 1).first().ndcg > 0.9
+
+
+def plain_ranking_trees(x, y, group, rounds, depth, rate, ridge, cuts):
+    """The ranker's algorithm over arrays; scores by row."""
+    binned = np.stack([np.searchsorted(c, v, "left") for c, v in zip(cuts, x.T, strict=True)], axis=1)
+    s = np.zeros(len(y))
+    for _ in range(rounds):
+        g, h = np.zeros(len(y)), np.zeros(len(y))
+        for k in np.unique(group):
+            rows = np.flatnonzero(group == k)
+            order = rows[np.lexsort((rows, -s[rows]))]
+            d = 1 / np.log2(np.arange(len(order)) + 2.0)
+            ideal = d[: int(y[rows].sum())].sum()
+            for a, i in enumerate(order):
+                for b, j in enumerate(order):
+                    if y[i] > y[j]:
+                        w, p = abs(d[a] - d[b]) / ideal, 1 / (1 + np.exp(s[i] - s[j]))
+                        g[i] += w * p
+                        g[j] -= w * p
+                        h[i] += w * p * (1 - p)
+                        h[j] += w * p * (1 - p)
+
+        def grow(rows, level, g=g, h=h):
+            best, pick = 1e-9, None
+            total = g[rows].sum() ** 2 / (h[rows].sum() + ridge)
+            for f in range(x.shape[1] if level < depth else 0):
+                for b in range(len(cuts[f])):
+                    left = rows[binned[rows, f] <= b]
+                    right = rows[binned[rows, f] > b]
+                    gain = g[left].sum() ** 2 / (h[left].sum() + ridge) + g[right].sum() ** 2 / (h[right].sum() + ridge) - total
+                    if gain > best + 1e-12:
+                        best, pick = gain, (left, right)
+            if pick is None:
+                s[rows] += rate * g[rows].sum() / (h[rows].sum() + ridge)
+            else:
+                grow(pick[0], level + 1)
+                grow(pick[1], level + 1)
+
+        grow(np.arange(len(y)), 0)
+    return s
+
+
+def test_ranker_equals_plain_trees(spark):
+    rng = np.random.default_rng(6)
+    group = np.repeat(np.arange(50), 6)
+    x = np.round(rng.standard_normal((300, 3)), 1)
+    y = (x[:, 0] + 0.5 * x[:, 1] ** 2 + rng.standard_normal(300) > 0.8).astype(int)
+    y[group == 7] = 0
+    rows = [(str(k), i, int(t), *map(float, v)) for i, (k, t, v) in enumerate(zip(group, y, x, strict=True))]
+    frame = spark.createDataFrame(rows, "group_id string, place long, target int, a double, b double, c double")
+    model = ranker.fit_ranker(frame, ["a", "b", "c"], rounds=4, depth=2, rate=0.3, bins=8)
+    cuts = ranker.bin_cuts(frame, ["a", "b", "c"], 8)
+    fine = np.isin(group, [k for k in range(50) if 0 < y[group == k].sum() < 6])
+    want = plain_ranking_trees(x[fine], y[fine], group[fine], 4, 2, 0.3, 1.0, cuts)
+    got = {r.place: r.s for r in frame.select("place", model.score().alias("s")).collect()}
+    assert len(model.trees) == 4 and np.allclose([got[i] for i in np.flatnonzero(fine)], want, atol=1e-9)
+    assert ranker.fit_ranker(frame.where("target = 0"), ["a"], rounds=2).trees == []
+    odd = frame.withColumn("a", F.when(F.col("place") % 5 > 0, F.col("a")))
+    assert ranker.fit_ranker(odd, ["a", "b"], rounds=1, depth=1).score() is not None
+
+
+def test_tokens_called_like_columns_leave_them(spark):
+    stays = spark.createDataFrame([(1, "x", "y"), (2, "x", "y")], "stay_id long, lab string, cells string")
+    events = spark.createDataFrame([(1, 1, "lab", 2.0, 3.0), (1, 2, "a.b", 1.0, 4.0)], "stay_id long, event_id long, token string, value double, hours double")
+    out = features.wide_features(stays, features.token_statistics(events), ["lab", "a.b"], "f", ("count", "mean"))
+    assert out.columns[:3] == stays.columns and {r.stay_id: (r.lab, r.cells, r.f_lab_count, r.f_lab_mean) for r in out.collect()} == {1: ("x", "y", 1, 2.0), 2: ("x", "y", 0, None)}
+    held = features.presence(stays, events, "token", ["lab", "cells"], "p")
+    assert {r.stay_id: (r.lab, r.cells, r.p_lab_present, r.p_cells_present) for r in held.collect()} == {1: ("x", "y", 1, 0), 2: ("x", "y", 0, 0)}
