@@ -24,7 +24,7 @@ def context(spark, d):
 
 def edges(spark, d, rows=None):
     """The edge list, as large as the vocabulary, written once."""
-    return stash(graph.graph_edges(ranking.rows(spark, d) if rows is None else rows, context(spark, d), predict=4.0), "edges")
+    return stash(graph.graph_edges(ranking.written_rows(spark, d) if rows is None else rows, context(spark, d), predict=4.0), "edges")
 
 
 def threshold(edges):
@@ -85,7 +85,7 @@ def d21_components(spark, d):
     FROM pcm p LEFT JOIN (SELECT DISTINCT id FROM bends WHERE type = 'condition') c ON c.id = condition LEFT JOIN (SELECT DISTINCT id FROM bends WHERE type = 'medication') m ON m.id = candidate
     LEFT JOIN (SELECT * FROM big WHERE relation = 'condition_medication') e ON e.src_id = condition AND e.dst_id = candidate GROUP BY 1, 2""")
 def j19_coverage(spark, d):
-    rows = ranking.rows(spark, d)
+    rows = ranking.written_rows(spark, d)
     return graph.coverage(rows, strong(edges(spark, d, rows)))
 
 
@@ -106,7 +106,7 @@ _FEATURES_SQL = f"""g AS (SELECT group_id, p.condition, p.candidate, coalesce(e.
 
 
 def features(spark, d):
-    rows = ranking.rows(spark, d)
+    rows = ranking.written_rows(spark, d)
     e = edges(spark, d, rows)
     return graph.graph_features(rows, e, threshold(e))
 
@@ -123,7 +123,7 @@ def a29_feature_summary(spark, d):
 
 def _subgraphs(spark, d):
     """Rows, strong edges and nodes, each written once."""
-    rows = ranking.rows(spark, d)
+    rows = ranking.written_rows(spark, d)
     e = strong(edges(spark, d, rows))
     return rows, e, stash(subgraphs.subgraph_nodes(rows, context(spark, d), e, 4.0), "nodes")
 
@@ -198,6 +198,6 @@ def w16_rank_normalised(spark, d):
 
 @query(with_sql(*BASE, SCORES_SQL) + "SELECT baseline, split, group_id, candidate, round(score, 9) AS score FROM scores WHERE candidate_rank <= 3")
 def j24_restricted_scores(spark, d):
-    rows = ranking.rows(spark, d)
+    rows = ranking.written_rows(spark, d)
     own = fusion.restricted(ranking.metrics.baseline_scores(rows, SEED), rows.where("candidate_rank <= 3"))
     return own.select("baseline", "split", "group_id", "candidate", F.round("score", 9).alias("score"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import exprs
 from quillon.operators import metrics, training
-from quillon.sources.scratch import drop_stash, stash
+from quillon.sources.scratch import stash
 
 from . import tpch
 from .registry import query
@@ -18,12 +18,18 @@ def _catalog(spark, d):
 
 
 def rows(spark, d):
-    """Ranking rows, written once: what follows reads them more than once. Stays and labels are written for the same
-    reason, the catalog is made of them too."""
-    stays, labels = stash(tpch.stays(spark, d), "stays"), stash(tpch.labels(spark, d), "labels")
-    out = stash(training.ranking_rows(stays, training.candidate_catalog(stays, labels, TOP_N), labels), "rows")
-    drop_stash(stays, labels)
-    return out
+    """Ranking rows. What they are made of is read more than once and written first: labels, the catalog, and stays, these
+    dealt by their key, so that what they are multiplied to is as many tasks' work as the session's shuffles."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stays = stash(tpch.stays(spark, d).drop("o_orderpriority", "o_totalprice", "o_orderdate").repartition(n, "stay_id"), "stays")
+    labels = stash(tpch.labels(spark, d), "labels")
+    catalog = stash(training.candidate_catalog(stays, labels, TOP_N), "catalog")
+    return training.ranking_rows(stays, catalog, labels)
+
+
+def written_rows(spark, d):
+    """The same as a table, for what reads them several times."""
+    return stash(rows(spark, d), "rows")
 
 
 def scores(spark, d):
