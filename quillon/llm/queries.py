@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, lines, middles, mixing, packing, quality, rabitq, simhash, tiff, urls, warc
+from . import licenses, lines, middles, mixing, packing, quality, rabitq, simhash, tiff, urls, variants, warc
 from .common import stash, table
 
 QUERIES = {}
@@ -148,3 +148,30 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_middles(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = middles.restore_text(middles.fill_in_middle(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+@query(
+    r"""
+    WITH RECURSIVE
+    rule AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(0, 8) AS BIGINT[])),
+               lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS step),
+    runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS c
+             FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY ALL),
+    coded AS (SELECT run, c, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, CAST(octet_length(encode(doc || ':' || run)) AS BIGINT) + 1),
+                lambda i: CAST('0x' || substr(hex(encode(doc || ':' || run)), CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT))),
+                lambda a, b: xor(a // 256, step[1 + xor(a % 256, b)])), 4294967295) AS h FROM runs, rule),
+    typed AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM coded),
+    w AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM typed WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+    places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM w),
+    holes AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest FROM places),
+    near AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+             UNION ALL SELECT w.word, w.n, h.word, h.n FROM w JOIN (SELECT DISTINCT word, n, rest FROM holes) h ON h.rest = w.word
+             UNION ALL SELECT h.word, h.n, w.word, w.n FROM w JOIN (SELECT DISTINCT word, n, rest FROM holes) h ON h.rest = w.word),
+    best AS (SELECT word, count(*) AS n_near, min({'o': -other_n, 'word': other}) AS b FROM near GROUP BY word),
+    f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.o >= 2 * w.n THEN b.word END AS form, CASE WHEN -b.o >= 2 * w.n THEN -b.o END AS form_n FROM w LEFT JOIN best USING (word)),
+    walk(word, here) AS (SELECT word, word FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.here WHERE f.form IS NOT NULL),
+    root AS (SELECT walk.word, here AS root FROM walk JOIN f ON f.word = walk.here WHERE f.form IS NULL)
+    SELECT word, form, root, n, n_near, form_n FROM f JOIN root USING (word)"""
+)
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"), typo_every=97)
