@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, lines, middles, mixing, packing, quality, rabitq, simhash, tiff, urls, variants, warc
+from . import licenses, lines, middles, mixing, packing, quality, rabitq, simhash, tiff, tokenfiles, urls, variants, warc
 from .common import stash, table
 
 QUERIES = {}
@@ -175,3 +175,8 @@ def op11_middles(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_variants(table(spark, sf_dir, "documents"), typo_every=97)
+
+
+@query()
+def op13_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.store_ids(table(spark, sf_dir, "documents"), tokenfiles.word_bpe)
