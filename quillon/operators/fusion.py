@@ -71,6 +71,13 @@ def rank_grid(pairs: DataFrame, k: int) -> DataFrame:
     return fusion_grid(rank_normalised(rank_normalised(pairs, "reference_score"), "other_score"), k)
 
 
+def marked_weight(grid: DataFrame, order: tuple[str, ...] = ("ndcg", "mrr", "hit")) -> DataFrame:
+    """D34 as a table: the grid with `chosen`, true for the weight of the best metrics in their order in each source and
+    split; ties go to the larger weight. Weights without metrics are not chosen. The grid is bounded by its weights."""
+    best = Window.partitionBy("source", "split").orderBy(*[F.desc_nulls_last(m) for m in order], F.desc("weight"))
+    return grid.withColumn("chosen", (F.row_number().over(best) == 1) & F.col(order[0]).isNotNull())
+
+
 def select_rank_weight(pairs: DataFrame, k: int, metric: str = "ndcg") -> float:
     """The weight of the other model over rank-normalised scores; ties go to the larger weight."""
     return rank_grid(pairs, k).where(F.col(metric).isNotNull()).orderBy(F.desc(metric), F.desc("weight")).limit(1).collect()[0]["weight"]

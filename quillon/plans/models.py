@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.functions import exprs
-from quillon.operators import contract, learning, mappings, metrics, ranker
+from quillon.operators import boosting, contract, fusion, learning, mappings, metrics, ranker
 from quillon.sources.scratch import stash
 
 from . import graphs, ranking, records, tpch
 from .registry import query
-from .tpch import BASE, K, SEED, read, with_sql
+from .tpch import BASE, K, SEED, TOP_N, read, with_sql
 
 
 @query(with_sql(*BASE, "c AS (SELECT condition, count(*) FILTER (WHERE label) AS p, count(*) FILTER (WHERE NOT label) AS n FROM pcm WHERE split = 'train' GROUP BY 1)") + f"""SELECT group_id, candidate, label FROM pcm JOIN c USING (condition) WHERE split = 'train' AND
@@ -137,3 +137,77 @@ def d42_ranker_metrics(spark, d):
     model = ranker.fit_ranker(train, names, rounds=10)
     own = rows.where("split = 'validation'").select(*metrics.SCORED, F.lit("ranker").alias("baseline"), model.score().alias("score"))
     return metrics.ranking_metrics(own, K)
+
+
+#: Folds of patients, and their seed.
+FOLDS, FOLD_SEED = 3, 7
+#: Features that the twin can bin as the engine does: their cuts are given.
+PLAIN_FEATURES = {"candidate_rank": [float(c) for c in range(1, TOP_N)], "is_building": [0.0], "is_machinery": [0.0]}
+PLAIN = boosting.Settings(rounds=2, depth=1, rate=0.5)
+
+
+def _train_rows(spark, d):
+    return stash(ranking.rows(spark, d).where("split = 'train'").withColumns({f"is_{n}": (F.col("condition") == f"cond:{n}").cast("int") for n in ("building", "machinery")}), "train")
+
+
+def _round_sql(n: int, before: str) -> str:
+    """Round n of the twin: of each run the split of the best gain over the rows of the other folds, then all rows' scores."""
+    return f"""g{n} AS (SELECT run, f, cut, x <= cut AS low, y - 1 / (1 + exp(-s)) AS g, (1 / (1 + exp(-s))) * (1 - 1 / (1 + exp(-s))) AS h FROM {before} JOIN x USING (group_id, candidate) JOIN cuts USING (f) WHERE fold <> run),
+    t{n} AS (SELECT run, f, cut, coalesce(sum(g) FILTER (WHERE low), 0) AS lg, coalesce(sum(h) FILTER (WHERE low), 0) AS lh, sum(g) AS ag, sum(h) AS ah FROM g{n} GROUP BY 1, 2, 3),
+    b{n} AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY round(lg ** 2 / (lh + 1) + (ag - lg) ** 2 / (ah - lh + 1) - ag ** 2 / (ah + 1), 9) DESC, f, cut) AS nth FROM t{n} WHERE lh >= 1 AND ah - lh >= 1),
+    s{n} AS MATERIALIZED (SELECT r.group_id, r.candidate, fold, run, y, s + {PLAIN.rate}::DOUBLE * CASE WHEN x <= cut THEN lg / (lh + 1) ELSE (ag - lg) / (ah - lh + 1) END AS s FROM {before} r JOIN b{n} USING (run) JOIN x ON x.group_id = r.group_id AND x.candidate = r.candidate AND x.f = b{n}.f WHERE nth = 1)"""
+
+
+_PLAIN_SQL = (
+    f"o AS MATERIALIZED (SELECT group_id, candidate, label::INT AS y, CAST(CAST('0x' || substr(md5('{FOLD_SEED}|' || patient_id), 1, 8) AS UBIGINT) % {FOLDS} AS BIGINT) AS fold, candidate_rank, condition FROM pcm WHERE split = 'train')",
+    "x AS MATERIALIZED (SELECT group_id, candidate, 0 AS f, CAST(candidate_rank AS DOUBLE) AS x FROM o UNION ALL SELECT group_id, candidate, 1, (condition = 'cond:building')::INT FROM o UNION ALL SELECT group_id, candidate, 2, (condition = 'cond:machinery')::INT FROM o)",
+    f"cuts AS (SELECT 0 AS f, CAST(i AS DOUBLE) AS cut FROM range(1, {TOP_N}) r(i) UNION ALL VALUES (1, 0.0::DOUBLE), (2, 0.0::DOUBLE))",
+    f"s0 AS MATERIALIZED (SELECT group_id, candidate, fold, run, y, 0.0::DOUBLE AS s FROM o, range({FOLDS}) v(run))",
+    _round_sql(1, "s0"),
+    _round_sql(2, "s1"),
+)
+
+
+@query(with_sql(*BASE, *_PLAIN_SQL) + "SELECT group_id, candidate, fold, round(1 / (1 + exp(-s)), 6) AS score FROM s2 WHERE fold = run")
+def d32_out_of_fold(spark, d):
+    """Rows scored by boosted stumps of the other patients' rows, all folds grown in the same jobs."""
+    own, _ = boosting.out_of_fold(_train_rows(spark, d), list(PLAIN_FEATURES), PLAIN, FOLDS, FOLD_SEED, cuts=list(PLAIN_FEATURES.values()))
+    return own.select("group_id", "candidate", F.col("fold").cast("long").alias("fold"), F.round("score", 6).alias("score"))
+
+
+GRAPH_FEATURES = ["candidate_rank", *graphs._FEATURES]
+RANKER = boosting.Settings("ndcg", rounds=40, depth=4, rate=0.1, least_weight=1.0, rows=0.8, columns=0.8, patience=5, k=10)
+REFERENCE = boosting.Settings("logistic", rounds=20, depth=4, rows=0.8, columns=0.8)
+
+
+def _graph_rows(spark, d, split="train"):
+    return stash(graphs.features(spark, d).where(f"split = '{split}'"), "features")
+
+
+@query()
+def d42_early_stopping(spark, d):
+    """Of each fold's ranking trees: how many were grown, how many are kept, and the NDCG of the patients left out with none
+    of them and with these; tests hold the trees and where they stop against plain ones."""
+    _, boosters = boosting.out_of_fold(_graph_rows(spark, d), GRAPH_FEATURES, RANKER, FOLDS, FOLD_SEED)
+    out = [(k, len(b.held_out) - 1, len(b.trees), round(b.held_out[0], 6), round(b.held_out[len(b.trees)], 6)) for k, b in enumerate(boosters) if b.held_out]
+    return spark.createDataFrame(out, "fold int, grown int, kept int, ndcg_without double, ndcg double")
+
+
+@query()
+def d34_out_of_fold_weights(spark, d):
+    """The metrics of every weight between a ranker's and a reference's out-of-fold scores, and which weight is chosen."""
+    rows = _graph_rows(spark, d)
+    (other, _), (reference, _) = (boosting.out_of_fold(rows, GRAPH_FEATURES, s, FOLDS, FOLD_SEED) for s in (RANKER, REFERENCE))
+    reference = reference.select("group_id", "candidate", F.col("score").alias("reference_score"))
+    pairs = stash(other.withColumnRenamed("score", "other_score").join(reference, ["group_id", "candidate"]).select(*fusion.KEY, "stay_id", "candidate_rank", "label", "reference_score", "other_score"), "pairs")
+    return fusion.marked_weight(fusion.rank_grid(pairs, 10))
+
+
+@query()
+def d40_boosted_trees(spark, d):
+    """200 trees of depth 6 on sampled training rows, measured on validation rows; tests hold the trees against plain ones."""
+    rows = stash(graphs.features(spark, d), "features")
+    train = learning.sampled_rows(rows.where("split = 'train'"), SEED).select("group_id", F.col("label").cast("int").alias("target"), F.lit(0).alias("place"), *GRAPH_FEATURES)
+    boosters = boosting.fit(train, GRAPH_FEATURES, boosting.Settings(rows=0.8, columns=0.8))
+    own = boosting.score(rows.where("split = 'validation'").select(*metrics.SCORED, *[c for c in GRAPH_FEATURES if c not in metrics.SCORED]), boosters, probability=True)
+    return metrics.ranking_metrics(own.select(*metrics.SCORED, "score", F.lit("trees").alias("baseline")), K)
