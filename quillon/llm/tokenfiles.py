@@ -22,9 +22,9 @@ Encoder = Callable[[list[bytes]], list[np.ndarray]]
 #: A file begins and ends with this.
 MAGIC = b"QIDS0001"
 #: Ids of a block, blocks that are coded side by side, and ids after which a task begins a new file.
-BLOCK, LANES, ROLL = 2048, 2048, 1 << 26
+BLOCK, LANES, ROLL = 2048, 1024, 1 << 26
 #: Words whose ids a worker remembers, and words that are encoded as one text.
-REMEMBERED, TOGETHER = 800_000, 4_000
+REMEMBERED, TOGETHER = 500_000, 4_000
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: A code point that is a word of its own, between words that are encoded together.
 BETWEEN = "\x01"
