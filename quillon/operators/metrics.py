@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.ml.feature import Bucketizer
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +18,11 @@ SCORED = ["source", "split", "stay_id", "group_id", "condition", "candidate", "c
 
 def baseline_scores(rows: DataFrame, seed: int = 20260617, dev: str = "dev", fit: str = "train") -> DataFrame:
     """Scores (0 if unseen) of three baselines, each fitted on the fitting rows of the development source:
-    random, the candidate's share of all positives, its share of its condition's positives. One scan of the rows and
-    two small lookups; the baselines are made in a row and stacked."""
+    random, the candidate's share of all positives, its share of its condition's positives. The positives of each pair, a
+    vocabulary squared at most, are counted and written once; then one scan of the rows and small lookups. The baselines
+    are made in a row and stacked."""
     fitting = rows.where((F.col("source") == dev) & (F.col("split") == fit) & F.col("label"))
-    pair = fitting.groupBy("condition", "candidate").agg(F.count("*").alias("pair"))
+    pair = stash(fitting.groupBy("condition", "candidate").agg(F.count("*").alias("pair")), "pairs")
     by_candidate = pair.groupBy("candidate").agg(F.sum("pair").alias("of_candidate"))
     by_condition = pair.groupBy("condition").agg(F.sum("pair").alias("of_condition"))
     total = pair.agg(F.sum("pair").alias("of_all"))
@@ -63,56 +65,133 @@ def ranking_metrics(scores: DataFrame, k: int) -> DataFrame:
     return out.select(*SLICE, F.lit(k).cast("long").alias("k"), "groups", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "hit", "ndcg")], F.round("rr", 6).alias("mrr"))
 
 
-#: Bins of scores, and hash classes that equal scores of a candidate are dealt into: no slice, however large or tied, is
-#: one task's sort.
-SCORE_BINS, TIE_CLASSES = 512, 256
-
-
-def score_bins(scores: DataFrame) -> Bucketizer:
-    """Bins of scores of about equally many rows, whatever range the scores have."""
-    cuts = scores.agg(F.percentile_approx("score", [i / SCORE_BINS for i in range(1, SCORE_BINS)], 4 * SCORE_BINS)).first()[0] or [0.0]
-    return Bucketizer(splits=[float("-inf"), *sorted(set(cuts)), float("inf")], inputCol="score", outputCol="bin")
+#: Hash classes that equal scores of a candidate are ordered by before their groups are.
+TIE_CLASSES = 256
+_PLACED = ", ".join(f"{c} string" for c in SLICE) + ", part int, kind int, at long, seen long, n long, p long, mid double, inner long, squares double, score double, tenths array<double>"
+_POSITIVE, _TOTAL, _EDGE = range(3)
+
+
+class _Run:
+    """What a partition has of one slice, whose rows come by score from above."""
+
+    def __init__(self, key: tuple, bins: int) -> None:
+        self.key, self.n, self.p, self.squares = key, 0, 0, 0.0
+        self.mid, self.inner = 0.0, 0
+        self.tenths = np.zeros((bins, 2))
+        self.edges: list[tuple[float, int, int, int]] = []
+        self.open: tuple[float, int, int, int] | None = None  # the score, first place, rows and positives of equal scores
+
+    def add(self, score: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places, positives up to there) of the positives among further rows."""
+        bins = len(self.tenths)
+        tenth = np.minimum(np.floor(np.clip(score, 0, 1) * bins), bins - 1).astype(int)
+        self.tenths += np.stack([np.bincount(tenth, label, bins), np.bincount(tenth, score, bins)], axis=1)
+        self.squares += float(((score - label) ** 2).sum())
+        seen = self.p + np.cumsum(label)
+        at = self.n + np.arange(1, len(score) + 1)
+        starts = np.concatenate([[0], np.flatnonzero(score[1:] != score[:-1]) + 1])
+        firsts, ns, ps = at[starts], np.diff(np.append(starts, len(score))), np.add.reduceat(label, starts)
+        if self.open and self.open[0] == score[0]:
+            firsts[0], ns[0], ps[0] = self.open[1], ns[0] + self.open[2], ps[0] + self.open[3]
+        elif self.open:
+            self.close()
+        if len(starts) > 1:
+            self.open = (float(score[0]), int(firsts[0]), int(ns[0]), int(ps[0]))
+            self.close()
+            own = slice(1, len(starts) - 1)
+            self.mid += float((ps[own] * (firsts[own] + (ns[own] - 1) / 2)).sum())
+            self.inner += int(ps[own].sum())
+        self.open = (float(score[starts[-1]]), int(firsts[-1]), int(ns[-1]), int(ps[-1]))
+        self.n, self.p = self.n + len(score), int(seen[-1])
+        return at[label > 0], seen[label > 0]
+
+    def close(self) -> None:
+        """Equal scores are over: the first of a partition may go on in the one before it, so they are an edge."""
+        score, first, n, p = self.open
+        if not self.edges:
+            self.edges.append(self.open)
+        else:
+            self.mid += p * (first + (n - 1) / 2)
+            self.inner += p
+
+    def rows(self, part: int) -> list[tuple]:
+        if self.open:
+            self.edges.append(self.open)
+        none = (None,) * 2
+        out = [(*self.key, part, _TOTAL, *none, self.n, self.p, self.mid, self.inner, self.squares, None, self.tenths.reshape(-1).tolist())]
+        return out + [(*self.key, part, _EDGE, first, None, n, p, None, None, None, score, None) for score, first, n, p in self.edges]
+
+
+def _placed(scores: DataFrame, bins: int) -> DataFrame:
+    """The rows of a slice by score from above, dealt by ranges: of each partition and slice the positives with their place
+    (kind 0), sums (1), and the first and last equal scores (2), which may go on in the partitions beside it."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, run = TaskContext.get().partitionId(), None
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = [batch.column(k).dictionary_encode(null_encoding="encode") for k in range(len(SLICE))]
+            score, label = batch.column(3).to_numpy(), batch.column(4).to_numpy().astype(np.int64)
+            changes = np.flatnonzero(np.any([np.diff(c.indices.to_numpy()) != 0 for c in codes], axis=0)) + 1
+            for a, b in zip([0, *changes], [*changes, batch.num_rows], strict=True):
+                key = tuple(batch.column(k)[int(a)].as_py() for k in range(len(SLICE)))
+                if run is None or run.key != key:
+                    if run:
+                        yield out(run.rows(part))
+                    run = _Run(key, bins)
+                at, seen = run.add(score[a:b], label[a:b])
+                if len(at):
+                    n = len(at)
+                    own = [pa.array([k] * n, pa.string()) for k in key] + [pa.array(np.full(n, part), pa.int32()), pa.array(np.full(n, _POSITIVE), pa.int32()), pa.array(at), pa.array(seen)]
+                    yield pa.RecordBatch.from_arrays([*own, *[pa.nulls(n, t) for t in kinds[len(own) :]]], names)
+        if run:
+            yield out(run.rows(part))
+
+    names = [f.split()[0] for f in _PLACED.split(", ")]
+    kinds = [pa.string()] * 3 + [pa.int32()] * 2 + [pa.int64()] * 4 + [pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.float64())]
+    tie = hash_bucket(F.col("group_id"), TIE_CLASSES)
+    held = scores.select(*SLICE, "score", F.col("label").cast("int").alias("label"), "candidate_rank", "candidate", tie.alias("tie"), "group_id")
+    order = [*[F.col(c).asc_nulls_last() for c in SLICE], F.desc("score"), F.col("candidate_rank").asc_nulls_last(), F.col("candidate").asc_nulls_last(), "tie", F.col("group_id").asc_nulls_last()]
+    return held.repartitionByRange(*order).sortWithinPartitions(*order).select(*SLICE, "score", "label").mapInArrow(place, _PLACED)
 
 
 def row_metrics(scores: DataFrame, bins: int = 10) -> DataFrame:
     """Average precision, ROC area by mid-ranks, Brier score and calibration error of each slice; all null unless
     both classes occur.
 
-    Rows are counted in cells (score, catalog rank, candidate, hash class of the group), cells in bins of scores, bins
-    in their slice; a row's place in the slice is the sum of what stands before its bin, its cell and itself. So
-    average precision orders equal scores by catalog rank, candidate, hash class and group, and every window is over a
-    bin's cells or a cell's rows. scores is read three times (hand over a written table); cells are written once.
+    Prefix sums over ranges: rows are dealt by slice and score, then catalog rank, candidate, hash class and group, so that
+    no slice, however large or tied, is one task's sort; a task numbers its own rows, and what the ranges before it hold is
+    added to the positives' places in a second pass, over these alone. Ranges are found on a sample, so scores is read
+    twice (hand over a written table). Scores are not null.
     """
-    held = score_bins(scores).transform(scores).withColumn("tie", hash_bucket(F.col("group_id"), TIE_CLASSES))
-    cell = ["bin", "score", "candidate_rank", "candidate", "tie"]
-    cells = stash(held.groupBy(*SLICE, *cell).agg(F.count("*").alias("n"), F.count_if("label").alias("p")), "cells")
-    per_bin = cells.groupBy(*SLICE, "bin").agg(F.sum("n").alias("bin_n"), F.sum("p").alias("bin_p"))
-    down, whole = Window.partitionBy(*SLICE).orderBy(F.desc("bin")), Window.partitionBy(*SLICE)
-    per_bin = per_bin.select(*SLICE, "bin", (F.sum("bin_n").over(down) - F.col("bin_n")).alias("n_above"), (F.sum("bin_p").over(down) - F.col("bin_p")).alias("p_above"), F.sum("bin_n").over(whole).alias("all_n"), F.sum("bin_p").over(whole).alias("all_p"))
-    per = cells.groupBy(*SLICE, "bin", "score").agg(F.sum("n").alias("n"), F.sum("p").alias("p")).join(per_bin, [*SLICE, "bin"])
-    inside = Window.partitionBy(*SLICE, "bin").orderBy(F.desc("score"))
-    low_rank = F.col("all_n") - F.col("n_above") - F.sum("n").over(inside) + 1
-    per = per.withColumn("low_rank", low_rank)
-    area = per.groupBy(*SLICE).agg(F.first("all_n").alias("row_count"), F.first("all_p").alias("positives"), F.sum(F.col("p") * (F.col("low_rank") + (F.col("n") - 1) / 2.0)).alias("rank_sum"),
-        F.sum(F.col("p") * (F.col("score") - 1) ** 2 + (F.col("n") - F.col("p")) * F.col("score") ** 2).alias("squares"))
-    order = [F.desc("score"), F.col("candidate_rank").asc_nulls_last(), F.col("candidate").asc_nulls_last(), "tie"]
-    before = Window.partitionBy(*SLICE, "bin").orderBy(*order)
-    placed = cells.join(per_bin, [*SLICE, "bin"]).withColumns({"n_before": F.col("n_above") + F.sum("n").over(before) - F.col("n"), "p_before": F.col("p_above") + F.sum("p").over(before) - F.col("p")})
-    placed = placed.where("p > 0").select(*SLICE, *[F.col(c).alias(f"__{c}") for c in cell], "n_before", "p_before")
-    own = Window.partitionBy(*SLICE, *cell).orderBy(F.col("group_id").asc_nulls_last())
-    numbered = held.withColumns({"at": F.row_number().over(own), "seen": F.sum(F.col("label").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, 0))}).where("label")
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in cell]
-    right = placed.select(*[F.col(c).alias(f"__{c}") for c in SLICE], *[f"__{c}" for c in cell], "n_before", "p_before")
-    joined = numbered.join(right, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in SLICE] + same))
-    hits = joined.groupBy(*SLICE).agg(F.sum((F.col("p_before") + F.col("seen")) / (F.col("n_before") + F.col("at"))).alias("ap_sum"))
-    tenth = F.least(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")) * bins), F.lit(bins - 1))
-    gaps = per.groupBy(*SLICE, tenth.alias("tenth")).agg(F.sum("p").alias("p"), F.sum(F.col("score") * F.col("n")).alias("s"))
-    gaps = gaps.groupBy(*SLICE).agg(F.sum(F.abs(F.col("p") - F.col("s"))).alias("gap"))
-    out = area.join(hits, SLICE, "left").join(gaps, SLICE)
+    placed = stash(_placed(scores, bins), "placed")
+    totals = placed.where(F.col("kind") == _TOTAL)
+    whole = Window.partitionBy(*SLICE)
+    before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    added = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    totals = totals.withColumns({"n_before": added("n"), "p_before": added("p")})
+    offsets = totals.select(*SLICE, "part", "n_before", "p_before")
+    hits = placed.where(F.col("kind") == _POSITIVE).select(*SLICE, "part", "at", "seen").join(offsets, [*SLICE, "part"])
+    hits = hits.groupBy(*SLICE).agg(F.sum((F.col("p_before") + F.col("seen")) / (F.col("n_before") + F.col("at"))).alias("ap_sum"))
+    edges = placed.where(F.col("kind") == _EDGE).select(*SLICE, "part", "at", "n", "p", "score").join(offsets, [*SLICE, "part"])
+    edges = edges.groupBy(*SLICE, "score").agg(F.min(F.col("at") + F.col("n_before")).alias("first"), F.sum("n").alias("n"), F.sum("p").alias("p"))
+    edges = edges.groupBy(*SLICE).agg(F.sum(F.col("p") * (F.col("first") + (F.col("n") - 1) / 2.0)).alias("edge_mid"))
+    area = totals.groupBy(*SLICE).agg(F.sum("n").alias("row_count"), F.sum("p").alias("positives"), F.sum("squares").alias("squares"), F.sum(F.col("mid") + F.col("inner") * F.col("n_before")).alias("inner_mid"))
+    tenths = totals.select(*SLICE, F.posexplode("tenths").alias("i", "v")).groupBy(*SLICE, F.floor(F.col("i") / 2).alias("tenth"))
+    gaps = tenths.agg(F.abs(F.sum(F.when(F.col("i") % 2 == 0, F.col("v")).otherwise(-F.col("v")))).alias("gap")).groupBy(*SLICE).agg(F.sum("gap").alias("gap"))
+    out = area.join(edges, SLICE).join(hits, SLICE, "left").join(gaps, SLICE)
     p, n = F.col("positives").cast("double"), (F.col("row_count") - F.col("positives")).cast("double")
     both = (p > 0) & (n > 0)
     some = lambda c: F.round(F.when(both, c), 6)
-    return out.select(*SLICE, "row_count", "positives", some(F.col("ap_sum") / p).alias("average_precision"), some((F.col("rank_sum") - p * (p + 1) / 2) / (p * n)).alias("roc_auc"), some(F.col("squares") / F.col("row_count")).alias("brier"), some(F.col("gap") / F.col("row_count")).alias("calibration_error"))
+    rank_sum = p * (F.col("row_count") + 1) - F.col("inner_mid") - F.col("edge_mid")
+    return out.select(*SLICE, "row_count", "positives", some(F.col("ap_sum") / p).alias("average_precision"), some((rank_sum - p * (p + 1) / 2) / (p * n)).alias("roc_auc"), some(F.col("squares") / F.col("row_count")).alias("brier"), some(F.col("gap") / F.col("row_count")).alias("calibration_error"))
 
 
 def condition_metrics(scores: DataFrame, k: int, least_groups: int = 25) -> DataFrame:

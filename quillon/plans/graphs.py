@@ -165,7 +165,11 @@ def pairs(spark, d):
     return fusion.aligned(ranking.scores(spark, d), "global_popularity", "condition_popularity")
 
 
-@query(with_sql(*BASE, SCORES_SQL) + "SELECT a.source, a.split, a.group_id, a.condition, a.candidate, round(a.score, 9) AS reference_score, round(b.score, 9) AS other_score FROM scores a JOIN scores b USING (group_id, candidate) WHERE a.baseline = 'global_popularity' AND b.baseline = 'condition_popularity'")
+#: Both models' scores of a row, in one grouping.
+BOTH_SQL = """pair AS MATERIALIZED (SELECT source, split, group_id, condition, candidate, max(CASE WHEN baseline = 'global_popularity' THEN score END) AS a, max(CASE WHEN baseline = 'condition_popularity' THEN score END) AS b FROM scores WHERE baseline <> 'random' GROUP BY ALL)"""
+
+
+@query(with_sql(*BASE, SCORES_SQL, BOTH_SQL) + "SELECT source, split, group_id, condition, candidate, round(a, 9) AS reference_score, round(b, 9) AS other_score FROM pair")
 def j17_aligned_scores(spark, d):
     return pairs(spark, d).select("source", "split", "group_id", "condition", "candidate", F.round("reference_score", 9).alias("reference_score"), F.round("other_score", 9).alias("other_score"))
 
@@ -185,7 +189,7 @@ def d27_fusion_grid(spark, d):
     return fusion.fusion_grid(pairs(spark, d), K)
 
 
-@query(with_sql(*BASE, SCORES_SQL) + "SELECT a.source, a.split, a.group_id, a.candidate, v.baseline, round(CASE v.baseline WHEN 'late_fusion' THEN 0.75::DOUBLE * a.score + 0.25::DOUBLE * b.score ELSE (a.score + b.score) / 2 END, 9) AS score FROM scores a JOIN scores b USING (group_id, candidate) CROSS JOIN (VALUES ('late_fusion'), ('mean_ensemble')) v(baseline) WHERE a.baseline = 'global_popularity' AND b.baseline = 'condition_popularity'")
+@query(with_sql(*BASE, SCORES_SQL, BOTH_SQL) + "SELECT source, split, group_id, candidate, v.baseline, round(CASE v.baseline WHEN 'late_fusion' THEN 0.75::DOUBLE * a + 0.25::DOUBLE * b ELSE (a + b) / 2 END, 9) AS score FROM pair CROSS JOIN (VALUES ('late_fusion'), ('mean_ensemble')) v(baseline)")
 def d29_fused_scores(spark, d):
     return fusion.fused_scores(pairs(spark, d), 0.25).select("source", "split", "group_id", "candidate", "baseline", F.round("score", 9).alias("score"))
 

@@ -18,13 +18,9 @@ def _catalog(spark, d):
 
 
 def rows(spark, d):
-    """Ranking rows. What they are made of is read more than once and written first: labels, the catalog, and stays, these
-    dealt by their key, so that what they are multiplied to is as many tasks' work as the session's shuffles."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stays = stash(tpch.stays(spark, d).drop("o_orderpriority", "o_totalprice", "o_orderdate").repartition(n, "stay_id"), "stays")
-    labels = stash(tpch.labels(spark, d), "labels")
-    catalog = stash(training.candidate_catalog(stays, labels, TOP_N), "catalog")
-    return training.ranking_rows(stays, catalog, labels)
+    """Ranking rows, not written: for what reads them once."""
+    stays, labels = tpch.stays(spark, d).drop("o_orderpriority", "o_totalprice", "o_orderdate"), tpch.labels(spark, d)
+    return training.ranking_rows(stays, training.candidate_catalog(stays, labels, TOP_N), labels)
 
 
 def written_rows(spark, d):

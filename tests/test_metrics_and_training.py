@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -219,3 +220,61 @@ def test_tokens_called_like_columns_leave_them(spark):
     assert out.columns[:3] == stays.columns and {r.stay_id: (r.lab, r.cells, r.f_lab_count, r.f_lab_mean) for r in out.collect()} == {1: ("x", "y", 1, 2.0), 2: ("x", "y", 0, None)}
     held = features.presence(stays, events, "token", ["lab", "cells"], "p")
     assert {r.stay_id: (r.lab, r.cells, r.p_lab_present, r.p_cells_present) for r in held.collect()} == {1: ("x", "y", 1, 0), 2: ("x", "y", 0, 0)}
+
+
+@pytest.mark.parametrize("kind", ["few", "one", "many", "odd"])
+def test_row_metrics_over_ranges_equal_brute_force(spark, kind):
+    """Equal scores over several ranges, slices of one class, ranges of several slices."""
+    rng = random.Random(9)
+    rows = []
+    for name, n in (("a", 400), ("b", 3), ("c", 150), ("d", 1)):
+        for k in range(n):
+            score = {"few": rng.choice((0.1, 0.5, 0.5001, 0.9)), "one": 0.5, "many": rng.random(), "odd": rng.choice((-3.0, 0.0, 1.0, 7.5, rng.random()))}[kind]
+            rows.append((name, "dev", "train", k, f"g{k % 40}", "cond", f"m{rng.randrange(6)}", rng.choice((None, 1, 2, 3)), name == "a" and rng.random() < 0.3 or name == "c" and k % 2 == 0, score))
+    df = spark.createDataFrame(rows, "baseline string, source string, split string, stay_id long, group_id string, condition string, candidate string, candidate_rank int, label boolean, score double")
+    got = {r.baseline: r for r in metrics.row_metrics(df.repartition(7)).collect()}
+    for name in "abcd":
+        own = [r for r in rows if r[0] == name]
+        y, s = [int(r[8]) for r in own], [r[9] for r in own]
+        assert (got[name].row_count, got[name].positives) == (len(own), sum(y))
+        if 0 < sum(y) < len(own):
+            wins = sum((a > b) + (a == b) / 2 for a, i in zip(s, y, strict=True) if i for b, j in zip(s, y, strict=True) if not j)
+            assert math.isclose(got[name].roc_auc, wins / sum(y) / (len(own) - sum(y)), abs_tol=2e-6)
+            assert math.isclose(got[name].brier, sum((a - b) ** 2 for a, b in zip(s, y, strict=True)) / len(own), abs_tol=2e-6)
+            bin_of = [min(9, int(10 * max(0, min(1, a)))) for a in s]
+            gap = sum(abs(sum(y[i] - s[i] for i in range(len(own)) if bin_of[i] == b)) for b in range(10))
+            assert math.isclose(got[name].calibration_error, gap / len(own), abs_tol=2e-6)
+            if kind == "many":  # without ties the order is the score's alone
+                order = sorted(range(len(own)), key=lambda i: -s[i])
+                ap = sum(sum(y[j] for j in order[: k + 1]) / (k + 1) for k, i in enumerate(order) if y[i]) / sum(y)
+                assert math.isclose(got[name].average_precision, ap, abs_tol=2e-6)
+        else:
+            assert got[name].roc_auc is None and got[name].average_precision is None
+
+
+def test_row_metrics_read_scores_by_one_shuffle(spark):
+    df = spark.range(10).selectExpr("'a' baseline", "'d' source", "'t' split", "'g' group_id", "'c' candidate", "1 candidate_rank", "id % 2 = 0 label", "id / 10 score")
+    plan = metrics._placed(df, 10)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange") == 1
+
+
+def test_fusion_grid_equals_ranking_metrics_of_each_weight(spark):
+    rng = random.Random(11)
+    rows = []
+    for g in range(60):
+        for c in range(rng.randrange(1, 9)):
+            rows.append(("dev", "test" if g % 3 else "train", f"g{g}", "cond", f"m{c}" if c else None, g, rng.choice((None, 1, 2)), rng.random() < 0.3 and g % 5 > 0, rng.choice((0.0, 0.2, rng.random())), rng.choice((0.1, rng.random()))))
+    rows.append(("ext", "external", "gx", "cond", "m1", 1, 1, False, 0.1, 0.2))
+    df = spark.createDataFrame(rows, "source string, split string, group_id string, condition string, candidate string, stay_id int, candidate_rank int, label boolean, reference_score double, other_score double")
+    weights = [0.0, 0.3, 1.0]
+    got = {(r.source, r.split, r.weight): (r.groups, r.precision, r.recall, r.hit, r.ndcg, r.mrr) for r in fusion.fusion_grid(df, 3, weights).collect()}
+    want = {}
+    for w in weights:
+        own = df.selectExpr("*", f"(1.0D - {w}D) * reference_score + {w}D * other_score as score", "'w' as baseline")
+        for r in metrics.ranking_metrics(own, 3).collect():
+            want[r.source, r.split, w] = (r.groups, r.precision, r.recall, r.hit, r.ndcg, r.mrr)
+    assert got.keys() == want.keys()
+    for key, values in want.items():
+        assert all(a == b or math.isclose(a, b, abs_tol=1.5e-6) for a, b in zip(got[key], values, strict=True)), key
+    chosen = fusion.marked_weight(fusion.fusion_grid(df, 3, weights)).where("chosen").collect()
+    assert {(r.source, r.split) for r in chosen} == {("dev", "test"), ("dev", "train")}
