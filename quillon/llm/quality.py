@@ -101,29 +101,31 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     return RatioModel(np.log((target + SMOOTH) / (expected + SMOOTH)), len(picked))
 
 
-def gumbel(doc_id: int | None, seed: int = SEED) -> float:
-    """Gumbel noise of a document, the same in every run."""
-    x = mix(np.array([(doc_id if doc_id is not None else -1) & 0xFFFFFFFFFFFFFFFF], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+def gumbel(doc_id: int | None, seed: int = SEED, text_hash: int = 0) -> float:
+    """Gumbel noise of a document, the same in every run; without an id it is its text's."""
+    x = mix(np.array([(doc_id if doc_id is not None else ~text_hash) & 0xFFFFFFFFFFFFFFFF], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
     u = (float(mix(x)[0] >> np.uint64(11)) + 0.5) / float(1 << 53)
     return -math.log(-math.log(u))
 
 
 def importance(docs: DataFrame, model: RatioModel, doc_id: str = "doc_id", text: str = "text", passage: int = PASSAGE, seed: int = SEED) -> DataFrame:
-    """(doc_id, log_ratio, key): the mean log ratio of each whole text's n-grams, and the key that sampling goes by: the log
-    importance weight of a passage of so many n-grams of the text, and Gumbel noise."""
+    """(doc_id, text_hash, log_ratio, key): the mean log ratio of each whole text's n-grams, and the key that sampling goes
+    by: the log importance weight of a passage of so many n-grams of the text, and Gumbel noise."""
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_parts(batches):
-            ids = batch.column(0).to_pylist()
+            ids, hashes = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             s = np.array([model.score(t) for t in utf8(batch.column(1))], float)
-            key = s * passage + np.array([gumbel(k, seed) for k in ids], float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array(key)], ["doc_id", "log_ratio", "key"])
+            key = s * passage + np.array([gumbel(k, seed, h) for k, h in zip(ids, hashes, strict=True)], float)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array(key)], ["doc_id", "text_hash", "log_ratio", "key"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(score, "doc_id long, log_ratio double, key double")
+    held = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return held.withColumn("text_hash", F.xxhash64("text")).mapInArrow(score, "doc_id long, text_hash long, log_ratio double, key double")
 
 
 def top_k(rows: DataFrame, k: int, key: str = "key", tie: str = "doc_id") -> DataFrame:
-    """rows with kept: true for exactly k of them, those of the largest keys; equal keys by the smallest tie (nulls last).
+    """rows with kept: true for k of them, those of the largest keys; equal keys by the smallest tie (nulls last). Rows of
+    equal key and tie are kept or not together, so these may make it more than k.
 
     No sort of all rows: a histogram finds the range that the k-th key lies in, again and again within it, until
     few rows are left there or all have one key. Only these are ranked, by their (key, tie), each pair once with its
@@ -157,7 +159,7 @@ def top_k(rows: DataFrame, k: int, key: str = "key", tie: str = "doc_id") -> Dat
 
 
 def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: int | None = None, passage: int = PASSAGE, seed: int = SEED, margin: float | None = None) -> DataFrame:
-    """(doc_id, log_ratio, key, kept) for each row of docs: importance resampling towards the documents labelled
+    """(doc_id, text_hash, log_ratio, key, kept) for each row of docs: importance resampling towards the documents labelled
     quality 1. The weight of a text is the ratio of the target and the raw model's probabilities of a passage of
     `passage` n-grams with the text's own makeup: its log is `passage` times the mean over the text's n-grams (the sum
     over a whole text would rank texts by their length). A document's key is its log weight plus Gumbel noise, and the
@@ -165,7 +167,7 @@ def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     another sample. keep defaults to the number of documents whose mean is at least -margin, and margin to the model's
     own: as many as have no evidence against them, drawn among all.
 
-    Null and empty texts have weight 0, so they count as likely. Null ids share their noise. Repeated rows have equal
+    Null and empty texts have weight 0, so they count as likely. Rows without an id have the noise of their text. Repeated rows have equal
     keys and are kept or not together (rows of equal key and id may bring the count above keep). Empty labels: all
     weights are 0 and all rows are kept. No rows: none. Other columns don't matter.
     """
@@ -176,8 +178,9 @@ def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **kind) -> DataFrame:
-    """The rows of docs that resampling keeps, with docs' columns. Rows without an id are kept or not by their text
-    like any other, all of them together if one is."""
-    own = fresh_name("kept", docs)
-    kept = resample(docs, labels, doc_id, text, **kind).where("kept").select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(kept, F.col(doc_id).cast("long").eqNullSafe(F.col(own)), "left_semi")
+    """The rows of docs that resampling keeps, with docs' columns. A row is known by its id and its text's hash, so rows that
+    share an id, or have none, are kept or not each by its own text; only equal rows go together. Texts are not moved."""
+    own, hashed = fresh_name("kept", docs), fresh_name("kept_hash", docs)
+    kept = resample(docs, labels, doc_id, text, **kind).where("kept").select(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed)).distinct()
+    same = (F.xxhash64(F.col(text).cast("string")) == F.col(hashed)) & F.col(doc_id).cast("long").eqNullSafe(F.col(own))
+    return docs.join(kept, same, "left_semi")

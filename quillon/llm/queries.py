@@ -125,7 +125,7 @@ def op6_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op4_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_hash")
 
 
 @query()

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 import zlib
 
@@ -327,3 +328,19 @@ def test_licenses_repeated_at_any_distance_are_all_found(name):
             text = " ".join(f"{' '.join(f'z{k}y{i}' for i in range(distance - size))} {notice}" for k in range(times))
             got = [(r[6], r[7]) for r in licenses.matches(text.encode(), index) if r[0] == name]
             assert got == [(k * distance + distance - size, (k + 1) * distance) for k in range(times)]
+
+
+def test_rows_that_share_an_id_or_have_none_are_kept_by_their_own_text(spark):
+    """Junk under a clean row's id, junk and clean rows without ids, and repeated rows."""
+    rng = random.Random(8)
+    clean = lambda: " ".join(rng.choice("the river runs along old town where people walk home after work every day".split()) for _ in range(60))
+    junk = lambda: " ".join(rng.choice("$$$ click %% buy!! free## win cash>>> now@@".split()) for _ in range(60))
+    rows = [(k, clean()) for k in range(60)] + [(100 + k, junk()) for k in range(60)]
+    odd = [(0, junk()), (None, junk()), (None, junk()), (None, clean()), (None, clean()), (7, rows[7][1])]
+    docs = spark.createDataFrame([(k, t, True) for k, t in rows + odd], "doc_id long, text string, kept boolean")
+    labels = spark.createDataFrame([(k, int(k < 100)) for k, _ in rows], "doc_id long, quality int")
+    kept = [(r.doc_id, r.text) for r in quality.kept_documents(docs, labels).collect()]
+    junk_texts = {t for k, t in rows + odd if "click" in t or "$$$" in t}
+    assert not any(t in junk_texts for _, t in kept)
+    assert sum(k is None for k, _ in kept) == 2 and sum(k == 7 for k, _ in kept) == 2 and sum(k == 0 for k, _ in kept) == 1
+    assert len(kept) >= 60
