@@ -11,6 +11,7 @@ import uuid
 import zlib
 from collections.abc import Iterable
 from pathlib import Path
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -170,10 +171,10 @@ def gzip_state(path: str | Path, chunk: int = 1 << 20) -> tuple[str, int]:
 
 
 def opened(url: str) -> pa.NativeFile:
-    """A stream of a file as it is stored, by its URL (file:, or what Arrow knows)."""
+    """A stream of a file as it is stored, by its path as Hadoop writes it (file:, or what Arrow knows; not encoded)."""
     if url.startswith("file:"):
         url = "file://" + url.removeprefix("file:").removeprefix("//")
-    store, path = fs.FileSystem.from_uri(url)
+    store, path = fs.FileSystem.from_uri(quote(url, safe="/:@"))
     return store.open_input_stream(path, compression=None)
 
 
