@@ -13,10 +13,13 @@ from .relational import longest_prefix, tiered_lookup, union_by_name
 
 
 def _lookup(facts: DataFrame, on: Column, table: DataFrame | None, key: str, value: str, name: str, within: Column | None = None) -> DataFrame:
-    """facts with name: the table's value for a key (of several, the least); null without a table."""
+    """facts with name: the table's value for a key (of several, the least), and name_of: that row's `name`, if the table has
+    one (of several, the least that there is); null without a table."""
     if table is None:
-        return facts.withColumn(name, F.lit(None).cast("string"))
-    own = table.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.min(value).alias(name))
+        return facts.withColumns({c: F.lit(None).cast("string") for c in (name, f"{name}_of")})
+    said = F.col("name").cast("string") if "name" in table.columns else F.lit(None).cast("string")
+    least = F.min(F.struct(F.col(value).alias("v"), said.isNull().alias("none"), said.alias("n")))
+    own = table.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(F.col(key).alias("__k")).agg(least.alias("__v")).select("__k", F.col("__v.v").alias(name), F.col("__v.n").alias(f"{name}_of"))
     condition = on == F.col("__k")
     return facts.join(own, condition if within is None else condition & within, "left").drop("__k")
 
@@ -28,7 +31,8 @@ def condition_rollup(facts: DataFrame, maps: dict[str, DataFrame]) -> DataFrame:
     Tiers: 10-codes in `fine` (code, category); 9-codes in `coarse`; 9-codes over their least target in `crosswalk`
     (source_code, target_code, approximate) in `fine`; the chapter of version and three characters in `chapter` (version, category3,
     chapter); a text in `text` (text, token); the code's three characters; the text alone; nothing. Mixed codes are
-    both 10- and 9-codes but in no chapter. A missing map is an empty one. No row is lost or repeated.
+    both 10- and 9-codes but in no chapter. A missing map is an empty one. No row is lost or repeated. With the token come
+    its code and system, the map (mapped_by) and, where that has a column `name`, the name: all of one mapping row.
     """
     key, text = code_key(F.col("code")), text_token(F.col("text"))
     held = facts.withColumns({"__code": key, "__text": text, "__three": F.left(key, F.lit(3))})
@@ -42,7 +46,7 @@ def condition_rollup(facts: DataFrame, maps: dict[str, DataFrame]) -> DataFrame:
         held = held.join(least, (F.col("__code") == F.col("__k")) & nine, "left").drop("__k")
         held = _lookup(held.withColumn("__rough", F.col("__walk.approximate")), F.col("__walk.target_code"), fine, "code", "category", "__over").drop("__walk")
     else:
-        held = held.withColumns({"__over": F.lit(None).cast("string"), "__rough": F.lit(None).cast("boolean")})
+        held = held.withColumns({"__over": F.lit(None).cast("string"), "__over_of": F.lit(None).cast("string"), "__rough": F.lit(None).cast("boolean")})
     chapters = maps.get("chapter")
     if chapters is not None:
         chapters = chapters.withColumn("slot", F.concat_ws("|", "version", "category3"))
@@ -51,15 +55,19 @@ def condition_rollup(facts: DataFrame, maps: dict[str, DataFrame]) -> DataFrame:
     family = F.when(F.col("version") == "icd10", "icd10").when(F.col("version") == "icd9", "icd9").otherwise("icd")
     c = F.col
     # The names of levels, confidences and statuses.
-    say = lambda token, level, confidence, status: F.struct(token.alias("token"), F.lit(level).cast("string").alias("level"), (confidence if isinstance(confidence, Column) else F.lit(confidence)).cast("string").alias("confidence"), F.lit(status).alias("status"))
+    def say(token: Column, level: str | None, confidence: Column | str | None, status: str, system: Column | str | None = None, code: Column | None = None, name: Column | None = None, by: str | None = None) -> Column:
+        own = {"token": token, "level": level, "confidence": confidence, "status": status, "system": system, "mapped_code": code, "mapped_name": name, "mapped_by": by}
+        return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).cast("string").alias(n) for n, v in own.items()])
+
+    of_version = lambda what: F.when(c("version") == "icd10", f"ICD10CM_{what}").when(c("version") == "icd9", f"ICD9CM_{what}").otherwise(f"ICD_{what}")
     none = F.lit(None).cast("string")
     tier = first_match([
-        (c("__fine").isNotNull(), say(F.concat(F.lit("ccsr:"), c("__fine")), "ccsr", "exact", "mapped_ccsr")),
-        (c("__coarse").isNotNull(), say(F.concat(F.lit("ccs:"), c("__coarse")), "ccs", "exact", "mapped_ccs")),
-        (c("__over").isNotNull(), say(F.concat(F.lit("ccsr:"), c("__over")), "ccsr", F.when(c("__rough"), "approximate").otherwise("authoritative_crosswalk"), "mapped_icd_crosswalk")),
-        (c("__chapter").isNotNull(), say(F.concat(family, F.lit("chap:"), c("__chapter")), "chapter", "exact", "mapped_chapter")),
-        (c("__said").isNotNull(), say(c("__said"), "text_mapped", "curated_text", "mapped_text_to_condition")),
-        (c("__three").isNotNull(), say(F.concat(family, F.lit("cat:"), c("__three")), "category", "fallback_native", "source_native_code")),
+        (c("__fine").isNotNull(), say(F.concat(F.lit("ccsr:"), c("__fine")), "ccsr", "exact", "mapped_ccsr", "CCSR", c("__fine"), c("__fine_of"), "fine")),
+        (c("__coarse").isNotNull(), say(F.concat(F.lit("ccs:"), c("__coarse")), "ccs", "exact", "mapped_ccs", "CCS", c("__coarse"), c("__coarse_of"), "coarse")),
+        (c("__over").isNotNull(), say(F.concat(F.lit("ccsr:"), c("__over")), "ccsr", F.when(c("__rough"), "approximate").otherwise("authoritative_crosswalk"), "mapped_icd_crosswalk", "CCSR", c("__over"), c("__over_of"), "crosswalk")),
+        (c("__chapter").isNotNull(), say(F.concat(family, F.lit("chap:"), c("__chapter")), "chapter", "exact", "mapped_chapter", of_version("CHAPTER"), c("__chapter"), c("__chapter_of"), "chapter")),
+        (c("__said").isNotNull(), say(c("__said"), "text_mapped", "curated_text", "mapped_text_to_condition", "TEXT_CONDITION", c("__said"), c("__said_of"), "text")),
+        (c("__three").isNotNull(), say(F.concat(family, F.lit("cat:"), c("__three")), "category", "fallback_native", "source_native_code", of_version("CATEGORY"), c("__three"), None, "category")),
         (c("__text").isNotNull(), say(none, None, None, "source_native_text")),
     ], say(none, None, None, "unmapped_condition"))
     held = held.withColumn("__tier", tier)

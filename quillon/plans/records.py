@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillon.functions import exprs
 from quillon.functions.exprs import split_name
-from quillon.operators import cohort, features, harmonize, training
+from quillon.operators import cohort, features, harmonize, interventions, training
 
 from . import tpch
 from .registry import query
@@ -185,7 +186,62 @@ def d03_rollup_precedence(spark, d):
     make = spark.createDataFrame
     maps = {"fine": make(_FINE, "code string, category string"), "coarse": make(_COARSE, "code string, category string"), "crosswalk": make(_WALK, "source_code string, target_code string, approximate boolean"), "chapter": make(_CHAPTERS, "version string, category3 string, chapter string"), "text": make(_SAID, "text string, token string"),
         "project_code": make(_CODES, "code string, token string"), "project_prefix": make(_HEADS, "prefix string, token string"), "project_text": make(_TEXTS, "text string, token string")}
-    return harmonize.condition_rollup(_conditions(spark, d), maps).drop("code", "version", "text")
+    return harmonize.condition_rollup(_conditions(spark, d), maps).drop("code", "version", "text", "system", "mapped_code", "mapped_name", "mapped_by")
+
+
+@query("""WITH f AS (SELECT p_partkey, p_brand, p_name, ['icd10', 'icd9', 'mixed'][1 + p_size % 3] AS version, lower(replace(p_brand, '#', '')) AS k, nullif(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '_', 'g'), '') AS t FROM part),
+    m AS (SELECT lower(replace(p_brand, '#', '')) AS k1, min(p_type) AS c FROM part WHERE p_size < 25 GROUP BY 1),
+    fine AS (SELECT m.k1, m.c, min(CASE WHEN p_size % 2 = 0 THEN NULL ELSE p_name END) AS n FROM m JOIN part ON lower(replace(p_brand, '#', '')) = m.k1 AND p_type = m.c AND p_size < 25 GROUP BY 1, 2),
+    said AS (SELECT nullif(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '_', 'g'), '') AS x, 'cond:' || min(p_type) AS y FROM part WHERE p_size > 40 GROUP BY 1)
+    SELECT p_partkey, CASE WHEN c IS NOT NULL AND version <> 'icd9' THEN 'CCSR' WHEN y IS NOT NULL THEN 'TEXT_CONDITION' WHEN version = 'icd10' THEN 'ICD10CM_CATEGORY' WHEN version = 'icd9' THEN 'ICD9CM_CATEGORY' ELSE 'ICD_CATEGORY' END AS system,
+      CASE WHEN c IS NOT NULL AND version <> 'icd9' THEN c WHEN y IS NOT NULL THEN y ELSE substr(k, 1, 3) END AS mapped_code, CASE WHEN c IS NOT NULL AND version <> 'icd9' THEN n END AS mapped_name,
+      CASE WHEN c IS NOT NULL AND version <> 'icd9' THEN 'fine' WHEN y IS NOT NULL THEN 'text' ELSE 'category' END AS mapped_by FROM f LEFT JOIN fine ON k1 = k LEFT JOIN said ON x = t""")
+def j04_condition_fields(spark, d):
+    """A mapping row's code, name, system and table, by code or text."""
+    part = read(spark, d, "part")
+    version = F.element_at(F.array(F.lit("icd10"), F.lit("icd9"), F.lit("mixed")), (F.col("p_size") % 3 + 1).cast("int"))
+    facts = part.select("p_partkey", F.col("p_brand").alias("code"), version.alias("version"), F.col("p_name").alias("text"))
+    fine = part.where("p_size < 25").select(exprs.code_key(F.col("p_brand")).alias("code"), F.col("p_type").alias("category"), F.when(F.col("p_size") % 2 != 0, F.col("p_name")).alias("name"))
+    said = part.where("p_size > 40").select(exprs.text_token(F.col("p_name")).alias("text"), F.concat(F.lit("cond:"), "p_type").alias("token"))
+    return harmonize.condition_rollup(facts, {"fine": fine, "text": said}).select("p_partkey", "system", "mapped_code", "mapped_name", "mapped_by")
+
+
+_TOKEN = "nullif(regexp_replace(lower(trim({})), '[^a-z0-9]+', '_', 'g'), '')"
+
+
+@query(f"""WITH i AS (SELECT CAST(l_suppkey AS VARCHAR) AS item, l.* FROM lineitem l),
+    e AS (SELECT CAST(l_orderkey AS VARCHAR) AS stay_id, 'procedures' AS source_table, CAST(l_linenumber AS VARCHAR) AS event_id, CAST(l_partkey AS VARCHAR) AS code, CASE l_linenumber % 3 WHEN 0 THEN 'ICD10PCS' WHEN 1 THEN 'ICD9PROC' ELSE 'ICD' END AS code_type, NULL AS text,
+        'icd' || CASE l_linenumber % 3 WHEN 0 THEN '10' WHEN 1 THEN '9' ELSE '' END || ':procedure:' || l_partkey AS token, NULL AS value_text, NULL::DOUBLE AS value_numeric, NULL AS normalized_unit, 'source_native_code' AS status FROM i WHERE l_returnflag = 'R'
+      UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'procedure_events', CAST(l_linenumber AS VARCHAR), item, 'itemid', coalesce(s_name, CASE WHEN l_linenumber > 3 THEN l_returnflag || ' flag' END, item), {_TOKEN.format("coalesce(s_name, CASE WHEN l_linenumber > 3 THEN l_returnflag || ' flag' END, item)")}, l_linestatus, l_quantity, 'ml / h', 'source_native_token'
+        FROM i LEFT JOIN (SELECT s_suppkey, 'Supplier  no. ' || s_nationkey AS s_name FROM supplier WHERE s_suppkey % 2 = 0) ON s_suppkey = l_suppkey WHERE l_returnflag = 'A'
+      UNION ALL SELECT CAST(l_orderkey AS VARCHAR), 'infusions', CAST(l_linenumber AS VARCHAR), NULL, NULL, p_name, {_TOKEN.format("p_name")}, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_linenumber AS VARCHAR) ELSE l_linestatus END, l_quantity, NULL, 'source_native_text' FROM i JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'N'
+      UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'support', CAST(o_custkey AS VARCHAR), n, 'support', n, n, v, CASE WHEN n = 'dialysis' THEN 1 END, NULL, 'source_native_column' FROM (SELECT *, unnest(['vent', 'dialysis']) AS n, unnest([CASE WHEN o_orderstatus = 'F' THEN 'yes' ELSE ' ' END, CASE WHEN o_totalprice > 150000 THEN '1' END]) AS v FROM orders) WHERE trim(v) <> '')
+    SELECT * FROM e""")
+def d07_interventions(spark, d):
+    """Procedures, item events, infusions and support flags in one schema."""
+    line, text = read(spark, d, "lineitem"), lambda c: F.col(c).cast("string")
+    ids = [F.col("l_orderkey").alias("stay_id"), F.col("l_linenumber").alias("event_id")]
+    n = F.col("l_linenumber") % 3
+    codes = line.where("l_returnflag = 'R'").select(ids[0], F.col("l_linenumber").alias("sequence"), F.lit(None).cast("timestamp").alias("time"), F.col("l_partkey").alias("code"), F.when(n == 0, "10").when(n == 1, "9").alias("version"))
+    items = line.where("l_returnflag = 'A'").select(*ids, *[F.lit(None).cast("timestamp").alias(c) for c in ("start", "end")], F.concat(F.lit(" "), "l_suppkey").alias("item"), F.when(F.col("l_linenumber") > 3, F.concat("l_returnflag", F.lit(" flag"))).alias("category"), F.lit(None).cast("string").alias("description"), F.col("l_linestatus").alias("state"), text("l_quantity").alias("value"), F.lit(" ML  /  h").alias("unit"))
+    labels = read(spark, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("item"), F.concat(F.lit("Supplier  no. "), "s_nationkey").alias("label"))
+    drugs = line.where("l_returnflag = 'N'").join(read(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey")).select(*ids, F.lit(1.5).alias("offset"), F.col("p_name").alias("text"), F.col("l_linestatus").alias("state"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_linenumber")).alias("rate"), F.col("l_quantity").alias("amount"))
+    support = read(spark, d, "orders").select(F.col("o_orderkey").alias("stay_id"), F.col("o_custkey").alias("event_id"), F.when(F.col("o_orderstatus") == "F", "yes").otherwise(" ").alias("vent"), F.when(F.col("o_totalprice") > 150000, 1).alias("dialysis"))
+    out = interventions.intervention_rows(interventions.procedure_rows(codes), interventions.item_rows(items, labels), interventions.text_rows(drugs, "infusions"), interventions.column_rows(support, ["vent", "dialysis"]))
+    out = out.withColumns({"code": F.trim("code"), "text": F.trim("text")})
+    return out.select("stay_id", "source_table", "event_id", "code", "code_type", "text", "token", "value_text", "value_numeric", "normalized_unit", "status")
+
+
+@query("""WITH e AS (SELECT l_orderkey, l_returnflag, CAST(l_linenumber * 3 AS DOUBLE) AS s, CASE WHEN l_linenumber = 6 THEN NULL ELSE CAST(l_linenumber * 3 + l_quantity % 9 - 1 AS DOUBLE) END AS t FROM lineitem),
+    g AS (SELECT l_orderkey, l_returnflag, s, greatest(s, coalesce(t, s)) AS t FROM e), n AS (SELECT *, coalesce(s > max(t) OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), TRUE)::INT AS new FROM g),
+    i AS (SELECT *, sum(new) OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY s, t ROWS UNBOUNDED PRECEDING) AS span FROM n), u AS (SELECT l_orderkey, l_returnflag, span, min(s) AS s, max(t) AS t FROM i GROUP BY 1, 2, 3)
+    SELECT l_orderkey, l_returnflag, sum(greatest(least(t, 20.0::DOUBLE) - s, 0)) AS hours, count(*) AS spans FROM u GROUP BY 1, 2""")
+def d07_covered_hours(spark, d):
+    """How long overlapping infusions last in a stay."""
+    start = (F.col("l_linenumber") * 3).cast("double")
+    own = read(spark, d, "lineitem").select("l_orderkey", "l_returnflag", start.alias("start"), F.when(F.col("l_linenumber") != 6, start + (F.col("l_quantity") % 9).cast("double") - 1).alias("end"))
+    keys = ["l_orderkey", "l_returnflag"]
+    return interventions.covered_hours(interventions.covered_spans(own, keys), keys, 20.0)
 
 
 _LEAST = "min_by(p_type, (p_type, p_brand)) AS drug, min_by(p_brand, (p_type, p_brand)) AS ingredient"
