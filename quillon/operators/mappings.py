@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.exprs import blank_to_null, code_variants, drug_name, nonblank, text_token
+from quillon.functions.exprs import blank_to_null, class_key, code_variants, drug_name, nonblank, text_token
 from quillon.sources.files import range_lookup
 
 from .relational import first_per_key, tiered_lookup
@@ -89,3 +89,62 @@ def infection_token(text: Column) -> Column:
     """A text's token and whether it speaks of infection or sepsis."""
     token = text_token(text)
     return F.struct(token.alias("token"), (says_sepsis(token) | F.coalesce(F.arrays_overlap(F.split(token, "_"), F.array(*[F.lit(w) for w in INFECTION_WORDS])), F.lit(False))).alias("infection"))
+
+
+def name_candidates(drugs: DataFrame, names: DataFrame) -> DataFrame:
+    """(drug, concept, shared, grade): of each drug (drug, name) the concepts of the reference names (concept, name) whose words all
+    stand in its own name, forms and strengths left out: `same` if they are all its words, else `part`.
+
+    A reference name is indexed under the rarest of its words only (ties by text), so a word that most names have joins
+    few rows; whether all its words are there is seen from the two arrays. Names without words match nothing.
+    """
+    words = lambda c: F.array_distinct(F.split(drug_name(F.col(c)), " "))
+    refs = names.select("concept", words("name").alias("of")).where("concept is not null and size(of) > 0").distinct()
+    often = refs.select(F.explode("of").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    rare = refs.select("concept", "of", F.explode("of").alias("word")).join(often, "word").groupBy("concept", "of").agg(F.min(F.struct("n", "word")).alias("w"))
+    own = drugs.select("drug", words("name").alias("has")).where("size(has) > 0").distinct()
+    met = own.select("drug", "has", F.explode("has").alias("word")).join(rare.select("concept", "of", F.col("w.word").alias("word")), "word")
+    met = met.where(F.size(F.array_except("of", "has")) == 0)
+    grade = F.when(F.size("of") == F.size("has"), "same").otherwise("part")
+    best = met.groupBy("drug", "concept").agg(F.max(F.struct(F.size("of").cast("long").alias("shared"), grade.alias("grade"))).alias("b"))
+    return best.select("drug", "concept", "b.shared", "b.grade")
+
+
+def graded_codes(codes: DataFrame, concepts: DataFrame, classes: DataFrame, ingredients: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """D53 without its remote half: a row for each code (code, name; of repeated codes the least name) with concept, ingredient, class,
+    source, confidence and status.
+
+    The concept is that of the first of the code's forms that concepts (code, concept) knows, of several the least; else, with
+    names (concept, name), that of the name that shares most words with its own (name_candidates; ties by concept). The
+    class (three levels: four characters) is the least of the concept in classes (concept, class), else the least of its
+    ingredient's, by ingredients (concept, ingredient, ingredient_concept; the least row). Confidence: unmapped; high by a
+    code with one class, medium with several or none; by all words of a name medium, by some low.
+    """
+    own = codes.where(nonblank(F.col("code"))).groupBy("code").agg(F.min("name").alias("name"))
+    forms = own.select("code", F.posexplode(code_variants(F.col("code"))).alias("at", "form"))
+    known = concepts.where("code is not null and concept is not null").groupBy(F.col("code").alias("form")).agg(F.min("concept").alias("concept"))
+    by_code = forms.join(known, "form").groupBy("code").agg(F.min_by("concept", "at").alias("by_code"))
+    held = own.join(by_code, "code", "left")
+    if names is not None:
+        near = name_candidates(held.where("by_code is null").select(F.col("code").alias("drug"), "name"), names)
+        order = F.struct((-F.col("shared")).alias("s"), "concept")
+        held = held.join(near.groupBy(F.col("drug").alias("code")).agg(F.min_by(F.struct("concept", "grade"), order).alias("near")), "code", "left")
+    else:
+        held = held.withColumn("near", F.lit(None).cast("struct<concept string, grade string>"))
+    held = held.select("code", "name", F.coalesce("by_code", "near.concept").alias("concept"), F.when(F.col("by_code").isNotNull(), "code").otherwise(F.col("near.grade")).alias("how"))
+    of = classes.where("concept is not null and class is not null").groupBy("concept").agg(F.min("class").alias("class"), F.count_distinct("class").alias("n"))
+    held = held.join(of, "concept", "left")
+    if ingredients is not None:
+        parts = ingredients.where("concept is not null").groupBy("concept").agg(F.min(F.struct("ingredient", "ingredient_concept")).alias("part"))
+        held = held.join(parts, "concept", "left").join(of.select(F.col("concept").alias("__i"), F.col("class").alias("__c"), F.col("n").alias("__n")), F.col("part.ingredient_concept") == F.col("__i"), "left")
+    else:
+        held = held.withColumns({"part": F.lit(None).cast("struct<ingredient string, ingredient_concept string>"), "__c": F.lit(None).cast("string"), "__n": F.lit(None).cast("long")})
+    c, none = F.col, F.lit(None).cast("string")
+    several = F.coalesce("n", "__n") > 1
+    # The sources, confidences and statuses.
+    by = F.when(c("how") == "code", "code").when(c("how").isNotNull(), "name")
+    by_class = F.when(c("class").isNotNull(), "class").when(c("__c").isNotNull(), "class(ingredient)")
+    confidence = F.when(c("how").isNull(), "unmapped").when(c("how") == "part", "low").when((c("how") == "same") | several | F.coalesce("class", "__c").isNull(), "medium").otherwise("high")
+    status = F.when(c("how").isNull(), "unmapped_code_to_concept").when(F.coalesce("class", "__c").isNotNull(), "mapped_concept_class").otherwise("mapped_concept_missing_class")
+    source = F.when(c("how").isNotNull(), F.concat_ws(";", by, by_class)).otherwise(none)
+    return held.select("code", "name", "concept", c("part.ingredient").alias("ingredient"), class_key(F.coalesce("class", "__c")).alias("class"), source.alias("source"), confidence.alias("confidence"), status.alias("status"))

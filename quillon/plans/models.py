@@ -211,3 +211,25 @@ def d40_boosted_trees(spark, d):
     boosters = boosting.fit(train, GRAPH_FEATURES, boosting.Settings(rows=0.8, columns=0.8))
     own = boosting.score(rows.where("split = 'validation'").select(*metrics.SCORED, *[c for c in GRAPH_FEATURES if c not in metrics.SCORED]), boosters, probability=True)
     return metrics.ranking_metrics(own.select(*metrics.SCORED, "score", F.lit("trees").alias("baseline")), K)
+
+
+@query("""WITH p AS (SELECT p_partkey, p_name, p_brand, p_type, p_size, lpad(CAST(p_partkey AS VARCHAR), 11, '0') AS code, list_distinct(list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z]+', ' ', 'g')), ' '), lambda w: w <> '')) AS has FROM part),
+    known AS (SELECT code AS form, 'c' || p_partkey AS concept FROM p WHERE p_size % 3 = 0), forms AS (SELECT code, unnest([code, substr(code, 2), CASE WHEN substr(code, 6, 1) = '0' THEN substr(code, 1, 5) || substr(code, 7) END, CASE WHEN substr(code, 10, 1) = '0' THEN substr(code, 1, 9) || substr(code, 11) END]) AS form, unnest(range(4)) AS at_ FROM p),
+    by_code AS (SELECT code, arg_min(k, a) AS concept FROM (SELECT code, at_ AS a, min(concept) AS k FROM forms JOIN (SELECT form, concept FROM known UNION ALL SELECT substr(form, 2), 'd' || concept FROM known WHERE CAST(form AS BIGINT) % 2 = 0) USING (form) GROUP BY 1, 2) GROUP BY 1),
+    refs AS (SELECT DISTINCT p_brand AS concept, has AS of_ FROM p WHERE p_size > 44), miss AS (SELECT code, has FROM p ANTI JOIN by_code USING (code)),
+    near AS (SELECT code, concept, max(len(of_)) AS shared FROM miss JOIN refs ON list_has_all(has, of_) GROUP BY 1, 2), named AS (SELECT n.code, concept, shared, len(has) AS n FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY shared DESC, concept) AS rn FROM near) n JOIN miss USING (code) WHERE rn = 1),
+    m AS (SELECT p.code, p_name, coalesce(b.concept, d.concept) AS concept, CASE WHEN b.concept IS NOT NULL THEN 'code' WHEN d.shared = d.n THEN 'same' WHEN d.shared IS NOT NULL THEN 'part' END AS how FROM p LEFT JOIN by_code b USING (code) LEFT JOIN named d USING (code)),
+    cls AS (SELECT concept, min(class) AS class, count(DISTINCT class) AS n FROM (SELECT 'c' || p_partkey AS concept, p_type AS class FROM p WHERE p_partkey % 4 = 0 UNION ALL SELECT 'c' || p_partkey, p_brand FROM p WHERE p_partkey % 8 = 0 UNION ALL SELECT p_brand, p_type FROM p) GROUP BY 1),
+    j AS (SELECT m.*, CASE WHEN m.concept LIKE 'c%' THEN p.p_brand END AS ingredient, a.class AS own, a.n AS own_n, CASE WHEN m.concept LIKE 'c%' THEN i.class END AS of_part, i.n AS part_n FROM m JOIN p USING (code) LEFT JOIN cls a ON a.concept = m.concept LEFT JOIN cls i ON i.concept = p.p_brand)
+    SELECT code, p_name AS name, concept, ingredient, substr(upper(coalesce(own, of_part)), 1, 4) AS class, CASE WHEN how IS NOT NULL THEN CASE WHEN how = 'code' THEN 'code' ELSE 'name' END || CASE WHEN own IS NOT NULL THEN ';class' WHEN of_part IS NOT NULL THEN ';class(ingredient)' ELSE '' END END AS source,
+      CASE WHEN how IS NULL THEN 'unmapped' WHEN how = 'part' THEN 'low' WHEN how = 'same' OR coalesce(own_n, CASE WHEN of_part IS NOT NULL THEN part_n END) > 1 OR coalesce(own, of_part) IS NULL THEN 'medium' ELSE 'high' END AS confidence,
+      CASE WHEN how IS NULL THEN 'unmapped_code_to_concept' WHEN coalesce(own, of_part) IS NOT NULL THEN 'mapped_concept_class' ELSE 'mapped_concept_missing_class' END AS status FROM j""")
+def d53_graded_codes(spark, d):
+    """Codes by their forms, else by the words of their names; classes by concept, else by ingredient."""
+    part = read(spark, d, "part").withColumn("code", F.lpad(F.col("p_partkey").cast("string"), 11, "0"))
+    own = F.concat(F.lit("c"), "p_partkey")
+    known = part.where("p_size % 3 = 0").select("code", own.alias("concept"))
+    ten = known.where("cast(code as bigint) % 2 = 0").select(F.expr("substring(code, 2)").alias("code"), F.concat(F.lit("d"), "concept").alias("concept"))
+    classes = part.where("p_partkey % 4 = 0").select(own.alias("concept"), F.col("p_type").alias("class")).union(part.where("p_partkey % 8 = 0").select(own, "p_brand")).union(part.select("p_brand", "p_type"))
+    ingredients = part.select(own.alias("concept"), F.col("p_brand").alias("ingredient"), F.col("p_brand").alias("ingredient_concept"))
+    return mappings.graded_codes(part.select("code", F.col("p_name").alias("name")), known.union(ten), classes, ingredients, part.where("p_size > 44").select(F.col("p_brand").alias("concept"), F.col("p_name").alias("name")))

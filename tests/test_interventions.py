@@ -60,3 +60,30 @@ def test_fields_come_from_one_mapping_row(spark):
     got = {r.id: (r.token, r.system, r.mapped_code, r.mapped_name, r.mapped_by) for r in harmonize.condition_rollup(facts, {"fine": fine, "text": text}).collect()}
     assert got == {1: ("ccsr:F1", "CCSR", "F1", "first", "fine"), 2: ("cond:x", "TEXT_CONDITION", "cond:x", None, "text"), 3: ("cond:x", "TEXT_CONDITION", "cond:x", None, "text"), 4: (None,) * 5}
     assert harmonize.condition_rollup(facts.where(F.lit(False)), {"fine": fine}).count() == 0
+
+
+def test_names_share_words_as_brute_force_says(spark):
+    from quillon.operators import mappings
+
+    rng = random.Random(5)
+    words = "alpha beta gamma delta tab mg oral zeta".split()
+    name = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(0, 5)))
+    drugs, refs = [(f"d{k}", name()) for k in range(60)] + [("none", None)], [(f"c{k % 20}", name() + " 5") for k in range(50)] + [(None, "alpha"), ("cx", None)]
+    got = {(r.drug, r.concept): (r.shared, r.grade) for r in mappings.name_candidates(spark.createDataFrame(drugs, "drug string, name string"), spark.createDataFrame(refs, "concept string, name string")).collect()}
+    plain = lambda n: {w for w in (n or "").split() if w not in ("tab", "mg", "oral", "5")}
+    want = {}
+    for d, n in drugs:
+        for c, m in refs:
+            if c and plain(m) and plain(m) <= plain(n):
+                own = (len(plain(m)), "same" if plain(m) == plain(n) else "part")
+                want[d, c] = max(want.get((d, c), own), own)
+    assert got == want and len(want) > 50
+
+
+def test_codes_without_anything_are_unmapped(spark):
+    from quillon.operators import mappings
+
+    make = spark.createDataFrame
+    codes = make([("00001234567", "x"), ("00001234567", "a"), (" ", "y"), (None, "z")], "code string, name string")
+    none = make([], "code string, concept string"), make([], "concept string, class string")
+    assert [(r.code, r.name, r.concept, r.confidence, r.status) for r in mappings.graded_codes(codes, *none).collect()] == [("00001234567", "a", None, "unmapped", "unmapped_code_to_concept")]
