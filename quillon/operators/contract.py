@@ -94,10 +94,14 @@ def content_digest(df: DataFrame) -> str:
 
 def contract_lock(tables: dict[str, DataFrame], versions: dict[str, str], audits: dict[str, DataFrame], expected: dict | None = None) -> dict:
     """Rows, schemas, contents and versions of the training tables, what the audits found, and one digest of it all.
-    Every audit row must be 0 but for row counts. Against an expected lock, what differs is named."""
+    An audit is one row (more are an error), whose values must be 0 but for row counts. Against an expected lock, what
+    differs is named. operators/lock.py locks tables file by file."""
     faults = []
     for name, df in audits.items():
-        for row in df.collect():
+        found = df.limit(2).collect()
+        if len(found) > 1:
+            raise ValueError(f"audit {name} has more than one row")
+        for row in found:
             faults += [f"{name}:{k}={v}" for k, v in row.asDict().items() if v and k not in ("row_count", "aligned")]
     own = {name: {"rows": df.count(), "schema": schema_digest(df), "content": content_digest(df)} for name, df in sorted(tables.items())}
     lock = {"tables": own, "versions": dict(sorted(versions.items())), "faults": sorted(faults)}

@@ -133,7 +133,7 @@ def fit_pairwise_ranker(train: DataFrame, prep: Preprocessor, seed: int = 1, per
     own = prep.transform(capped_negatives(train, seed, per_positive, per_positive)).select("group_id", "candidate", "label", vector_to_array("features").alias("x"))
     a = own.where("label").select("group_id", F.col("candidate").alias("p"), F.col("x").alias("xp"))
     b = own.where("not label").select("group_id", F.col("candidate").alias("n"), F.col("x").alias("xn"))
-    pairs = a.join(b, "group_id").where(hash_uniform(F.concat_ws("|", "group_id", "p", "n")) < 0.5)
+    pairs = a.join(b, "group_id")
     from pyspark.ml.functions import array_to_vector
 
     difference = F.zip_with("xp", "xn", lambda p, n: p - n)
