@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,9 @@ CHUNK = 2048
 PLANES, SLACK = 4, 1e-4
 
 
+@lru_cache(maxsize=8)
 def rotation(dim: int, k: int) -> np.ndarray:
-    """The k-th random rotation of dim dimensions (the same everywhere)."""
+    """The k-th random rotation of dim dimensions (the same everywhere). A worker keeps a few."""
     q, r = np.linalg.qr(np.random.default_rng([SEED, dim, k]).standard_normal((dim, dim)))
     return q * np.sign(np.diag(r))
 
@@ -236,7 +238,7 @@ def near_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     """(vec_id, n_links, component_id, kept) for each row: the number of other rows of its label with a cosine of
     threshold or more, and the smallest vec_id reachable by such links; kept is vec_id = component_id.
 
-    A null label, and a vector that is null, empty, zero or holds a null or a non-finite component, links with
+    Labels may be of any type that can be hashed; those that are no whole numbers go by a hash of 64 bits. A null label, and a vector that is null, empty, zero or holds a null or a non-finite component, links with
     nothing (0, itself, kept). Vectors of different lengths don't link. Equal vectors of a label link and are one
     vector to the search, so a large group of copies costs no more. Rows of one vec_id are vectors of their own; a
     null vec_id is never the smallest and is not kept. No rows: none. Other columns don't matter.
@@ -248,7 +250,9 @@ def near_vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
     # Single-precision input travels as it is; all arithmetic is double.
     kind = "<f4" if dict(table.dtypes)[embedding] == "array<float>" else "<f8"
     e = F.col(embedding) if kind == "<f4" else F.col(embedding).cast("array<double>")
-    held = table.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).cast("long").alias("group"), e.alias("e"))
+    whole = dict(table.dtypes)[label] in ("tinyint", "smallint", "int", "bigint")
+    group = F.col(label).cast("long") if whole else F.when(F.col(label).isNotNull(), F.xxhash64(label))
+    held = table.select(F.col(vec_id).cast("long").alias("vec_id"), group.alias("group"), e.alias("e"))
     fine = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
     held = held.withColumn("e", F.when(F.col("group").isNotNull() & (F.size("e") > 0) & fine, F.col("e")))
     rows = stash(held.select("vec_id", "group", F.when(F.col("e").isNotNull(), F.xxhash64("e")).alias("h"), F.when(F.col("e").isNotNull(), F.xxhash64(F.lit("again"), "e")).alias("g"), "e"), "vectors")

@@ -166,3 +166,16 @@ def test_mixed_documents_are_what_is_taken(odd_docs, no_docs):
     taken = sum(n for _, n, _ in sizes_of(out))
     assert taken == mixing.mix(odd_docs, block=32)[0].agg(F.sum("taken")).first()[0]
     assert mixing.mixed_documents(no_docs).count() == 0 and mixing.mix(no_docs)[0].count() == 0
+
+
+def test_labels_of_any_type(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(4, 8))
+    rows = [(k, "ab"[k % 2] if k < 10 else None, (base[k % 2 + 2 * (k % 3 == 0)] + rng.normal(scale=1e-3, size=8)).tolist()) for k in range(14)]
+    by_text = spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>")
+    by_number = by_text.withColumn("label", F.when(F.col("label") == "a", 1).when(F.col("label") == "b", 2))
+    as_double = by_number.withColumn("label", F.col("label").cast("double"))
+    want = sorted(tuple(r) for r in rabitq.near_vectors(by_number).collect())
+    assert any(r[1] for r in want)
+    for df in (by_text, as_double):
+        assert sorted(tuple(r) for r in rabitq.near_vectors(df).collect()) == want
