@@ -179,7 +179,7 @@ def resample(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 
 def kept_documents(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **kind) -> DataFrame:
     """The rows of docs that resampling keeps, with docs' columns. A row is known by its id and its text's hash, so rows that
-    share an id, or have none, are kept or not each by its own text; only equal rows go together. Texts are not moved."""
+    share an id, or have none, are kept or not each by its own text; only equal rows go together. The join may shuffle texts."""
     own, hashed = fresh_name("kept", docs), fresh_name("kept_hash", docs)
     kept = resample(docs, labels, doc_id, text, **kind).where("kept").select(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed)).distinct()
     same = (F.xxhash64(F.col(text).cast("string")) == F.col(hashed)) & F.col(doc_id).cast("long").eqNullSafe(F.col(own))
