@@ -30,13 +30,13 @@ def d34_rank_grid(spark, d):
 @query(with_sql(*BASE, SCORES_SQL, RANKED_SQL, per_group_sql(K), _METRICS, """deltas AS (SELECT c.source, c.split, round(c.ndcg - r.ndcg, 9) AS delta_ndcg, round(c.mrr - r.mrr, 9) AS delta_mrr, round(c.hit - r.hit, 9) AS delta_hit
     FROM metrics c JOIN metrics r USING (source, split) WHERE c.baseline = 'condition_popularity' AND r.baseline = 'random')""") + "SELECT *, CASE WHEN delta_ndcg >= 0.005 AND delta_mrr >= -0.01 AND delta_hit >= -0.01 THEN 'promote' ELSE 'keep_reference' END AS decision FROM deltas")
 def d35_gate(spark, d):
-    out = fusion.gate_table(metrics.ranking_metrics(ranking.scores(spark, d), K), "condition_popularity", "random")
+    out = fusion.gate_table(metrics.grouped_metrics(ranking.scored_groups(spark, d), K), "condition_popularity", "random")
     return out.withColumns({c: F.round(c, 9) for c in ("delta_ndcg", "delta_mrr", "delta_hit")})
 
 
 @query(with_sql(*BASE, SCORES_SQL, RANKED_SQL, per_group_sql(K), _METRICS) + "SELECT source, split, baseline FROM (SELECT *, row_number() OVER (PARTITION BY source, split ORDER BY ndcg DESC, mrr DESC NULLS LAST, hit DESC NULLS LAST, baseline) AS n FROM metrics WHERE ndcg IS NOT NULL) WHERE n = 1")
 def d33_best_result(spark, d):
-    return fusion.best_result(metrics.ranking_metrics(ranking.scores(spark, d), K))
+    return fusion.best_result(metrics.grouped_metrics(ranking.scored_groups(spark, d), K))
 
 
 @query(with_sql(*graphs.GRAPH, "b AS (SELECT src_type || '|' || src_id AS a, dst_type || '|' || dst_id AS b FROM big UNION SELECT dst_type || '|' || dst_id, src_type || '|' || src_id FROM big)").replace("WITH ", "WITH RECURSIVE ", 1) + """, r(s, t) AS (SELECT a, a FROM b UNION SELECT r.s, b.b FROM r JOIN b ON r.t = b.a), c AS (SELECT component, count(*) AS n FROM (SELECT s, min(t) AS component FROM r GROUP BY 1) GROUP BY 1)

@@ -278,3 +278,28 @@ def test_fusion_grid_equals_ranking_metrics_of_each_weight(spark):
         assert all(a == b or math.isclose(a, b, abs_tol=1.5e-6) for a, b in zip(got[key], values, strict=True)), key
     chosen = fusion.marked_weight(fusion.fusion_grid(df, 3, weights)).where("chosen").collect()
     assert {(r.source, r.split) for r in chosen} == {("dev", "test"), ("dev", "train")}
+
+
+def test_groups_in_rows_say_what_stacked_rows_say(spark):
+    """No key with few values deals rows out, and metrics of groups that stand in one row move sums alone."""
+    import random
+
+    from quillon.operators import fusion
+
+    rng = random.Random(3)
+    stays = spark.createDataFrame([(k, k % 7, "dev" if k % 4 else "external", ("train", "validation")[k % 2], "ab"[k % 3 > 0]) for k in range(60)] + [(1, 1, "dev", "validation", "b")], "stay_id long, patient_id long, source string, split string, condition string")
+    labels = spark.createDataFrame([(k, f"c{x}", 1 + x) for k in range(60) for x in sorted({rng.randrange(6) for _ in range(k % 4)})], "stay_id long, candidate string, events long")
+    held = training.stay_labels(stays, labels).cache()
+    catalog = training.candidate_catalog(stays, labels, 4).select("condition", "candidate", "stays", "events", "candidate_rank")
+    own = training.held_catalog(held, 4).cache()
+    assert sorted(map(tuple, own.drop("pair_rows").select(*catalog.columns).collect())) == sorted(map(tuple, catalog.collect()))
+    groups = metrics.drawn_scores(training.ranking_groups(held, metrics.popularity(own), metrics.POPULARITY), 5).cache()
+    rows = stays.join(catalog, "condition").select(*stays.columns, "candidate", "candidate_rank").join(labels, ["stay_id", "candidate"], "left").withColumns({"group_id": F.concat("stay_id", F.lit("|"), "condition"), "label": F.col("events").isNotNull()})
+    want = metrics.baseline_scores(rows, 5).cache()
+    same = lambda a, b: sorted(map(str, map(tuple, a.select(*b.columns).collect()))) == sorted(map(str, map(tuple, b.collect())))
+    assert same(metrics.stacked_scores(groups), want)
+    want, groups = want.where("stay_id <> 1"), groups.where("stay_id <> 1")
+    assert same(metrics.grouped_metrics(groups, 2), metrics.ranking_metrics(want, 2))
+    assert same(metrics.grouped_condition_metrics(groups, 2, 5), metrics.condition_metrics(want, 2, 5))
+    assert same(fusion.group_places(groups, metrics.BASELINES), fusion.rank_normalised(want, "score", ("baseline", "group_id")).select("baseline", "group_id", "candidate", "score"))
+    assert metrics.grouped_metrics(groups.where(F.lit(False)), 2).count() == 0
