@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from quillon.sources.scratch import shared_folder
 
-from .relational import unordered_pairs
-
 EDGE = ["src_type", "src_id", "dst_type", "dst_id", "relation", "support"]
 
 
@@ -25,12 +23,34 @@ def graph_edges(rows: DataFrame, context: DataFrame, dev: str = "dev", fit: str
     prediction, and two candidates of one group (once, in text order). rows are ranking rows; context has stay_id,
     event_type, token, hours."""
     own = rows.where((F.col("source") == dev) & (F.col("split") == fit))
-    hits = own.where("label").select("group_id", "condition", "candidate").distinct()
-    to_candidate = hits.groupBy("condition", "candidate").agg(F.count_distinct("group_id").alias("support"))
+    hits = own.where("label").groupBy("group_id").agg(F.collect_set(F.struct("condition", "candidate")).alias("hits"))
     stays = own.select("stay_id", "condition").distinct()
-    seen = context.where((F.col("hours") >= 0) & (F.col("hours") <= predict) & F.col("event_type").isin("lab", "vital", "intervention")).select("stay_id", "event_type", "token").distinct()
-    to_context = stays.join(seen, "stay_id").groupBy("condition", "event_type", "token").agg(F.count_distinct("stay_id").alias("support"))
-    pairs = unordered_pairs(hits, "group_id", "candidate").groupBy("a", "b").agg(F.count_distinct("group_id").alias("support"))
+    seen = window_tokens(context, predict).repartition("stay_id").distinct()
+    return _edges(hits, stays.join(seen, "stay_id").select("condition", "type", "id"))
+
+
+def window_tokens(context: DataFrame, predict: float) -> DataFrame:
+    """(stay_id, type, id) of the lab, vital and intervention tokens up to the prediction, repeated as they are."""
+    inside = context.where((F.col("hours") >= 0) & (F.col("hours") <= predict) & F.col("event_type").isin("lab", "vital", "intervention"))
+    return inside.select("stay_id", F.col("event_type").alias("type"), F.col("token").alias("id"))
+
+
+def group_edges(groups: DataFrame, dev: str = "dev", fit: str = "train") -> DataFrame:
+    """D20 from training.ranking_groups with context: nothing moves but the counts of a task."""
+    own = groups.where((F.col("source") == dev) & (F.col("split") == fit) & F.col("first"))
+    had = F.transform(F.filter("members", lambda m: m["label"]), lambda m: F.struct(F.col("condition").alias("condition"), m["candidate"].alias("candidate")))
+    return _edges(own.select(had.alias("hits")), own.select("condition", F.inline("seen")))
+
+
+def _edges(hits: DataFrame, seen: DataFrame) -> DataFrame:
+    """Edges from each group's distinct (condition, candidate) and the distinct tokens of each stay and condition: counting rows
+    is counting groups or stays."""
+    count = F.count("*").alias("support")
+    to_candidate = hits.select(F.inline("hits")).groupBy("condition", "candidate").agg(count)
+    to_context = seen.groupBy("condition", F.col("type").alias("event_type"), F.col("id").alias("token")).agg(count)
+    items = hits.select(F.array_sort(F.array_distinct(F.filter(F.col("hits").getField("candidate"), lambda c: c.isNotNull()))).alias("items")).where(F.size("items") > 1)
+    first = items.select("items", F.posexplode("items").alias("at", "a"))
+    pairs = first.select("a", F.explode(F.slice("items", F.col("at") + 2, F.size("items"))).alias("b")).groupBy("a", "b").agg(count)
     edge = lambda df, st, s, dt, d, r: df.select(st.alias("src_type"), F.col(s).alias("src_id"), dt.alias("dst_type"), F.col(d).alias("dst_id"), r.alias("relation"), "support")
     parts = [
         edge(to_candidate, F.lit("condition"), "condition", F.lit("medication"), "candidate", F.lit("condition_medication")),

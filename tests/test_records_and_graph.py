@@ -263,3 +263,20 @@ def test_extracts_go_by_gates_headers_and_rows(spark, tmp_path):
     assert out[1]["reason"] == "blocked_by_quality:missing" and out[3]["reason"] == "missing_columns:w"
     row = files.parquet(spark, str(tmp_path / "a")).first()
     assert (row.stay_id, row.v, row.extraction_version) == (100, "x", "v1") and not (tmp_path / "bad").exists()
+
+
+def test_subgraphs_of_groups_in_rows_move_nothing(spark):
+    """A group's nodes, edges and candidates come from its own row, and equal those of the tables."""
+    from quillon.operators import subgraphs
+
+    member = "array<struct<candidate:string,candidate_rank:long,label:boolean>>"
+    groups = spark.createDataFrame([("dev", "train", 1, "1|a", "a", [("x", 1, True), ("y", 2, False)], [("lab", "l"), ("vital", "v")]), ("dev", "train", 2, "2|b", "b", [("y", 1, True)], None)], f"source string, split string, stay_id long, group_id string, condition string, members {member}, seen array<struct<type:string,id:string>>")
+    edges = spark.createDataFrame([("condition", "a", "lab", "l", "condition_lab", 2), ("condition", "a", "medication", "x", "condition_medication", 3), ("medication", "x", "medication", "y", "medication_medication", 4)], "src_type string, src_id string, dst_type string, dst_id string, relation string, support long")
+    own = subgraphs.group_nodes(groups, edges)
+    rows, context = groups.selectExpr("source", "split", "stay_id", "group_id", "condition", "inline(members)"), groups.selectExpr("stay_id", "0D as hours", "inline(seen)").withColumnsRenamed({"type": "event_type", "id": "token"})
+    nodes = subgraphs.subgraph_nodes(rows, context, edges).cache()
+    same = lambda a, b: sorted(map(repr, map(tuple, a.select(*b.columns).collect()))) == sorted(map(repr, map(tuple, b.collect())))
+    assert same(subgraphs.node_rows(own, edges), nodes) and nodes.count() == 6
+    met, listed = subgraphs.edge_rows(own, edges), subgraphs.candidate_rows(own, edges)
+    assert same(met, subgraphs.subgraph_edges(nodes, edges)) and same(listed, subgraphs.subgraph_candidates(rows, nodes))
+    assert same(subgraphs.index_rows(own, edges), subgraphs.subgraph_index(nodes, met, listed))
