@@ -8,7 +8,8 @@ their parent. What the trees have made of the rows' scores is written with the b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,6 +26,8 @@ from .ranker import bin_cuts
 BLOCK = 8192
 #: Tasks whose sums the driver adds up itself; more are added up by tasks first.
 FEW_TASKS = 16
+#: Blocks that one task grows all trees on, without a job a level; more are a job's each.
+ALONE = 1
 #: Cells of pairs that ranking gradients hold at a time.
 PAIRS = 1 << 21
 
@@ -144,17 +147,19 @@ def ndcg_gradients(s: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> tuple[np.
     return g, h
 
 
-def ndcg_sum(s: np.ndarray, y: np.ndarray, sizes: np.ndarray, k: int) -> tuple[float, int]:
-    """The sum of NDCG at k over groups with a positive, and their number."""
-    total, n = 0.0, 0
+def ndcg_sum(s: np.ndarray, y: np.ndarray, sizes: np.ndarray, k: int, weights: np.ndarray | None = None) -> tuple[float, int]:
+    """The sum of NDCG at k over groups with a positive, and their number; a group counts as often as its weight says."""
+    total, n, first = 0.0, 0, 0
+    weights = np.ones(len(sizes), np.int64) if weights is None else weights
     for own, rows in _group_parts(sizes):
+        w, first = weights[first : first + len(own)], first + len(own)
         at, there = _padded(own)
         sp, yp = s[rows][at], y[rows][at] * there
         rank, positives = _ranks(sp, there), yp.sum(axis=1).astype(np.int64)
         gained = (yp * np.where(rank < k, 1 / np.log2(rank + 2.0), 0.0)).sum(axis=1)
         ideal = np.concatenate([[1.0], np.cumsum(1 / np.log2(np.arange(max(k, 1)) + 2.0))])[np.minimum(positives, k)]
-        total += float((gained / ideal)[positives > 0].sum())
-        n += int((positives > 0).sum())
+        total += float((w * gained / ideal)[positives > 0].sum())
+        n += int(w[positives > 0].sum())
     return total, n
 
 
@@ -185,105 +190,112 @@ class _Block:
         self.y = np.frombuffer(row["y"], np.uint8).astype(float)
         self.fold = np.frombuffer(row["fold"], np.int8)
         self.sizes = np.frombuffer(row["sizes"], np.int32).astype(np.int64)
+        self.w = np.frombuffer(row["w"], np.int64)
         self.s = np.frombuffer(row["s"], np.float64).reshape(-1, n)
 
     def scores(self, run: int, trees: list[Tree]) -> np.ndarray:
         return sum((t.values(self.x) for t in trees), self.s[run])
 
 
-BLOCK_SCHEMA = "block long, n int, x binary, y binary, fold binary, sizes binary, s binary"
+BLOCK_SCHEMA = "block long, n int, x binary, y binary, fold binary, sizes binary, w binary, s binary"
 
 
 def make_blocks(frame: DataFrame, features: list[str], cuts: list[list[float]], runs: int, objective: str) -> DataFrame:
-    """The table of blocks of a frame (group_id, place, target of 0 or 1, fold, features), scores at 0, written. For ranking,
-    a group's rows stand together in the order of place; otherwise rows stay where they are."""
+    """The table of blocks of a frame (group_id, place, target of 0 or 1, fold, features), scores at 0, written. Groups (for
+    ranking; otherwise rows) that are alike in bins, targets and fold, in the order of place, are one, with their number in
+    w (a number a row): they have the same scores and gradients in every tree."""
+
+    def as_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[3:]]
+            x = binned(columns, cuts) if features else np.zeros((0, batch.num_rows), np.uint8)
+            rows = pa.array([r.tobytes() for r in np.ascontiguousarray(x.T)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], rows], ["key", "target", "fold", "x"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, held = TaskContext.get().partitionId() << 32, []
+        number, held, n = TaskContext.get().partitionId() << 32, [], 0
 
-        def out(table: pa.Table) -> pa.RecordBatch:
-            nonlocal number
-            columns = [c.to_numpy() for c in table.columns[3:]]
-            n, groups = table.num_rows, table.column(0)
-            edges = np.arange(1, 1) if objective == "logistic" else np.flatnonzero(_changes(groups))
-            sizes = np.diff(np.concatenate([[0], edges, [n]])).astype(np.int32)
-            x = binned(columns, cuts) if features else np.zeros((0, n), np.uint8)
-            row = (number, n, x.tobytes(), table.column(1).to_numpy().astype(np.uint8).tobytes(), table.column(2).to_numpy().astype(np.int8).tobytes(), sizes.tobytes(), np.zeros((runs, n)).tobytes())
-            number += 1
-            return pa.RecordBatch.from_pylist([dict(zip(("block", "n", "x", "y", "fold", "sizes", "s"), row, strict=True))], _ARROW)
+        def out() -> pa.RecordBatch:
+            nonlocal number, held, n
+            x, y, fold = (np.concatenate([np.frombuffer(v, np.uint8) for r in held for v in r["m"][c]] or [np.zeros(0, np.uint8)]) if c == "x" else np.array([v for r in held for v in r["m"][c]], np.int64) for c in ("x", "target", "fold"))
+            sizes = np.array([len(r["m"]["target"]) for r in held], np.int32)
+            w = np.repeat(np.array([r["w"] for r in held], np.int64), sizes)
+            row = (number, n, np.ascontiguousarray(x.reshape(n, len(features)).T).tobytes(), y.astype(np.uint8).tobytes(), fold.astype(np.int8).tobytes(), sizes.tobytes(), w.tobytes(), np.zeros((runs, n)).tobytes())
+            number, held, n = number + 1, [], 0
+            return pa.RecordBatch.from_pylist([dict(zip(_ARROW.names, row, strict=True))], _ARROW)
 
         for batch in batches:
-            held.append(batch)
-            table = pa.Table.from_batches(held).combine_chunks()
-            while table.num_rows >= BLOCK:
-                cut = BLOCK
-                if objective != "logistic":
-                    later = np.flatnonzero(_changes(table.column(0))[BLOCK:])
-                    if not len(later):
-                        break
-                    cut = BLOCK + int(later[0])
-                yield out(table.slice(0, cut))
-                table = table.slice(cut)
-            held = table.to_batches()
-        if held and (table := pa.Table.from_batches(held)).num_rows:
-            yield out(table)
-
-    own = frame.select("group_id", F.col("target").cast("int").alias("target"), F.coalesce(F.col("fold").cast("int"), F.lit(-1)).alias("fold"), "place", *[F.nanvl(F.col(f).cast("double"), F.lit(float("inf"))).alias(f"f{i}") for i, f in enumerate(features)])
-    if objective != "logistic":
-        own = own.repartition("group_id").sortWithinPartitions("group_id", "place")
-    return stash(own.drop("place").mapInArrow(pack, BLOCK_SCHEMA), "blocks")
-
-
-_ARROW = pa.schema([("block", pa.int64()), ("n", pa.int32()), *[(c, pa.binary()) for c in ("x", "y", "fold", "sizes", "s")]])
-
-
-def _changes(groups: pa.ChunkedArray) -> np.ndarray:
-    """Which rows are of another group than the row before them."""
-    codes = pa.concat_arrays(groups.chunks).dictionary_encode(null_encoding="encode").indices.to_numpy()
-    return np.concatenate([[False], codes[1:] != codes[:-1]])
+            for r in batch.to_pylist():
+                held.append(r)
+                n += len(r["m"]["target"])
+                if n >= BLOCK:
+                    yield out()
+        if held:
+            yield out()
+
+    ranking = objective != "logistic"
+    key = F.struct("group_id", "place") if ranking else F.lit(0)
+    own = frame.select(key.alias("key"), F.col("target").cast("int").alias("target"), F.coalesce(F.col("fold").cast("int"), F.lit(-1)).alias("fold"), *[F.nanvl(F.col(f).cast("double"), F.lit(float("inf"))).alias(f"f{i}") for i, f in enumerate(features)])
+    kind = own.schema["key"].dataType.simpleString()
+    bins = own.mapInArrow(as_bins, f"key {kind}, target int, fold int, x binary")
+    if ranking:
+        rows = bins.groupBy("key.group_id").agg(F.array_sort(F.collect_list(F.struct("key.place", "target", "fold", "x"))).alias("all"))
+        groups = rows.select(F.struct(*[F.col("all").getField(c).alias(c) for c in ("target", "fold", "x")]).alias("m"))
+    else:
+        groups = bins.select(F.struct(*[F.array(c).alias(c) for c in ("target", "fold", "x")]).alias("m"))
+    return stash(groups.groupBy("m").agg(F.count("*").alias("w")).sortWithinPartitions("m").mapInArrow(pack, BLOCK_SCHEMA), "blocks")
+
+
+_ARROW = pa.schema([("block", pa.int64()), ("n", pa.int32()), *[(c, pa.binary()) for c in ("x", "y", "fold", "sizes", "w", "s")]])
+
+
+def _block_sums(rows: Iterable[dict], n_features: int, n_bins: int, s: Settings, folds: int, pending: list[list[Tree]], growing: list[Tree], wanted: dict[int, list[int]], number: int, measure: bool) -> dict[tuple[int, int], np.ndarray]:
+    """By (run, node): the sums of gradients over the blocks' rows (features x bins x 2); by (run, -1): the held-out measure's sum
+    and count. pending: trees of each run that are not in the blocks' scores yet."""
+    total: dict[tuple[int, int], np.ndarray] = {}
+
+    def add(key: tuple[int, int], value: np.ndarray) -> None:
+        total[key] = total[key] + value if key in total else value
+
+    for row in rows:
+        b = _Block(row, n_features)
+        # Of w rows that are alike each is drawn by itself, so how many are is a binomial number.
+        weight = np.random.default_rng((s.seed, number, b.id)).binomial(b.w, s.rows) if s.rows < 1 else b.w
+        for run, nodes in wanted.items():
+            score = b.scores(run, pending[run])
+            out = b.fold == run if folds else np.zeros(len(b.y), bool)
+            if measure and folds:
+                if s.objective == "logistic":
+                    loss = np.logaddexp(0, np.where(b.y > 0, -score, score))[out]
+                    add((run, -1), np.array([-(loss * b.w[out]).sum(), b.w[out].sum()]))
+                else:
+                    firsts = np.concatenate([[0], np.cumsum(b.sizes)[:-1]])
+                    own = out[firsts]
+                    add((run, -1), np.array(ndcg_sum(score[out], b.y[out], b.sizes[own], s.k, b.w[firsts][own])) if own.any() else np.zeros(2))
+            g, h = logistic(score, b.y) if s.objective == "logistic" else ndcg_gradients(score, b.y, b.sizes)
+            slot = np.full(len(growing[run].feature), -1)
+            slot[nodes] = np.arange(len(nodes))
+            at = slot[growing[run].place(b.x)]
+            at_ = np.flatnonzero((at >= 0) & ~out & (weight > 0))
+            g, h = g * weight, h * weight
+            sums = np.zeros((len(nodes), n_features, n_bins, 2))
+            base, g, h = at[at_] * n_bins, g[at_], h[at_]
+            for f in range(n_features):
+                cell = base + b.x[f, at_]
+                for k, v in enumerate((g, h)):
+                    sums[:, f, :, k] = np.bincount(cell, v, len(nodes) * n_bins).reshape(len(nodes), n_bins)
+            for k, node in enumerate(nodes):
+                add((run, node), sums[k])
+    return total
 
 
 def _sums(blocks: DataFrame, tasks: int, n_features: int, n_bins: int, s: Settings, folds: int, pending: list[list[Tree]], growing: list[Tree], wanted: dict[int, list[int]], number: int, measure: bool) -> dict[tuple[int, int], np.ndarray]:
-    """By (run, node): the sums of gradients over its rows (features x bins x 2); by (run, -1): the held-out measure's sum and
-    count. pending: trees of each run that are not in the blocks' scores yet."""
+    """_block_sums of a table, a job."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], np.ndarray] = {}
-
-        def add(key: tuple[int, int], value: np.ndarray) -> None:
-            total[key] = total[key] + value if key in total else value
-
-        for batch in batches:
-            for row in batch.to_pylist():
-                b = _Block(row, n_features)
-                drawn = np.random.default_rng((s.seed, number, b.id)).random(len(b.y)) < s.rows if s.rows < 1 else None
-                for run, nodes in wanted.items():
-                    score = b.scores(run, pending[run])
-                    out = b.fold == run if folds else np.zeros(len(b.y), bool)
-                    if measure and folds:
-                        if s.objective == "logistic":
-                            loss = np.logaddexp(0, np.where(b.y > 0, -score, score))[out]
-                            add((run, -1), np.array([-loss.sum(), len(loss)]))
-                        else:
-                            firsts = np.concatenate([[0], np.cumsum(b.sizes)[:-1]])
-                            own = out[firsts]
-                            add((run, -1), np.array(ndcg_sum(score[out], b.y[out], b.sizes[own], s.k)) if own.any() else np.zeros(2))
-                    g, h = logistic(score, b.y) if s.objective == "logistic" else ndcg_gradients(score, b.y, b.sizes)
-                    slot = np.full(len(growing[run].feature), -1)
-                    slot[nodes] = np.arange(len(nodes))
-                    at = slot[growing[run].place(b.x)]
-                    rows = np.flatnonzero((at >= 0) & ~out & (drawn if drawn is not None else True))
-                    sums = np.zeros((len(nodes), n_features, n_bins, 2))
-                    base, g, h = at[rows] * n_bins, g[rows], h[rows]
-                    for f in range(n_features):
-                        cell = base + b.x[f, rows]
-                        for k, v in enumerate((g, h)):
-                            sums[:, f, :, k] = np.bincount(cell, v, len(nodes) * n_bins).reshape(len(nodes), n_bins)
-                    for k, node in enumerate(nodes):
-                        add((run, node), sums[k])
-        yield _rows_of(total)
+        yield _rows_of(_block_sums((row for batch in batches for row in batch.to_pylist()), n_features, n_bins, s, folds, pending, growing, wanted, number, measure))
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[int, int], np.ndarray] = {}
@@ -309,40 +321,53 @@ def _rows_of(total: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([total[k].tobytes() for k in keys], pa.binary())], ["run", "node", "sums"])
 
 
+def _raised(row: dict, n_features: int, pending: list[list[Tree]]) -> dict:
+    b = _Block(row, n_features)
+    return row | {"s": np.stack([b.scores(run, trees) for run, trees in enumerate(pending)]).tobytes()}
+
+
+class _Jobs:
+    """Blocks as a table: sums and scores are jobs."""
+
+    def __init__(self, blocks: DataFrame, tasks: int, n_features: int) -> None:
+        self.blocks, self.tasks, self.n = blocks, tasks, n_features
+
+    def sums(self, *args) -> dict[tuple[int, int], np.ndarray]:
+        return _sums(self.blocks, self.tasks, self.n, *args)
+
+    def raise_scores(self, pending: list[list[Tree]]) -> None:
+        step = _scored(self.blocks, self.n, pending).persist()
+        drop_stash(self.blocks.unpersist())
+        self.blocks = step
+
+
+class _Rows:
+    """The blocks that a task has."""
+
+    def __init__(self, rows: list[dict], n_features: int) -> None:
+        self.rows, self.n = rows, n_features
+
+    def sums(self, *args) -> dict[tuple[int, int], np.ndarray]:
+        return _block_sums(self.rows, self.n, *args)
+
+    def raise_scores(self, pending: list[list[Tree]]) -> None:
+        self.rows = [_raised(row, self.n, pending) for row in self.rows]
+
+
 def _scored(blocks: DataFrame, n_features: int, pending: list[list[Tree]]) -> DataFrame:
     """The blocks with the pending trees in their scores, written."""
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                b = _Block(row, n_features)
-                row["s"] = np.stack([b.scores(run, trees) for run, trees in enumerate(pending)]).tobytes()
-                yield pa.RecordBatch.from_pylist([row], _ARROW)
+                yield pa.RecordBatch.from_pylist([_raised(row, n_features, pending)], _ARROW)
 
     return stash(blocks.mapInArrow(put, BLOCK_SCHEMA), "blocks")
 
 
-def fit(frame: DataFrame, features: list[str], settings: Settings = Settings(), folds: int = 0, cuts: list[list[float]] | None = None) -> list[Booster]:
-    """Boosters on a frame (group_id, place, target of 0 or 1, features, and with folds their number in fold): one on all
-    rows or, with folds, one for each fold on the rows of the others, measured on its own. A job a level serves all runs.
-
-    Null features count as the least values and NaN as the largest. cuts default to about equally many rows a bin. With
-    patience a run's trees end with the best measure (the first of equals; no tree at all may be best). For ranking,
-    groups must lie in one fold; those of one class say nothing. A run without rows has no trees; rows without a fold
-    belong to all runs and are measured by none. Equal frames in equal
-    partitions give equal trees; other partitions differ by rounding (and, where rows < 1, by what is drawn).
-    """
-    if settings.objective not in ("logistic", "ndcg"):
-        raise ValueError(f"no objective {settings.objective}")
-    s, runs = settings, max(1, folds)
-    held = frame if folds else frame.withColumn("fold", F.lit(-1))
-    if cuts is None:
-        cuts = bin_cuts(frame, features, s.bins) if features else []
-    n_features, n_bins = len(features), max([len(c) for c in cuts], default=0) + 1
-    if n_bins > 256:
-        raise ValueError("at most 255 cuts a feature")
-    blocks = make_blocks(held, features, cuts, runs, s.objective).persist()  # the files are there if an executor is lost
-    tasks = blocks.rdd.getNumPartitions()
+def _grow(table: _Jobs | _Rows, n_features: int, n_bins: int, cuts: list[list[float]], s: Settings, folds: int) -> tuple[list[list[Tree]], list[list[float]]]:
+    """Every run's trees, and what was measured on the rows left out."""
+    runs = max(1, folds)
     trees: list[list[Tree]] = [[] for _ in range(runs)]
     measured: list[list[float]] = [[] for _ in range(runs)]
     pending: list[list[Tree]] = [[] for _ in range(runs)]
@@ -365,7 +390,7 @@ def fit(frame: DataFrame, features: list[str], settings: Settings = Settings(),
         for level in range(s.depth):
             # of each pair of siblings the lighter is summed up
             lighter = {run: nodes if level == 0 else [min(nodes[k : k + 2], key=lambda n, r=run: (weight[r, n], n)) for k in range(0, len(nodes), 2)] for run, nodes in open_.items()}
-            sums = _sums(blocks, tasks, n_features, n_bins, s, folds, pending, growing, lighter, number, level == 0)
+            sums = table.sums(n_bins, s, folds, pending, growing, lighter, number, level == 0)
             if level == 0:
                 note(sums)
                 open_ = {run: nodes for run, nodes in open_.items() if run in going}
@@ -401,11 +426,46 @@ def fit(frame: DataFrame, features: list[str], settings: Settings = Settings(),
         if not going:
             break
         if max(map(len, pending)) >= s.between:
-            step = _scored(blocks, n_features, pending).persist()
-            drop_stash(blocks.unpersist())
-            blocks, pending = step, [[] for _ in range(runs)]
+            table.raise_scores(pending)
+            pending = [[] for _ in range(runs)]
     if folds and (ends := {run: [0] for run in sorted(going)}):
-        note(_sums(blocks, tasks, n_features, n_bins, s, folds, pending, [Tree() for _ in range(runs)], ends, s.rounds, True))
+        note(table.sums(n_bins, s, folds, pending, [Tree() for _ in range(runs)], ends, s.rounds, True))
+    return trees, measured
+
+
+def fit(frame: DataFrame, features: list[str], settings: Settings = Settings(), folds: int = 0, cuts: list[list[float]] | None = None) -> list[Booster]:
+    """Boosters on a frame (group_id, place, target of 0 or 1, features, and with folds their number in fold): one on all
+    rows or, with folds, one for each fold on the rows of the others, measured on its own. A job a level serves all runs.
+
+    Null features count as the least values and NaN as the largest. cuts default to about equally many rows a bin. With
+    patience a run's trees end with the best measure (the first of equals; no tree at all may be best). For ranking,
+    groups must lie in one fold; those of one class say nothing. A run without rows has no trees; rows without a fold
+    belong to all runs and are measured by none. Equal frames in equal
+    partitions give equal trees; other partitions differ by rounding (and, where rows < 1, by what is drawn).
+    """
+    if settings.objective not in ("logistic", "ndcg"):
+        raise ValueError(f"no objective {settings.objective}")
+    s, runs = settings, max(1, folds)
+    held = frame if folds else frame.withColumn("fold", F.lit(-1))
+    if cuts is None:
+        cuts = bin_cuts(frame, features, s.bins) if features else []
+    n_features, n_bins = len(features), max([len(c) for c in cuts], default=0) + 1
+    if n_bins > 256:
+        raise ValueError("at most 255 cuts a feature")
+    blocks = make_blocks(held, features, cuts, runs, s.objective).persist()  # the files are there if an executor is lost
+    count = blocks.count()
+    if 0 < count <= ALONE:
+
+        def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = [row for batch in batches for row in batch.to_pylist()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_grow(_Rows(rows, n_features), n_features, n_bins, cuts, s, folds))], pa.binary())], ["grown"])
+
+        trees, measured = pickle.loads(blocks.coalesce(1).mapInArrow(alone, "grown binary").first()[0])
+    else:
+        table = _Jobs(blocks, blocks.rdd.getNumPartitions(), n_features)
+        trees, measured = _grow(table, n_features, n_bins, cuts, s, folds)
+        blocks = table.blocks
     drop_stash(blocks.unpersist())
     best = [int(np.argmax(m)) if s.patience is not None and m else len(t) for m, t in zip(measured, trees, strict=True)]
     return [Booster(features, cuts, t[:n], m) for t, n, m in zip(trees, best, measured, strict=True)]

@@ -199,3 +199,26 @@ def test_large_groups_go_in_portions(monkeypatch):
     monkeypatch.setattr(boosting, "PAIRS", 50)
     parts = boosting.ndcg_gradients(s, y, sizes), boosting.ndcg_sum(s, y, sizes, 3)
     assert np.allclose(whole[0], parts[0]) and np.allclose(whole[1], parts[1])
+
+
+@pytest.mark.parametrize("objective", ["logistic", "ndcg"])
+def test_equal_groups_are_one(spark, objective):
+    """Blocks grow with what differs, not with rows, and trees are those of all rows."""
+    rows = table(9, 30)
+    many = [(f"{r[0]}-{k}", *r[1:]) for k in range(4) for r in rows]
+    df = spark.createDataFrame(many, SCHEMA).repartition(3)
+    st = Settings(objective, rounds=3, depth=2, rate=0.3, least_weight=0.05)
+    held = boosting.make_blocks(df, ["a", "b", "c"], CUTS, 1, objective).collect()
+    assert sum(b.n for b in held) <= len(rows) and sum(int(np.frombuffer(b.w, np.int64).sum()) for b in held) == len(many)
+    (booster,) = boosting.fit(df, ["a", "b", "c"], st, cuts=CUTS)
+    got, want = scored(df, [booster]), plain(many, CUTS, st)[0][-1]
+    assert all(math.isclose(got[r[0], r[1]], w, abs_tol=1e-9) for r, w in zip(many, want, strict=True))
+
+
+@pytest.mark.parametrize("alone", [0, 1])
+def test_one_task_grows_the_trees_that_jobs_grow(spark, monkeypatch, alone):
+    monkeypatch.setattr(boosting, "ALONE", alone)
+    rows, st = table(4), Settings("ndcg", rounds=4, depth=2, rate=0.3, least_weight=0.05, between=2)
+    (booster,) = boosting.fit(spark.createDataFrame(rows, SCHEMA), ["a", "b", "c"], st, cuts=CUTS)
+    want = plain(rows, CUTS, st)[0][-1]
+    assert all(math.isclose(got, w, abs_tol=1e-9) for got, w in zip([x[1] for x in sorted(scored(spark.createDataFrame(rows, SCHEMA), [booster]).items())], want, strict=True))
