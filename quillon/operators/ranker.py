@@ -53,8 +53,8 @@ def _place(tree: list[Node], of, at: int = 0) -> Column:
 #: Of each member of a group in the order of scores: what NDCG would gain if it and another changed places, times how
 #: likely the model has the two the wrong way round, summed over the others; and the second derivative.
 GRADIENTS = """transform(ranked, a -> named_struct('x', a.x,
-    'g', aggregate(ranked, 0D, (t, b) -> t + CASE WHEN a.target > b.target THEN abs(a.d - b.d) / (1 + exp(a.s - b.s)) WHEN a.target < b.target THEN -abs(a.d - b.d) / (1 + exp(b.s - a.s)) ELSE 0D END) / ideal,
-    'h', aggregate(ranked, 0D, (t, b) -> t + CASE WHEN a.target <> b.target THEN abs(a.d - b.d) / (2 + exp(a.s - b.s) + exp(b.s - a.s)) ELSE 0D END) / ideal))"""
+    'g', aggregate(ranked, 0D, (t, b) -> t + CASE WHEN a.target > b.target THEN abs(a.d - b.d) / (1 + exp(a.s - b.s)) WHEN a.target < b.target THEN -abs(a.d - b.d) / (1 + exp(b.s - a.s)) ELSE 0D END) * w / ideal,
+    'h', aggregate(ranked, 0D, (t, b) -> t + CASE WHEN a.target <> b.target THEN abs(a.d - b.d) / (2 + exp(a.s - b.s) + exp(b.s - a.s)) ELSE 0D END) * w / ideal))"""
 RANKED = """transform(array_sort(members, (a, b) -> CASE WHEN a.s > b.s THEN -1 WHEN a.s < b.s THEN 1 WHEN a.place < b.place THEN -1 ELSE 1 END),
     (m, i) -> named_struct('target', m.target, 'x', m.x, 's', m.s, 'd', 1 / log2(i + 2D)))"""
 
@@ -71,7 +71,8 @@ def fit_ranker(frame: DataFrame, features: list[str], rounds: int = 20, depth: i
     group's positives first, by gradients of NDCG.
 
     A group, which the catalog bounds, is one row with its members in an array, so gradients and new scores are
-    projections without a shuffle; a level of a tree is one small sum over (node, feature, bin). Groups of one class
+    projections without a shuffle; a level of a tree is one small sum over (node, feature, bin). Groups alike in
+    places, targets and bins are one, w times as heavy. Groups of one class
     say nothing and are left out; without others there are no trees, and scores are 0. Equal scores of a group stand in
     the order of place. Null features count as the least values.
     """
@@ -88,17 +89,17 @@ def fit_ranker(frame: DataFrame, features: list[str], rounds: int = 20, depth: i
     member = F.struct("place", "target", F.array(*binned).alias("x"), F.lit(0.0).alias("s"))
     groups = frame.groupBy("group_id").agg(F.collect_list(member).alias("members"), F.sum("target").alias("positives"), F.count("*").alias("n"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.col("positives").cast("int")), F.lit(0.0), lambda a, r: a + 1.0 / F.log2(r + 1.0))
-    groups = stash(groups.where("positives > 0 and positives < n").select("members", ideal.alias("ideal")), "groups")
+    groups = stash(groups.where("positives > 0 and positives < n").groupBy(F.array_sort("members").alias("members"), ideal.alias("ideal")).agg(F.count("*").alias("w")), "groups")
     trees: list[list[Node]] = []
     for _ in range(rounds):
-        rows = groups.select(F.expr(RANKED).alias("ranked"), "ideal").select(F.inline(F.expr(GRADIENTS)))
+        rows = groups.select(F.expr(RANKED).alias("ranked"), "ideal", "w").select(F.inline(F.expr(GRADIENTS)))
         rows = stash(rows, "gradients")
         tree = _grow(rows, len(features), cuts, depth, ridge)
         drop_stash(rows)
         if not tree:
             break
         trees.append(tree)
-        step = stash(groups.select(raised(tree).alias("members"), "ideal"), "groups")
+        step = stash(groups.select(raised(tree).alias("members"), "ideal", "w"), "groups")
         drop_stash(groups)
         groups = step
     drop_stash(groups)
