@@ -6,12 +6,13 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.exprs import hash_uniform, patient_fold
+from quillon.sources.scratch import stash
 
 from .metrics import ranking_metrics
 
@@ -19,6 +20,8 @@ from .metrics import ranking_metrics
 NO_FEATURES = ("source", "split", "stay_id", "patient_id", "group_id", "label", "label_events", "candidate")
 NO_FEATURE_STARTS = ("label_", "o_")
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint", "boolean", "decimal")
+#: The column of alike_rows that says how many rows are one.
+ALIKE = "__alike"
 
 
 def sampled_rows(rows: DataFrame, seed: int, ratio: float = 5.0) -> DataFrame:
@@ -48,62 +51,98 @@ class FeatureSpec:
 
 def feature_spec(df: DataFrame, denied: tuple[str, ...] = NO_FEATURES) -> FeatureSpec:
     """Numeric and text columns by the schema, without those of the deny list."""
-    fine = [(n, t) for n, t in df.dtypes if n not in denied and not n.startswith(NO_FEATURE_STARTS)]
+    fine = [(n, t) for n, t in df.dtypes if n not in denied and n != ALIKE and not n.startswith(NO_FEATURE_STARTS)]
     return FeatureSpec([n for n, t in fine if t.startswith(NUMERIC)], [n for n, t in fine if t == "string"])
 
 
+def alike_rows(rows: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """The features and labels of rows, written once; rows that are alike in all of them are one, with their number (ALIKE).
+    A model of these weights is that of the rows, and its iterations pass over no more than what differs."""
+    if ALIKE in rows.columns:
+        return rows
+    label = ["label"] if "label" in rows.columns else []
+    return stash(rows.groupBy(*spec.numeric, *spec.categorical, *label).agg(F.count("*").alias(ALIKE)), "alike")
+
+
 def numbers(df: DataFrame, spec: FeatureSpec) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in spec.numeric} | {c: F.coalesce(F.col(c), F.lit("missing")) for c in spec.categorical})
 
 
 def medians(df: DataFrame, spec: FeatureSpec) -> dict[str, float]:
-    """Exact medians of the numeric features; 0 where there is none."""
+    """Exact medians of the numeric features, of rows or of alike_rows; 0 where there is none."""
     if not spec.numeric:
         return {}
-    row = df.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in spec.numeric]).first()
+    times = F.col(ALIKE) if ALIKE in df.columns else F.lit(1)
+    row = df.agg(*[F.percentile(F.col(c).cast("double"), F.lit(0.5), times).alias(c) for c in spec.numeric]).first()
     return {c: 0.0 if row[c] is None else row[c] for c in spec.numeric}
 
 
+def _moments(alike: DataFrame, columns: list[str]) -> tuple[dict[str, float], dict[str, float]]:
+    """Means and sample deviations of columns without nulls; 0 where there is none."""
+    if not columns:
+        return {}, {}
+    n, total = F.col(ALIKE), F.sum(ALIKE)
+    own = alike.agg(*[F.try_divide(F.sum(n * F.col(c)), total).alias(c) for c in columns]).first()
+    means = {c: own[c] or 0.0 for c in columns}
+    own = alike.agg(*[F.sqrt(F.try_divide(F.sum(n * (F.col(c) - F.lit(means[c])) ** 2), total - 1)).alias(c) for c in columns]).first()
+    return means, {c: own[c] or 0.0 for c in columns}
+
+
 @dataclass
 class Preprocessor:
     """Medians for missing numbers, standard scores; `missing` for missing texts, one-hot, unknown texts apart."""
 
     spec: FeatureSpec
     fills: dict[str, float]
+    means: dict[str, float]
+    deviations: dict[str, float]
     stages: PipelineModel
 
     @classmethod
     def fit(cls, df: DataFrame, spec: FeatureSpec | None = None) -> Preprocessor:
+        """Fitted on rows, or on alike_rows of them."""
         spec = spec or feature_spec(df)
-        fills = medians(df, spec)
+        alike = alike_rows(df, spec)
+        fills = medians(alike, spec)
+        own = numbers(alike, spec).na.fill(fills)
+        means, deviations = _moments(own, spec.numeric)
         stages: list = []
-        parts: list[str] = []
         if spec.categorical:
-            stages += [StringIndexer(inputCols=spec.categorical, outputCols=[f"{c}__i" for c in spec.categorical], handleInvalid="keep"), OneHotEncoder(inputCols=[f"{c}__i" for c in spec.categorical], outputCols=[f"{c}__v" for c in spec.categorical], dropLast=False)]
-            parts += [f"{c}__v" for c in spec.categorical]
-        if spec.numeric:
-            stages += [VectorAssembler(inputCols=spec.numeric, outputCol="__numbers"), StandardScaler(inputCol="__numbers", outputCol="__scaled", withMean=True, withStd=True)]
-            parts.append("__scaled")
-        stages.append(VectorAssembler(inputCols=parts, outputCol="features"))
-        return cls(spec, fills, Pipeline(stages=stages).fit(numbers(df, spec).na.fill(fills)))
+            for c in spec.categorical:  # numbered as StringIndexer does, the most frequent first
+                known = own.groupBy(c).agg(F.sum(ALIKE).alias("__n")).orderBy(F.desc("__n"), c).collect()
+                stages.append(StringIndexerModel.from_labels([r[0] for r in known], c, f"{c}__i", "keep"))
+            stages.append(OneHotEncoder(inputCols=[f"{c}__i" for c in spec.categorical], outputCols=[f"{c}__v" for c in spec.categorical], dropLast=False))
+        stages.append(VectorAssembler(inputCols=[f"{c}__v" for c in spec.categorical] + [f"{c}__s" for c in spec.numeric], outputCol="features"))
+        out = cls(spec, fills, means, deviations, PipelineModel([]))
+        out.stages = Pipeline(stages=stages).fit(out._scaled(own))
+        return out
+
+    def _scaled(self, df: DataFrame) -> DataFrame:
+        score = lambda c: (F.col(c) - F.lit(self.means[c])) / F.lit(self.deviations[c]) if self.deviations[c] else F.lit(0.0)
+        return df.withColumns({f"{c}__s": score(c) for c in self.spec.numeric})
 
     def transform(self, df: DataFrame) -> DataFrame:
         """df's own columns, and features."""
         held = df.withColumn("__own", F.struct(*df.columns))
-        out = self.stages.transform(numbers(held, self.spec).na.fill(self.fills))
+        out = self.stages.transform(self._scaled(numbers(held, self.spec).na.fill(self.fills)))
         return out.select("__own.*", "features")
 
 
 def fit_linear(train: DataFrame, prep: Preprocessor, ridge: float = 1e-4):
-    """A logistic model of the label."""
-    own = prep.transform(train).withColumn("target", F.col("label").cast("double"))
-    return LogisticRegression(featuresCol="features", labelCol="target", regParam=ridge, maxIter=50).fit(own)
+    """A logistic model of the label, fitted on rows, or on alike_rows of them."""
+    alike = alike_rows(train, prep.spec)
+    own = prep.transform(alike).withColumn("target", F.col("label").cast("double"))
+    # Spark takes n - sum(w^2) / n of weighted rows for the n - 1 in the variances that the penalty is scaled by.
+    n, squares = alike.agg(F.sum(F.col(ALIKE).cast("double")), F.sum(F.col(ALIKE).cast("double") ** 2)).first()
+    ridge *= max(0.0, (n - squares / n) / (n - 1)) if n and n > 1 else 1.0
+    return LogisticRegression(featuresCol="features", labelCol="target", weightCol=ALIKE, regParam=ridge, maxIter=50).fit(own)
 
 
 def fit_trees(train: DataFrame, prep: Preprocessor, rounds: int = 20, depth: int = 5, seed: int = 1):
-    """Boosted trees of the label (Spark's own, so scores differ from other libraries' trees)."""
-    own = prep.transform(train).withColumn("target", F.col("label").cast("double"))
-    return GBTClassifier(featuresCol="features", labelCol="target", maxIter=rounds, maxDepth=depth, seed=seed).fit(own)
+    """Boosted trees of the label (Spark's own, so scores differ from other libraries' trees), fitted on rows, or on
+    alike_rows of them."""
+    own = prep.transform(alike_rows(train, prep.spec)).withColumn("target", F.col("label").cast("double"))
+    return GBTClassifier(featuresCol="features", labelCol="target", weightCol=ALIKE, maxIter=rounds, maxDepth=depth, seed=seed).fit(own)
 
 
 def model_scores(rows: DataFrame, prep: Preprocessor, models: dict) -> DataFrame:

@@ -119,12 +119,14 @@ def f17_code_variants(spark, d):
 
 @query()
 def d39_d41_model_metrics(spark, d):
-    """A linear model and trees fitted on sampled training rows, scored and measured on validation rows."""
-    rows = graphs.features(spark, d)
-    train = stash(learning.sampled_rows(rows.where("split = 'train'"), SEED), "train")
+    """A linear model and trees fitted on sampled training rows, scored and measured on validation rows. Features follow from
+    the condition and the candidate, so rows that are alike in these are one before they have any."""
+    rows, featured = graphs.featured(spark, d)
+    alike = learning.alike_rows(learning.sampled_rows(rows.where("split = 'train'"), SEED), learning.FeatureSpec(["candidate_rank"], ["condition", "candidate"]))
+    train = stash(featured(alike), "train")
     prep = learning.Preprocessor.fit(train)
     models = {"linear": learning.fit_linear(train, prep), "trees": learning.fit_trees(train, prep)}
-    return metrics.ranking_metrics(learning.model_scores(rows.where("split = 'validation'"), prep, models), K)
+    return metrics.ranking_metrics(learning.model_scores(featured(rows.where("split = 'validation'")), prep, models), K)
 
 
 @query()

@@ -154,6 +154,36 @@ def test_models_learn_an_obvious_signal(spark):
     assert learning.cross_validated(df, spec, learning.fit_linear, 2, 3, 1).first().ndcg > 0.9
 
 
+def test_models_of_rows_that_are_alike(spark):
+    """Copies are one row with a weight, in fits as in fills and scales, and what is fitted is that of all rows."""
+    from pyspark.ml.classification import LogisticRegression
+
+    kinds = [(1.0, "x", True, 90), (1.0, "x", False, 30), (2.5, "y", True, 3), (None, "y", False, 200), (7.0, None, False, 11), (7.0, "x", True, 1)]
+    rows = [(a, k, y) for a, k, y, n in kinds for _ in range(n)]
+    df = spark.createDataFrame(rows, "a double, kind string, label boolean")
+    spec = learning.FeatureSpec(["a"], ["kind"])
+    alike = learning.alike_rows(df, spec)
+    assert sorted(r[learning.ALIKE] for r in alike.collect()) == [1, 3, 11, 30, 90, 200]
+    assert learning.alike_rows(alike, spec) is alike
+    held = [a for a, _, _ in rows if a is not None]
+    filled = np.array([np.median(held) if a is None else a for a, _, _ in rows])
+    for prep in (learning.Preprocessor.fit(df, spec), learning.Preprocessor.fit(alike)):
+        assert prep.fills == {"a": np.median(held)}
+        assert prep.means["a"] == pytest.approx(filled.mean()) and prep.deviations["a"] == pytest.approx(filled.std(ddof=1))
+    got = prep.transform(df).select("a", "kind", "features").distinct().collect()
+    for r in got:  # kinds by their numbers (y, x, missing), one place for unknown ones, the scaled number
+        want = [r.kind == "y", r.kind == "x", r.kind is None, 0, ((np.median(held) if r.a is None else r.a) - filled.mean()) / filled.std(ddof=1)]
+        assert r.features.toArray() == pytest.approx([float(v) for v in want])
+    whole = prep.transform(df).withColumn("target", F.col("label").cast("double"))
+    want = LogisticRegression(labelCol="target", regParam=0.05, maxIter=50).fit(whole)
+    for train in (df, alike):
+        model = learning.fit_linear(train, prep, 0.05)
+        assert model.coefficients.toArray() == pytest.approx(want.coefficients.toArray(), abs=1e-4) and model.intercept == pytest.approx(want.intercept, abs=1e-4)
+    trees = [[r.probability.toArray() for r in learning.fit_trees(train, prep, 4, 3).transform(whole).select("features", "probability").distinct().orderBy(F.col("features").cast("string")).collect()] for train in (df, alike)]
+    assert np.allclose(*trees)
+    assert learning.fit_trees(alike, prep, 1, 1).trees[0].numNodes == 3
+
+
 def plain_ranking_trees(x, y, group, rounds, depth, rate, ridge, cuts):
     """The ranker's algorithm over arrays; scores by row."""
     binned = np.stack([np.searchsorted(c, v, "left") for c, v in zip(cuts, x.T, strict=True)], axis=1)
