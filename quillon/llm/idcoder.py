@@ -34,6 +34,8 @@ PULL = np.array([sum((k if k <= s else (ONE >> RATE) - 4 + k) * f for k, f in en
 FADE = np.uint64(sum(((1 << 16) - 1 >> RATE) * f for f in _FIELD))
 SHIFT = np.arange(5, dtype=np.uint64) * WORD
 FIELD = np.uint64((1 << 16) - 1)
+#: What stands at a place of a sorted list is one number too: id, begin and width, from 48, 24 and 0.
+FIELD_ID, FIELD_PLACE = (1 << 16) - 1, (1 << 24) - 1
 
 
 class Contexts:
@@ -43,7 +45,7 @@ class Contexts:
         self.table = np.zeros(2 * n * CONTEXTS, np.int32)
         self.trust = np.full(n << (2 * SURE + 1), EVEN)
         self.of_table = np.arange(n) * (2 * CONTEXTS) + np.array([[0], [CONTEXTS]])
-        self.of_trust = np.arange(n) << 2 * SURE + 1
+        self.lane, self.n = np.arange(n), n
         self.mixed = np.zeros(n, np.int64)
         self.last = np.zeros(n, np.int64)
 
@@ -58,7 +60,8 @@ class Contexts:
         held = self.table.take(at)
         sure, says = held & MOST, held >> SURE
         agree = says[0] == says[1]
-        at_trust = self.of_trust[:n] + (((sure[0] << SURE) + sure[1] << 1) + agree)
+        at_trust = (((sure[0] << SURE) + sure[1] << 1) + agree) * self.n  # all blocks' trust in one state lies together
+        at_trust += self.lane[:n]
         trust = self.trust.take(at_trust)
         self.at, self.held, self.says, self.sure, self.at_trust, self.trusts = at, held, says, sure, at_trust, trust
         return says, trust
@@ -92,37 +95,30 @@ class Seen:
         self.starts = np.flatnonzero(fresh)
         self.widths = np.diff(self.starts, append=held.size)
         self.ids = held.reshape(-1)
-        self.fresh = fresh
-        lane = np.arange(self.n)[:, None] * HIGH
-        highs = np.bincount((lane + (held >> 8)).reshape(-1), minlength=self.n * HIGH).reshape(self.n, HIGH) + 1
+        self.lanes = self.starts // self.m
+        of_high = self.lanes * HIGH + (self.ids[self.starts] >> 8)
+        highs = np.bincount(of_high, self.widths, self.n * HIGH).astype(np.int64).reshape(self.n, HIGH) + 1
         self.high_ends = np.cumsum(highs, axis=1)
         self.highs = highs
 
     def known(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(known, begin, width) of ids, a row of some for each block."""
-        order = np.argsort(ids, axis=1, kind="stable")
         lane = np.arange(self.n)[:, None]
-        wanted = (lane << 16) + np.take_along_axis(ids, order, 1)
-        own = (self.starts // self.m << 16) + self.ids[self.starts]
+        wanted = (lane << 16) + ids
+        own = (self.lanes << 16) + self.ids[self.starts]
         run = np.searchsorted(own, wanted.reshape(-1)).reshape(wanted.shape)
         run[run == len(own)] = 0
-        out = []
-        for values in (own[run] == wanted, self.starts[run] - lane * self.m, self.widths[run]):
-            back = np.empty_like(values)
-            np.put_along_axis(back, order, values, 1)
-            out.append(back)
-        return tuple(out)
+        return own[run] == wanted, self.starts[run] - lane * self.m, self.widths[run]
 
     def for_reading(self) -> None:
-        self.run = np.cumsum(self.fresh.reshape(-1), dtype=np.int32) - 1
+        run = self.ids[self.starts].astype(np.int64) << 48 | self.starts - self.lanes * self.m << 24 | self.widths
+        self.places = np.repeat(run, self.widths)
         self.high_of = np.repeat(np.tile(np.arange(HIGH, dtype=np.uint8), self.n), self.highs.reshape(-1))
 
     def at(self, lanes: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(id, begin, width) of what stands at a place of the sorted list."""
-        place = lanes * self.m
-        run = self.run[place + value]
-        start = self.starts[run]
-        return self.ids[start].astype(np.int64), start - place, self.widths[run]
+        held = self.places.take(lanes * self.m + value)
+        return held >> 48 & FIELD_ID, held >> 24 & FIELD_PLACE, held & FIELD_PLACE
 
     def high(self, lanes: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(begin, width) of a high byte, of m + 256."""
@@ -136,39 +132,41 @@ class Writer:
     def __init__(self, n: int, most: int) -> None:
         self.low = np.zeros(n, np.uint64)
         self.range = np.full(n, (1 << 64) - 1, np.uint64)
-        self.out = np.zeros((n, most), np.uint16)
-        self.n = np.zeros(n, np.int64)
+        self.out = np.zeros(n * most, np.uint16)
+        self.first = np.arange(n) * most
+        self.at = self.first.copy()
 
     def put(self, n: int, trust: tuple[np.ndarray, np.ndarray], begin: np.ndarray, width: np.ndarray, total: np.ndarray) -> None:
         """One id of each of the first n blocks: its symbol of trust, and within that its share of a total."""
-        step = self.range[:n] >> np.uint64(BITS)
-        inner = step * trust[1] // total
-        add = step * trust[0] + inner * begin
-        low, room = self.low[:n], self.range[:n]
-        low += add
-        over = np.flatnonzero(low < add)
-        at = self.n[over] - 1
-        while len(over):  # a carry goes into the words that are out already
-            self.out[over, at] += 1
-            again = self.out[over, at] == 0
-            over, at = over[again], at[again] - 1
+        low, room, at = self.low[:n], self.range[:n], self.at[:n]
+        step = room >> np.uint64(BITS)
+        inner = step * trust[1]
+        inner //= total
+        step *= trust[0]
+        step += inner * begin
+        low += step
+        over = np.flatnonzero(low < step)
+        if len(over):
+            back = at[over] - 1
+            while len(over):  # a carry goes into the words that are out already
+                self.out[back] += 1
+                again = self.out[back] == 0
+                over, back = over[again], back[again] - 1
         np.multiply(inner, width, out=room)
-        small = np.flatnonzero(room < LEAST)
-        while len(small):
-            self.out[small, self.n[small]] = low[small] >> np.uint64(48)
-            self.n[small] += 1
-            low[small] <<= WORD
-            room[small] <<= WORD
-            small = small[room[small] < LEAST]
+        while (small := room < LEAST).any():
+            self.out[at] = low >> np.uint64(48)  # stays where the place moves on, else it is written over
+            at += small
+            shift = small.astype(np.uint64) << np.uint64(4)
+            low <<= shift
+            room <<= shift
 
     def finish(self) -> list[bytes]:
         """What each block wrote, without the zeros at its end."""
-        lane = np.arange(len(self.n))
         for _ in range(4):
-            self.out[lane, self.n] = self.low >> np.uint64(48)
-            self.n += 1
+            self.out[self.at] = self.low >> np.uint64(48)
+            self.at += 1
             self.low <<= WORD
-        return [self.out[k, :n].astype("<u2").tobytes().rstrip(b"\0") for k, n in enumerate(self.n)]
+        return [self.out[a:b].astype("<u2").tobytes().rstrip(b"\0") for a, b in zip(self.first, self.at, strict=True)]
 
 
 def _spans(lengths: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -189,6 +187,8 @@ def encode(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     """The bytes of blocks of ids under 2^16: rows of `ids`, of which the first lengths[k] count; the longest come first."""
     if ids.size and (ids.min() < 0 or ids.max() >= 1 << 16):
         raise ValueError("ids must be of 16 bits")
+    if len(lengths) and lengths[0] > FIELD_PLACE:
+        raise ValueError("blocks must have less than 2^24 ids")
     held = ids.astype(np.uint16)
     contexts, writer = Contexts(len(lengths)), Writer(len(lengths), 5 * int(lengths[0]) + 8)
     for made, at, end, n in _spans(lengths):
@@ -201,15 +201,18 @@ def encode(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         begin = np.where(known, begin, high_begin * 256 + low * high_width).T.astype(np.uint64, order="C")
         width = np.where(known, width, high_width).T.astype(np.uint64, order="C")
         last_two, now = np.where(known, 2, 3).T.copy(), part.T.astype(np.int32, order="C") + 1
+        which, trusts = last_two, np.empty(last_two.shape, np.uint64)
         for t in range(end - at):
-            says, trusts = contexts.predict(n)
+            says, trusts[t] = contexts.predict(n)
             right = says == now[t]
-            which = last_two[t]
-            if len(hit := np.flatnonzero(right[0] | right[1])):
-                which[hit] = 1 - right[0][hit]
-                begin[t, hit], width[t, hit], total[t, hit] = 0, 1, 1
-            writer.put(n, _trust(trusts, which), begin[t], width[t], total[t])
-            contexts.learn(n, now[t], which)
+            which[t][right[1]] = 1
+            which[t][right[0]] = 0
+            contexts.learn(n, now[t], which[t])
+        hit = which < 2
+        begin[hit], width[hit], total[hit] = 0, 1, 1
+        of_trust = _trust(trusts, which)
+        for t in range(end - at):
+            writer.put(n, (of_trust[0][t], of_trust[1][t]), begin[t], width[t], total[t])
     return writer.finish()
 
 
@@ -217,17 +220,18 @@ def decode(blocks: list[bytes], lengths: np.ndarray) -> np.ndarray:
     """The ids of blocks that encode wrote, as rows filled up with zeros. Bytes that encode did not write give other ids:
     the caller holds a checksum of them."""
     longest = int(lengths[0]) if len(lengths) else 0
-    held = np.zeros((len(blocks), longest), np.uint16)
+    held = np.zeros((longest, len(blocks)), np.uint16)
     words = np.zeros((len(blocks), max(map(len, blocks), default=0) // 2 + 6), np.uint64)
     for k, b in enumerate(blocks):
         own = np.frombuffer(b + b"\0" * (len(b) % 2), "<u2")
         words[k, : len(own)] = own
     code = words[:, 0] << np.uint64(48) | words[:, 1] << np.uint64(32) | words[:, 2] << WORD | words[:, 3]
     used, room = np.full(len(blocks), 4), np.full(len(blocks), (1 << 64) - 1, np.uint64)
+    flat, base = words.reshape(-1), np.arange(len(blocks)) * words.shape[1]
     contexts = Contexts(len(lengths))
     for made, at, end, n in _spans(lengths):
         if made:
-            seen = Seen(held[:n, :made])
+            seen = Seen(np.ascontiguousarray(held[:made, :n].T))
             seen.for_reading()
         for t in range(at, end):
             says, trusts = contexts.predict(n)
@@ -258,11 +262,13 @@ def decode(blocks: list[bytes], lengths: np.ndarray) -> np.ndarray:
                 left[lanes] = inner * w.astype(np.uint64)
             small = np.flatnonzero(left < LEAST)
             while len(small):
-                own[small] = own[small] << WORD | words[small, np.minimum(used[small], words.shape[1] - 1)]
-                used[small] += 1
-                left[small] <<= WORD
-                small = small[left[small] < LEAST]
+                at_ = used.take(small)
+                own[small] = own.take(small) << WORD | flat.take(base.take(small) + np.minimum(at_, words.shape[1] - 1))
+                used[small] = at_ + 1
+                wider = left.take(small) << WORD
+                left[small] = wider
+                small = small[wider < LEAST]
             code[:n], room[:n] = own, left
-            held[:n, t] = now
+            held[t, :n] = now
             contexts.learn(n, now + 1, which)
-    return held.astype(np.int64)
+    return held.T.astype(np.int64, order="C")

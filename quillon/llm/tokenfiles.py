@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -28,12 +29,26 @@ REMEMBERED, TOGETHER = 500_000, 4_000
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: A code point that is a word of its own, between words that are encoded together.
 BETWEEN = "\x01"
+#: Words of ASCII and of the letters of Latin-1, which no normal form changes, and the pieces that the tokenizer cuts these
+#: into once they are in lower case.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
 class FileError(ValueError):
     """The bytes are no whole file of ids."""
 
 
+def _byte_letters() -> dict[int, str]:
+    """The code points that byte-level BPE has for bytes: printing ones are their own, the others follow from 256 on."""
+    printing = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printing]
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+LETTERS = _byte_letters()
+
+
 class _Words(dict):
     """Numbers of words in the order in which they are first looked up."""
 
@@ -45,11 +60,30 @@ class _Words(dict):
     fresh: list[bytes]
 
 
+def _shape(tokenizer: dict) -> tuple:
+    """What a tokenizer's file says of its steps before BPE, and of BPE itself."""
+    before = tokenizer.get("pre_tokenizer") or {}
+    model = {k: v for k, v in tokenizer["model"].items() if k not in ("vocab", "merges")}
+    return json.dumps(tokenizer.get("normalizer")), json.dumps(before.get("pretokenizers")), model.get("type"), model.get("end_of_word_suffix"), model.get("dropout"), tokenizer.get("post_processor")
+
+
+SHAPE = (
+    json.dumps({"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}),
+    json.dumps([{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]),
+    "BPE",
+    "</w>",
+    None,
+    None,
+)
+
+
 class WordEncoder:
     """Ids by a tokenizer that lower-cases and drops white space (word_bpe_49k.json), a word between ASCII white space at a
     time. No token reaches over white space, so a text's ids are its words' ids, and a word that comes again is looked up.
-    Words that are new are encoded by the tokenizers library, many at a time. Capitals A-Z are folded first, but in words
-    that hold "<|", for added tokens are matched as they are written."""
+    A new word of plain letters, digits and marks is cut into pieces here, and the tokenizers library's model encodes those
+    that are new; other words take its whole way, many at a time. Capitals A-Z are folded first, but in words that hold
+    "<|", for added tokens are matched as they are written. A model that is not byte-level BPE behind the normal forms and
+    the split that PIECES follows has all words take the whole way."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -57,11 +91,15 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self.between = between[0] if len(between) == 1 else None
+        with open(path, encoding="utf-8") as file:
+            held = json.load(file)
+        self.cuts = _shape(held) == SHAPE and max(held["model"]["vocab"].values()) < 1 << 16
         self.forget()
 
     def forget(self) -> None:
         self.words = _Words()
         self.words.fresh = []
+        self.pieces: dict[str, bytes] = {}
         self.flat, self.begins, self.sizes = np.zeros((3, 0), np.int64)
 
     def alone(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,14 +121,33 @@ class WordEncoder:
             sizes.append(own[1])
         return np.concatenate(flat), np.concatenate(sizes)
 
+    def of_pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of PLAIN words in lower case without "<|"."""
+        known, tokenize, own = self.pieces, self.tokenizer.model.tokenize, []
+        for word in words:
+            ids = b""
+            for piece in PIECES.findall(word):
+                if (of := known.get(piece)) is None:
+                    letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(LETTERS)
+                    of = known[piece] = b"".join([t.id.to_bytes(2, "little") for t in tokenize(letters)])
+                ids += of
+            own.append(ids)
+        return np.frombuffer(b"".join(own), "<u2").astype(np.int64), np.fromiter(map(len, own), np.int64, len(own)) // 2
+
     def learn(self) -> None:
         """Adds the ids of the words met since."""
         fresh = self.words.fresh
-        odd = np.array([self.between is None or BETWEEN.encode() in w or b"<|" in w for w in fresh], bool)
+        text = b"\n".join(fresh).decode()  # no word holds white space
+        held = text.split("\n") if fresh else []
+        marked = "<|" in text
+        odd = np.array([self.between is None or BETWEEN in w or (marked and "<|" in w) for w in held], bool)
+        plain = np.array([self.cuts and PLAIN.fullmatch(w) is not None and not (marked and "<|" in w) for w in held], bool)
         begins, sizes = np.zeros((2, len(fresh)), np.int64)
-        for which, encode in ((np.flatnonzero(~odd), self.together), (np.flatnonzero(odd), self.alone)):
+        lower = [w.lower() for w in held]
+        for which, encode, of in ((plain, self.of_pieces, lower), (~odd & ~plain, self.together, fresh), (odd & ~plain, self.alone, fresh)):
+            which = np.flatnonzero(which)
             if len(which):
-                ids, own = encode([fresh[k] for k in which.tolist()])
+                ids, own = encode([of[k] for k in which.tolist()])
                 begins[which], sizes[which] = len(self.flat) + np.cumsum(own) - own, own
                 self.flat = np.concatenate([self.flat, ids])
         self.begins, self.sizes = np.concatenate([self.begins, begins]), np.concatenate([self.sizes, sizes])

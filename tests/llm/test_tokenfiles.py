@@ -101,6 +101,19 @@ def test_words_give_the_ids_of_whole_texts(tokenizer, small_docs, monkeypatch):
     assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_plain_words_are_cut_into_pieces(tokenizer, monkeypatch):
+    """Letters of Latin-1, digits, marks and apostrophes go by pieces; none of these words takes the tokenizer's whole way."""
+    rng = random.Random(7)
+    signs = [chr(c) for c in [*range(33, 127), *range(192, 215), *range(216, 247), *range(248, 256)]]
+    some = ["".join(rng.choice(signs if k % 2 else list("'sSdmltrveéÉß.,19")) for _ in range(rng.randrange(1, 16))) for k in range(4000)]
+    words = [w for w in some if "<|" not in w]
+    encode = tokenfiles.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    for way in ("together", "alone"):
+        monkeypatch.setattr(encode, way, None)
+    got = [ids.tolist() for ids in encode([w.encode() for w in words])]
+    assert got == [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+
+
 def file_of(docs, block=16, lanes=3):
     class Kept(io.BytesIO):
         def close(self):
