@@ -1,11 +1,12 @@
 """Blocks of token ids by context mixing and range coding: a codec on NumPy arrays that codes many blocks side by side.
 
 An id is coded by a mixture of predictions that adapt as its block goes on. Order 2 and order 1 name the id that last
-followed the two ids, or the one id, before it, each with a confidence. Order 0 is the distribution of the block's ids so
-far, read off their sorted list, which is made anew each time that they have grown by a third. An id that the block has not
-had is coded by the distribution of high bytes, and its low byte evenly. How much each of the four is trusted is learned for
-every pair of confidences. A range coder writes which of them holds the id, then, for the last two, the id. Every block
-begins with nothing learned. Only integers are used, so what one machine writes any other reads.
+followed the two ids, or the one id, before it, each with a confidence: how often it has come in a row. Order 0 is the
+distribution of the block's ids so far. An id that the block has not had is coded by high bytes of its different ids, and its
+low byte stands as it is at the block's end, from the last byte back. How much each of the four is trusted is learned for
+every pair of confidences. Trust and order 0 are made anew each time that the block has grown by a third. A range coder
+writes which of them holds the id, then, for the last two, the id or its high byte. Every block begins with nothing learned.
+The coder's numbers are integers below 2^48, held as doubles and so exact, which one machine writes as any other does.
 """
 
 from __future__ import annotations
@@ -14,164 +15,204 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Trust is cumulative over four symbols and sums up to 2^BITS; each id moves it by 2^-RATE of the way.
-BITS, RATE = 15, 5
+#: Symbols of trust are cumulative and sum up to 2^BITS.
+BITS = 14
 ONE = 1 << BITS
 #: Entries of a context table (a block has two), and the bits of confidence in each.
-CONTEXTS, SURE = 4096, 3
+CONTEXTS, SURE = 1024, 2
 MOST = (1 << SURE) - 1
-#: Ids after which the sorted list is first made, and the share of growth after which it is made again.
-FIRST, GROWTH = 16, 3
-#: The coder's range has 64 bits and takes in words of 16 bits where it falls below this.
-LEAST, WORD = np.uint64(1 << 48), np.uint64(16)
+STATES = 2 << 2 * SURE
+#: Ids after which trust and order 0 are first made, and the share of growth after which they are made again.
+FIRST, GROWTH = 27, 2
+#: Ids of a block at most.
+LONGEST = 1 << 16
+#: The coder's range has 48 bits and takes in words of 16 bits where it falls below this.
+LEAST, WORD, TOP = float(1 << 32), float(1 << 16), float(1 << 48)
 HIGH = 256
+#: What stands at a place of a distribution is one number: id plus one or high byte, begin and width, from 34, 17 and 0.
+PLACE = (1 << 17) - 1
+#: A symbol counts COUNTS times as much as one of the few that are taken to have come at first.
+COUNTS = 16
 
-# A distribution of trust is one number: where symbol k begins stands in the 16 bits from 16 k on.
-_FIELD = [1 << 16 * k for k in range(4)]
-EVEN = np.uint64(sum(k * (ONE >> 2) * f for k, f in enumerate(_FIELD)))
-#: What a symbol adds when it comes, and the bits that stay when all fields are shifted by RATE at once.
-PULL = np.array([sum((k if k <= s else (ONE >> RATE) - 4 + k) * f for k, f in enumerate(_FIELD)) for s in range(4)], np.uint64)
-FADE = np.uint64(sum(((1 << 16) - 1 >> RATE) * f for f in _FIELD))
-SHIFT = np.arange(5, dtype=np.uint64) * WORD
-FIELD = np.uint64((1 << 16) - 1)
-#: What stands at a place of a sorted list is one number too: id, begin and width, from 48, 24 and 0.
-FIELD_ID, FIELD_PLACE = (1 << 16) - 1, (1 << 24) - 1
+
+def _first_counts() -> np.ndarray:
+    """What is taken to have come in each state: order 2 and 1 where they name an id, more so the surer they are."""
+    two, one, agree = np.indices((MOST + 1, MOST + 1, 2)).reshape(3, STATES)
+    return np.stack([two * two * 4, np.where(agree == 1, 0, one * one * 2), np.full(STATES, 14), np.full(STATES, 10)])
+
+
+class Trust:
+    """How often each order held the id in each state, of n blocks; a row for each symbol, states in rows of blocks."""
+
+    def __init__(self, n: int) -> None:
+        self.n = n
+        self.counts = np.repeat(_first_counts(), n, axis=1)
+        self.make()
+
+    def make(self) -> None:
+        """`ends` has where the symbols begin, and in a fifth row ONE, in five rows."""
+        sums = np.cumsum(self.counts, axis=0)
+        ends = np.empty((5, sums.shape[1]))
+        ends[0], ends[4] = 0, ONE
+        ends[1:4] = sums[:3] * (ONE - 4) // sums[3] + np.array([[1], [2], [3]])
+        self.ends = ends
+
+    def learn(self, at: np.ndarray, which: np.ndarray) -> None:
+        """Symbols `which` came in states."""
+        places = self.counts.shape[1]
+        self.counts += COUNTS * np.bincount((which.astype(np.int64) * places + at).reshape(-1), minlength=4 * places).reshape(4, places)
+        self.make()
 
 
 class Contexts:
-    """What orders 2 and 1 have learned of each of n blocks, and how much each is trusted. Ids stand here plus one."""
+    """What orders 2 and 1 have learned of each of n blocks. Ids stand here plus one."""
 
     def __init__(self, n: int) -> None:
         self.table = np.zeros(2 * n * CONTEXTS, np.int32)
-        self.trust = np.full(n << (2 * SURE + 1), EVEN)
         self.of_table = np.arange(n) * (2 * CONTEXTS) + np.array([[0], [CONTEXTS]])
-        self.lane, self.n = np.arange(n), n
-        self.mixed = np.zeros(n, np.int64)
-        self.last = np.zeros(n, np.int64)
-
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """What orders 2 and 1 say (two rows), and the distribution of trust, of the first n blocks."""
-        at = np.empty((2, n), np.int64)
-        np.multiply(self.last[:n], 40503, out=at[1])
-        np.add(at[1], self.mixed[:n], out=at[0])
-        at >>= 4
-        at &= CONTEXTS - 1
-        at += self.of_table[:, :n]
-        held = self.table.take(at)
-        sure, says = held & MOST, held >> SURE
-        agree = says[0] == says[1]
-        at_trust = (((sure[0] << SURE) + sure[1] << 1) + agree) * self.n  # all blocks' trust in one state lies together
-        at_trust += self.lane[:n]
-        trust = self.trust.take(at_trust)
-        self.at, self.held, self.says, self.sure, self.at_trust, self.trusts = at, held, says, sure, at_trust, trust
-        return says, trust
-
-    def learn(self, n: int, ids: np.ndarray, which: np.ndarray) -> None:
-        """ids came next, as symbol `which` of the trust's distribution."""
-        t = self.trusts
-        self.trust[self.at_trust] = t - (t >> np.uint64(RATE) & FADE) + PULL.take(which)
-        wrong = np.where(self.sure > 1, self.held - 2, ids << SURE | 1)
-        self.table[self.at] = np.where(self.says == ids, np.minimum(self.held + 1, self.held | MOST), wrong)
-        np.multiply(self.last[:n], 30011, out=self.mixed[:n])
-        self.last[:n] = ids
-
-
-def _trust(trusts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(begin, width) of the symbols of trust; the last ends at ONE."""
-    begin = trusts >> SHIFT.take(which) & FIELD
-    end = trusts >> SHIFT.take(np.minimum(which + 1, 3)) & FIELD
-    end[which == 3] = ONE
-    return begin, end - begin
-
-
-class Seen:
-    """Order 0: the ids of n blocks so far, sorted (n rows of m)."""
+        self.lane = np.arange(n)
+        self.mixed, self.last = np.zeros((2, n), np.int32)
+
+    def narrow(self, n: int) -> None:
+        """Only the first n blocks go on."""
+        self.base, self.own = self.of_table[:, :n].copy(), self.lane[:n].copy()
+        self.mixed, self.last = self.mixed[:n], self.last[:n]
+        self.hash, self.held = np.empty((2, 2, n), np.int32)
+        self.at = np.empty((2, n), np.int64)
+
+    def predict(self, state: np.ndarray) -> np.ndarray:
+        """What orders 2 and 1 say, in two rows; puts each block's place in rows of states into `state`."""
+        mixed, held = self.hash, self.held
+        np.multiply(self.last, 40503, out=mixed[1])
+        np.add(mixed[1], self.mixed, out=mixed[0])
+        mixed >>= 4
+        mixed &= CONTEXTS - 1
+        np.add(mixed, self.base, out=self.at)
+        self.table.take(self.at, out=held, mode="clip")
+        self.sure = sure = held & MOST
+        self.says = says = held >> SURE
+        row = (sure[0] << SURE) + sure[1] << 1
+        row += says[0] == says[1]
+        np.multiply(row, len(self.lane), out=state)
+        state += self.own
+        return says
+
+    def learn(self, now: np.ndarray) -> np.ndarray:
+        """These ids (plus one) came next: whether orders 2 and 1 said so."""
+        right = self.says == now
+        self.table[self.at] = np.where(right, self.held | MOST, now << SURE | 1)
+        self.mixed, self.last = self.last * 30011, now
+        return right
+
+
+class Numbers:
+    """The different ids of n blocks, sorted, are numbers here; order 0 of what has come by the time."""
 
     def __init__(self, ids: np.ndarray) -> None:
-        self.n, self.m = ids.shape
+        self.n = len(ids)
         held = np.sort(ids, axis=1, kind="stable")
         fresh = np.ones(held.shape, bool)
         fresh[:, 1:] = held[:, 1:] != held[:, :-1]
-        self.starts = np.flatnonzero(fresh)
-        self.widths = np.diff(self.starts, append=held.size)
-        self.ids = held.reshape(-1)
-        self.lanes = self.starts // self.m
-        of_high = self.lanes * HIGH + (self.ids[self.starts] >> 8)
-        highs = np.bincount(of_high, self.widths, self.n * HIGH).astype(np.int64).reshape(self.n, HIGH) + 1
-        self.high_ends = np.cumsum(highs, axis=1)
-        self.highs = highs
-
-    def known(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(known, begin, width) of ids, a row of some for each block."""
-        lane = np.arange(self.n)[:, None]
-        wanted = (lane << 16) + ids
-        own = (self.lanes << 16) + self.ids[self.starts]
-        run = np.searchsorted(own, wanted.reshape(-1)).reshape(wanted.shape)
-        run[run == len(own)] = 0
-        return own[run] == wanted, self.starts[run] - lane * self.m, self.widths[run]
-
-    def for_reading(self) -> None:
-        run = self.ids[self.starts].astype(np.int64) << 48 | self.starts - self.lanes * self.m << 24 | self.widths
-        self.places = np.repeat(run, self.widths)
-        self.high_of = np.repeat(np.tile(np.arange(HIGH, dtype=np.uint8), self.n), self.highs.reshape(-1))
-
-    def at(self, lanes: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(id, begin, width) of what stands at a place of the sorted list."""
-        held = self.places.take(lanes * self.m + value)
-        return held >> 48 & FIELD_ID, held >> 24 & FIELD_PLACE, held & FIELD_PLACE
-
-    def high(self, lanes: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(begin, width) of a high byte, of m + 256."""
-        width = self.highs[lanes, high]
-        return self.high_ends[lanes, high] - width, width
+        of, self.many = held[fresh], fresh.sum(axis=1)
+        self.first = np.cumsum(self.many) - self.many
+        self.of_high = np.repeat(np.arange(self.n) * HIGH, self.many) + (of >> 8)
+        number, own = np.zeros(1 << 16, np.int32), np.empty(ids.shape, np.int32)
+        for k, (a, b) in enumerate(zip(self.first.tolist(), (self.first + self.many).tolist(), strict=True)):
+            number[of[a:b]] = np.arange(a, b)
+            own[k] = number[ids[k]]
+        self.numbers = own.T.copy()
+        self.counts = np.zeros(len(of), np.int64)
+
+    def make(self) -> None:
+        """Of each number, as one, whether it has come, and begin and width of its id or of its high byte; of each block the
+        total of high bytes."""
+        known = self.counts > 0
+        before = np.cumsum(self.counts)
+        before -= self.counts
+        before -= np.repeat(before[self.first], self.many)
+        highs = np.bincount(self.of_high[known], minlength=self.n * HIGH).reshape(self.n, HIGH) + 1
+        ends = np.cumsum(highs, axis=1)
+        self.places = np.where(known, before << 20 | self.counts | 1 << 40, (ends - highs << 20 | highs).reshape(-1).take(self.of_high))
+        self.totals = ends[:, -1]
+
+    def learn(self, numbers: np.ndarray) -> None:
+        self.counts += np.bincount(numbers.reshape(-1), minlength=len(self.counts))
+
+
+def _places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order 0 of n blocks' ids (n rows of m) for reading: what stands at places, where a block's begin for each symbol, and
+    the symbols' totals. A place for what needs none comes first, one for each of the sorted ids follows, then those of
+    high bytes: one for each different id, and of each high byte."""
+    n, m = ids.shape
+    held = np.sort(ids, axis=1, kind="stable")
+    fresh = np.ones(held.shape, bool)
+    fresh[:, 1:] = held[:, 1:] != held[:, :-1]
+    starts = np.flatnonzero(fresh)
+    widths = np.diff(starts, append=held.size)
+    own, lanes = held.reshape(-1)[starts].astype(np.int64), starts // max(m, 1)
+    highs = np.bincount(lanes * HIGH + (own >> 8), minlength=n * HIGH).reshape(n, HIGH) + 1
+    ends = np.cumsum(highs, axis=1)
+    of_high = (np.arange(HIGH) << 34 | ends - highs << 17 | highs).reshape(-1)
+    places = np.repeat(np.concatenate([[1], own + 1 << 34 | starts - lanes * m << 17 | widths, of_high]), np.concatenate([[1], widths, highs.reshape(-1)]))
+    firsts, totals = np.zeros((4, n), np.int64), np.ones((4, n))
+    firsts[2], firsts[3] = np.arange(n) * m + 1, np.cumsum(ends[:, -1]) - ends[:, -1] + n * m + 1
+    totals[2], totals[3] = m, ends[:, -1]
+    return places, firsts, totals
 
 
 class Writer:
     """The range coders of n blocks."""
 
     def __init__(self, n: int, most: int) -> None:
-        self.low = np.zeros(n, np.uint64)
-        self.range = np.full(n, (1 << 64) - 1, np.uint64)
+        self.low, self.range = np.zeros(n), np.full(n, TOP)
         self.out = np.zeros(n * most, np.uint16)
         self.first = np.arange(n) * most
         self.at = self.first.copy()
 
-    def put(self, n: int, trust: tuple[np.ndarray, np.ndarray], begin: np.ndarray, width: np.ndarray, total: np.ndarray) -> None:
-        """One id of each of the first n blocks: its symbol of trust, and within that its share of a total."""
-        low, room, at = self.low[:n], self.range[:n], self.at[:n]
-        step = room >> np.uint64(BITS)
-        inner = step * trust[1]
-        inner //= total
-        step *= trust[0]
-        step += inner * begin
-        low += step
-        over = np.flatnonzero(low < step)
+    def put(self, n: int, of_trust: np.ndarray, trust: np.ndarray, total: np.ndarray, begin: np.ndarray, width: np.ndarray) -> None:
+        """One id of each of the first n blocks: where its symbol of trust begins and how wide it is, and within that its
+        share of a total."""
+        low, room = self.low[:n], self.range[:n]
+        room *= 1 / ONE
+        np.floor(room, out=room)
+        inner = room * trust
+        inner /= total
+        np.floor(inner, out=inner)
+        room *= of_trust
+        low += room
+        low += inner * begin
+        np.multiply(inner, width, out=room)
+        over = (low >= TOP).nonzero()[0]
         if len(over):
-            back = at[over] - 1
-            while len(over):  # a carry goes into the words that are out already
+            low[over] -= TOP
+            back = self.at[over] - 1
+            while len(back):  # a carry goes into the words that are out already
                 self.out[back] += 1
-                again = self.out[back] == 0
-                over, back = over[again], back[again] - 1
-        np.multiply(inner, width, out=room)
-        while (small := room < LEAST).any():
-            self.out[at] = low >> np.uint64(48)  # stays where the place moves on, else it is written over
-            at += small
-            shift = small.astype(np.uint64) << np.uint64(4)
-            low <<= shift
-            room <<= shift
+                back = back[self.out[back] == 0] - 1
+        small = (room < LEAST).nonzero()[0]
+        while len(small):
+            at, own = self.at.take(small), low.take(small)
+            word = np.floor(own * (1 / LEAST))
+            self.out[at] = word
+            self.at[small] = at + 1
+            low[small] = (own - word * LEAST) * WORD
+            wider = room.take(small) * WORD
+            room[small] = wider
+            small = small[wider < LEAST]
 
     def finish(self) -> list[bytes]:
-        """What each block wrote, without the zeros at its end."""
-        for _ in range(4):
-            self.out[self.at] = self.low >> np.uint64(48)
+        """What each block wrote."""
+        for _ in range(3):
+            word = np.floor(self.low / LEAST)
+            self.out[self.at] = word
             self.at += 1
-            self.low <<= WORD
-        return [self.out[a:b].astype("<u2").tobytes().rstrip(b"\0") for a, b in zip(self.first, self.at, strict=True)]
+            self.low = (self.low - word * LEAST) * WORD
+        return [self.out[a:b].astype("<u2").tobytes() for a, b in zip(self.first, self.at, strict=True)]
 
 
 def _spans(lengths: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(made, from, to, blocks): places that use the sorted lists of the ids before `made`, of equally many live blocks.
-    Where lists are made depends on the place alone, so a block is coded alike beside any others."""
+    """(made, from, to, blocks): places that use what was made of the ids before `made`, of equally many live blocks.
+    Where it is made depends on the place alone, so a block is coded alike beside any others."""
     made, longest = 0, int(lengths[0]) if len(lengths) else 0
     stops = np.unique(lengths)
     while made < longest:
@@ -187,33 +228,47 @@ def encode(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     """The bytes of blocks of ids under 2^16: rows of `ids`, of which the first lengths[k] count; the longest come first."""
     if ids.size and (ids.min() < 0 or ids.max() >= 1 << 16):
         raise ValueError("ids must be of 16 bits")
-    if len(lengths) and lengths[0] > FIELD_PLACE:
-        raise ValueError("blocks must have less than 2^24 ids")
+    if len(lengths) and lengths[0] > LONGEST:
+        raise ValueError(f"blocks must have at most {LONGEST} ids")
+    blocks = len(lengths)
     held = ids.astype(np.uint16)
-    contexts, writer = Contexts(len(lengths)), Writer(len(lengths), 5 * int(lengths[0]) + 8)
+    contexts, writer, trust, numbers = Contexts(blocks), Writer(blocks, 3 * int(max(lengths, default=0)) + 8), Trust(blocks), Numbers(held)
+    now, last, waiting = held.T.astype(np.int32, order="C") + 1, -1, []
+    lows, of_low = [], []
     for made, at, end, n in _spans(lengths):
-        seen, part = Seen(held[:n, :made]) if made else None, held[:n, at:end]
-        known, begin, width = seen.known(part) if made else (np.zeros(part.shape, bool), *np.zeros((2, *part.shape), np.int64))
-        lanes = np.repeat(np.arange(n), end - at).reshape(part.shape)
-        high, low = part >> 8, (part & 255).astype(np.int64)
-        high_begin, high_width = seen.high(lanes, high) if made else (high.astype(np.int64), np.ones_like(low))
-        total = np.where(known, made, (made + HIGH) * 256).T.astype(np.uint64, order="C")
-        begin = np.where(known, begin, high_begin * 256 + low * high_width).T.astype(np.uint64, order="C")
-        width = np.where(known, width, high_width).T.astype(np.uint64, order="C")
-        last_two, now = np.where(known, 2, 3).T.copy(), part.T.astype(np.int32, order="C") + 1
-        which, trusts = last_two, np.empty(last_two.shape, np.uint64)
+        if made != last:
+            for x in waiting:
+                trust.learn(*x[:2])
+                numbers.learn(x[2])
+            numbers.make()
+            last, waiting = made, []
+        contexts.narrow(n)
+        states, right, own = np.empty((end - at, n), np.int64), np.empty((end - at, 2, n), bool), numbers.numbers[at:end, :n]
         for t in range(end - at):
-            says, trusts[t] = contexts.predict(n)
-            right = says == now[t]
-            which[t][right[1]] = 1
-            which[t][right[0]] = 0
-            contexts.learn(n, now[t], which[t])
+            contexts.predict(states[t])
+            right[t] = contexts.learn(now[at + t, :n])
+        found = numbers.places.take(own)
+        which = 3 - (found >> 40)
+        total = np.where(which == 2, float(made), numbers.totals[:n])
+        which[right[:, 1]] = 1
+        which[right[:, 0]] = 0
+        waiting.append((states, which, own))
+        of_trust = which * (STATES * blocks) + states
+        first = trust.ends.take(of_trust)
+        of_trust += STATES * blocks
+        wide = trust.ends.take(of_trust) - first
         hit = which < 2
+        begin, width = (found >> 20 & PLACE).astype(float), (found & PLACE).astype(float)
         begin[hit], width[hit], total[hit] = 0, 1, 1
-        of_trust = _trust(trusts, which)
         for t in range(end - at):
-            writer.put(n, (of_trust[0][t], of_trust[1][t]), begin[t], width[t], total[t])
-    return writer.finish()
+            writer.put(n, first[t], wide[t], total[t], begin[t], width[t])
+        lane, place = np.nonzero(which.T == 3)
+        lows.append(held[lane, at + place].astype(np.uint8))
+        of_low.append(lane)
+    lows, of_low = np.concatenate([np.zeros(0, np.uint8), *lows]), np.concatenate([np.zeros(0, np.int64), *of_low])
+    lows = lows[np.argsort(of_low, kind="stable")[::-1]].tobytes()
+    ends = len(lows) - np.cumsum(np.bincount(of_low, minlength=blocks))
+    return [words + lows[a:b] for words, a, b in zip(writer.finish(), ends.tolist(), [len(lows), *ends.tolist()], strict=False)]
 
 
 def decode(blocks: list[bytes], lengths: np.ndarray) -> np.ndarray:
@@ -221,54 +276,68 @@ def decode(blocks: list[bytes], lengths: np.ndarray) -> np.ndarray:
     the caller holds a checksum of them."""
     longest = int(lengths[0]) if len(lengths) else 0
     held = np.zeros((longest, len(blocks)), np.uint16)
-    words = np.zeros((len(blocks), max(map(len, blocks), default=0) // 2 + 6), np.uint64)
+    words = np.zeros((len(blocks), max(map(len, blocks), default=0) // 2 + 6), np.uint16)
     for k, b in enumerate(blocks):
-        own = np.frombuffer(b + b"\0" * (len(b) % 2), "<u2")
-        words[k, : len(own)] = own
-    code = words[:, 0] << np.uint64(48) | words[:, 1] << np.uint64(32) | words[:, 2] << WORD | words[:, 3]
-    used, room = np.full(len(blocks), 4), np.full(len(blocks), (1 << 64) - 1, np.uint64)
-    flat, base = words.reshape(-1), np.arange(len(blocks)) * words.shape[1]
-    contexts = Contexts(len(lengths))
+        words[k, : len(b) // 2] = np.frombuffer(b, "<u2", len(b) // 2)
+    code = (words[:, 0] * LEAST + words[:, 1] * WORD) + words[:, 2]
+    lows = np.frombuffer(b"\0" + b"".join(blocks), np.uint8)
+    low_at = np.cumsum([len(b) for b in blocks], dtype=np.int64)
+    used, room = np.arange(len(blocks)) * words.shape[1] + 3, np.full(len(blocks), TOP)
+    words = words.reshape(-1)
+    contexts, trust, last, waiting = Contexts(len(blocks)), Trust(len(blocks)), -1, []
     for made, at, end, n in _spans(lengths):
-        if made:
-            seen = Seen(np.ascontiguousarray(held[:made, :n].T))
-            seen.for_reading()
+        if made != last:
+            for x in waiting:
+                trust.learn(*x)
+            last, waiting = made, []
+        places, firsts, totals = _places(np.ascontiguousarray(held[:made, :n].T))
+        contexts.narrow(n)
+        states, symbols = np.empty((end - at, n), np.int64), np.empty((end - at, n), np.int64)
+        ends, said, lane = np.empty((5, n)), np.empty((4, n), np.int32), np.arange(n)
+        ends[0], ends[4] = 0, ONE
+        code, room, used, low_at = code[:n].copy(), room[:n].copy(), used[:n].copy(), low_at[:n].copy()
+        step, left = np.empty((2, n))
         for t in range(at, end):
-            says, trusts = contexts.predict(n)
-            step = room[:n] >> np.uint64(BITS)
-            value = np.minimum(code[:n] // step, np.uint64(ONE - 1))
-            which = (trusts >> SHIFT[1] & FIELD <= value).astype(np.int64) + (trusts >> SHIFT[2] & FIELD <= value) + (trusts >> SHIFT[3] <= value)
-            begin, width = _trust(trusts, which)
-            own = code[:n] - step * begin
-            left = step * width
-            now = np.where(which == 0, says[0], says[1]) - 1
-            for symbol, total in ((2, made), (3, (made + HIGH) * 256)):
-                lanes = np.flatnonzero(which == symbol)
-                if not len(lanes):
-                    continue
-                inner = left[lanes] // np.uint64(max(total, 1))
-                place = np.minimum(own[lanes] // inner, max(total, 1) - 1).astype(np.int64)
-                if symbol == 2 and made:
-                    ids, b, w = seen.at(lanes, place)
-                elif made:
-                    high = seen.high_of[lanes * (made + HIGH) + (place >> 8)].astype(np.int64)
-                    b, w = seen.high(lanes, high)
-                    low = (place - b * 256) // w
-                    b, ids = b * 256 + low * w, high << 8 | low
-                else:
-                    ids, b, w = place & 0xFFFF, place, np.ones_like(place)
-                now[lanes] = ids
-                own[lanes] -= inner * b.astype(np.uint64)
-                left[lanes] = inner * w.astype(np.uint64)
-            small = np.flatnonzero(left < LEAST)
+            state, which = states[t - at], symbols[t - at]
+            said[:2] = contexts.predict(state)
+            for k in (1, 2, 3):
+                trust.ends[k].take(state, out=ends[k], mode="clip")
+            np.multiply(room, 1 / ONE, out=step)
+            np.floor(step, out=step)
+            over = ends[1:4] <= code / step
+            np.add.reduce(over.view(np.uint8), axis=0, dtype=np.int64, out=which)
+            symbol = which * n
+            symbol += lane
+            begin = ends.take(symbol)
+            width = ends.reshape(-1)[n:].take(symbol)
+            width -= begin
+            begin *= step
+            code -= begin
+            np.multiply(step, width, out=left)
+            left /= totals.take(symbol)
+            np.floor(left, out=left)
+            place = (code / left).astype(np.int64)
+            place += firsts.take(symbol)
+            found = places.take(place, mode="clip")
+            code -= left * (found >> 17 & PLACE)
+            np.multiply(left, found & PLACE, out=room)
+            found >>= 34
+            said[2] = found
+            new = over[2].nonzero()[0]
+            if len(new):
+                own = low_at.take(new)
+                said[3, new] = (found.take(new) << 8 | lows.take(own, mode="clip")) + 1
+                low_at[new] = own - 1
+            now = said.take(symbol)
+            small = (room < LEAST).nonzero()[0]
             while len(small):
-                at_ = used.take(small)
-                own[small] = own.take(small) << WORD | flat.take(base.take(small) + np.minimum(at_, words.shape[1] - 1))
-                used[small] = at_ + 1
-                wider = left.take(small) << WORD
-                left[small] = wider
+                own = used.take(small)
+                code[small] = code.take(small) * WORD + words.take(own, mode="clip")
+                used[small] = own + 1
+                wider = room.take(small) * WORD
+                room[small] = wider
                 small = small[wider < LEAST]
-            code[:n], room[:n] = own, left
-            held[t, :n] = now
-            contexts.learn(n, now + 1, which)
-    return held.T.astype(np.int64, order="C")
+            held[t, :n] = now - 1
+            contexts.learn(now)
+        waiting.append((states, symbols))
+    return held.T.copy()

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,18 +22,18 @@ from .warc import open_folder
 Encoder = Callable[[list[bytes]], list[np.ndarray]]
 
 #: A file begins and ends with this.
-MAGIC = b"QIDS0001"
+MAGIC = b"QIDS0002"
 #: Ids of a block, blocks that are coded side by side, and ids after which a task begins a new file.
 BLOCK, LANES, ROLL = 2048, 1024, 1 << 26
-#: Words whose ids a worker remembers, and words that are encoded as one text.
-REMEMBERED, TOGETHER = 500_000, 4_000
+#: Words whose ids a worker remembers, words or pieces that are encoded as one text, and texts whose ids are looked up at once.
+REMEMBERED, TOGETHER, TEXTS = 600_000, 4_000, 250
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: A code point that is a word of its own, between words that are encoded together.
 BETWEEN = "\x01"
 #: Words of ASCII and of the letters of Latin-1, which no normal form changes, and the pieces that the tokenizer cuts these
-#: into once they are in lower case.
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: into once they are in lower case; a word's first piece takes in the space before it.
+PLAIN = "^[!-~À-ÖØ-öø-ÿ]+$"
+PIECES = re.compile(" ?(?:'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ ]+)")
 
 
 class FileError(ValueError):
@@ -47,17 +48,49 @@ def _byte_letters() -> dict[int, str]:
 
 
 LETTERS = _byte_letters()
-
-
-class _Words(dict):
-    """Numbers of words in the order in which they are first looked up."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.fresh.append(word)
-        return n
-
-    fresh: list[bytes]
+#: The same, but for the space between pieces.
+SIGNS = "".join(LETTERS.get(b, chr(b)) if b != 32 else " " for b in range(256))
+
+
+class _Known(dict):
+    """Numbers of words, their ids once they have been learned, and how often they were met. A number is a word's place among
+    all that were looked up, so some numbers belong to no word."""
+
+    def __init__(self, kind: type) -> None:
+        self.flat, self.begins, self.sizes, self.met = np.zeros(0, kind), *np.zeros((3, 0), np.int64)
+
+    def look(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' numbers, and which of them are met for the first time: learn is to be called with these."""
+        at = np.arange(len(self.met), len(self.met) + len(words))
+        numbers = np.fromiter(map(self.setdefault, words, range(len(self.met), len(self.met) + len(words))), np.int64, len(words))
+        return numbers, np.flatnonzero(numbers == at)
+
+    def learn(self, numbers: np.ndarray, fresh: np.ndarray, ids: np.ndarray, sizes: np.ndarray, times: np.ndarray | None = None) -> None:
+        """The ids of the fresh words, one after the other, and how many each has; how often all were met."""
+        own = np.zeros((2, len(numbers)), np.int64)
+        own[:, fresh] = len(self.flat) + np.cumsum(sizes) - sizes, sizes
+        self.begins, self.sizes = np.concatenate([self.begins, own[0]]), np.concatenate([self.sizes, own[1]])
+        self.flat = np.concatenate([self.flat, ids.astype(self.flat.dtype)])
+        self.met = np.concatenate([self.met, np.zeros(len(numbers), np.int64)])
+        self.met += np.bincount(numbers, times, len(self.met)).astype(np.int64)
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words by their numbers, one after the other, and how many each has."""
+        sizes = self.sizes[numbers]
+        at = np.repeat(self.begins[numbers] - np.cumsum(sizes) + sizes, sizes)
+        at += np.arange(len(at))
+        return self.flat[at], sizes
+
+    def forget(self, most: int) -> None:
+        """Keeps the words that were met more than once, or more often than that, so that at most `most` stay."""
+        words, numbers, times = list(self), np.fromiter(self.values(), np.int64, len(self)), 1
+        while (keep := self.met[numbers] > times).sum() > most:
+            times *= 2
+        numbers = numbers[keep]
+        words, (ids, sizes), met = [words[k] for k in np.flatnonzero(keep)], self.ids(numbers), self.met[numbers]
+        self.clear()
+        self.__init__(self.flat.dtype.type)
+        self.learn(*self.look(words), ids, sizes, met)
 
 
 def _shape(tokenizer: dict) -> tuple:
@@ -80,39 +113,43 @@ SHAPE = (
 class WordEncoder:
     """Ids by a tokenizer that lower-cases and drops white space (word_bpe_49k.json), a word between ASCII white space at a
     time. No token reaches over white space, so a text's ids are its words' ids, and a word that comes again is looked up.
-    A new word of plain letters, digits and marks is cut into pieces here, and the tokenizers library's model encodes those
-    that are new; other words take its whole way, many at a time. Capitals A-Z are folded first, but in words that hold
-    "<|", for added tokens are matched as they are written. A model that is not byte-level BPE behind the normal forms and
-    the split that PIECES follows has all words take the whole way."""
+    New words of plain letters, digits and marks are cut into pieces here; the tokenizers library encodes those that are new
+    with the same model, split at spaces alone, and the model marks where a piece ends. Other words take the tokenizer's
+    whole way, many at a time. Capitals A-Z are folded first, but in words that hold "<|", for added tokens are matched as
+    they are written. A model that is not byte-level BPE behind the normal forms and the split that PIECES follows has all
+    words take the whole way."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         between = self.tokenizer.encode(BETWEEN, add_special_tokens=False).ids
         self.between = between[0] if len(between) == 1 else None
+        most = max(self.tokenizer.get_vocab(True).values(), default=0)
+        self.kind = np.uint16 if most < 1 << 16 else np.int64
         with open(path, encoding="utf-8") as file:
             held = json.load(file)
-        self.cuts = _shape(held) == SHAPE and max(held["model"]["vocab"].values()) < 1 << 16
-        self.forget()
-
-    def forget(self) -> None:
-        self.words = _Words()
-        self.words.fresh = []
-        self.pieces: dict[str, bytes] = {}
-        self.flat, self.begins, self.sizes = np.zeros((3, 0), np.int64)
-
-    def alone(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        vocab = held["model"]["vocab"]
+        signs = [LETTERS.get(b, chr(b)) for b in range(256)]
+        self.cuts = _shape(held) == SHAPE and all(c in vocab and f"{c}</w>" in vocab for c in signs)
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        self.last = np.zeros(most + 1, bool)
+        if self.cuts:
+            self.last[[n for token, n in vocab.items() if token.endswith("</w>")]] = True
+        self.words, self.pieces = _Known(self.kind), _Known(self.kind)
+
+    def alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words one after the other, and how many each has."""
-        own = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        own = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         return np.array([i for x in own for i in x], np.int64), np.array([len(x) for x in own], np.int64)
 
-    def together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The same of words without BETWEEN, TOGETHER of them encoded as one text."""
         flat, sizes = [], []
         for k in range(0, len(words), TOGETHER):
             part = words[k : k + TOGETHER]
-            (e,) = self.tokenizer.encode_batch_fast([f" {BETWEEN} ".encode().join(part).decode()], add_special_tokens=False)
+            (e,) = self.tokenizer.encode_batch_fast([f" {BETWEEN} ".join(part)], add_special_tokens=False)
             ids = np.array(e.ids, np.int64)
             border = ids == self.between
             at = np.flatnonzero(border)
@@ -121,52 +158,68 @@ class WordEncoder:
             sizes.append(own[1])
         return np.concatenate(flat), np.concatenate(sizes)
 
+    def by_model(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of pieces of PLAIN words."""
+        flat, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for k in range(0, len(pieces), TOGETHER):
+            part = pieces[k : k + TOGETHER]
+            text = " ".join(part)
+            (e,) = self.model.encode_batch_fast([text if text.isascii() else text.encode().decode("latin-1").translate(SIGNS)], add_special_tokens=False)
+            ids = np.array(e.ids, np.int64)
+            at = np.flatnonzero(self.last[ids])
+            if len(at) != len(part):
+                raise ValueError("the model does not end each piece with a token of its own")
+            flat.append(ids)
+            sizes.append(np.diff(at, prepend=-1))
+        return np.concatenate(flat), np.concatenate(sizes)
+
     def of_pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same of PLAIN words in lower case without "<|"."""
-        known, tokenize, own = self.pieces, self.tokenizer.model.tokenize, []
-        for word in words:
-            ids = b""
-            for piece in PIECES.findall(word):
-                if (of := known.get(piece)) is None:
-                    letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(LETTERS)
-                    of = known[piece] = b"".join([t.id.to_bytes(2, "little") for t in tokenize(letters)])
-                ids += of
-            own.append(ids)
-        return np.frombuffer(b"".join(own), "<u2").astype(np.int64), np.fromiter(map(len, own), np.int64, len(own)) // 2
-
-    def learn(self) -> None:
-        """Adds the ids of the words met since."""
-        fresh = self.words.fresh
-        text = b"\n".join(fresh).decode()  # no word holds white space
-        held = text.split("\n") if fresh else []
-        marked = "<|" in text
-        odd = np.array([self.between is None or BETWEEN in w or (marked and "<|" in w) for w in held], bool)
-        plain = np.array([self.cuts and PLAIN.fullmatch(w) is not None and not (marked and "<|" in w) for w in held], bool)
-        begins, sizes = np.zeros((2, len(fresh)), np.int64)
-        lower = [w.lower() for w in held]
-        for which, encode, of in ((plain, self.of_pieces, lower), (~odd & ~plain, self.together, fresh), (odd & ~plain, self.alone, fresh)):
+        """The same of PLAIN words without "<|"."""
+        cut = PIECES.findall(f" {' '.join(words)}".lower())
+        numbers, fresh = self.pieces.look(cut)
+        self.pieces.learn(numbers, fresh, *self.by_model([cut[k] for k in fresh.tolist()]))
+        ids, sizes = self.pieces.ids(numbers)
+        return ids, np.add.reduceat(sizes, np.flatnonzero([p[0] == " " for p in cut]))
+
+    def ids_of(self, fresh: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and how many each has."""
+        words = pa.array(fresh, pa.large_string())
+        marked = pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)
+        plain = pc.match_substring_regex(words, PLAIN).to_numpy(zero_copy_only=False) & ~marked & self.cuts
+        odd = marked | pc.match_substring(words, BETWEEN).to_numpy(zero_copy_only=False) | (self.between is None)
+        known = _Known(self.kind)  # the words' ids by their way, then by their place
+        order, flat, sizes = [], [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
+        for which, encode in ((plain, self.of_pieces), (~odd & ~plain, self.together), (odd & ~plain, self.alone)):
             which = np.flatnonzero(which)
             if len(which):
-                ids, own = encode([of[k] for k in which.tolist()])
-                begins[which], sizes[which] = len(self.flat) + np.cumsum(own) - own, own
-                self.flat = np.concatenate([self.flat, ids])
-        self.begins, self.sizes = np.concatenate([self.begins, begins]), np.concatenate([self.sizes, sizes])
-        fresh.clear()
+                ids, own = encode([fresh[k] for k in which.tolist()])
+                for to, x in ((flat, ids), (order, which), (sizes, own)):
+                    to.append(x)
+        order = np.concatenate([np.zeros(0, np.int64), *order])
+        known.learn(np.arange(len(fresh)), order, np.concatenate(flat), np.concatenate(sizes))
+        return known.ids(np.arange(len(fresh)))
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.words) > REMEMBERED:
-            self.forget()
-        look, numbers = self.words.__getitem__, []
-        for t in texts:
-            own = (t.translate(FOLD) if b"<|" not in t else b" ".join(w if b"<|" in w else w.translate(FOLD) for w in t.split())).split()
-            numbers.append(np.fromiter(map(look, own), np.int64, len(own)))
-        self.learn()
-        return [self._ids(n) for n in numbers]
-
-    def _ids(self, words: np.ndarray) -> np.ndarray:
-        sizes = self.sizes[words]
-        shift = np.repeat(self.begins[words] - np.cumsum(sizes) + sizes, sizes)
-        return self.flat[np.arange(len(shift)) + shift]
+        for known in (self.words, self.pieces):
+            if len(known) > REMEMBERED:
+                known.forget(REMEMBERED // 2)
+        out: list[np.ndarray] = []
+        if not texts:
+            return out
+        folded = [t.translate(FOLD) if b"<|" not in t else b" ".join(w if b"<|" in w else w.translate(FOLD) for w in t.split()) for t in texts]
+        cut = pc.ascii_split_whitespace(pa.array(folded, pa.large_binary()).cast(pa.large_string()))
+        own = cut.flatten().dictionary_encode()
+        lines = pc.binary_join_element_wise(own.dictionary, *pa.array(["", "\n"], pa.large_string()))  # no word holds white space
+        different = lines.buffers()[2].to_pybytes().decode().split("\n")[: len(lines)] if len(lines) else []
+        at, words = cut.offsets.to_numpy(), own.indices.to_numpy()
+        numbers, fresh = self.words.look(different)
+        self.words.learn(numbers, fresh, *self.ids_of([different[k] for k in fresh.tolist()]), np.bincount(words, minlength=len(numbers)))
+        for k in range(0, len(texts), TEXTS):
+            ends = at[k : k + TEXTS + 1]
+            ids, sizes = self.words.ids(numbers[words[ends[0] : ends[-1]]])
+            stops = np.append(0, np.cumsum(sizes))[ends - ends[0]].tolist()
+            out += [ids[a:b] for a, b in zip(stops, stops[1:], strict=False)]
+        return out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -203,14 +256,14 @@ class FileWriter:
 
     def flush(self, all_of_it: bool) -> None:
         """Codes whole blocks, `lanes` at a time, and at the end what is left."""
-        ids = np.concatenate([np.zeros(0, np.int64), *self.held])
+        ids = np.concatenate([np.zeros(0, np.uint16), *self.held])
         group, at = self.block * self.lanes, 0
         while len(ids) - at >= group or (all_of_it and at < len(ids)):
             own = ids[at : at + group]
             at += len(own)
             lengths = np.full(-(-len(own) // self.block), self.block)
             lengths[-1] -= lengths.sum() - len(own)
-            rows = np.zeros((len(lengths), self.block), np.int64)
+            rows = np.zeros((len(lengths), self.block), ids.dtype)
             rows.reshape(-1)[: len(own)] = own
             for raw, row, n in zip(idcoder.encode(rows[:, : lengths[0]], lengths), rows, lengths.tolist(), strict=True):
                 self.out.write(raw)
@@ -247,15 +300,17 @@ def read_file(file, size: int, lanes: int = LANES) -> Iterator[tuple[int | None,
             offset += len(data)
             cuts = np.cumsum([0, *(b[0] for b in part)])
             lengths = np.array([b[1] for b in part])
-            rows = idcoder.decode([data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], lengths)
-            for row, a, b, (_, n, of_ids, of_bytes) in zip(rows, cuts[:-1], cuts[1:], part, strict=True):
-                if zlib.crc32(row[:n].astype("<u4").tobytes()) != of_ids or zlib.crc32(data[a:b]) != of_bytes:
-                    raise FileError("a block differs from its checksum")
+            raws = [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            if any(zlib.crc32(raw) != b[3] for raw, b in zip(raws, part, strict=True)):
+                raise FileError("a block differs from its checksum")
+            rows = idcoder.decode(raws, lengths)
+            if any(zlib.crc32(row[: b[1]].astype("<u4").tobytes()) != b[2] for row, b in zip(rows, part, strict=True)):
+                raise FileError("a block differs from its checksum")
             own = rows.reshape(-1)[: int(lengths.sum())]
             held.append(own)
             n_held += len(own)
         if doc is not None and n_held >= doc[1]:
-            ids, at = np.concatenate([np.zeros(0, np.int64), *held]), 0
+            ids, at = np.concatenate([np.zeros(0, np.uint16), *held]), 0
             while doc is not None and n_held - at >= doc[1]:
                 yield doc[0], before, ids[at : at + doc[1]]
                 at, before = at + doc[1], before + doc[1]
@@ -280,6 +335,7 @@ def write_ids(docs: DataFrame, folder: str, encode: Callable[[], Encoder], end_i
         from pyspark import TaskContext
 
         of, (store, base), part = encode(), open_folder(folder), TaskContext.get().partitionId()
+        end = np.array([end_id], np.uint16)
         done: list[tuple] = []
         own: FileWriter | None = None
 
@@ -298,7 +354,7 @@ def write_ids(docs: DataFrame, folder: str, encode: Callable[[], Encoder], end_i
                 if own is None:
                     name = uuid.uuid4().hex
                     own = FileWriter(store.open_output_stream(f"{base}/.{name}", compression=None), block)
-                own.add(doc, np.append(ids, end_id))
+                own.add(doc, np.append(ids, end))
                 if own.n_ids >= roll:
                     close()
         close()

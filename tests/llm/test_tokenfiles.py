@@ -114,6 +114,17 @@ def test_plain_words_are_cut_into_pieces(tokenizer, monkeypatch):
     assert got == [e.ids for e in tokenizer.encode_batch(words, add_special_tokens=False)]
 
 
+def test_words_met_again_stay(monkeypatch):
+    """When too many words are remembered, those that were met once go; the others are not encoded anew."""
+    monkeypatch.setattr(tokenfiles, "REMEMBERED", 50)
+    encode = tokenfiles.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    first = encode(["語 語".encode(), " ".join(f"語{k}" for k in range(60)).encode()])[0]
+    new, own = [], encode.together
+    monkeypatch.setattr(encode, "together", lambda words: new.extend(words) or own(words))
+    again = encode(["語 語".encode()])[0]
+    assert again.tolist() == first.tolist() and len(new) == 0 and len(encode.words) == 1
+
+
 def file_of(docs, block=16, lanes=3):
     class Kept(io.BytesIO):
         def close(self):
