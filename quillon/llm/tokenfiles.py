@@ -201,7 +201,7 @@ class WordEncoder:
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         for known in (self.words, self.pieces):
-            if len(known) > REMEMBERED:
+            if max(len(known), len(known.met) // 4) > REMEMBERED:  # numbers without a word take room too
                 known.forget(REMEMBERED // 2)
         out: list[np.ndarray] = []
         if not texts:

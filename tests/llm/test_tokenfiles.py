@@ -125,6 +125,17 @@ def test_words_met_again_stay(monkeypatch):
     assert again.tolist() == first.tolist() and len(new) == 0 and len(encode.words) == 1
 
 
+def test_what_is_remembered_stays_small(monkeypatch):
+    """The same words again and again take no more room."""
+    monkeypatch.setattr(tokenfiles, "REMEMBERED", 50)
+    encode = tokenfiles.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    text = " ".join(f"a{k}" for k in range(40)).encode()
+    first = encode([text])[0].tolist()
+    for _ in range(30):
+        assert encode([text])[0].tolist() == first
+    assert len(encode.words) == 40 and len(encode.words.met) < 300 and len(encode.words.flat) < 300
+
+
 def file_of(docs, block=16, lanes=3):
     class Kept(io.BytesIO):
         def close(self):
