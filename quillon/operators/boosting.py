@@ -506,11 +506,12 @@ def score(rows: DataFrame, boosters: list[Booster], fold: Column | None = None,
     return held.mapInArrow(put, f"{fields}, `{name}` double")
 
 
-def out_of_fold(rows: DataFrame, features: list[str], settings: Settings, folds: int, seed: int, fit_on: DataFrame | None = None, cuts: list[list[float]] | None = None) -> tuple[DataFrame, list[Booster]]:
-    """Rows (patient_id, group_id, candidate_rank, candidate, label, features) with fold and score, each scored by the
-    booster of the other patients' rows; and the boosters. fit_on: the rows to fit on (a sample, say), rows by default."""
+def out_of_fold(rows: DataFrame, features: list[str], settings: Settings, folds: int, seed: int, fit_on: DataFrame | None = None, cuts: list[list[float]] | None = None, name: str = "score") -> tuple[DataFrame, list[Booster]]:
+    """Rows (patient_id, group_id, candidate_rank, candidate, label, features) with fold and score (called name), each
+    scored by the booster of the other patients' rows; and the boosters. fit_on: the rows to fit on (a sample, say), rows by
+    default. Rows that one model has scored can be scored by the next as they stand; nothing has to be joined."""
     folded = lambda df: df.withColumn("fold", patient_fold(F.col("patient_id"), seed, folds))
     order = F.struct(F.col("candidate_rank").isNull(), "candidate_rank", F.col("candidate").isNull(), "candidate")
     own = folded(rows if fit_on is None else fit_on).select("group_id", order.alias("place"), F.col("label").cast("int").alias("target"), "fold", *features)
     boosters = fit(own, features, settings, folds, cuts)
-    return score(folded(rows), boosters, F.col("fold"), settings.objective == "logistic"), boosters
+    return score(folded(rows), boosters, F.col("fold"), settings.objective == "logistic", name), boosters

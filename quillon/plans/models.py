@@ -195,14 +195,19 @@ def d42_early_stopping(spark, d):
     return spark.createDataFrame(out, "fold int, grown int, kept int, ndcg_without double, ndcg double")
 
 
+def _both_scores(rows, features, settings):
+    """rows with the out-of-fold scores of two models, the second scoring what the first has scored: a join would be a
+    broadcast of all rows through the driver, as Spark takes their size from files that are far smaller."""
+    other, _ = boosting.out_of_fold(rows, features, settings[0], FOLDS, FOLD_SEED, name="other_score")
+    both, _ = boosting.out_of_fold(other, features, settings[1], FOLDS, FOLD_SEED, fit_on=rows, name="reference_score")
+    return both.where("group_id is not null and candidate is not null").select(*fusion.KEY, "stay_id", "candidate_rank", "label", "reference_score", "other_score")
+
+
 @query()
 def d34_out_of_fold_weights(spark, d):
     """The metrics of every weight between a ranker's and a reference's out-of-fold scores, and which weight is chosen."""
     rows = _graph_rows(spark, d)
-    (other, _), (reference, _) = (boosting.out_of_fold(rows, GRAPH_FEATURES, s, FOLDS, FOLD_SEED) for s in (RANKER, REFERENCE))
-    reference = reference.select("group_id", "candidate", F.col("score").alias("reference_score"))
-    pairs = stash(other.withColumnRenamed("score", "other_score").join(reference, ["group_id", "candidate"]).select(*fusion.KEY, "stay_id", "candidate_rank", "label", "reference_score", "other_score"), "pairs")
-    return fusion.marked_weight(fusion.rank_grid(pairs, 10))
+    return fusion.marked_weight(fusion.rank_grid(_both_scores(rows, GRAPH_FEATURES, (RANKER, REFERENCE)), 10))
 
 
 @query()

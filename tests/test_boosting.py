@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import boosting
 from quillon.operators.boosting import Settings
+from quillon.plans import models
 
 SCHEMA = "group_id string, place int, target int, fold int, a double, b double, c int"
 
@@ -222,3 +223,15 @@ def test_one_task_grows_the_trees_that_jobs_grow(spark, monkeypatch, alone):
     (booster,) = boosting.fit(spark.createDataFrame(rows, SCHEMA), ["a", "b", "c"], st, cuts=CUTS)
     want = plain(rows, CUTS, st)[0][-1]
     assert all(math.isclose(got, w, abs_tol=1e-9) for got, w in zip([x[1] for x in sorted(scored(spark.createDataFrame(rows, SCHEMA), [booster]).items())], want, strict=True))
+
+
+def test_two_models_score_rows_without_a_join(spark):
+    """All rows of the smaller side of a join went through the driver as a broadcast: rows are now scored twice as they stand."""
+    df = spark.createDataFrame(table(6), SCHEMA).selectExpr("'dev' source", "'train' split", "group_id", "'x' condition", "'c' || place candidate", "place candidate_rank", "group_id stay_id", "group_id patient_id", "target = 1 label", "nanvl(a, 2) a", "b", "c")
+    names, settings = ["a", "b", "c"], (Settings("ndcg", rounds=3, depth=2, rate=0.3, least_weight=0.05), Settings(rounds=3, depth=2, rate=0.3, least_weight=0.05))
+    both = models._both_scores(df, names, settings)
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    got = {(r.group_id, r.candidate): (r.other_score, r.reference_score) for r in both.collect()}
+    own = [{(r.group_id, r.candidate): r.score for r in boosting.out_of_fold(df, names, s, models.FOLDS, models.FOLD_SEED)[0].collect()} for s in settings]
+    assert len(got) == df.count() and all(np.allclose(v, [x[k] for x in own]) for k, v in got.items()) and len({v for v in got.values()}) > 3
