@@ -333,3 +333,31 @@ def test_groups_in_rows_say_what_stacked_rows_say(spark):
     assert same(metrics.grouped_condition_metrics(groups, 2, 5), metrics.condition_metrics(want, 2, 5))
     assert same(fusion.group_places(groups, metrics.BASELINES), fusion.rank_normalised(want, "score", ("baseline", "group_id")).select("baseline", "group_id", "candidate", "score"))
     assert metrics.grouped_metrics(groups.where(F.lit(False)), 2).count() == 0
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_row_metrics_of_groups_say_what_those_of_rows_say(spark, monkeypatch, ranges):
+    """Scores that the catalog gives are counted in sorted groups, and only drawn scores are sorted as rows; runs of equal
+    scores go over conditions, hash classes and batches, and slices lack one class."""
+    monkeypatch.setattr(metrics, "RANGES", ranges)
+    monkeypatch.setattr(metrics, "TIE_CLASSES", 5)
+    rng = random.Random(8)
+    catalog = [(f"cond{c}", f"m{rng.randrange(4)}{k}", k + 1, rng.choice((0.1, 0.25)), rng.choice((0.0, 0.25, 1.0))) for c in range(3) for k in range(c + 2)]
+    of = {c: [r for r in catalog if r[0] == c] for c in {r[0] for r in catalog}}
+    groups = []
+    for g in range(300):
+        c, split = f"cond{rng.randrange(3)}", rng.choice(("train", "train", "test", "none", "all"))
+        label = {"none": 0.0, "all": 1.0}.get(split, 0.3)
+        groups.append(("dev" if g % 4 else "ext", split, g, c, f"{g}|{c}", [(r[1], r[2], rng.random() < label) for r in of[c]]))
+    catalog = spark.createDataFrame(catalog, f"condition string, candidate string, candidate_rank long, {metrics.POPULARITY[0]} double, {metrics.POPULARITY[1]} double")
+    groups = spark.createDataFrame(groups, "source string, split string, stay_id long, condition string, group_id string, members array<struct<candidate: string, candidate_rank: long, label: boolean>>").repartition(3)
+    rows = groups.select("source", "split", "stay_id", "group_id", "condition", F.inline("members")).join(catalog, ["condition", "candidate", "candidate_rank"])
+    rows = rows.withColumn("random", metrics._drawn(3, F.col("candidate")))
+    stacked = rows.select(*metrics.SCORED, F.inline(F.array(*[F.struct(F.lit(n).alias("baseline"), F.col(n).alias("score")) for n in metrics.BASELINES])))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    try:
+        got = sorted(map(tuple, metrics.grouped_row_metrics(groups, catalog, seed=3).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 24 and got == sorted(map(tuple, metrics.row_metrics(stacked).collect()))
+    assert metrics.grouped_row_metrics(groups.where("false"), catalog).count() == 0
