@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from quillon.functions.exprs import patient_fold
 from quillon.sources.scratch import drop_stash, stash
 
+from .learning import ALIKE
 from .ranker import bin_cuts
 
 #: Rows of a block, at least: a ranking group is never cut.
@@ -203,14 +204,14 @@ BLOCK_SCHEMA = "block long, n int, x binary, y binary, fold binary, sizes binary
 def make_blocks(frame: DataFrame, features: list[str], cuts: list[list[float]], runs: int, objective: str) -> DataFrame:
     """The table of blocks of a frame (group_id, place, target of 0 or 1, fold, features), scores at 0, written. Groups (for
     ranking; otherwise rows) that are alike in bins, targets and fold, in the order of place, are one, with their number in
-    w (a number a row): they have the same scores and gradients in every tree."""
+    w (a number a row): they have the same scores and gradients in every tree. A row's ALIKE says how many it stands for."""
 
     def as_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[3:]]
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns[4:]]
             x = binned(columns, cuts) if features else np.zeros((0, batch.num_rows), np.uint8)
             rows = pa.array([r.tobytes() for r in np.ascontiguousarray(x.T)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], rows], ["key", "target", "fold", "x"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], rows], ["key", "target", "fold", "times", "x"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -237,15 +238,15 @@ def make_blocks(frame: DataFrame, features: list[str], cuts: list[list[float]],
 
     ranking = objective != "logistic"
     key = F.struct("group_id", "place") if ranking else F.lit(0)
-    own = frame.select(key.alias("key"), F.col("target").cast("int").alias("target"), F.coalesce(F.col("fold").cast("int"), F.lit(-1)).alias("fold"), *[F.nanvl(F.col(f).cast("double"), F.lit(float("inf"))).alias(f"f{i}") for i, f in enumerate(features)])
+    own = frame.select(key.alias("key"), F.col("target").cast("int").alias("target"), F.coalesce(F.col("fold").cast("int"), F.lit(-1)).alias("fold"), (F.col(ALIKE) if ALIKE in frame.columns else F.lit(1)).cast("long").alias("times"), *[F.nanvl(F.col(f).cast("double"), F.lit(float("inf"))).alias(f"f{i}") for i, f in enumerate(features)])
     kind = own.schema["key"].dataType.simpleString()
-    bins = own.mapInArrow(as_bins, f"key {kind}, target int, fold int, x binary")
+    bins = own.mapInArrow(as_bins, f"key {kind}, target int, fold int, times long, x binary")
     if ranking:
-        rows = bins.groupBy("key.group_id").agg(F.array_sort(F.collect_list(F.struct("key.place", "target", "fold", "x"))).alias("all"))
-        groups = rows.select(F.struct(*[F.col("all").getField(c).alias(c) for c in ("target", "fold", "x")]).alias("m"))
+        rows = bins.groupBy("key.group_id").agg(F.array_sort(F.collect_list(F.struct("key.place", "target", "fold", "x"))).alias("all"), F.max("times").alias("times"))
+        groups = rows.select(F.struct(*[F.col("all").getField(c).alias(c) for c in ("target", "fold", "x")]).alias("m"), "times")
     else:
-        groups = bins.select(F.struct(*[F.array(c).alias(c) for c in ("target", "fold", "x")]).alias("m"))
-    return stash(groups.groupBy("m").agg(F.count("*").alias("w")).sortWithinPartitions("m").mapInArrow(pack, BLOCK_SCHEMA), "blocks")
+        groups = bins.select(F.struct(*[F.array(c).alias(c) for c in ("target", "fold", "x")]).alias("m"), "times")
+    return stash(groups.groupBy("m").agg(F.sum("times").alias("w")).sortWithinPartitions("m").mapInArrow(pack, BLOCK_SCHEMA), "blocks")
 
 
 _ARROW = pa.schema([("block", pa.int64()), ("n", pa.int32()), *[(c, pa.binary()) for c in ("x", "y", "fold", "sizes", "w", "s")]])
@@ -448,7 +449,7 @@ def fit(frame: DataFrame, features: list[str], settings: Settings = Settings(),
     s, runs = settings, max(1, folds)
     held = frame if folds else frame.withColumn("fold", F.lit(-1))
     if cuts is None:
-        cuts = bin_cuts(frame, features, s.bins) if features else []
+        cuts = bin_cuts(frame, features, s.bins, ALIKE if ALIKE in frame.columns else None) if features else []
     n_features, n_bins = len(features), max([len(c) for c in cuts], default=0) + 1
     if n_bins > 256:
         raise ValueError("at most 255 cuts a feature")
@@ -509,9 +510,9 @@ def score(rows: DataFrame, boosters: list[Booster], fold: Column | None = None,
 def out_of_fold(rows: DataFrame, features: list[str], settings: Settings, folds: int, seed: int, fit_on: DataFrame | None = None, cuts: list[list[float]] | None = None, name: str = "score") -> tuple[DataFrame, list[Booster]]:
     """Rows (patient_id, group_id, candidate_rank, candidate, label, features) with fold and score (called name), each
     scored by the booster of the other patients' rows; and the boosters. fit_on: the rows to fit on (a sample, say), rows by
-    default. Rows that one model has scored can be scored by the next as they stand; nothing has to be joined."""
+    default. Rows may be those of learning.alike_groups. Rows that one model has scored can be scored by the next as they stand; nothing has to be joined."""
     folded = lambda df: df.withColumn("fold", patient_fold(F.col("patient_id"), seed, folds))
     order = F.struct(F.col("candidate_rank").isNull(), "candidate_rank", F.col("candidate").isNull(), "candidate")
-    own = folded(rows if fit_on is None else fit_on).select("group_id", order.alias("place"), F.col("label").cast("int").alias("target"), "fold", *features)
+    own = folded(rows if fit_on is None else fit_on).select("group_id", order.alias("place"), F.col("label").cast("int").alias("target"), "fold", *[c for c in (rows if fit_on is None else fit_on).columns if c == ALIKE], *features)
     boosters = fit(own, features, settings, folds, cuts)
     return score(folded(rows), boosters, F.col("fold"), settings.objective == "logistic", name), boosters

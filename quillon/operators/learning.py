@@ -64,6 +64,17 @@ def alike_rows(rows: DataFrame, spec: FeatureSpec) -> DataFrame:
     return stash(rows.groupBy(*spec.numeric, *spec.categorical, *label).agg(F.count("*").alias(ALIKE)), "alike")
 
 
+def alike_groups(groups: DataFrame, seed: int, folds: int) -> DataFrame:
+    """Ranking groups of training.ranking_groups; those that are alike in source, split, condition, the patient's fold and the
+    labels are one, with their number (ALIKE), the least patient and an id of its own. Features and scores follow from
+    condition, candidate and fold, so what is fitted on or measured from these is that of all groups; they are written once."""
+    slim = F.transform("members", lambda m: F.struct(m["candidate"].alias("candidate"), m["candidate_rank"].alias("candidate_rank"), m["label"].alias("label")))
+    held = groups.select("source", "split", "condition", patient_fold(F.col("patient_id"), seed, folds).alias("fold"), "patient_id", slim.alias("members"))
+    out = held.groupBy("source", "split", "condition", "fold", "members").agg(F.min("patient_id").alias("patient_id"), F.count("*").alias(ALIKE))
+    labels = F.array_join(F.transform("members", lambda m: m["label"].cast("int").cast("string")), "")
+    return stash(out.withColumn("group_id", F.concat_ws("|", "condition", F.coalesce(F.col("fold"), F.lit(-1)), labels)).drop("fold"), "alike")
+
+
 def numbers(df: DataFrame, spec: FeatureSpec) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in spec.numeric} | {c: F.coalesce(F.col(c), F.lit("missing")) for c in spec.categorical})
 

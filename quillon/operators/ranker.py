@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.sources.scratch import drop_stash, stash
@@ -59,8 +59,19 @@ RANKED = """transform(array_sort(members, (a, b) -> CASE WHEN a.s > b.s THEN -1
     (m, i) -> named_struct('target', m.target, 'x', m.x, 's', m.s, 'd', 1 / log2(i + 2D)))"""
 
 
-def bin_cuts(frame: DataFrame, features: list[str], bins: int) -> list[list[float]]:
-    """Cuts of each feature into about equally many rows; values up to a cut stand left of it."""
+def bin_cuts(frame: DataFrame, features: list[str], bins: int, times: str | None = None) -> list[list[float]]:
+    """Cuts of each feature into about equally many rows; values up to a cut stand left of it. times: the column that says how
+    many rows a row stands for."""
+    if times is not None:
+        each = frame.select(F.col(times).alias("n"), F.posexplode(F.array(*[F.col(f).cast("double") for f in features])).alias("f", "value"))
+        held = each.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("f", "value").agg(F.sum("n").alias("n"))
+        own = Window.partitionBy("f")
+        up_to = F.sum("n").over(own.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+        held = held.withColumns({"up_to": up_to, "of_all": F.sum("n").over(own)})
+        # a share's cut is the least value that so many rows lie up to
+        first = F.floor((F.col("up_to") - F.col("n")) * bins / F.col("of_all")) + 1
+        cuts = held.where((first < bins) & (F.col("up_to") * bins >= first * F.col("of_all"))).select("f", "value").collect()
+        return [sorted({r["value"] for r in cuts if r["f"] == i} or {0.0}) for i in range(len(features))]
     shares = [i / bins for i in range(1, bins)]
     row = frame.agg(*[F.percentile_approx(F.col(f).cast("double"), shares, 10_000).alias(str(i)) for i, f in enumerate(features)]).first()
     return [sorted(set(row[i] or [0.0])) for i in range(len(features))]

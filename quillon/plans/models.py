@@ -183,7 +183,7 @@ REFERENCE = boosting.Settings("logistic", rounds=20, depth=4, rows=0.8, columns=
 
 
 def _graph_rows(spark, d, split="train"):
-    return stash(graphs.features(spark, d).where(f"split = '{split}'"), "features")
+    return stash(graphs.alike_features(spark, d, split, FOLD_SEED, FOLDS), "features")
 
 
 @query()
@@ -200,7 +200,7 @@ def _both_scores(rows, features, settings):
     broadcast of all rows through the driver, as Spark takes their size from files that are far smaller."""
     other, _ = boosting.out_of_fold(rows, features, settings[0], FOLDS, FOLD_SEED, name="other_score")
     both, _ = boosting.out_of_fold(other, features, settings[1], FOLDS, FOLD_SEED, fit_on=rows, name="reference_score")
-    return both.where("group_id is not null and candidate is not null").select(*fusion.KEY, "stay_id", "candidate_rank", "label", "reference_score", "other_score")
+    return both.where("group_id is not null and candidate is not null").select(*fusion.KEY, "candidate_rank", "label", "reference_score", "other_score", *[c for c in rows.columns if c == learning.ALIKE])
 
 
 @query()

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import boosting
+from quillon.operators import boosting, fusion, learning, ranker, training
 from quillon.operators.boosting import Settings
 from quillon.plans import models
 
@@ -235,3 +235,28 @@ def test_two_models_score_rows_without_a_join(spark):
     got = {(r.group_id, r.candidate): (r.other_score, r.reference_score) for r in both.collect()}
     own = [{(r.group_id, r.candidate): r.score for r in boosting.out_of_fold(df, names, s, models.FOLDS, models.FOLD_SEED)[0].collect()} for s in settings]
     assert len(got) == df.count() and all(np.allclose(v, [x[k] for x in own]) for k, v in got.items()) and len({v for v in got.values()}) > 3
+
+
+def test_alike_groups_stand_for_all(spark):
+    """Groups alike in condition, fold and labels are one before they have features: cuts, trees, scores and the grid of weights
+    are those of all groups."""
+    rng = random.Random(12)
+    value = {(c, k): (rng.random(), rng.randrange(5)) for c in "xyz" for k in range(3)}
+    rows = [("dev", "train", c, s, s % 23, f"{s}|{c}", [(f"m{k}", k + 1, rng.random() < value[c, k][0], None) for k in range(3)]) for s in range(400) for c in rng.choice("xyz")]
+    groups = spark.createDataFrame(rows, "source string, split string, condition string, stay_id long, patient_id long, group_id string, members array<struct<candidate: string, candidate_rank: long, label: boolean, label_events: long>>").repartition(3)
+    features = spark.createDataFrame([(c, f"m{k}", *v) for (c, k), v in value.items()], "condition string, candidate string, a double, b long")
+    alike = learning.alike_groups(groups, models.FOLD_SEED, models.FOLDS)
+    assert alike.count() <= 3 * 3 * 8 and alike.agg(F.sum(learning.ALIKE)).first()[0] == 400
+    every, few = (training.group_rows(g).join(features, ["condition", "candidate"]).cache() for g in (groups, alike))
+    assert few.select("group_id").distinct().count() == alike.count()
+    names = ["candidate_rank", "a", "b"]
+    for bins in (3, 8, 40):
+        assert ranker.bin_cuts(few, names, bins, learning.ALIKE) == ranker.bin_cuts(every, names, bins)
+    settings = (Settings("ndcg", rounds=4, depth=2, rate=0.3, least_weight=0.05), Settings(rounds=4, depth=2, rate=0.3, least_weight=0.05))
+    (one, many) = ([boosting.out_of_fold(rows, names, s, models.FOLDS, models.FOLD_SEED) for s in settings] for rows in (few, every))
+    for (a, boosters), (b, want) in zip(one, many, strict=True):
+        assert all(np.allclose(x.held_out, y.held_out, atol=1e-9) for x, y in zip(boosters, want, strict=True))
+        scores = [{(r.condition, r.candidate, r.fold): r.score for r in df.collect()} for df in (a, b)]
+        assert scores[0].keys() == scores[1].keys() and all(math.isclose(v, scores[1][k], abs_tol=1e-9) for k, v in scores[0].items())
+    grids = [sorted(map(tuple, fusion.rank_grid(models._both_scores(rows, names, settings), 2).collect())) for rows in (few, every)]
+    assert len(grids[0]) == 21 and all(np.allclose(a[2:], b[2:], atol=2e-6) and a[:2] == b[:2] for a, b in zip(*grids, strict=True))
